@@ -40,10 +40,141 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "cost", "rejected")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import dedup_substrings
+
+    return dedup_substrings(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 100 == 0))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .shared import Written, new_folder, remove
+    from .warc import capture_index, read_archives, write_archives
+
+    folder = new_folder(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), folder)
+    entries = Written(spark, "captures").put("entries", read_archives(spark, folder))
+    remove(spark, folder)
+    return capture_index(entries).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import format_preferences, swapped_replies
+
+    return format_preferences(*swapped_replies(table(spark, sf_dir, "conversations")))
+
+
+def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
+    "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
+    "op10_near_duplicates": op10_near_duplicates,
+    "pipeline": pipeline,
+}
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_BLANK = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": f"""
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), {_BLANK}) as w from documents),
+p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from d),
+x as (select doc_id, i, w[i] as word, case when i + 19 <= len(w) then array_to_string(w[i:i + 19], ' ') end as win from p),
+f as (select *, case when win is null then 0 when first_value(doc_id) over k = doc_id and first_value(i) over k = i then 0 else 1 end as late
+      from x window k as (partition by win order by doc_id, i)),
+g as (select *, max(late) over (partition by doc_id order by i rows between 19 preceding and current row) as gone from f),
+s as (select doc_id, sum(gone) as n_removed, string_agg(word, ' ' order by i) filter (gone = 0) as kept from g group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from d left join s using (doc_id)""",
+    "op4_line_dedup": """
+with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+n as (select *, lead(line) over (partition by doc_id order by i) as after from l),
+f as (select *, case when after is null or length(trim(line, ' ')) + length(trim(after, ' ')) < 1 then 0
+      when first_value(doc_id) over k = doc_id and first_value(i) over k = i then 0 else 1 end as late
+      from n window k as (partition by line, after order by doc_id, i)),
+g as (select *, greatest(late, coalesce(lag(late) over (partition by doc_id order by i), 0)) as gone from f)
+select doc_id, count(*) as n_lines, cast(sum(gone) as bigint) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (gone = 0), '')) as kept_sha256
+from g group by doc_id""",
+    "op5_warc": """
+with d as (select page_id, coalesce(html, '') as body from pages),
+e as (select page_id, strlen(body) as n, sha1(body) as h, min(page_id) over (partition by body) as first from d)
+select page_id, n as payload_bytes,
+  list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::bigint >> (15 - 5 * (k % 4))) & 31), 1)), 'string_agg', '') as payload_digest,
+  case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to
+from e""",
+    "op6_decontamination": f"""
+with d as (select doc_id, regexp_extract_all(coalesce({_LOWER}, ''), {_ALNUM}) as w from documents),
+b as (select item_id, regexp_extract_all(coalesce({_LOWER}, ''), {_ALNUM}) as w from benchmark),
+bw as (select distinct item_id, len(win) as n, array_to_string(win, ' ') as win from
+       (select item_id, w[i:i + least(10, len(w)) - 1] as win from (select item_id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) as i from b where len(w) > 0))),
+sizes as (select distinct n from bw),
+dw as (select doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') as win from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) as i from d, sizes where len(w) >= n)),
+hits as (select doc_id, i, dw.n, item_id from dw join bw using (n, win)),
+spots as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(range(i, i + n)) as j from hits) group by doc_id),
+items as (select doc_id, count(*) as n_items, string_agg(item, ',' order by item) as list from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
+select d.doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(list, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join spots using (doc_id) left join items using (doc_id)""",
+    "op8_chat_format": """
+with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
+k as (select conv_id, max(turn) as last from t where role = 'assistant' group by conv_id),
+e as (select t.*, last from t join k using (conv_id) where turn <= last),
+r as (select xor(conv_id, 1) as conv_id, role, text from e where turn = last and role = 'assistant'),
+c as (select conv_id, turn, role, text from e where conv_id in (select conv_id from r)),
+j as (select conv_id, turn, role, text from e where turn < last and conv_id in (select conv_id from r) union select r.conv_id, last, role, text from r join k using (conv_id)),
+s as (select 'chosen' as side, * from c union all select 'rejected', * from j),
+x as (select *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, coalesce(text, '') as said from s),
+ct as (select conv_id, turn, string_agg(head || said, chr(10) order by role, text) as v from x where side = 'chosen' group by all),
+rt as (select conv_id, turn, string_agg(head || said, chr(10) order by role, text) as v from x where side = 'rejected' group by all),
+cut as (select conv_id, min(case when ct.v is distinct from rt.v then turn end) as split from ct full join rt using (conv_id, turn) group by conv_id),
+y as (select x.*, case when split is null or turn < split then 'prompt' else side end as part from x join cut using (conv_id) where side = 'chosen' or turn >= split),
+z as (select *, coalesce(sum(length(head) + length(said) + 1) over (partition by conv_id, part order by turn, role, text rows between unbounded preceding and 1 preceding), 0) + length(head) as spot from y)
+select conv_id as pair_id, count(distinct case when part = 'prompt' then turn end) as n_prompt_turns,
+  coalesce(string_agg(head || said || chr(10), '' order by turn, role, text) filter (part = 'prompt'), '') as prompt,
+  coalesce(string_agg(head || said || chr(10), '' order by turn, role, text) filter (part = 'chosen'), '') as chosen,
+  coalesce(string_agg(head || said || chr(10), '' order by turn, role, text) filter (part = 'rejected'), '') as rejected,
+  coalesce(string_agg(cast(spot as bigint) || '-' || cast(spot + length(said) as bigint), ',' order by turn, role, text) filter (part = 'chosen' and role = 'assistant'), '') as chosen_mask,
+  coalesce(string_agg(cast(spot as bigint) || '-' || cast(spot + length(said) as bigint), ',' order by turn, role, text) filter (part = 'rejected' and role = 'assistant'), '') as rejected_mask
+from z group by conv_id""",
+    "op10_near_duplicates": f"""
+with recursive d as (select doc_id, regexp_extract_all(coalesce({_LOWER}, ''), {_BLANK}) as w from documents),
+g as (select doc_id, unnest(list_distinct(case when len(w) = 0 then [] when len(w) < 4 then [array_to_string(w, ' ')]
+      else list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) end)) as s from d),
+n as (select doc_id, count(*) as n_shingles from g group by doc_id),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as shared from g a join g b on a.s = b.s and a.doc_id <> b.doc_id group by all),
+links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 80 * (x.n_shingles + y.n_shingles - shared)),
+reach as (select doc_id, doc_id as low from d union select links.a, reach.low from reach join links on links.b = reach.doc_id)
+select d.doc_id, coalesce(n_shingles, 0) as n_shingles, c.low as component_id, d.doc_id = c.low as kept
+from d left join n using (doc_id) join (select doc_id, min(low) as low from reach group by doc_id) c using (doc_id)""",
 }
-ORACLE_SQL: dict[str, str] = {}
