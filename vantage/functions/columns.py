@@ -82,9 +82,9 @@ def label(c: Column, kind: T.DataType) -> Column:
     plain = F.regexp_replace(c.cast("decimal(38,18)").cast("string"), r"(\.\d*?[1-9])0+$|(\.0)0+$", "$1$2")
     parts = F.split(text, "E")
     power = parts[1].try_cast("int")
-    short = F.concat(F.regexp_replace(parts[0], r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    short = F.concat(F.regexp_replace(parts[0], r"\.0$", ""), F.when(power < 0, "e-").otherwise("e+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
     size = F.abs(c)
-    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(F.regexp_replace(short, r"(e[+-])0(\d{3,})", "$1$2"))
+    return F.when(~text.contains("E"), text).when((size >= 1e-4) & (size < 1e16), plain).otherwise(short)
 
 
 def truth(c: Column, kind: T.DataType) -> Column:

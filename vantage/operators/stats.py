@@ -145,9 +145,9 @@ def bucket_edges(low: float, high: float, unique: int) -> list[float]:
 
 
 def bucket(x: Column, edges: list[float]) -> Column:
-    """The number of the equal-width bin; the last one holds its upper edge."""
+    """The number of the equal-width bin, of a value; the last one holds its upper edge."""
     n = len(edges) - 1
-    return F.least(F.floor((x - edges[0]) / ((edges[-1] - edges[0]) / n)), F.lit(n - 1)).cast("int")
+    return F.when(x.isNotNull(), F.least(F.floor((x - edges[0]) / ((edges[-1] - edges[0]) / n)), F.lit(n - 1))).cast("int")
 
 
 def describe(table: Table, names: list[str]) -> list[NumericSummary]:

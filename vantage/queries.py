@@ -181,13 +181,13 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("name", "count", "missing", rounded("mean"), rounded("median"), rounded("std"), "min", "max", rounded("q1"), rounded("q3"), rounded("skewness"))
 
 
-@register("histogram", """with b as (select min(l_extendedprice) as lo, max(l_extendedprice) as hi, least(30, count(distinct l_extendedprice)) as n from lineitem)
-select cast(least(floor((l_extendedprice - lo) / ((hi - lo) / n)), n - 1) as int) as bin, count(*) as n from lineitem, b group by 1""")
+@register("histogram", f"""with b as (select min(l_quantity) as lo, max(l_quantity) as hi, least(30, count(distinct l_quantity)) as n from {gapped('lineitem')})
+select cast(least(floor((l_quantity - lo) / ((hi - lo) / n)), n - 1) as int) as bin, count(*) as n from {gapped('lineitem')}, b where l_quantity is not null group by 1""")
 def histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = load(spark, sf_dir, "lineitem")
-    r = stats.moments_frame(table, ["l_extendedprice"]).first()
-    bins = stats.bucket(num(col("l_extendedprice"), table.kind("l_extendedprice")), stats.bucket_edges(r["min"], r["max"], r["unique"]))
-    return table.frame.groupBy(bins.alias("bin")).agg(F.count("*").alias("n"))
+    table = load(spark, sf_dir, "lineitem", True)
+    r = stats.moments_frame(table, ["l_quantity"]).first()
+    bins = stats.bucket(num(col("l_quantity"), table.kind("l_quantity")), stats.bucket_edges(r["min"], r["max"], r["unique"]))
+    return table.frame.groupBy(bins.alias("bin")).agg(F.count("*").alias("n")).filter("bin is not null")
 
 
 @register("iqr_outliers", "with q as (select quantile_cont(o_totalprice, 0.25) as a, quantile_cont(o_totalprice, 0.75) as b from orders) select count(*) as n from orders, q where o_totalprice < a - 1.5 * (b - a) or o_totalprice > b + 1.5 * (b - a)")
