@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -239,50 +240,64 @@ def correlate(table: Table, names: list[str], most: int | None = MAX_PAIRS) -> l
     return out if most is None else out[:most]
 
 
-def group_rows(table: Table, group: str, measure: str) -> DataFrame:
-    return table.frame.select(label(col(group), table.kind(group)).alias("g"), num(col(measure), table.kind(measure)).alias("x")).filter("g is not null and x is not null")
+def group_rows(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
+    """(pair, g, x): for each pair of a group and a measure the rows that have both, all pairs from one read."""
+    cells = F.array(*(F.struct(F.lit(i).alias("pair"), label(col(g), table.kind(g)).alias("g"), num(col(m), table.kind(m)).alias("x")) for i, (g, m) in enumerate(pairs)))
+    return table.frame.select(F.explode(cells).alias("c")).select("c.pair", "c.g", "c.x").filter("g is not null and x is not null")
 
 
 def group_stats(rows: DataFrame) -> DataFrame:
-    """(g, n, mean, median, std, min, max, q1, q3, low, high) of groups of at least LEAST_GROUP values; low and high are
-    the furthest values within the fences."""
-    told = rows.groupBy("g").agg(
+    """(pair, g, n, mean, median, std, min, max, q1, q3, low, high) of groups of at least LEAST_GROUP values; low and high
+    are the furthest values within the fences."""
+    told = rows.groupBy("pair", "g").agg(
         F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
     ).filter(F.col("n") >= LEAST_GROUP)
     reach = FENCE * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col("x") >= F.col("q")[0] - reach) & (F.col("x") <= F.col("q")[2] + reach)
-    whiskers = rows.join(told.select("g", "q"), "g").groupBy("g").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"))
-    return told.join(whiskers, "g").select("g", "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low", "high")
+    whiskers = rows.join(told.select("pair", "g", "q"), ["pair", "g"]).groupBy("pair", "g").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"))
+    return told.join(whiskers, ["pair", "g"]).select("pair", "g", "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low", "high")
+
+
+def kruskal(rows: DataFrame) -> dict[int, tuple[float, float, float | None]]:
+    """For each pair H with tie correction, its p-value, and the effect (H - k + 1) / (n - k) within 0 and 1; pairs whose
+    values are all equal, or that have one group, are left out."""
+    ranked = average_ranks(rows, ["pair"], "x", "r")
+    groups = ranked.groupBy("pair", "g").agg(F.count("*").alias("n"), F.sum("r").alias("s"))
+    sums = groups.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("s"))
+    tied = F.col("t") * F.col("t") * F.col("t") - F.col("t")
+    ties = rows.groupBy("pair", "x").agg(F.count("*").cast("double").alias("t")).groupBy("pair").agg(F.sum(tied).alias("t"))
+    out = {}
+    for r in sums.join(ties, "pair").collect():
+        n, k = r["n"], r["k"]
+        spread = 1 - r["t"] / (float(n) ** 3 - n) if n > 1 else 0
+        if k >= 2 and spread > 0:
+            h = (12 / (n * (n + 1)) * r["s"] - 3 * (n + 1)) / spread
+            out[r["pair"]] = (h, survival(h, k - 1), min(1.0, max(0.0, (h - k + 1) / (n - k))) if n > k else None)
+    return out
 
 
-def kruskal(rows: DataFrame) -> tuple[float | None, float | None, float | None]:
-    """H with tie correction, its p-value, and the effect (H - k + 1) / (n - k) within 0 and 1; none if all is equal."""
-    ranked = average_ranks(rows.withColumn("all", F.lit(0)), ["all"], "x", "r")
-    groups = ranked.groupBy("g").agg(F.count("*").alias("n"), F.sum("r").alias("s")).collect()
-    ties = rows.groupBy("x").agg(F.count("*").cast("double").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("t")).first()["t"]
-    n, k = sum(g["n"] for g in groups), len(groups)
-    spread = 1 - ties / (float(n) ** 3 - n) if n > 1 else 0
-    if k < 2 or spread <= 0:
-        return None, None, None
-    h = (12 / (n * (n + 1)) * sum(g["s"] ** 2 / g["n"] for g in groups) - 3 * (n + 1)) / spread
-    effect = min(1.0, max(0.0, (h - k + 1) / (n - k))) if n > k else None
-    return h, survival(h, k - 1), effect
+def compare_pairs(table: Table, pairs: list[tuple[str, str]]) -> list[Comparison]:
+    """How numbers differ across groups; pairs with fewer than two groups of LEAST_GROUP values give none."""
+    if not pairs:
+        return []
+    rows = group_rows(table, pairs)
+    found: dict[int, list] = {}
+    for r in group_stats(rows).collect():
+        found.setdefault(r["pair"], []).append(GroupStats(*r[1:]))
+    found = {i: sorted(g, key=lambda s: (-s.mean, s.group)) for i, g in found.items() if len(g) > 1}
+    if not found:
+        return []
+    seen = {r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.count_distinct("g").alias("n")).collect()}
+    large = reduce(lambda a, b: a | b, ((F.col("pair") == i) & F.col("g").isin([s.group for s in g]) for i, g in found.items()))
+    effects = kruskal(rows.filter(large))
+    return [Comparison(*pairs[i], tuple(found[i]), seen[i] - len(found[i]), *effects.get(i, (None, None, None))) for i in sorted(found)]
 
 
 def compare(table: Table, group: str, measure: str) -> Comparison | None:
-    """How a number differs across groups; none with fewer than two groups of LEAST_GROUP values."""
-    rows = group_rows(table, group, measure)
-    found = sorted(group_stats(rows).collect(), key=lambda r: (-r["mean"], r["g"]))
-    if len(found) < 2:
-        return None
-    ignored = rows.select("g").distinct().count() - len(found)
-    stats = tuple(GroupStats(*r) for r in found)
-    large = rows.filter(F.col("g").isin([s.group for s in stats]))
-    return Comparison(group, measure, stats, ignored, *kruskal(large))
+    return next(iter(compare_pairs(table, [(group, measure)])), None)
 
 
 def compare_all(table: Table, groups: list[str], measures: list[str]) -> list[Comparison]:
     """The first group columns against the first measures, the largest effects first."""
-    made = [compare(table, g, m) for g in groups[:GROUP_COLUMNS] for m in measures[:GROUP_MEASURES]]
-    found = sorted((c for c in made if c is not None), key=lambda c: -(c.effect or 0.0))
-    return found[:MAX_COMPARISONS]
+    made = compare_pairs(table, [(g, m) for g in groups[:GROUP_COLUMNS] for m in measures[:GROUP_MEASURES]])
+    return sorted(made, key=lambda c: -(c.effect or 0.0))[:MAX_COMPARISONS]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -68,15 +69,15 @@ def choose_rule(span_days: float, gap_days: float) -> str:
     return rules[max(by_span, by_gap)]
 
 
-def typical_gap(rows: DataFrame) -> float:
-    """The median difference in days of neighbouring distinct moments. Moments are dealt out by month; between months
-    only the first and last count, a row for each."""
-    moments = rows.select("t").distinct().withColumn("month", F.date_trunc("month", "t"))
-    inside = moments.withColumn("gap", F.unix_micros(F.col("t").cast("timestamp_ltz")) - F.unix_micros(F.lag("t").over(Window.partitionBy("month").orderBy("t")).cast("timestamp_ltz"))).select("gap")
-    ends = moments.groupBy("month").agg(F.min("t").alias("first"), F.max("t").alias("last"))
-    between = ends.select((F.unix_micros(F.col("first").cast("timestamp_ltz")) - F.unix_micros(F.lag("last").over(Window.orderBy("month")).cast("timestamp_ltz"))).alias("gap"))
-    told = inside.unionByName(between).filter("gap is not null").agg(F.percentile("gap", 0.5).alias("gap")).first()["gap"]
-    return (told or 0) / 86_400_000_000
+def typical_gaps(rows: DataFrame) -> DataFrame:
+    """(measure, gap): the median difference in microseconds of neighbouring distinct moments. Moments are dealt out by
+    month; between months only the first and last count, a row for each."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp_ltz"))
+    moments = rows.select("measure", "t").distinct().withColumn("month", F.date_trunc("month", "t"))
+    inside = moments.select("measure", (micros(F.col("t")) - micros(F.lag("t").over(Window.partitionBy("measure", "month").orderBy("t")))).alias("gap"))
+    ends = moments.groupBy("measure", "month").agg(F.min("t").alias("first"), F.max("t").alias("last"))
+    between = ends.select("measure", (micros(F.col("first")) - micros(F.lag("last").over(Window.partitionBy("measure").orderBy("month")))).alias("gap"))
+    return inside.unionByName(between).filter("gap is not null").groupBy("measure").agg(F.percentile("gap", 0.5).alias("gap"))
 
 
 def resampled(rows: DataFrame, rule: str) -> DataFrame:
@@ -86,8 +87,11 @@ def resampled(rows: DataFrame, rule: str) -> DataFrame:
     return spine.join(means, "period", "left")
 
 
-def time_rows(table: Table, time: str, measure: str) -> DataFrame:
-    return table.frame.select(moment(col(time), table.kind(time)).alias("t"), num(col(measure), table.kind(measure)).alias("x")).filter("t is not null and x is not null")
+def time_rows(table: Table, time: str, measures: list[str]) -> DataFrame:
+    """(measure, t, x) of all rows that have both, all measures from one read."""
+    cells = F.array(*(F.struct(F.lit(m).alias("measure"), num(col(m), table.kind(m)).alias("x")) for m in measures))
+    rows = table.frame.select(moment(col(time), table.kind(time)).alias("t"), F.explode(cells).alias("c"))
+    return rows.select("c.measure", "t", "c.x").filter("t is not null and x is not null")
 
 
 def _ranks(values: list[float]) -> list[float]:
@@ -157,23 +161,32 @@ def trend(values: list[float]) -> tuple[str, float | None, float]:
 
 
 def timeline(table: Table, time: str, measure: str) -> Timeline | None:
-    """The regular series of a measure and what it shows; none under three values or three periods that have any. What
+    return next(iter(_timelines(table, time, [measure])), None)
+
+
+def _timelines(table: Table, time: str, measures: list[str]) -> list[Timeline]:
+    """The regular series of each measure and what it shows; none under three values or three periods that have any. What
     comes to the driver is the periods: some hundred days or weeks, or the months of the whole span."""
-    rows = time_rows(table, time, measure)
-    told = rows.agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).first()
-    if told["n"] < LEAST_POINTS:
-        return None
-    rule = choose_rule((told["b"] - told["a"]).total_seconds() / 86_400, typical_gap(rows))
-    points = [(r["period"], r["value"]) for r in resampled(rows, rule).orderBy("period").collect()]
-    seen = [p for p in points if p[1] is not None]
-    if len(seen) < LEAST_POINTS:
-        return None
-    values = [v for _, v in seen]
-    direction, ratio, slope = trend(values)
-    return Timeline(time, measure, rule, tuple(points), told["n"], direction, ratio, slope, monotonicity(values), largest_change(seen), season(seen, rule))
+    rows = time_rows(table, time, measures)
+    spans = rows.groupBy("measure").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
+    told = {r["measure"]: r for r in spans.join(typical_gaps(rows), "measure", "left").collect() if r["n"] >= LEAST_POINTS}
+    rules = {m: choose_rule((r["b"] - r["a"]).total_seconds() / 86_400, (r["gap"] or 0) / 86_400_000_000) for m, r in told.items()}
+    series = [resampled(rows.filter(F.col("measure") == m), rule).withColumn("measure", F.lit(m)) for m, rule in rules.items()]
+    points: dict[str, list] = {m: [] for m in rules}
+    for r in reduce(DataFrame.unionByName, series).collect() if series else []:
+        points[r["measure"]].append((r["period"], r["value"]))
+    out = []
+    for m, rule in rules.items():
+        own = sorted(points[m], key=lambda p: p[0])
+        seen = [p for p in own if p[1] is not None]
+        if len(seen) >= LEAST_POINTS:
+            values = [v for _, v in seen]
+            direction, ratio, slope = trend(values)
+            out.append(Timeline(time, m, rule, tuple(own), told[m]["n"], direction, ratio, slope, monotonicity(values), largest_change(seen), season(seen, rule)))
+    return out
 
 
 def timelines(table: Table, times: list[str], measures: list[str]) -> list[Timeline]:
     """Measures over the first moment column, the largest changes first."""
-    made = [timeline(table, times[0], m) for m in measures[:MAX_MEASURES]] if times else []
-    return sorted((t for t in made if t), key=lambda t: -abs(t.change_ratio or 0.0))
+    made = _timelines(table, times[0], measures[:MAX_MEASURES]) if times and measures else []
+    return sorted(made, key=lambda t: -abs(t.change_ratio or 0.0))
