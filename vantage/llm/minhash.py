@@ -97,7 +97,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(
-    docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, pivot_rounds: int = 2,
+    docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, hub_rounds: int = 3,
     id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of word shingles: (id, n_shingles, class_id, component_id, kept).
@@ -111,8 +111,9 @@ def near_duplicates(
 
     Candidates: documents that agree in all rows of a band of their min-max signature; with 48 bands of 6 rows a
     pair at 0.8 is missed once in two million. Equal sets are one candidate. A bucket is not expanded into pairs: its
-    members are compared with one pivot each round; members that no round connects are then compared with the rest
-    of their bucket, but for what the distances to the first pivot rule out, so no link is lost."""
+    members are compared with its smallest one, then with the smallest document of its largest component until
+    nothing new links. Members of different components that are left are compared with each other, but for pairs
+    that exact counts rule out, so no link is lost."""
     spark = docs.sparkSession
     kept = Written(spark, "minhash")
     sketch = MinMax(bands, rows)
@@ -129,43 +130,67 @@ def near_duplicates(
     near = lambda x: x.filter(F.col("shared") * 100 >= F.col("either") * percent)
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tested = kept.put("tested", _confirm(stars, sets))
-    links = near(tested).select("a", "b")
-    labels = components(links, kept, "round0")
-    for turn in range(1, pivot_rounds + 1):
+    labels = components(near(tested).select("a", "b"), kept, "round0")
+    for turn in range(1, hub_rounds + 1):
         open_cells = _open(members, labels, kept, turn)
-        pivot = open_cells.groupBy("cell").agg(F.min_by(F.struct("id", "size", "label"), F.xxhash64("id", F.lit(turn))).alias("p"))
-        pairs = open_cells.join(pivot, "cell").filter("label <> p.label").filter(_similar_sizes(F.col("size"), F.col("p.size"), percent))
-        pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = kept.put(f"fresh{turn}", near(_confirm(pairs, sets)).select("a", "b"))
-        links = links.unionByName(fresh)
-        if fresh.isEmpty():
+        pairs = open_cells.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
+        fresh = kept.put(f"tested{turn}", _confirm(pairs.join(tested, ["a", "b"], "left_anti"), sets))
+        tested = tested.unionByName(fresh)
+        if near(fresh).isEmpty():
             break
-        labels = components(links, kept, f"round{turn}")
-    last = _rest(_open(members, labels, kept, "last"), tested, percent)
-    fresh = kept.put("rest", near(_confirm(last, sets)).select("a", "b"))
+        labels = components(near(tested).select("a", "b"), kept, f"round{turn}")
+    else:
+        open_cells = _open(members, labels, kept, "last")
+    alone = kept.put("alone", _alone(open_cells.select("id").distinct(), sets))
+    fresh = kept.put("rest", near(_confirm(_rest(open_cells, tested, alone, percent), sets)).select("a", "b"))
     if not fresh.isEmpty():
-        labels = components(links.unionByName(fresh), kept, "final")
+        labels = components(near(tested).select("a", "b").unionByName(fresh), kept, "final")
     return _result(marks, classes, labels, id_col)
 
 
 def _open(members: DataFrame, labels: DataFrame, kept: Written, turn: object) -> DataFrame:
-    """Members of buckets that hold more than one component yet."""
-    named = members.join(labels, members.id == labels.node, "left").select("cell", "id", "size", "pivot", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("cell").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("cell")
+    """Members of buckets that hold more than one component yet, with the bucket's hub: the smallest document of the
+    component that most of its members belong to."""
+    named = members.join(labels, members.id == labels.node, "left").select("cell", "id", "size", F.coalesce("component", "id").alias("label"))
+    shares = named.groupBy("cell", "label").agg(F.count("*").alias("n"))
+    mixed = shares.groupBy("cell").agg(F.count("*").alias("labels"), F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("hub")).filter("labels > 1").select("cell", "hub")
     return kept.put(f"open{turn}", named.join(mixed, "cell"))
 
 
-def _rest(open_cells: DataFrame, tested: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a bucket across components that may still link: by size, and as distance is a metric, by their
-    distances to the bucket's pivot."""
-    known = tested.select(F.col("a").alias("pivot"), F.col("b").alias("id"), (1 - F.col("shared") / F.col("either")).alias("far"))
-    placed = open_cells.join(known, ["pivot", "id"], "left").withColumn("far", F.when(F.col("id") == F.col("pivot"), F.lit(0.0)).otherwise(F.col("far")))
-    one = placed.select("cell", *(F.col(x).alias(f"{x}_1") for x in ("id", "size", "label", "far")))
-    two = placed.select("cell", *(F.col(x).alias(f"{x}_2") for x in ("id", "size", "label", "far")))
-    reach = (100 - percent) / 100 + 1e-9
-    pairs = one.join(two, "cell").filter("id_1 < id_2 and label_1 <> label_2").filter(_similar_sizes(F.col("size_1"), F.col("size_2"), percent))
-    pairs = pairs.filter(F.coalesce(F.abs(F.col("far_1") - F.col("far_2")) <= reach, F.lit(True)))
-    return pairs.select(F.col("id_1").alias("a"), F.col("id_2").alias("b")).distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+def _alone(ids: DataFrame, sets: DataFrame) -> DataFrame:
+    """(id, alone): how many of a document's shingles no other of the given documents holds."""
+    own = sets.join(ids, sets.doc_id == ids.id, "left_semi").select("doc_id", F.explode("shingles").alias("shingle"))
+    single = own.groupBy("shingle").agg(F.count("*").alias("n"), F.min("doc_id").alias("id")).filter("n = 1")
+    return ids.join(single.groupBy("id").agg(F.count("*").alias("alone")), "id", "left").select("id", F.coalesce("alone", F.lit(0)).alias("alone"))
+
+
+def _rest(open_cells: DataFrame, tested: DataFrame, alone: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a bucket across components that may still link, by what is known of each exactly.
+
+    With p the bucket's hub, x and y share at most what y shares with p and what else of x is not in p and not in x
+    alone; likewise with x and y exchanged. As distance is a metric, their distances to p differ by no more than a link
+    spans. The join itself drops all other pairs, and a pair in all but its smallest common bucket. Members not yet compared with p keep all theirs."""
+    known = tested.select("a", "b", "shared", (1 - F.col("shared") / F.col("either")).alias("far"))
+    own = F.col("id") == F.col("hub")
+    pair = open_cells.withColumns({"a": F.least("id", "hub"), "b": F.greatest("id", "hub")})
+    placed = pair.join(known, ["a", "b"], "left").join(alone, "id").withColumns(
+        {"with": F.when(own, F.col("size")).otherwise(F.col("shared")), "far": F.when(own, F.lit(0.0)).otherwise(F.col("far"))}
+    )
+    placed = placed.withColumn("extra", F.col("size") - F.col("alone") - F.col("with"))
+    placed = placed.join(open_cells.groupBy("id").agg(F.collect_set("cell").alias("cells")), "id")  # at most one for each band
+    columns = ("id", "size", "label", "far", "with", "extra", "alone", "cells")
+    one, two = (placed.select(F.col("cell").alias(f"cell_{k}"), *(F.col(x).alias(f"{x}_{k}") for x in columns)) for k in (1, 2))
+    x, y = (lambda c: F.col(f"{c}_1")), (lambda c: F.col(f"{c}_2"))
+    both = x("size") + y("size")
+    most = F.least(y("with") + x("extra"), x("with") + y("extra"), x("size") - x("alone"), y("size") - y("alone"))
+    sure = lambda c: F.coalesce(c, F.lit(True))
+    may = (
+        (x("cell") == y("cell")) & (x("id") < y("id")) & (x("label") != y("label")) & _similar_sizes(x("size"), y("size"), percent)
+        & sure(most * (100 + percent) >= both * percent) & sure(F.abs(x("far") - y("far")) <= (100 - percent) / 100 + 1e-9)
+        & (x("cell") == F.array_min(F.array_intersect(x("cells"), y("cells"))))
+    )
+    pairs = one.join(two, may).select(x("id").alias("a"), y("id").alias("b")).distinct()
+    return pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
 
 
 def _result(marks: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
