@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import itertools
+import json
 import os
 import zlib
+from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,56 +18,75 @@ from pyspark.sql import functions as F
 
 from .words import by_bytes
 
-#: Pieces of a lower-cased blank-free run of characters; fixed values of the vocabulary file's own pattern.
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-#: Texts with anything else go to the tokenizer whole: composition, case and blanks are plain only up to U+02FF.
+#: How the vocabulary file itself prepares text. Only then are its words found one by one; texts for any
+#: other file go to the tokenizer whole.
+_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_PIECE = regex.compile(_PATTERN)
+#: Texts with anything else go to the tokenizer whole too: composition, case and blanks are plain only up to U+02FF.
 _PLAIN = regex.compile("[^\\x09-\\x0d\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u02ff]")
 SENTENCE_END = (".", "!", "?", "...", "!!", "?!", "??", '."', '!"', '?"')
-CACHED = 400_000
+CACHED_RUNS, CACHED_PIECES = 600_000, 300_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable ones themselves, the rest from U+0100 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+class Recent(dict):
+    """What a function gave for the keys met lately: when a generation is full, the one before it is forgotten."""
+
+    def __init__(self, make: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.make, self.most, self.older = make, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        out = self.older.get(key)
+        if out is None:
+            out = self.make(key)
+        self[key] = out
+        return out
 
 
 class TokenIds:
-    """Token ids of whole texts, each distinct run between blanks encoded once in a worker."""
+    """Token ids of whole texts as little-endian 32-bit numbers, each distinct word merged once in a worker."""
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.model = self.tokenizer.model
+        told = json.loads(self.tokenizer.to_str())
+        normalizers = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])]
+        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        self.by_word = normalizers == _NORMALIZERS and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"]
+        self.letters = _byte_letters()
+        self.pieces = Recent(self._piece, CACHED_PIECES)
+        self.runs = Recent(self._run, CACHED_RUNS)
         vocab = self.tokenizer.get_vocab()
         ends = sorted(i for x in SENTENCE_END for form in (x, f"{x}</w>") if (i := vocab.get(form)) is not None)
         self.ends = np.zeros(self.tokenizer.get_vocab_size() + 1, dtype=bool)
         self.ends[ends] = True
 
-    def _learn(self, runs: set[str]) -> None:
-        if len(self.runs) + len(runs) > CACHED:
-            self.runs.clear()
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        cut = {x: _PIECE.findall(x) for x in runs}
-        fresh = list({p for pieces in cut.values() for p in pieces if p not in self.pieces})
-        for piece, told in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.pieces[piece] = tuple(told.ids)
-        for x, pieces in cut.items():
-            self.runs[x] = tuple(itertools.chain.from_iterable(map(self.pieces.__getitem__, pieces)))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        cut = [None if "<|" in t or _PLAIN.search(t) else t.lower().split() for t in texts]
-        need = set().union(*(x for x in cut if x)) if cut else set()
-        missing = {x for x in need if x not in self.runs}
-        if missing:
-            self._learn(missing)
-            if any(x not in self.runs for x in need):  # the cache was emptied to make room
-                self._learn({x for x in need if x not in self.runs})
-        out = []
-        for text, runs in zip(texts, cut, strict=True):
-            if runs is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32))
-            else:
-                out.append(np.fromiter(itertools.chain.from_iterable(map(self.runs.__getitem__, runs)), dtype=np.uint32))
-        return out
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        return array("I", [t.id for t in self.model.tokenize(mapped)]).tobytes()
+
+    def _run(self, run: str) -> bytes:
+        """What stands between two blanks: a plain word or several pieces."""
+        return b"".join(map(self.pieces.__getitem__, _PIECE.findall(run)))
+
+    def encode(self, text: str) -> np.ndarray:
+        if not self.by_word or "<|" in text or _PLAIN.search(text):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return np.frombuffer(b"".join(map(self.runs.__getitem__, text.lower().split())), dtype=np.uint32)
 
 
 def cut_points(lengths: np.ndarray, sentence_ends: np.ndarray, width: int, sentence_cost: float, hard_cost: float) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +180,7 @@ def pack(
         last = np.array([end_id], dtype=np.uint32)
         opened = TaskContext.get().partitionId() << 32
         for batch in by_bytes(batches, "text", block_bytes):
-            ids = [np.concatenate((x, last)) for x in tokens.encode([x or "" for x in batch.column("text").to_pylist()])]
+            ids = [np.concatenate((tokens.encode(x or ""), last)) for x in batch.column("text").to_pylist()]
             pieces, n = pack_block(ids, tokens.ends, width, sentence_cost, hard_cost)
             doc, start, length, sequence, offset = (np.array(x, dtype=np.int64) for x in zip(*pieces, strict=True))
             cut = [ids[d][s : s + k] for d, s, k, _, _ in pieces]
