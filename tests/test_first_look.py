@@ -116,7 +116,9 @@ def test_numeric_summaries(spark):
     assert (few.count, few.mean) == (3, 2.0)
 
 
-def test_correlations(spark):
+@pytest.mark.parametrize("slot_values", [7, 50_000])
+def test_correlations(spark, slot_values, monkeypatch):
+    monkeypatch.setattr(stats, "SLOT_VALUES", slot_values)
     rng = random.Random(1)
     rows = [(float(k), k * 2.0 + rng.random(), rng.random(), 7.0, float(k) if k < 2 else None) for k in range(60)]
     found = stats.correlate(table(spark, rows, "a double, b double, c double, same double, rare double"), ["a", "b", "c", "same", "rare"])

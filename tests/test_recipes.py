@@ -6,6 +6,7 @@ import pytest
 
 from vantage.operators.profile import profile, understood
 from vantage.plans import recipe as R
+from vantage.plans import steps
 from vantage.plans.reasons import Refused
 from vantage.plans.steps import forward_filled
 from vantage.sources.readers import of_frame
@@ -163,7 +164,8 @@ def test_order_is_kept(spark):
 
 
 @pytest.mark.parametrize("sort", [None, "asc", "desc"])
-def test_forward_fill_over_blocks(spark, sort):
+def test_forward_fill_over_blocks(spark, sort, monkeypatch):
+    monkeypatch.setattr(steps, "BLOCK_ROWS", 60)
     rows = [(k * 37 % 1009, None if k % 7 else k) for k in range(1009)]
     table = small(spark, rows, "k int, v int")
     if sort:

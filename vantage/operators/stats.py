@@ -205,12 +205,17 @@ def frequencies(table: Table, names: list[str]) -> list[CategorySummary]:
     return [CategorySummary(n, wholes[n]["count"] or 0, wholes[n]["missing"] or 0, wholes[n]["unique"], tuple(tops[n]), rare.get(n, 0)) if n in wholes else CategorySummary(n, 0, 0, 0, (), 0) for n in names]
 
 
+SLOT_VALUES, SLOTS = 50_000, 256
+
+
 def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank of each value within its keys. Distinct values are counted first and dealt into 256 ranges
-    by rough quantiles of all of them; a range's ranks start after the counts of the ranges below, so no task ranks all
-    rows of a key."""
+    """Adds the average rank of each value within its keys. Distinct values are counted first and dealt into ranges by
+    rough quantiles of all of them, a range for about SLOT_VALUES; a range's ranks start after the counts of the ranges
+    below, so no task ranks all rows of a key."""
     counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
-    cuts = sorted(set(counts.agg(F.percentile_approx(value, [k / 256 for k in range(1, 256)], 10_000).alias("q")).first()["q"] or []))
+    told = counts.agg(F.count("*").alias("n"), F.percentile_approx(value, [k / SLOTS for k in range(1, SLOTS)], 10_000).alias("q")).first()
+    slots = min(SLOTS, told["n"] // SLOT_VALUES + 1)
+    cuts = sorted({told["q"][SLOTS * k // slots - 1] for k in range(1, slots)})
     slot = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, q: acc + (F.col(value) > q).cast("int")) if cuts else F.lit(0)
     placed = counts.withColumn("__slot", slot)
     sums = placed.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__sum"))
