@@ -182,7 +182,7 @@ def judge(text: str | None, model: Model, dense: np.ndarray, sharpness: float, s
 
 
 def predict(
-    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 10.0, slack: float = 0.6,
+    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 10.0, slack: float = 1.2,
     batch_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Language of each whole text; a narrow pass, a row for each row of docs.
@@ -205,7 +205,7 @@ def predict(
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, cost double, rejected boolean")
 
 
-def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", sharpness: float = 10.0, slack: float = 0.6, batch_bytes: int = 8 << 20) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", sharpness: float = 10.0, slack: float = 1.2, batch_bytes: int = 8 << 20) -> DataFrame:
     """The documents, all columns as they are, without those that predict() marks as rejected (null and letterless
     texts among them). Without any labelled text to learn from, all with a letter stay."""
     if not model.langs:
