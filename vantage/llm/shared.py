@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +55,9 @@ class Written:
 
 
 def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more, between two long steps."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more, between two long steps. It works
+    beside the driver and learns of objects one collection late, hence two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
