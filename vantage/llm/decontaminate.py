@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -221,7 +220,3 @@ def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         id_col, "n_words", hit.alias("n_hit"), F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
     )
-
-
-def items_sha256(items: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()

@@ -130,7 +130,7 @@ def near_duplicates(
     near = lambda x: x.filter(F.col("shared") * 100 >= F.col("either") * percent)
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tested = kept.put("tested", _confirm(stars, sets))
-    labels = components(near(tested).select("a", "b"), kept, "round0")
+    labels, named = components(near(tested).select("a", "b"), kept, "round0"), "round0"
     for turn in range(1, hub_rounds + 1):
         open_cells = _open(members, labels, kept, turn)
         pairs = open_cells.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
@@ -138,13 +138,14 @@ def near_duplicates(
         tested = tested.unionByName(fresh)
         if near(fresh).isEmpty():
             break
-        labels = components(near(tested).select("a", "b"), kept, f"round{turn}")
+        labels, named = components(near(tested).select("a", "b"), kept, f"round{turn}"), f"round{turn}"
     else:
         open_cells = _open(members, labels, kept, "last")
     alone = kept.put("alone", _alone(open_cells.select("id").distinct(), sets))
     fresh = kept.put("rest", near(_confirm(_rest(open_cells, tested, alone, percent), sets)).select("a", "b"))
     if not fresh.isEmpty():
-        labels = components(near(tested).select("a", "b").unionByName(fresh), kept, "final")
+        labels, named = components(near(tested).select("a", "b").unionByName(fresh), kept, "final"), "final"
+    kept.only("marks", "classes", named)
     return _result(marks, classes, labels, id_col)
 
 

@@ -53,6 +53,10 @@ class Written:
             if folder := self.folders.pop(key, None):
                 remove(self.spark, folder)
 
+    def only(self, *keys: str) -> None:
+        """Drop all but these."""
+        self.drop(*(k for k in list(self.folders) if k not in keys))
+
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner delete the files of shuffles that nothing refers to any more, between two long steps. It works
