@@ -98,7 +98,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, hub_rounds: int = 3,
-    id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 4 << 20,
+    id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20,
 ) -> DataFrame:
     """Groups of documents linked by Jaccard similarity of word shingles: (id, n_shingles, class_id, component_id, kept).
 

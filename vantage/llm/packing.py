@@ -26,7 +26,7 @@ _PIECE = regex.compile(_PATTERN)
 #: Texts with anything else go to the tokenizer whole too: composition, case and blanks are plain only up to U+02FF.
 _PLAIN = regex.compile("[^\\x09-\\x0d\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u02ff]")
 SENTENCE_END = (".", "!", "?", "...", "!!", "?!", "??", '."', '!"', '?"')
-CACHED_RUNS, CACHED_PIECES = 600_000, 300_000
+CACHED_RUNS, CACHED_PIECES = 300_000, 150_000
 
 
 def _byte_letters() -> dict[int, str]:
@@ -158,7 +158,7 @@ SCHEMA = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequ
 
 def pack(
     docs: DataFrame, tokenizer_path: str, *, width: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    sentence_cost: float = 2.0, hard_cost: float = 256.0, block_bytes: int = 8 << 20, with_ids: bool = True,
+    sentence_cost: float = 2.0, hard_cost: float = 256.0, block_bytes: int = 4 << 20, with_ids: bool = True,
 ) -> DataFrame:
     """Sequences of at most width tokens over all documents in their order; a row for each piece of a document.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -66,6 +67,16 @@ def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iter
                 held, size = [], 0
     if held:
         yield _joined(held)
+        held = []
+    tidy()
+
+
+def tidy() -> None:
+    """Give memory that is no longer used back to the system: a worker stays between tasks, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
