@@ -254,6 +254,29 @@ def test_archives_round_trip(spark, tmp_path):
     assert keys == sorted(keys) and len(keys) == len(rows)
 
 
+ENDS = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r\n", "\r\r\n", "\r\n\r\n\r\n\r\n"]
+
+
+@pytest.mark.parametrize("per_file", [1, 7, 1000])
+def test_archives_of_payloads_with_line_ends(spark, tmp_path, per_file):
+    """Payloads that end in, begin with or are line ends, around the reader's buffers of 64 KiB, first and last in a file."""
+    rng = random.Random(per_file)
+    texts = [a + body + b for a in ENDS[:7] for b in ENDS for body in ("", f"<p>{rng.randrange(99)}</p>", "".join(rng.choice(["\r", "\n", "\r\n", "x"]) for _ in range(40)))]
+    texts += ["y" * (65_000 + 40 * k) + ENDS[k % len(ENDS)] for k in range(20)]
+    rng.shuffle(texts)
+    pages = spark.createDataFrame([(k, f"http://a.org/{k}", t, None) for k, t in enumerate(texts)], PAGES)
+    warc.write_archives(pages, str(tmp_path / "w"), records_per_file=per_file)
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.read_archives(spark, str(tmp_path / "w")).collect()}
+    assert got == {k: (len(t), base64.b32encode(hashlib.sha1(t.encode()).digest()).decode()) for k, t in enumerate(texts)}
+
+
+def test_records_are_cut_by_their_length():
+    made = [warc.record(k, "http://a.org/", end.encode(), len(end), "D", None, 0) for k, end in enumerate(ENDS)]
+    assert list(warc.whole_records(b"".join(r + warc.END for r in made).split(warc.END))) == made
+    with pytest.raises(ValueError):
+        list(warc.whole_records((made[3][:-2] + warc.END + made[0] + warc.END).split(warc.END)))
+
+
 def test_archives_of_nothing(spark, tmp_path):
     warc.write_archives(spark.createDataFrame([], PAGES), str(tmp_path / "w"))
     assert warc.read_archives(spark, str(tmp_path / "w")).count() == 0

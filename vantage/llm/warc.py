@@ -101,25 +101,28 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
 
 
 def whole_records(pieces: Iterable[bytes]) -> Iterator[bytes]:
-    """Records from a file's pieces between blank lines: a head, then as many bytes as it tells. Holds one record."""
+    """Records from a file's pieces between blank lines: a head, then as many bytes as it tells. Holds one record.
+
+    A block that ends in a line feed is followed by more than two of them, and the pieces are cut at the first two: the
+    rest comes with the next head. So the pieces are joined again and the told length alone says where a block ends."""
     head: bytes | None = None
     body: list[bytes] = []
     need = have = 0
     for piece in pieces:
-        if head is None:
-            if not piece:
-                continue
-            head, body, have = piece, [], -len(END)
-            need = int(re.search(rb"\r\nContent-Length: (\d+)", piece)[1])
-        else:
+        if head is not None:
             body.append(piece)
             have += len(piece) + len(END)
-        if body and have >= need:
+            if have < need:
+                continue
             whole = END.join(body)
-            if len(whole) != need:
+            if not whole.startswith(END, need) and len(whole) > need:
                 raise ValueError(f"a record of {need} bytes has {len(whole)}")
-            yield head + END + whole
-            head = None
+            yield head + END + whole[:need]
+            head, piece = None, whole[need:]
+        piece = piece.lstrip(b"\r\n")
+        if piece:
+            head, body, have = piece, [], -len(END)
+            need = int(re.search(rb"\r\nContent-Length: (\d+)", piece)[1])
     if head is not None:
         raise ValueError("the last record is cut off")
 
