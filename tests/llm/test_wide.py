@@ -173,6 +173,25 @@ def test_open_buckets_lose_no_link(spark):
     assert got == {d: c for d, (_, c) in near(rows, 2).items()}
 
 
+def test_hub_outside_open_buckets_loses_no_link(spark, monkeypatch):
+    """4 and 5 share 90 of 100 words and one bucket, whose hub 1 stands in a bucket of one component only."""
+    told = lambda letter, n: [f"{letter}{i}" for i in range(n)]
+    half, ten, forty = told("w", 50), told("x", 10), told("f", 40)
+    texts = {1: half + ten + forty + ["one"], 2: half + forty, 3: half + forty + ["three"], 4: half + told("u", 40) + ten, 5: half + told("u", 40) + told("y", 10)}
+    rows = [(d, " ".join(t)) for d, t in texts.items()]
+
+    class Told:
+        def __init__(self, bands, rows):
+            pass
+
+        def band_keys(self, shingles):
+            return np.array({101: [2], 90: [1, 2]}.get(len(shingles), [1]), np.uint64)
+
+    monkeypatch.setattr(minhash, "MinMax", Told)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), width=1).collect()}
+    assert got == {d: c for d, (_, c) in near(rows, 1).items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]

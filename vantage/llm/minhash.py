@@ -141,7 +141,8 @@ def near_duplicates(
         labels, named = components(near(tested).select("a", "b"), kept, f"round{turn}"), f"round{turn}"
     else:
         open_cells = _open(members, labels, kept, "last")
-    alone = kept.put("alone", _alone(open_cells.select("id").distinct(), sets))
+    counted = open_cells.select("id").union(open_cells.select("hub")).distinct()  # a hub need not be in an open bucket
+    alone = kept.put("alone", _alone(counted, sets))
     fresh = kept.put("rest", near(_confirm(_rest(open_cells, tested, alone, percent), sets)).select("a", "b"))
     if not fresh.isEmpty():
         labels, named = components(near(tested).select("a", "b").unionByName(fresh), kept, "final"), "final"
@@ -169,7 +170,7 @@ def _rest(open_cells: DataFrame, tested: DataFrame, alone: DataFrame, percent: i
     """Pairs of a bucket across components that may still link, by what is known of each exactly.
 
     With p the bucket's hub, x and y share at most what y shares with p and what else of x is not in p and not in x
-    alone; likewise with x and y exchanged. As distance is a metric, their distances to p differ by no more than a link
+    alone (alone among the open documents and all hubs, so that nothing in p counts as alone); likewise with x and y exchanged. As distance is a metric, their distances to p differ by no more than a link
     spans. The join itself drops all other pairs, and a pair in all but its smallest common bucket. Members not yet compared with p keep all theirs."""
     known = tested.select("a", "b", "shared", (1 - F.col("shared") / F.col("either")).alias("far"))
     own = F.col("id") == F.col("hub")
