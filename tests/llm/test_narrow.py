@@ -83,6 +83,20 @@ def test_decontamination_edges(spark):
     assert find_contamination(docs, bench.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+def test_decontamination_is_the_same_in_many_blocks(spark):
+    """Items that overlap each other in a document, repeated ids and null ids, in one block and in about one per item."""
+    told = [f"w{i}" for i in range(40)]
+    items = [(k, " ".join(told[at : at + 15])) for k, at in enumerate(range(0, 25, 5))]
+    rows = [(1, " ".join(told)), (1, "x " + " ".join(told[:20]) + " y"), (1, "none"), (None, " ".join(told[3:30]) + " z"), (None, "null id"), (2, "a " + " ".join([*told[:7], *told[20:35], *told[7:20]])), (3, None), (3, "")]
+    docs = spark.createDataFrame([(*r, None, k, None) for k, r in enumerate(rows)], DOCS)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    one, many = ({"block_bytes": b} for b in (1 << 20, 60))
+    found = [sorted(map(repr, find_contamination(docs, bench, **b).collect())) for b in (one, many)]
+    left = [sorted(map(repr, remove_contamination(docs, bench, **b).collect())) for b in (one, many)]
+    assert found[0] == found[1] and len(found[1]) == len(rows)
+    assert left[0] == left[1] and not any("w10 " in x and "w9 " in x for x in left[1])
+
+
 def test_licenses_equal_loops(spark):
     base = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
     more = [(9001, "CC BY CC-BY cc by. General Public\nLicense! all  rights reserved", None, None, None), (9002, None, None, None, None), (9003, "ccby xcc by", None, None, None), (None, "", None, None, None)]

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
 from .words import alnum_words, by_bytes, utf8, word_spans
@@ -106,14 +107,15 @@ def search_shard(texts: list[bytes | None], phrases: Phrases) -> tuple[np.ndarra
     return counts, spans, [sorted(x) for x in items]
 
 
-def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple]]:
-    """The benchmark in blocks of about block_bytes of text, so that what is sent to the tasks stays bounded."""
+def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[tuple[bool, list[tuple]]]:
+    """The benchmark in blocks of about block_bytes of text, so that what is sent to the tasks stays bounded; each with
+    whether it is the last."""
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
     blocks = int(size // block_bytes) + 1
     part = F.pmod(F.xxhash64(F.col(item_col).cast("string")), F.lit(blocks))
     for k in range(blocks):
         rows = benchmark if blocks == 1 else benchmark.filter(part == k)
-        yield [tuple(r) for r in rows.select(item_col, text_col).collect()]
+        yield k == blocks - 1, [tuple(r) for r in rows.select(item_col, text_col).collect()]
 
 
 def find_contamination(
@@ -125,53 +127,65 @@ def find_contamination(
     Returns a row for each row of docs: the id, n_words, spans (merged word spans, start and stop from 0) and
     items (distinct ids with an occurrence, as strings, sorted). Each task indexes its documents in shards of about
     shard_bytes of text and searches the windows in them; nothing is shuffled. A benchmark beyond block_bytes is
-    searched block by block and the spans are merged for each document.
+    searched block by block; each row takes its spans along from block to block.
 
     Null text and text without words: no words, no spans. A null id stays null. An item that is null, empty or has
-    no id has no windows. Repeated items find the same spans; repeated documents give a row each when the benchmark
-    is one block (beyond, rows of one id are merged). Other columns of either table are not looked at."""
-    parts = [
-        _block(docs, Phrases(items, window), id_col, text_col, shard_bytes)
-        for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
-    ]
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    merged = every.groupBy(id_col).agg(
-        F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.flatten(F.collect_list("items")).alias("items")
-    )
-    return merged.select(id_col, "n_words", merge_spans("spans").alias("spans"), F.array_sort(F.array_distinct("items")).alias("items"))
+    no id has no windows. Repeated items find the same spans; repeated documents give a row each. Other columns of
+    either table are not looked at."""
+    kind = docs.schema[id_col].dataType.simpleString()
 
+    def listed(batch: pa.RecordBatch, texts: list[bytes | None], counts: np.ndarray, spans: list[np.ndarray], items: list[list[str]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(counts), _span_lists(spans), pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"])
 
-def merge_spans(spans: str) -> F.Column:
-    """The union of spans, ascending; touching ones become one."""
-    end = lambda acc: F.element_at(acc, -1)["stop"]
-    grown = lambda acc, x: F.concat(
-        F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(end(acc), x["stop"]).alias("stop")))
-    )
-    return F.aggregate(
-        F.array_sort(spans), F.array().cast(SPANS),
-        lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"]), grown(acc, x)).otherwise(F.concat(acc, F.array(x))),
-    )
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    blocks = benchmark_blocks(benchmark, item_col, item_text_col, block_bytes)
+    return _searched(rows, blocks, window, "text", shard_bytes, listed, f"`{id_col}` {kind}, n_words bigint, spans {SPANS}, items array<string>")
 
 
-def _block(docs: DataFrame, phrases: Phrases, id_col: str, text_col: str, shard_bytes: int) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(phrases)  # bounded by block_bytes
-    kind = docs.schema[id_col].dataType.simpleString()
+#: Columns in which a row takes along what the blocks before have found.
+FOUND, NAMED = "__found_spans", "__found_items"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
-        for batch in by_bytes(batches, "text", shard_bytes):
-            counts, spans, items = search_shard(utf8(batch.column("text")), shared.value)
-            listed = [[{"start": int(a), "stop": int(b)} for a, b in x] for x in spans]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(counts), pa.array(listed, span), pa.array(items, pa.list_(pa.string()))], names=[id_col, "n_words", "spans", "items"]
-            )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, spans {SPANS}, items array<string>")
+def _searched(rows: DataFrame, blocks: Iterator[tuple[bool, list[tuple]]], window: int, text_col: str, shard_bytes: int, finish: Callable[..., pa.RecordBatch], schema: str | StructType) -> DataFrame:
+    """What finish(batch, texts, counts, spans, items) makes of the rows and the union of all blocks' spans. Every block
+    is searched in the text as it was given."""
+    between = StructType([*rows.schema.fields, *StructType.fromDDL(f"{FOUND} {SPANS}, {NAMED} array<string>").fields])
+    out = rows
+    for last, items in blocks:
+        shared = rows.sparkSession.sparkContext.broadcast(Phrases(items, window))  # bounded by block_bytes
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, last=last) -> Iterator[pa.RecordBatch]:
+            for batch in by_bytes(batches, text_col, shard_bytes):
+                texts = utf8(batch.column(text_col))
+                counts, spans, names = search_shard(texts, shared.value)
+                if FOUND in batch.schema.names:
+                    spans = [_union(x, earlier) for x, earlier in zip(spans, batch.column(FOUND).to_pylist(), strict=True)]
+                    names = [sorted({*x, *earlier}) for x, earlier in zip(names, batch.column(NAMED).to_pylist(), strict=True)]
+                    batch = batch.drop_columns([FOUND, NAMED])
+                if last:
+                    yield finish(batch, texts, counts, spans, names)
+                else:
+                    yield pa.RecordBatch.from_arrays([*batch.columns, _span_lists(spans), pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, FOUND, NAMED])
+
+        out = out.mapInArrow(run, schema if last else between)
+    return out
+
+
+def _span_lists(spans: list[np.ndarray]) -> pa.Array:
+    return pa.array([[{"start": int(a), "stop": int(b)} for a, b in x] for x in spans], pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))
+
+
+def _union(spans: np.ndarray, earlier: list[dict]) -> np.ndarray:
+    """The union of spans, ascending; touching ones become one."""
+    if not earlier:
+        return spans
+    out: list[list[int]] = []
+    for start, stop in sorted([*spans.tolist(), *([x["start"], x["stop"]] for x in earlier)]):
+        if out and out[-1][1] >= start:
+            out[-1][1] = max(out[-1][1], stop)
+        else:
+            out.append([start, stop])
+    return np.array(out, dtype=np.int64)
 
 
 def cut_spans(text: bytes, spans: np.ndarray) -> bytes:
@@ -191,26 +205,20 @@ def remove_contamination(
     """The documents with the hit spans cut out of their text; one of which no word is left goes.
 
     All columns stay as they are but the text, so n_chars or the like is not brought up to date here. Documents
-    without a hit stay, empty and null ones included. Each block of a large benchmark is one more pass."""
-    out = docs
-    for items in benchmark_blocks(benchmark, item_col, item_text_col, block_bytes):
-        shared = docs.sparkSession.sparkContext.broadcast(Phrases(items, window))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in by_bytes(batches, text_col, shard_bytes):
-                texts = utf8(batch.column(text_col))
-                counts, spans, _ = search_shard(texts, shared.value)
-                keep = np.ones(len(texts), dtype=bool)
-                for k, found in enumerate(spans):
-                    if len(found):
-                        keep[k] = (found[:, 1] - found[:, 0]).sum() < counts[k]
-                        texts[k] = cut_spans(texts[k], found)
-                place = batch.schema.get_field_index(text_col)
-                fresh = batch.set_column(place, batch.schema.field(place), pa.array(texts, pa.binary()).cast(pa.string()).cast(batch.schema.field(place).type))
-                yield fresh.filter(pa.array(keep))
-
-        out = out.mapInArrow(run, docs.schema)
-    return out
+    without a hit stay, empty and null ones included. Each block of a large benchmark is one more pass; all search the
+    text as it was given, and the last cuts out what any has found."""
+
+    def cut(batch: pa.RecordBatch, texts: list[bytes | None], counts: np.ndarray, spans: list[np.ndarray], items: list[list[str]]) -> pa.RecordBatch:
+        keep = np.ones(len(texts), dtype=bool)
+        for k, found in enumerate(spans):
+            if len(found):
+                keep[k] = (found[:, 1] - found[:, 0]).sum() < counts[k]
+                texts[k] = cut_spans(texts[k], found)
+        place = batch.schema.get_field_index(text_col)
+        fresh = batch.set_column(place, batch.schema.field(place), pa.array(texts, pa.binary()).cast(pa.string()).cast(batch.schema.field(place).type))
+        return fresh.filter(pa.array(keep))
+
+    return _searched(docs, benchmark_blocks(benchmark, item_col, item_text_col, block_bytes), window, text_col, shard_bytes, cut, docs.schema)
 
 
 def contamination_digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
