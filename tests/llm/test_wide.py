@@ -111,6 +111,43 @@ def test_lines_edges(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def long_lines_removed(rows, m, least, words, alone):
+    """lines_removed() with runs judged by their words, and single lines of `alone` words."""
+    first, out = {}, {}
+    lines = {d: t.split("\n") for d, t in rows}
+    count = lambda run: sum(len(BLANKS.findall(x)) for x in run)
+    judged = [(m, lambda run: sum(len(x.strip(" ")) for x in run) >= least and count(run) >= words), (1, lambda run: count(run) >= alone)]
+    for d in sorted(lines):
+        for n, _ in judged:
+            for i in range(len(lines[d]) - n + 1):
+                first.setdefault((n, tuple(lines[d][i : i + n])), (d, i))
+    for d, row in lines.items():
+        gone = set()
+        for n, counts in judged:
+            for i in range(len(row) - n + 1):
+                if first[n, tuple(row[i : i + n])] != (d, i) and counts(row[i : i + n]):
+                    gone.update(range(i, i + n))
+        out[d] = "\n".join(x for i, x in enumerate(row) if i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("m,words,alone", [(2, 0, 5), (3, 6, 8)])
+def test_long_lines_equal_loops(spark, m, words, alone):
+    rng = random.Random(m)
+    rows = [(k, "\n".join(rng.choice(["", "a", "b b", "c\tc c", "five words are in here", f"own {k}", "a line of eight words, as told\u00a0so, here"]) for _ in range(rng.randrange(1, 12)))) for k in range(40)]
+    got = line_dedup.dedup_lines(frame(spark, rows), min_lines=m, min_words=words, alone_words=alone).collect()
+    assert {r.doc_id: r.text for r in got} == long_lines_removed(rows, m, 1, words, alone)
+
+
+def test_pipeline_cuts_repeated_long_lines(spark):
+    import corpus_pipeline
+
+    passage = " ".join(f"w{i}" for i in range(60))
+    docs = frame(spark, [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage), (4, "short\nline"), (5, "line")])
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["long_lines"](spark, docs, "").collect()}
+    assert got == {1: f"a\n{passage}\nb", 2: "c\nd", 4: "short\nline", 5: "line"}
+
+
 def near(rows, width, percent=80):
     sets = {}
     for d, t in rows:

@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from .shared import Written
 
 RUNS = "array<struct<start:int,stop:int>>"
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, pos, h1, h2, chars) of each line; its identity is two 64-bit hashes, so texts stay out of the shuffles."""
+def line_table(docs: DataFrame, id_col: str, text_col: str, with_words: bool = False) -> DataFrame:
+    """(doc, pos, h1, h2, chars, words) of each line; its identity is two 64-bit hashes, so texts stay out of the
+    shuffles. Words are blank-separated and only counted where asked for (0 otherwise)."""
+    words = F.regexp_count("line", F.lit(WORD)).cast("bigint") if with_words else F.lit(0).cast("bigint")
     lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return lines.select("doc", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.lit(3)).alias("h2"), F.length(F.trim("line")).alias("chars"))
+    return lines.select("doc", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.lit(3)).alias("h2"), F.length(F.trim("line")).alias("chars"), words.alias("words"))
 
 
 def _ranked(keys: DataFrame, name: str, *order: str) -> DataFrame:
@@ -24,45 +27,57 @@ def _ranked(keys: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def first_ranks(lines: DataFrame, kept: Written) -> DataFrame:
-    """(doc, pos, rank, chars) of the lines that occur more than once; the others begin no repeated run."""
+    """(doc, pos, rank, chars, words) of the lines that occur more than once; the others begin no repeated run."""
     repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
     ranks = kept.put("ranks0", _ranked(repeated, "rank", "h1", "h2"))
-    return kept.put("depth1", lines.join(ranks.hint("shuffle_hash"), ["h1", "h2"]).select("doc", "pos", "rank", "chars"))
+    return kept.put("depth1", lines.join(ranks.hint("shuffle_hash"), ["h1", "h2"]).select("doc", "pos", "rank", "chars", "words"))
 
 
 def deeper(short: DataFrame, ahead: DataFrame, step: int, kept: Written, name: str) -> DataFrame:
-    """Ranks of longer runs, from those of a run and of the one that starts `step` lines on (a doubling when step is
-    the run's length). Suffixes whose run is unique by now are discarded: nothing longer at them repeats."""
-    back = ahead.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"), F.col("chars").alias("more"))
-    paired = kept.put(f"{name}-pairs", short.join(back, ["doc", "pos"]).select("doc", "pos", "rank", "next", "chars", "more"))
+    """Ranks of longer runs, from those of a run of `step` lines and of the one that follows it (a doubling when both
+    have the same length). Suffixes whose run is unique by now are discarded: nothing longer at them repeats."""
+    back = ahead.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"), F.col("chars").alias("more"), F.col("words").alias("more_words"))
+    paired = kept.put(f"{name}-pairs", short.join(back, ["doc", "pos"]).select("doc", "pos", "rank", "next", (F.col("chars") + F.col("more")).alias("chars"), (F.col("words") + F.col("more_words")).alias("words")))
     repeated = paired.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1").select("rank", "next")
     ranks = kept.put(f"{name}-ranks", _ranked(repeated, "fresh", "rank", "next"))
-    out = paired.join(ranks.hint("shuffle_hash"), ["rank", "next"]).select("doc", "pos", F.col("fresh").alias("rank"), (F.col("chars") + F.col("more")).alias("chars"))
+    out = paired.join(ranks.hint("shuffle_hash"), ["rank", "next"]).select("doc", "pos", F.col("fresh").alias("rank"), "chars", "words")
     out = kept.put(name, out)
     kept.drop(f"{name}-pairs", f"{name}-ranks")
     return out
 
 
-def suffix_ranks(lines: DataFrame, depth: int, kept: Written) -> DataFrame:
-    """(doc, pos, rank, chars) of the suffixes whose first `depth` lines occur more than once. Equal ranks are an
-    interval of the suffix array with a common prefix of at least depth lines; ranks ascend in suffix order. chars
-    counts the run (lines that two halves share count twice, so it is 0 only where all are blank)."""
-    now, length = first_ranks(lines, kept), 1
-    while length < depth:
-        step = min(length, depth - length)
-        now = deeper(now, now, step, kept, f"depth{length + step}")
-        length += step
-    return now
-
-
-def repeated_runs(lines: DataFrame, min_lines: int, min_chars: int, kept: Written) -> DataFrame:
-    """(doc, runs): for each document the union of runs of at least min_lines lines that also start earlier (in a
-    document of smaller id, or further up), as spans of line numbers."""
-    ranks = suffix_ranks(lines, min_lines, kept).filter(F.col("chars") >= min_chars)
+def suffix_ranks(lines: DataFrame, depth: int, kept: Written) -> tuple[DataFrame, DataFrame]:
+    """(doc, pos, rank, chars, words) of the lines, and of the suffixes whose first `depth` lines occur more than once.
+    Equal ranks are an interval of the suffix array with a common prefix of at least depth lines; ranks ascend in suffix
+    order. chars and words count the run: its parts are doublings that don't overlap."""
+    lengths = {1: first_ranks(lines, kept)}
+    length = 1
+    while 2 * length <= depth:
+        lengths[2 * length] = deeper(lengths[length], lengths[length], length, kept, f"depth{2 * length}")
+        length *= 2
+    now = lengths[length]
+    for part in sorted(lengths, reverse=True):
+        if length + part <= depth:
+            now = deeper(now, lengths[part], length, kept, f"depth{length + part}")
+            length += part
+    return lengths[1], now
+
+
+def repeated_runs(lines: DataFrame, min_lines: int, min_chars: int, min_words: int, alone_words: int | None, kept: Written) -> DataFrame:
+    """(doc, runs): for each document the union of runs of at least min_lines lines, and of single lines of at least
+    alone_words words, that also start earlier (in a document of smaller id, or further up), as spans of line numbers."""
+    single, ranks = suffix_ranks(lines, min_lines, kept)
+    spans = _later(ranks.filter((F.col("chars") >= min_chars) & (F.col("words") >= min_words)), min_lines)
+    if alone_words is not None:
+        spans = spans.unionByName(_later(single.filter(F.col("words") >= alone_words), 1))
+    return spans.groupBy("doc").agg(F.collect_set("span").alias("spans")).select("doc", union_of(F.col("spans")).alias("runs"))
+
+
+def _later(ranks: DataFrame, length: int) -> DataFrame:
+    """(doc, span) of the runs that are not the first of their rank."""
     first = ranks.groupBy("rank").agg(F.min(F.struct("doc", "pos")).alias("first"))
     later = ranks.join(first, "rank").filter(F.struct("doc", "pos") > F.col("first"))
-    spans = later.groupBy("doc").agg(F.collect_set(F.struct(F.col("pos").alias("start"), (F.col("pos") + min_lines).alias("stop"))).alias("spans"))
-    return spans.select("doc", union_of(F.col("spans")).alias("runs"))
+    return later.select("doc", F.struct(F.col("pos").alias("start"), (F.col("pos") + length).alias("stop")).alias("span"))
 
 
 def union_of(spans: Column) -> Column:
@@ -75,20 +90,22 @@ def union_of(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(RUNS), lambda acc, x: F.when(touches(acc, x), longer(acc, x)).otherwise(F.concat(acc, F.array(x))))
 
 
-def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_chars: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_chars: int = 1, min_words: int = 0, alone_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, all columns, with later copies of repeated line runs cut out of the text; two columns follow:
     __n_lines and __n_removed (bigint).
 
     Lines are what stands between line feeds. A line goes if it lies in a run of min_lines lines that also occurs
     starting earlier: in a document of smaller id or further up in the same one. Runs longer than min_lines are
     covered by those at each of their lines, so maximal runs go as a whole. Runs of fewer than min_chars characters
-    (blank lines) don't count. All is judged on the input, not on what is left.
+    (blank lines) or of fewer than min_words words don't count. With alone_words a line of at least that many words also
+    goes where it alone occurs earlier, whatever stands around it. All is judged on the input, not on what is left.
 
     Null text stays null with no lines; empty text has one empty line. Rows without an id take no part and stay as
     they are. Rows that share an id count as one document: equal rows don't delete each other. A document all of
     whose lines go has empty text. Other columns, whatever their names, stay."""
     kept = Written(docs.sparkSession, "lines")
-    runs = repeated_runs(line_table(docs, id_col, text_col), min_lines, min_chars, kept).select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
+    lines = line_table(docs, id_col, text_col, min_words > 0 or alone_words is not None)
+    runs = repeated_runs(lines, min_lines, min_chars, min_words, alone_words, kept).select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
     joined = docs.join(runs.hint("shuffle_hash"), docs[id_col] == runs["__doc"], "left")
     lines = F.split(F.col(text_col), "\n", -1)
     numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))

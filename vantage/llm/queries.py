@@ -60,6 +60,14 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op4_line_dedup_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Also later copies of single long lines, which the SQL of op4_line_dedup leaves."""
+    from .line_dedup import dedup_lines
+
+    out = dedup_lines(table(spark, sf_dir, "documents"), alone_words=50)
+    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import Written, new_folder, remove
     from .warc import capture_index, read_archives, write_archives
@@ -94,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op4_line_dedup_long_lines": op4_line_dedup_long_lines,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
