@@ -378,6 +378,27 @@ def test_swapped_replies(spark):
     assert set(got) == {2, 3} and got[2].prompt == "<|user|>\nq\n" and got[2].chosen == "<|assistant|>\na\n" and got[2].rejected == "<|assistant|>\nb\n"
 
 
+def test_every_reply_makes_a_pair(spark):
+    """Even and sparse ids, the only one of its id twice, null ids and turns, and conversations without a reply."""
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} says {t}", None) for c in [2, 4, -8, 100, 10**12, *range(200, 400, 4)] for t in range(2 + c % 3)]
+    rows += [(7, 0, "user", "no reply", None), (None, 1, "assistant", "x", None), (9, None, "assistant", "x", None), (2, 1, "assistant", "also", None)]
+    replies = {}
+    for c, t, role, _, _ in rows:
+        if c is not None and t is not None and role == "assistant":
+            replies[c] = max(t, replies.get(c, 0))
+    order = sorted(replies)
+    render = lambda c, t: "".join(f"<|{r}|>\n{x}\n" for r, x in sorted((r, x) for d, u, r, x, _ in rows if (d, u) == (c, t)))
+    got = {r.pair_id: r for r in chat_format.format_preferences(*chat_format.next_replies(spark.createDataFrame(rows, TURNS))).collect()}
+    assert set(got) == set(order)
+    for k, c in enumerate(order):
+        other = order[(k + 1) % len(order)]
+        assert (got[c].prompt, got[c].chosen, got[c].rejected) == ("".join(render(c, t) for t in range(replies[c])), render(c, replies[c]), render(other, replies[other]))
+    for few in (rows[:0], [(1, 0, "assistant", "alone", None)], rows[-4:-1]):
+        assert chat_format.format_preferences(*chat_format.next_replies(spark.createDataFrame(few, TURNS))).count() == 0
+    plan = chat_format.format_preferences(*chat_format.next_replies(spark.createDataFrame(rows, TURNS)))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 

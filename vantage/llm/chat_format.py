@@ -4,9 +4,13 @@ DataFrame operations only."""
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import Written
+
 SAID = "array<struct<role:string,text:string>>"
 
 
@@ -83,3 +87,31 @@ def swapped_replies(conversations: DataFrame, *, learned: str = "assistant") ->
     reply = ended.filter((F.col("turn") == F.col("last")) & (F.col("role") == learned)).select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "role", "text")
     other = reply.join(last, "conv_id").select("conv_id", F.col("last").alias("turn"), "role", "text")
     return turns_of(ended), turns_of(ended.filter("turn < last").select("conv_id", "turn", "role", "text").unionByName(other).join(reply.select("conv_id").distinct(), "conv_id", "left_semi"))
+
+
+def next_replies(conversations: DataFrame, *, learned: str = "assistant") -> tuple[DataFrame, DataFrame]:
+    """As swapped_replies(), but for every conversation with a reply: rejected ends in the last reply of the next
+    conversation by conv_id that has one, whatever the ids between; the last one takes that of the first.
+
+    Turns after a conversation's last reply are followed by nothing to learn and are in neither side. Conversations
+    without a reply make no pair, and neither does a reply that is the only one in the table."""
+    rows = conversations.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
+    last = rows.filter(F.col("role") == learned).groupBy("conv_id").agg(F.max("turn").alias("last"))
+    ranks, n = _numbered(last)
+    takes = ranks.select("conv_id", "last", F.pmod(F.col("rank") + 1, F.lit(max(n, 1))).alias("rank"))
+    partner = takes.join(ranks.select(F.col("conv_id").alias("from"), F.col("last").alias("from_last"), "rank"), "rank").filter("conv_id <> from").select("conv_id", "last", "from", "from_last")
+    ended = rows.join(partner.select("conv_id", "last"), "conv_id").filter("turn <= last")
+    said = rows.filter(F.col("role") == learned).select(F.col("conv_id").alias("from"), F.col("turn").alias("from_last"), "role", "text")
+    other = partner.join(said, ["from", "from_last"]).select("conv_id", F.col("last").alias("turn"), "role", "text")
+    return turns_of(ended), turns_of(ended.filter("turn < last").select("conv_id", "turn", "role", "text").unionByName(other))
+
+
+def _numbered(last: DataFrame) -> tuple[DataFrame, int]:
+    """The rows with their rank by conv_id from 0, and their number. Ranges are sorted and numbered apart; only the
+    number of rows in each range reaches the driver."""
+    placed = last.repartitionByRange("conv_id").sortWithinPartitions("conv_id").withColumn("at", F.monotonically_increasing_id())
+    placed = Written(last.sparkSession, "chat").put("ranks", placed.withColumns({"range": F.shiftright("at", 33), "place": F.col("at").bitwiseAND(F.lit((1 << 33) - 1))}).drop("at"))
+    sizes = sorted(tuple(r) for r in placed.groupBy("range").count().collect())
+    starts = dict(zip((r for r, _ in sizes), accumulate((n for _, n in sizes), initial=0)))
+    before = F.create_map(*(F.lit(x).cast("bigint") for pair in starts.items() for x in pair)) if starts else F.create_map().cast("map<bigint,bigint>")
+    return placed.select("conv_id", "last", (F.element_at(before, F.col("range")) + F.col("place")).alias("rank")), sum(n for _, n in sizes)

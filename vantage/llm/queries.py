@@ -85,6 +85,13 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_preferences(*swapped_replies(table(spark, sf_dir, "conversations")))
 
 
+def op8_chat_format_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every conversation with a reply, where the SQL of op8_chat_format drops those without a neighbour."""
+    from .chat_format import format_preferences, next_replies
+
+    return format_preferences(*next_replies(table(spark, sf_dir, "conversations")))
+
+
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
@@ -107,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
+    "op8_chat_format_next": op8_chat_format_next,
     "op9_language_id": op9_language_id,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": pipeline,
