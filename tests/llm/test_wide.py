@@ -12,9 +12,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vantage.llm import ann, chat_format, line_dedup, minhash, substring_dedup, warc
+from vantage.llm import ann, chat_format, line_dedup, minhash, shared, substring_dedup, warc
 from vantage.llm.components import components
-from vantage.llm.shared import Written
+from vantage.llm.shared import Written, join_classes
 
 DOCS = "doc_id bigint, text string, lang string, runs int, spans string"
 BLANKS = re.compile("[^\x20\x09-\x0d]+")
@@ -73,70 +73,111 @@ def test_substrings_edges(spark):
     assert sorted((r.doc_id, r.n_removed) for r in twice) == [(1, 0), (1, 0), (2, 30)]
 
 
-def lines_removed(rows, m, least):
-    seen, out = {}, {}
+def lines_removed(rows, m=2, least=10, alone=50):
+    """Each document's text without its later copies of runs, its lines, those removed, and the maximal runs, by comparing
+    all places with each other."""
     lines = {d: t.split("\n") for d, t in rows if d is not None and t is not None}
-    for d in sorted(lines):
-        for i in range(len(lines[d]) - m + 1):
-            seen.setdefault(tuple(lines[d][i : i + m]), (d, i))
+    places = [(d, i) for d in sorted(lines) for i in range(len(lines[d]))]
+    heads = defaultdict(list)
+    out = {}
+    for d, i in places:
+        heads[lines[d][i]].append((d, i))
     for d, row in lines.items():
-        gone = set()
-        for i in range(len(row) - m + 1):
-            if seen[tuple(row[i : i + m])] != (d, i) and sum(len(x.strip(" ")) for x in row[i : i + m]) >= least:
-                gone.update(range(i, i + m))
-        out[d] = ("\n".join(x for i, x in enumerate(row) if i not in gone), len(row), len(gone))
+        longest = []
+        for i in range(len(row)):
+            best = 0
+            for e, j in heads[row[i]]:
+                if (e, j) < (d, i):
+                    n = 0
+                    while i + n < len(row) and j + n < len(lines[e]) and row[i + n] == lines[e][j + n]:
+                        n += 1
+                    best = max(best, n)
+            longest.append(best)
+        gone, runs = set(), []
+        for i, n in enumerate(longest):
+            words = sum(len(BLANKS.findall(x)) for x in row[i : i + n])
+            if n and (i == 0 or longest[i - 1] != n + 1) and ((n >= m and words >= least) or words >= alone):
+                gone.update(range(i, i + n))
+                runs.append((i, n, words))
+        out[d] = ("\n".join(x for i, x in enumerate(row) if i not in gone), len(row), len(gone), runs)
     return out
 
 
-@pytest.mark.parametrize("m", [1, 2, 3, 5])
-def test_lines_equal_loops(spark, m):
-    rng = random.Random(m)
-    rows = [(k, "\n".join(rng.choice(["", "a", "b", "c", "dd", "long line", "Ünï"]) for _ in range(rng.randrange(1, 14)))) for k in range(50)] + [r[:2] for r in ODD if r[1] is not None]
-    got = line_dedup.dedup_lines(frame(spark, rows), min_lines=m).collect()
-    assert {r.doc_id: (r.text, r["__n_lines"], r["__n_removed"]) for r in got if r.doc_id is not None} == lines_removed(rows, m, 1)
+SOME_LINES = ["", "a", "b b", "c\tc c", "dd", "five words are in here", "a line of eight words, as told\u00a0so, here", "Ünï"]
+
+
+@pytest.mark.parametrize("m,least,alone", [(1, 0, 99), (2, 10, 50), (3, 6, 8)])
+def test_lines_equal_loops(spark, m, least, alone):
+    rng = random.Random(m + least)
+    rows = [(k, "\n".join(rng.choice([*SOME_LINES, f"own {k}"]) for _ in range(rng.randrange(1, 25)))) for k in range(40)]
+    whole = "\n".join(f"line {i} of a long text" for i in range(13))
+    rows += [(50, whole), (51, "x\n" + whole), (52, whole + "\ny\n" + whole[: len(whole) // 2]), (53, "x\n" * 70), (54, "x\n" * 33), (55, "p\nq\n" * 30 + "x\nx")]
+    rows += [r[:2] for r in ODD if r[1] is not None]
+    rules = {"min_lines": m, "min_words": least, "alone_words": alone}
+    want = lines_removed(rows, m, least, alone)
+    got = line_dedup.dedup_lines(frame(spark, rows), **rules).collect()
+    assert {r.doc_id: (r.text, r["__n_lines"], r["__n_removed"]) for r in got if r.doc_id is not None} == {d: x[:3] for d, x in want.items()}
+    found = line_dedup.find_repeated_runs(frame(spark, rows), **rules).collect()
+    runs = defaultdict(list)
+    texts = dict(rows)
+    for r in sorted(found, key=lambda r: (r.doc, r.pos)):
+        runs[r.doc].append((r.pos, r.length, r.words))
+        other = texts[r.first.doc].split("\n")[r.first.pos :]
+        assert (r.first.doc, r.first.pos) < (r.doc, r.pos) and other[: r.length] == texts[r.doc].split("\n")[r.pos : r.pos + r.length]
+    assert runs == {d: x[3] for d, x in want.items() if x[3]}
+
+
+LINES = ["one two three four five", "six seven eight nine ten", "eleven twelve thirteen fourteen"]
 
 
 def test_lines_edges(spark):
-    rows = [*ODD, (1, "a\nb\nc", "en", 7, "s"), (2, "x\na\nb\ny", "en", 8, "t"), (3, "a\nb", "de", 9, "u")]
+    a, b, c = LINES
+    rows = [*ODD, (1, f"{a}\n{b}\n{c}", "en", 7, "s"), (2, f"x\n{a}\n{b}\ny", "en", 8, "t"), (3, f"{a}\n{b}", "de", 9, "u"), (4, "\nThanks.", "en", 1, "v"), (5, "\nThanks.", "en", 1, "v")]
     out = line_dedup.dedup_lines(frame(spark, rows))
     got = {r.doc_id: r for r in out.collect()}
-    assert (got[2].text, got[2].runs, got[2].spans, got[3].text, got[1].text) == ("x\ny", 8, "t", "", "a\nb\nc")
+    assert (got[2].text, got[2].runs, got[2].spans, got[3].text, got[1].text, got[5].text) == ("x\ny", 8, "t", "", rows[len(ODD)][1], "\nThanks.")
     assert got[100].text is None and got[100]["__n_lines"] == 0 and got[101].text == "" and got[None].text == ODD[0][1]
     left = line_dedup.drop_repeated_lines(frame(spark, rows))
     assert left.columns == DOCS.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ") and {r.doc_id for r in left.collect()} == set(got) - {3}
-    again = line_dedup.dedup_lines(frame(spark, [(1, "p\nq"), (1, "p\nq"), (2, "p\nq")])).collect()
-    assert sorted((r.doc_id, r.text) for r in again) == [(1, "p\nq"), (1, "p\nq"), (2, "")]
+    again = line_dedup.dedup_lines(frame(spark, [(1, f"{a}\n{b}"), (1, f"{a}\n{b}"), (2, f"{a}\n{b}")])).collect()
+    assert sorted((r.doc_id, r.text) for r in again) == [(1, f"{a}\n{b}"), (1, f"{a}\n{b}"), (2, "")]
+    shared = line_dedup.dedup_lines(frame(spark, [(1, f"{a}\n{b}"), (1, f"{a}\n{b}\nmore"), (2, f"{c}\n{a}\n{b}")])).collect()
+    assert sorted(r.text for r in shared if r.doc_id == 1)[0] in ("", "more") and [r.text for r in shared if r.doc_id == 2] == [c]
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0)).count() == 0
+    assert line_dedup.find_repeated_runs(frame(spark, ODD)).count() == 0
     plan = line_dedup.dedup_lines(frame(spark, rows))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def long_lines_removed(rows, m, least, words, alone):
-    """lines_removed() with runs judged by their words, and single lines of `alone` words."""
-    first, out = {}, {}
-    lines = {d: t.split("\n") for d, t in rows}
-    count = lambda run: sum(len(BLANKS.findall(x)) for x in run)
-    judged = [(m, lambda run: sum(len(x.strip(" ")) for x in run) >= least and count(run) >= words), (1, lambda run: count(run) >= alone)]
-    for d in sorted(lines):
-        for n, _ in judged:
-            for i in range(len(lines[d]) - n + 1):
-                first.setdefault((n, tuple(lines[d][i : i + n])), (d, i))
-    for d, row in lines.items():
-        gone = set()
-        for n, counts in judged:
-            for i in range(len(row) - n + 1):
-                if first[n, tuple(row[i : i + n])] != (d, i) and counts(row[i : i + n]):
-                    gone.update(range(i, i + n))
-        out[d] = "\n".join(x for i, x in enumerate(row) if i not in gone)
-    return out
-
-
-@pytest.mark.parametrize("m,words,alone", [(2, 0, 5), (3, 6, 8)])
-def test_long_lines_equal_loops(spark, m, words, alone):
-    rng = random.Random(m)
-    rows = [(k, "\n".join(rng.choice(["", "a", "b b", "c\tc c", "five words are in here", f"own {k}", "a line of eight words, as told\u00a0so, here"]) for _ in range(rng.randrange(1, 12)))) for k in range(40)]
-    got = line_dedup.dedup_lines(frame(spark, rows), min_lines=m, min_words=words, alone_words=alone).collect()
-    assert {r.doc_id: r.text for r in got} == long_lines_removed(rows, m, 1, words, alone)
+def test_lines_with_clashing_and_odd_names(spark):
+    a, b, _ = LINES
+    names = ["doc", "twin", "pos", "__n_lines", "__n_removed", "__spans", "__doc", "spans", "a.b", "rank"]
+    rows = [(f"id {k}", f"{k}\n{a}\n{b}", *(f"{n}{k}" for n in names)) for k in range(3)]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in ["key", "body.text", *names]))
+    out = line_dedup.dedup_lines(docs, id_col="key", text_col="body.text")
+    assert out.columns == [*docs.columns, "__n_lines_", "__n_removed_"]
+    got = sorted(tuple(r) for r in out.collect())
+    assert got == [(*rows[0], 3, 0), *((r[0], str(k + 1), *r[2:], 3, 2) for k, r in enumerate(rows[1:]))]
+    assert line_dedup.drop_repeated_lines(docs, id_col="key", text_col="body.text").columns == docs.columns
+
+
+@pytest.mark.parametrize("share", [1, 10, 10_000])
+def test_hot_classes_are_joined_like_others(spark, tmp_path, monkeypatch, share):
+    rng = random.Random(1)
+    rows = [(k, rng.choice([1] * 50 + [2, 3, 4, 5, None]), rng.choice(["a", "b", None])) for k in range(3000)]
+    spark.createDataFrame(rows, "id bigint, x bigint, y string").write.parquet(str(tmp_path / "rows"))
+    frame_ = spark.read.parquet(str(tmp_path / "rows"))
+    frame_.filter("x is not null and y is not null").groupBy("x", "y").agg(F.count("*").alias("n"), F.min("id").alias("low")).filter("x <> 4").write.parquet(str(tmp_path / "classes"))
+    classes = spark.read.parquet(str(tmp_path / "classes"))
+    sizes = classes.agg(F.sum("n").alias("total"), F.min("n").alias("least"), F.max("n").alias("most")).first().asDict()
+    monkeypatch.setattr(shared, "HEAVY_SHARE", share)
+    got = join_classes(frame_, classes, sizes, ["x", "y"], ["low", "n"], ["id"]).collect()
+    size, low = defaultdict(int), {}
+    for k, x, y in rows:
+        size[x, y] += 1
+        low.setdefault((x, y), k)
+    known = lambda x, y: x is not None and y is not None and x != 4
+    assert sorted((r.id, r.low, r.n) for r in got) == [(k, *((low[x, y], size[x, y]) if known(x, y) else (None, None))) for k, x, y in rows]
 
 
 def test_pipeline_cuts_repeated_long_lines(spark):
@@ -144,7 +185,7 @@ def test_pipeline_cuts_repeated_long_lines(spark):
 
     passage = " ".join(f"w{i}" for i in range(60))
     docs = frame(spark, [(1, f"a\n{passage}\nb"), (2, f"c\n{passage}\nd"), (3, passage), (4, "short\nline"), (5, "line")])
-    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["long_lines"](spark, docs, "").collect()}
+    got = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["lines"](spark, docs, "").collect()}
     assert got == {1: f"a\n{passage}\nb", 2: "c\nd", 4: "short\nline", 5: "line"}
 
 
@@ -418,7 +459,7 @@ def test_pipeline_stages(spark, tmp_path):
     texts = lambda name: {r.doc_id: r.text for r in kept[name].collect()}
     raw, language, lines, single, clean = {r.doc_id: r.text for r in docs.collect()}, *(texts(n) for n in ("language", "lines", "near_duplicates", "decontamination"))
     assert set(language) <= set(raw) and len(language) > 0.95 * len(raw)
-    want = {d: t for d, (t, n, gone) in lines_removed(list(language.items()), 2, 1).items() if not gone or gone < n}
+    want = {d: t for d, (t, n, gone, _) in lines_removed(list(language.items())).items() if not gone or gone < n}
     assert lines == want
     groups = near(list(lines.items()), 5)
     assert set(single) == {d for d, (_, c) in groups.items() if d == c}

@@ -1,121 +1,172 @@
-"""Line dedup: ranks of line-sequence suffixes by distributed prefix doubling; later copies of repeated runs go.
+"""Line dedup: suffix order of line sequences by distributed prefix doubling, intervals of common prefixes, maximal runs.
 
 DataFrame operations only."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import Written
+from .shared import Written, free_name, join_classes, named
 
-RUNS = "array<struct<start:int,stop:int>>"
 WORD = r"[^\x20\x09-\x0D]+"
+#: What tells a line's place: the document's id, a hash of its text, the line's number.
+PLACE = ["doc", "twin", "pos"]
 
 
-def line_table(docs: DataFrame, id_col: str, text_col: str, with_words: bool = False) -> DataFrame:
-    """(doc, pos, h1, h2, chars, words) of each line; its identity is two 64-bit hashes, so texts stay out of the
-    shuffles. Words are blank-separated and only counted where asked for (0 otherwise)."""
-    words = F.regexp_count("line", F.lit(WORD)).cast("bigint") if with_words else F.lit(0).cast("bigint")
-    lines = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    return lines.select("doc", "pos", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.lit(3)).alias("h2"), F.length(F.trim("line")).alias("chars"), words.alias("words"))
+def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, twin, pos, h1, h2, words) of each line; its identity is two 64-bit hashes, so texts stay out of the
+    shuffles. twin tells texts that share an id apart."""
+    rows = docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).filter("doc is not null and text is not null")
+    lines = rows.select("doc", F.xxhash64("text").alias("twin"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    words = F.regexp_count("line", F.lit(WORD)).cast("bigint")
+    return lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.lit(3)).alias("h2"), words.alias("words"))
 
 
-def _ranked(keys: DataFrame, name: str, *order: str) -> DataFrame:
+def _ranked(keys: DataFrame, *order: str) -> DataFrame:
     """Ascending ranks in key order: ranges are sorted apart and numbered upwards, so no task sees all keys."""
-    return keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
-
-
-def first_ranks(lines: DataFrame, kept: Written) -> DataFrame:
-    """(doc, pos, rank, chars, words) of the lines that occur more than once; the others begin no repeated run."""
-    repeated = lines.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2")
-    ranks = kept.put("ranks0", _ranked(repeated, "rank", "h1", "h2"))
-    return kept.put("depth1", lines.join(ranks.hint("shuffle_hash"), ["h1", "h2"]).select("doc", "pos", "rank", "chars", "words"))
-
-
-def deeper(short: DataFrame, ahead: DataFrame, step: int, kept: Written, name: str) -> DataFrame:
-    """Ranks of longer runs, from those of a run of `step` lines and of the one that follows it (a doubling when both
-    have the same length). Suffixes whose run is unique by now are discarded: nothing longer at them repeats."""
-    back = ahead.select("doc", (F.col("pos") - step).alias("pos"), F.col("rank").alias("next"), F.col("chars").alias("more"), F.col("words").alias("more_words"))
-    paired = kept.put(f"{name}-pairs", short.join(back, ["doc", "pos"]).select("doc", "pos", "rank", "next", (F.col("chars") + F.col("more")).alias("chars"), (F.col("words") + F.col("more_words")).alias("words")))
-    repeated = paired.groupBy("rank", "next").agg(F.count("*").alias("n")).filter("n > 1").select("rank", "next")
-    ranks = kept.put(f"{name}-ranks", _ranked(repeated, "fresh", "rank", "next"))
-    out = paired.join(ranks.hint("shuffle_hash"), ["rank", "next"]).select("doc", "pos", F.col("fresh").alias("rank"), "chars", "words")
-    out = kept.put(name, out)
-    kept.drop(f"{name}-pairs", f"{name}-ranks")
-    return out
-
-
-def suffix_ranks(lines: DataFrame, depth: int, kept: Written) -> tuple[DataFrame, DataFrame]:
-    """(doc, pos, rank, chars, words) of the lines, and of the suffixes whose first `depth` lines occur more than once.
-    Equal ranks are an interval of the suffix array with a common prefix of at least depth lines; ranks ascend in suffix
-    order. chars and words count the run: its parts are doublings that don't overlap."""
-    lengths = {1: first_ranks(lines, kept)}
-    length = 1
-    while 2 * length <= depth:
-        lengths[2 * length] = deeper(lengths[length], lengths[length], length, kept, f"depth{2 * length}")
-        length *= 2
-    now = lengths[length]
-    for part in sorted(lengths, reverse=True):
-        if length + part <= depth:
-            now = deeper(now, lengths[part], length, kept, f"depth{length + part}")
-            length += part
-    return lengths[1], now
-
-
-def repeated_runs(lines: DataFrame, min_lines: int, min_chars: int, min_words: int, alone_words: int | None, kept: Written) -> DataFrame:
-    """(doc, runs): for each document the union of runs of at least min_lines lines, and of single lines of at least
-    alone_words words, that also start earlier (in a document of smaller id, or further up), as spans of line numbers."""
-    single, ranks = suffix_ranks(lines, min_lines, kept)
-    spans = _later(ranks.filter((F.col("chars") >= min_chars) & (F.col("words") >= min_words)), min_lines)
-    if alone_words is not None:
-        spans = spans.unionByName(_later(single.filter(F.col("words") >= alone_words), 1))
-    return spans.groupBy("doc").agg(F.collect_set("span").alias("spans")).select("doc", union_of(F.col("spans")).alias("runs"))
-
-
-def _later(ranks: DataFrame, length: int) -> DataFrame:
-    """(doc, span) of the runs that are not the first of their rank."""
-    first = ranks.groupBy("rank").agg(F.min(F.struct("doc", "pos")).alias("first"))
-    later = ranks.join(first, "rank").filter(F.struct("doc", "pos") > F.col("first"))
-    return later.select("doc", F.struct(F.col("pos").alias("start"), (F.col("pos") + length).alias("stop")).alias("span"))
-
-
-def union_of(spans: Column) -> Column:
-    """Overlapping or touching spans as one, ascending."""
-    last = lambda acc: F.element_at(acc, -1)
-    longer = lambda acc, x: F.concat(
-        F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["stop"], x["stop"]).alias("stop")))
-    )
-    touches = lambda acc, x: F.coalesce(F.try_element_at(acc, F.lit(-1))["stop"] >= x["start"], F.lit(False))
-    return F.aggregate(F.array_sort(spans), F.array().cast(RUNS), lambda acc, x: F.when(touches(acc, x), longer(acc, x)).otherwise(F.concat(acc, F.array(x))))
-
-
-def dedup_lines(docs: DataFrame, *, min_lines: int = 2, min_chars: int = 1, min_words: int = 0, alone_words: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("rank", F.monotonically_increasing_id())
+
+
+def _classes(rows: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, first, rank): the classes of more than one row, with the first place of each."""
+    grouped = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("first"))
+    return _ranked(grouped.filter("n > 1"), *keys)
+
+
+def suffix_levels(lines: DataFrame, kept: Written) -> list[DataFrame]:
+    """For k = 0, 1, ... the suffixes whose first 2^k lines occur more than once, until there are none: (doc, twin, pos,
+    rank, first, words, deeper).
+
+    Equal ranks are an interval of the suffix array: suffixes with a common prefix of 2^k lines; ranks ascend in suffix
+    order, as each comes from the order of two ranks of half the length. first is the interval's first place, words
+    counts the words of the prefix, and deeper is true where the suffix is also in an interval of the next level
+    without being the first of it."""
+    repeated = kept.put_classes("repeated", _classes(lines, "h1", "h2"))
+    found = join_classes(lines, repeated, kept.told["repeated"], ["h1", "h2"], ["rank", "first"], PLACE).filter("rank is not null")
+    now = kept.put("level0", found.select(*PLACE, "rank", "first", "words").dropDuplicates(PLACE), n=F.count("*"))
+    left = kept.told["level0"]["n"]
+    levels: list[DataFrame] = []
+    while left:
+        k = len(levels)
+        ahead = Window.partitionBy("doc", "twin").orderBy("pos").rangeBetween(1 << k, 1 << k)
+        paired = now.withColumns({"next": F.max("rank").over(ahead), "more": F.max("words").over(ahead)})
+        paired = paired.withColumnsRenamed({"rank": "half", "first": "half_first"})
+        classes = kept.put_classes("classes", _classes(paired.filter("next is not null"), "half", "next"))
+        joined = join_classes(paired, classes, kept.told["classes"], ["half", "next"], ["rank", "first"], PLACE)
+        joined = kept.put(f"joined{k}", joined, n=F.count("rank"))
+        left = kept.told[f"joined{k}"]["n"]
+        deeper = F.coalesce(F.struct(*PLACE) != F.col("first"), F.lit(False))
+        levels.append(joined.select(*PLACE, F.col("half").alias("rank"), F.col("half_first").alias("first"), "words", deeper.alias("deeper")))
+        now = joined.filter("rank is not null").select(*PLACE, "rank", "first", (F.col("words") + F.col("more")).alias("words"))
+    kept.drop("repeated", "level0", "classes")
+    return levels
+
+
+def longest_runs(levels: list[DataFrame], kept: Written) -> DataFrame | None:
+    """(doc, twin, pos, length, words, first): for each suffix the longest run of lines from its start on that also
+    starts earlier, and where it does; None if nothing repeats.
+
+    A suffix that is not the first of its interval at 2^k lines, but of all it is in at 2^(k+1), has a run of at least
+    2^k and fewer than 2^(k+1) lines. The first ones of the intervals below represent all others, so these
+    representatives alone are told apart: halving what is unknown, those that agree with others in the next lines make
+    an interval of their own, and the first of each stays to represent it. Each suffix but the first is in one
+    interval at a time, so a step's rows grow with the repeated lines only."""
+    state: DataFrame | None = None
+    for k in range(len(levels) - 1, -1, -1):
+        own = levels[k].filter("not deeper").select(*PLACE, F.col("first").alias("base"), F.lit(1 << k).alias("length"), "words")
+        state = own if state is None else state.unionByName(own)
+        if k:
+            state = kept.put(f"state{k % 2}", _halved(state, levels[k - 1], 1 << (k - 1), kept))
+    return None if state is None else state.filter(F.struct(*PLACE) != F.col("base")).select(*PLACE, "length", "words", F.col("base").alias("first"))
+
+
+def _halved(state: DataFrame, level: DataFrame, half: int, kept: Written) -> DataFrame:
+    """Intervals (base, length) of suffixes that share `length` lines, split by whether they share `half` lines more."""
+    ahead = level.select("doc", "twin", F.col("pos").alias("at"), F.col("rank").alias("next"), F.col("words").alias("more"))
+    placed = state.withColumn("at", F.col("pos") + F.col("length"))
+    # The first key of a class is a number, and places are structs: the rank of the lines ahead goes first.
+    seen = placed.join(ahead, ["doc", "twin", "at"], "left").drop("at")
+    inner = seen.filter("next is not null").groupBy("next", "base", "length").agg(F.count("*").alias("n"), F.min(F.struct(*PLACE)).alias("head"))
+    inner = kept.put_classes("inner", inner)
+    told = join_classes(seen, inner, kept.told["inner"], ["next", "base", "length"], ["head", "n"], PLACE)
+    here = F.struct(*PLACE)
+    rest = F.when(F.col("head").isNull() | (here == F.col("head")), F.struct("base", "length", "words"))
+    longer = F.struct(F.col("head").alias("base"), (F.col("length") + half).alias("length"), (F.col("words") + F.col("more")).alias("words"))
+    inside = F.when(F.col("n") > 1, longer)
+    return told.select(*PLACE, F.explode(F.filter(F.array(rest, inside), lambda x: x.isNotNull())).alias("x")).select(*PLACE, "x.base", "x.length", "x.words")
+
+
+def repeated_runs(lines: DataFrame, kept: Written) -> DataFrame | None:
+    """(doc, twin, pos, length, words, first) of the maximal repeated runs: longest_runs() without those that are only
+    the rest of a run that starts one line earlier."""
+    runs = longest_runs(suffix_levels(lines, kept), kept)
+    if runs is None:
+        return None
+    runs = kept.put("runs", runs)
+    kept.only("runs")
+    before = Window.partitionBy("doc", "twin").orderBy("pos")
+    tail = (F.lag("pos").over(before) == F.col("pos") - 1) & (F.lag("length").over(before) == F.col("length") + 1)
+    return runs.withColumn("tail", F.coalesce(tail, F.lit(False))).filter("not tail").drop("tail")
+
+
+def _spans(runs: DataFrame) -> DataFrame:
+    """(doc, twin, spans): the union of a document's runs as ascending spans of line numbers that don't touch."""
+    order = Window.partitionBy("doc", "twin").orderBy("pos", "stop")
+    placed = runs.select("doc", "twin", "pos", (F.col("pos") + F.col("length")).alias("stop"))
+    reach = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = placed.withColumn("new", F.coalesce((F.col("pos") > reach).cast("int"), F.lit(1)))
+    grouped = fresh.withColumn("span", F.sum("new").over(order)).groupBy("doc", "twin", "span").agg(F.min("pos").alias("start"), F.max("stop").alias("stop"))
+    return grouped.groupBy("doc", "twin").agg(F.array_sort(F.collect_list(F.struct("start", "stop"))).alias("spans"))
+
+
+def _kept_lines(lines: Column, spans: Column) -> Column:
+    """The lines outside the spans: the stretch before each span and the one after the last."""
+    starts = F.transform(spans, lambda s, i: F.struct(F.when(i > 0, F.try_element_at(spans, i)["stop"]).otherwise(F.lit(0)).alias("a"), s["start"].alias("b")))
+    ends = F.array(F.struct(F.element_at(spans, -1)["stop"].alias("a"), F.size(lines).alias("b")))
+    return F.flatten(F.transform(F.concat(starts, ends), lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"])))
+
+
+def find_repeated_runs(docs: DataFrame, *, min_lines: int = 2, min_words: int = 10, alone_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, twin, pos, length, words, first) of the maximal runs of lines that count and that also start earlier, in a
+    document of smaller id or further up; first tells where such a copy starts.
+
+    A run counts if it has min_lines lines or more and min_words words or more, or if it has alone_words words or more
+    whatever its lines. Nothing is returned for null ids and texts."""
+    kept = Written(docs.sparkSession, "lines")
+    runs = repeated_runs(line_table(docs, id_col, text_col), kept)
+    if runs is None:
+        place = f"struct<doc:{docs.schema[id_col].dataType.simpleString()},twin:bigint,pos:int>"
+        kind = docs.schema[id_col].dataType.simpleString()
+        return docs.sparkSession.createDataFrame([], f"doc {kind}, twin bigint, pos int, length int, words bigint, first {place}")
+    return runs.filter(((F.col("length") >= min_lines) & (F.col("words") >= min_words)) | (F.col("words") >= alone_words))
+
+
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules: int) -> DataFrame:
     """The documents, all columns, with later copies of repeated line runs cut out of the text; two columns follow:
-    __n_lines and __n_removed (bigint).
+    __n_lines and __n_removed (bigint), with underscores behind the name where docs has such a column.
 
-    Lines are what stands between line feeds. A line goes if it lies in a run of min_lines lines that also occurs
-    starting earlier: in a document of smaller id or further up in the same one. Runs longer than min_lines are
-    covered by those at each of their lines, so maximal runs go as a whole. Runs of fewer than min_chars characters
-    (blank lines) or of fewer than min_words words don't count. With alone_words a line of at least that many words also
-    goes where it alone occurs earlier, whatever stands around it. All is judged on the input, not on what is left.
+    Lines are what stands between line feeds. Those in a run of find_repeated_runs() go, to which `rules` are given.
+    All is judged on the input, not on what is left, so a first copy always stays.
 
     Null text stays null with no lines; empty text has one empty line. Rows without an id take no part and stay as
-    they are. Rows that share an id count as one document: equal rows don't delete each other. A document all of
-    whose lines go has empty text. Other columns, whatever their names, stay."""
-    kept = Written(docs.sparkSession, "lines")
-    lines = line_table(docs, id_col, text_col, min_words > 0 or alone_words is not None)
-    runs = repeated_runs(lines, min_lines, min_chars, min_words, alone_words, kept).select(F.col("doc").alias("__doc"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs.hint("shuffle_hash"), docs[id_col] == runs["__doc"], "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    stays = F.filter(numbered, lambda s: ~F.exists(F.col("__runs"), lambda r: (s["i"] >= r["start"]) & (s["i"] < r["stop"])))
-    text = F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(stays, lambda s: s["x"]), "\n"))
-    gone = F.aggregate("__runs", F.lit(0).cast("bigint"), lambda acc, r: acc + r["stop"] - r["start"])
-    n = F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint")
-    return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns), n.alias("__n_lines"), F.coalesce(gone, F.lit(0).cast("bigint")).alias("__n_removed"))
+    they are. Rows equal in id and text count as one document and don't delete each other; rows that share an id only
+    are documents of their own. A document all of whose lines go has empty text. Other columns, whatever their names,
+    stay."""
+    spans = _spans(find_repeated_runs(docs, id_col=id_col, text_col=text_col, **rules))
+    doc, twin, found = (free_name(docs, f"__{x}") for x in ("doc", "twin", "spans"))
+    total, gone = (free_name(docs, f"__{x}") for x in ("n_lines", "n_removed"))
+    spans = spans.select(F.col("doc").alias(doc), F.col("twin").alias(twin), F.col("spans").alias(found))
+    joined = docs.join(spans, (named(id_col) == F.col(doc)) & (F.xxhash64(named(text_col)) == F.col(twin)), "left")
+    lines = F.split(named(text_col), "\n", -1)
+    text = F.when(F.col(found).isNull(), named(text_col)).otherwise(F.array_join(_kept_lines(lines, F.col(found)), "\n"))
+    lost = F.aggregate(found, F.lit(0).cast("bigint"), lambda acc, s: acc + s["stop"] - s["start"])
+    n = F.when(named(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("bigint")
+    columns = (text.alias(c) if c == text_col else named(c) for c in docs.columns)
+    return joined.select(*columns, n.alias(total), F.coalesce(lost, F.lit(0).cast("bigint")).alias(gone))
 
 
 def drop_repeated_lines(docs: DataFrame, **options) -> DataFrame:
     """The documents of dedup_lines() without those that had lines and lost all; the columns are those of docs."""
-    return dedup_lines(docs, **options).filter("__n_removed = 0 or __n_removed < __n_lines").drop("__n_lines", "__n_removed")
+    total, gone = (free_name(docs, f"__{x}") for x in ("n_lines", "n_removed"))
+    return dedup_lines(docs, **options).filter((F.col(gone) == 0) | (F.col(gone) < F.col(total))).drop(total, gone)

@@ -60,14 +60,6 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-def op4_line_dedup_long_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also later copies of single long lines, which the SQL of op4_line_dedup leaves."""
-    from .line_dedup import dedup_lines
-
-    out = dedup_lines(table(spark, sf_dir, "documents"), alone_words=50)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"), F.sha2("text", 256).alias("kept_sha256"))
-
-
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import Written, new_folder, remove
     from .warc import capture_index, read_archives, write_archives
@@ -109,7 +101,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_nearest": op2_nearest,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
-    "op4_line_dedup_long_lines": op4_line_dedup_long_lines,
     "op5_warc": op5_warc,
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
@@ -135,15 +126,20 @@ g as (select *, max(late) over (partition by doc_id order by i rows between 19 p
 s as (select doc_id, sum(gone) as n_removed, string_agg(word, ' ' order by i) filter (gone = 0) as kept from g group by doc_id)
 select d.doc_id, cast(len(w) as bigint) as n_words, cast(coalesce(n_removed, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from d left join s using (doc_id)""",
-    "op4_line_dedup": """
-with l as (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
-n as (select *, lead(line) over (partition by doc_id order by i) as after from l),
-f as (select *, case when after is null or length(trim(line, ' ')) + length(trim(after, ' ')) < 1 then 0
-      when first_value(doc_id) over k = doc_id and first_value(i) over k = i then 0 else 1 end as late
-      from n window k as (partition by line, after order by doc_id, i)),
-g as (select *, greatest(late, coalesce(lag(late) over (partition by doc_id order by i), 0)) as gone from f)
-select doc_id, count(*) as n_lines, cast(sum(gone) as bigint) as n_removed, sha256(coalesce(string_agg(line, chr(10) order by i) filter (gone = 0), '')) as kept_sha256
-from g group by doc_id""",
+    "op4_line_dedup": rf"""
+with d as (select doc_id, string_split(text, chr(10)) as lines from documents where text is not null),
+l as (select doc_id, i, lines[i] as line, len(regexp_extract_all(lines[i], {_BLANK})) as n_words from (select *, unnest(range(1, len(lines) + 1)) as i from d)),
+w as (select doc_id, i, n, array_to_string(lines[i:i + n - 1], chr(10)) as run
+      from (select *, unnest(range(1, len(lines) - i + 2)) as n from (select *, unnest(range(1, len(lines) + 1)) as i from d))),
+f as (select doc_id, i, n, row_number() over (partition by n, run order by doc_id, i) > 1 as late from w),
+r as (select doc_id, i, max(n) as n from f where late group by doc_id, i),
+k as (select r.doc_id, r.i, r.n from r join l on l.doc_id = r.doc_id and l.i >= r.i and l.i < r.i + r.n
+      group by r.doc_id, r.i, r.n having (r.n >= 2 and sum(n_words) >= 10) or sum(n_words) >= 50),
+g as (select distinct doc_id, unnest(range(i, i + n)) as i from k),
+s as (select l.*, g.i is not null as gone from l left join g using (doc_id, i))
+select documents.doc_id, count(s.i) as n_lines, count(*) filter (gone) as n_removed,
+  case when any_value(text) is not null then sha256(coalesce(string_agg(line, chr(10) order by s.i) filter (not gone), '')) end as kept_sha256
+from documents left join s using (doc_id) group by documents.doc_id""",
     "op5_warc": """
 with d as (select page_id, coalesce(html, '') as body from pages),
 e as (select page_id, strlen(body) as n, sha1(body) as h, min(page_id) over (partition by body) as first from d)

@@ -1,16 +1,20 @@
-"""Cutting lineage in the folder that all machines of a cluster share."""
+"""Cutting lineage in the folder that all machines of a cluster share, and joins that no hot key holds up."""
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
 
+#: A class is broadcast in join_classes() if it has more than one row in so many of all rows.
+HEAVY_SHARE = 10_000
+#: What join_classes() must know of a table of classes.
+SIZES = {"total": F.sum, "least": F.min, "most": F.max}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; only where that is unset, in local runs, a temporary one."""
@@ -23,31 +27,57 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of that name in the shared one; what is in it when the session ends is removed then."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path, system = _path(spark, folder)
+    system.mkdirs(path)  # only a path that is there is taken note of
+    system.deleteOnExit(path)
+    system.delete(path, True)
+    return folder
+
+
+def _path(spark: SparkSession, folder: str) -> tuple:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def remove(spark: SparkSession, folder: str) -> None:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    path, system = _path(spark, folder)
+    system.delete(path, True)
 
 
 class Written:
-    """Tables written to the shared folder and read again: what follows does not depend on lost executors. Used as a
-    context or kept until the session ends; drop() removes what is no longer needed."""
+    """Tables written to the shared folder and read again: what follows does not depend on lost executors. drop()
+    removes what is no longer needed, a write that fails removes all of them, and the session's end what is left."""
 
     def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.name, self.folders = spark, name, {}
+        self.spark, self.name, self.folders, self.told = spark, name, {}, {}
 
-    def put(self, key: str, frame: DataFrame) -> DataFrame:
+    def put(self, key: str, frame: DataFrame, **measures: Column) -> DataFrame:
+        """Write the frame and read it again; told[key] holds the measures (0 where there are no rows)."""
         folder = new_folder(self.spark, f"{self.name}-{key}")
-        frame.write.parquet(folder)
         old = self.folders.get(key)
+        if measures:
+            seen = Observation()
+            frame = frame.observe(seen, *(c.alias(n) for n, c in measures.items()))
+        try:
+            frame.write.parquet(folder)
+        except Exception:
+            remove(self.spark, folder)
+            self.only()
+            raise
         self.folders[key] = folder
+        if measures:
+            found = seen.get
+            self.told[key] = {n: found.get(n) or 0 for n in measures}
         if old:
             remove(self.spark, old)
         return self.spark.read.schema(frame.schema).parquet(folder)
 
+    def put_classes(self, key: str, frame: DataFrame) -> DataFrame:
+        """put() for a table of classes, with what join_classes() must know of it."""
+        return self.put(key, frame, **{n: f("n") for n, f in SIZES.items()})
+
     def drop(self, *keys: str) -> None:
         for key in keys:
             if folder := self.folders.pop(key, None):
@@ -58,10 +88,40 @@ class Written:
         self.drop(*(k for k in list(self.folders) if k not in keys))
 
 
-def free_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the files of shuffles that nothing refers to any more, between two long steps. It works
-    beside the driver and learns of objects one collection late, hence two rounds."""
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with as many underscores behind it as it takes to be no column of the frame."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def named(column: str) -> Column:
+    """The column of exactly that name, dots and back ticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, sizes: dict[str, int], keys: list[str], values: list[str], spread: list[str]) -> DataFrame:
+    """rows with the values of the class that their keys name, null where there is none.
+
+    classes has one row for each combination of keys and n, its number of rows; sizes tells the sum, the least and the
+    most of n; the first key is a bigint. Classes of more than one row in HEAVY_SHARE (at most twice that many, as their
+    sizes add up to no more than all rows) are broadcast; their rows, and those with a null key, are dealt out by the
+    columns `spread`, which tell rows apart. So no task gets more than that share of rows for one key."""
+    share = max(int(sizes["total"]) // HEAVY_SHARE, 1)
+    first, *others = keys
+    gap = F.lit(False)
+    for key in keys:
+        gap = gap | F.col(key).isNull()
+    heavy = classes.filter(F.col("n") > share).select(*keys, *(F.col(v).alias(f"__heavy_{v}") for v in values), F.lit(True).alias("__heavy"))
+    some, all_ = sizes["most"] > share, sizes["least"] > share
+    placed = rows.join(F.broadcast(heavy), keys, "left") if some else rows.withColumn("__heavy", F.lit(None).cast("boolean"))
+    if all_:
+        return placed.select(*rows.columns, *(F.col(f"__heavy_{v}").alias(v) for v in values))
+    light = classes.filter(F.col("n") <= share).select(F.col(first).alias("__dealt"), *others, *(F.col(v).alias(f"__light_{v}") for v in values))
+    placed = placed.withColumn("__dealt", F.when(F.col("__heavy").isNotNull() | gap, F.xxhash64(*spread)).otherwise(F.col(first)))
+    placed = placed.join(light, ["__dealt", *others], "left")
+    # A row that is dealt out elsewhere may meet a class of that number by chance; its own class goes first.
+    near = lambda v: F.when(F.col("__heavy").isNull() & ~gap, F.col(f"__light_{v}"))
+    own = lambda v: F.coalesce(F.when(F.col("__heavy").isNotNull(), F.col(f"__heavy_{v}")), near(v)) if some else near(v)
+    return placed.select(*rows.columns, *(own(v).alias(v) for v in values))
