@@ -1,4 +1,4 @@
-"""From raw documents to training sequences in six stages, each written and read again before the next."""
+"""From raw documents to training sequences in five stages, each written and read again before the next."""
 
 from __future__ import annotations
 
@@ -11,9 +11,6 @@ from vantage.llm.shared import Written
 
 TOKENIZER = "word_bpe_49k.json"
 
-#: A repeated passage of this many words goes even where it stands on one line.
-ALONE_WORDS = 50
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled two thirds teach; those that the models reject go."""
@@ -21,7 +18,8 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of repeated line runs are cut out of the texts; documents of which nothing is left go."""
+    """Later copies of repeated line runs, single lines of 50 words or more among them, are cut out of the texts;
+    documents of which nothing is left go. Null texts, and rows without an id, stay as they are."""
     return line_dedup.drop_repeated_lines(docs)
 
 
@@ -30,11 +28,6 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return minhash.drop_near_duplicates(docs)
 
 
-def unrepeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later copies of single lines of ALONE_WORDS words or more are cut out too, whatever lines stand around them."""
-    return line_dedup.drop_repeated_lines(docs, min_lines=1, min_words=ALONE_WORDS)
-
-
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts."""
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -51,7 +44,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("language", known_language),
     ("lines", unrepeated_lines),
     ("near_duplicates", one_of_each),
-    ("long_lines", unrepeated_passages),
     ("decontamination", without_benchmarks),
     ("packing", packed),
 ]
