@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import defaultdict
 
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from vantage.llm import language_id, packing
+from vantage.llm import language_id, license_scan, packing
 from vantage.llm.decontaminate import contamination_digest, find_contamination, remove_contamination
 from vantage.llm.fm_index import FMIndex
 from vantage.llm.license_scan import evaluate, identifier_expression, postfix, scan_licenses
@@ -116,17 +117,133 @@ def test_license_expressions(spark):
     assert postfix("MIT OR Apache-2.0 AND ISC".split()) == ["MIT", "Apache-2.0", "ISC", "and", "or"]
     assert postfix("( MIT OR ISC ) AND Zlib".split()) == ["MIT", "ISC", "or", "Zlib", "and"]
     assert postfix(["MIT", "OR"]) is None and postfix(["(", "MIT"]) is None and postfix([")"]) is None and postfix([]) is None
-    assert evaluate("GPL-3.0 OR MIT".split()) == (1, ["gpl", "mit"])
+    assert evaluate("GPL-3.0 OR MIT".split()) == (1, ["mit"]) and evaluate("MIT OR ISC".split()) == (1, ["mit"])
+    assert evaluate("( GPL-3.0 OR Unlicense ) AND Apache-2.0".split()) == (1, ["apache", "unlicense"])
     assert evaluate("GPL-3.0 AND MIT".split()) == (2, ["gpl", "mit"])
-    assert evaluate("GPL-2.0 WITH Classpath-exception-2.0".split()) == (1, ["gpl"])
+    assert evaluate("GPL-2.0 WITH Classpath-exception-2.0".split()) == (1, ["gpl-with-exception"])
     assert evaluate("MIT WITH ( A OR B )".split()) is None
     assert identifier_expression("(MIT OR ISC) AND Zlib and more text") == ["(", "MIT", "OR", "ISC", ")", "AND", "Zlib", "and", "more"]
     rows = [(1, "// SPDX-License-Identifier: MIT OR GPL-2.0-only\nx", None, None, None), (2, "SPDX-License-Identifier: OR", None, None, None)]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
-    assert (got[1].labels, got[1].expressions, got[1].kind) == ("gpl,mit", ["MIT OR GPL-2.0-only"], "permissive")
+    assert (got[1].labels, got[1].expressions, got[1].kind) == ("mit", ["MIT OR GPL-2.0-only"], "permissive")
     assert got[2].labels == "malformed-tag"
 
 
+def licence(expression):
+    """Burden and labels by recursive descent, without the scanner's parser; None where it can't be read."""
+    tokens = re.findall(r"[()]|[A-Za-z0-9.+:-]+", expression)
+    at = 0
+
+    def peek():
+        return tokens[at].lower() if at < len(tokens) else None
+
+    def operand():
+        nonlocal at
+        if peek() == "(":
+            at += 1
+            out = choice()
+            if peek() != ")":
+                raise SyntaxError
+            at += 1
+            return (*out[:2], False)
+        if peek() in (None, ")", "or", "and", "with"):
+            raise SyntaxError
+        low = tokens[at].lower().rstrip(".:")
+        at += 1
+        fits = [x for x in license_scan.BURDEN if re.match(re.escape(x) + r"($|[-+v])", low)]
+        name = max(fits, key=len) if fits else low
+        return license_scan.BURDEN.get(name, 3), {name}, True
+
+    def excepted():
+        nonlocal at
+        out = operand()
+        while peek() == "with":
+            at += 1
+            other = operand()
+            if not (out[2] and other[2]):
+                raise SyntaxError
+            out = (1 if out[0] == 2 else out[0]), {f"{x}-with-exception" for x in out[1]}, False
+        return out
+
+    def both():
+        nonlocal at
+        out = excepted()
+        while peek() == "and":
+            at += 1
+            other = excepted()
+            out = max(out[0], other[0]), out[1] | other[1], False
+        return out
+
+    def choice():
+        nonlocal at
+        out = both()
+        while peek() == "or":
+            at += 1
+            other = both()
+            out = (*(other if other[0] < out[0] else out)[:2], False)
+        return out
+
+    try:
+        out = choice()
+    except SyntaxError:
+        return None
+    return out if at == len(tokens) else None
+
+
+def licensed(text):
+    """labels, kind and score of a text whose tags end with their expression, by plain search."""
+    row, found, labels, burden = words(text), set(), set(), -1
+    n_base = 0
+    for phrase, label in {**license_scan.NOTICES, **license_scan.BASE}.items():
+        parts = phrase.split()
+        n = sum(row[i : i + len(parts)] == parts for i in range(len(row)))
+        if n:
+            labels.add(label)
+            burden = max(burden, license_scan.BURDEN[label])
+        n_base += n if phrase in license_scan.BASE else 0
+    for line in re.split("[\r\n]", text or ""):
+        for tag in license_scan.TAGS:
+            for rest in line.translate(LOWER).split(tag)[1:]:
+                told = licence(line[len(line) - len(rest) :]) if rest.strip() else None
+                if told is None:
+                    labels.add("malformed-tag")
+                else:
+                    found.add(rest)
+                    labels |= told[1]
+                    burden = max(burden, told[0])
+    kind = ("free", "permissive", "copyleft", "restricted")[burden] if burden >= 0 else None
+    return ",".join(sorted(labels)), kind, 0.0 if not labels else min(1.0, 0.5 + 0.1 * n_base + (0.4 if found else 0.0))
+
+
+def test_license_labels_equal_plain_search(spark):
+    rng = random.Random(3)
+    names = ["MIT", "GPL-3.0-only", "LGPL-2.1+", "Apache-2.0", "CC0-1.0", "Foo-1.0", "CC-BY-SA-4.0", "Unlicense"]
+
+    def expression(depth):
+        if not depth or rng.random() < 0.3:
+            return rng.choice(names)
+        if rng.random() < 0.2:
+            return f"{rng.choice(names)} WITH Classpath-exception-2.0"
+        left, right = expression(depth - 1), expression(depth - 1)
+        return rng.choice([f"({left} OR {right})", f"{left} AND {right}", f"{left} or {right}", f"({left}) and ({right})"])
+
+    notices = [*license_scan.NOTICES, *license_scan.BASE]
+    pieces = lambda: [rng.choice(notices).upper(), rng.choice(notices).replace(" ", "-"), f"// SPDX-License-Identifier: {expression(3)}", f"License-Expression: {expression(2)}\r", "plain words", "SPDX-License-Identifier:", "été spdx license identifier MIT"]
+    rows = [(k, "\n".join(rng.sample(pieces(), rng.randrange(0, 6)))) for k in range(150)] + [(None, "MIT License"), (7, "MIT License"), (900, None)]
+    names_ = "doc_id bigint, text string, labels string, kind string, id string"
+    got = scan_licenses(spark.createDataFrame([(*r, "x", "y", "z") for r in rows], names_)).collect()
+    assert sorted(map(repr, ((r.doc_id, r.labels, r.kind, round(r.score, 9)) for r in got))) == sorted(map(repr, ((d, *licensed(t)[:2], round(licensed(t)[2], 9)) for d, t in rows)))
+    assert scan_licenses(spark.createDataFrame([], names_)).count() == 0
+
+
+def test_license_scan_is_linear_in_hits():
+    phrases, tags = license_scan.automaton(), license_scan.tag_automaton()
+    n = 200_000
+    started = time.perf_counter()
+    out = license_scan.scan(b"cc by SPDX-License-Identifier: MIT\n" * n, phrases, tags)
+    assert out[1] == n and (out[2], out[3]) == (0, 6 * (n - 1)) and time.perf_counter() - started < 60
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.filter(~language_id.held_out()))

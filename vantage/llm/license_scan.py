@@ -6,11 +6,12 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import alnum_words, by_bytes, utf8
+from .words import LOWER, alnum_words, by_bytes, utf8
 
 #: The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -20,25 +21,48 @@ NOTICES = {
     "apache license version 2 0": "apache",
     "permission is hereby granted free of charge": "mit",
     "mit license": "mit",
+    "isc license": "isc",
+    "zlib license": "zlib",
+    "boost software license": "bsl",
     "redistribution and use in source and binary forms": "bsd",
+    "bsd license": "bsd",
     "mozilla public license": "mpl",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "artistic license": "artistic",
+    "python software foundation license": "psf",
+    "microsoft public license": "ms-pl",
+    "sil open font license": "ofl",
+    "gnu free documentation license": "gfdl",
     "lesser general public license": "lgpl",
     "affero general public license": "agpl",
+    "server side public license": "sspl",
+    "business source license": "busl",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "cc by sa": "cc-by-sa",
+    "cc by nc": "cc-by-nc",
     "creative commons zero": "cc0",
+    "released into the public domain": "public-domain",
     "public domain": "public-domain",
     "proprietary and confidential": "proprietary",
+    "no part of this publication may be reproduced": "reserved",
 }
-TAG = "spdx license identifier"
+#: Tags whose rest of the line is a licence expression, lower-cased.
+TAGS = ("spdx-license-identifier:", "license-expression:")
 #: How much each known licence family binds who reuses the text, 0 (free) to 3 (closed).
 BURDEN = {
-    "0bsd": 0, "cc0": 0, "unlicense": 0, "public-domain": 0, "mit": 1, "bsd": 1, "apache": 1, "isc": 1, "zlib": 1, "cc-by": 1,
-    "mpl": 2, "lgpl": 2, "epl": 2, "gpl": 2, "agpl": 2, "cc-by-sa": 2, "cc-by-nc": 3, "proprietary": 3, "reserved": 3,
+    "0bsd": 0, "cc0": 0, "unlicense": 0, "public-domain": 0, "mit": 1, "bsd": 1, "apache": 1, "isc": 1, "zlib": 1, "bsl": 1, "psf": 1,
+    "artistic": 1, "ofl": 1, "cc-by": 1, "ms-pl": 1, "mpl": 2, "lgpl": 2, "epl": 2, "eupl": 2, "cddl": 2, "gpl": 2, "agpl": 2, "gfdl": 2,
+    "cc-by-sa": 2, "sspl": 3, "busl": 3, "cc-by-nc": 3, "proprietary": 3, "reserved": 3,
 }
 UNKNOWN_BURDEN = 3
+MALFORMED = "malformed-tag"
 KINDS = ("free", "permissive", "copyleft", "restricted")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
-_TAG_LINE = re.compile(rb"(?i)spdx-license-identifier:[ \t]*([^\r\n]*)")
+_LINE = re.compile(rb"[^\r\n]*")
 _TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
 
 
@@ -86,26 +110,30 @@ def family(name: str) -> str:
 
 
 def evaluate(tokens: list[str]) -> tuple[int, list[str]] | None:
-    """Burden and families of an expression: `or` lets the reader choose the lighter side, `and` binds to both, an
-    exception after `with` lightens a copyleft licence to permissive terms. None if malformed."""
+    """Burden and labels of what an expression binds to: `or` lets the reader choose the lighter side (the left one of
+    two equals), `and` binds to both, an exception after `with` lightens a copyleft licence to permissive terms. None if
+    malformed."""
     order = postfix(tokens)
     if order is None:
         return None
-    stack: list[tuple[int, list[str], bool]] = []
+    stack: list[tuple[int, frozenset[str], bool]] = []
     for token in order:
-        if token in OPERATORS:
+        op = token.lower()
+        if op in OPERATORS:
             right, left = stack.pop(), stack.pop()
-            if token == "with":
-                if len(left[1]) != 1 or not right[2] or not left[2]:
+            if op == "with":
+                if not right[2] or not left[2]:
                     return None
-                stack.append((min(left[0], 1) if left[0] == 2 else left[0], left[1], False))
+                stack.append((min(left[0], 1) if left[0] == 2 else left[0], frozenset(f"{x}-with-exception" for x in left[1]), False))
+            elif op == "and":
+                stack.append((max(left[0], right[0]), left[1] | right[1], False))
             else:
-                burden = min(left[0], right[0]) if token == "or" else max(left[0], right[0])
-                stack.append((burden, left[1] + right[1], False))
+                lighter = right if right[0] < left[0] else left
+                stack.append((*lighter[:2], False))
         else:
             name = family(token)
-            stack.append((BURDEN.get(name, UNKNOWN_BURDEN), [name], True))
-    return stack[0][0], sorted(set(stack[0][1]))
+            stack.append((BURDEN.get(name, UNKNOWN_BURDEN), frozenset([name]), True))
+    return stack[0][0], sorted(stack[0][1])
 
 
 def identifier_expression(line: str) -> list[str]:
@@ -134,44 +162,55 @@ def identifier_expression(line: str) -> list[str]:
 def automaton() -> ahocorasick.Automaton:
     """Every phrase between blanks, so that only whole words match."""
     out = ahocorasick.Automaton()
-    for phrase, label in {**NOTICES, TAG: TAG, **BASE}.items():
+    for phrase, label in {**NOTICES, **BASE}.items():
         out.add_word(f" {phrase} ", (phrase in BASE, len(phrase) + 2, label))
     out.make_automaton()
     return out
 
 
-def scan(text: bytes | None, phrases: ahocorasick.Automaton) -> tuple:
+def tag_automaton() -> ahocorasick.Automaton:
+    out = ahocorasick.Automaton()
+    for tag in TAGS:
+        out.add_word(tag, tag)
+    out.make_automaton()
+    return out
+
+
+def tagged_lines(text: bytes, tags: ahocorasick.Automaton) -> Iterator[str]:
+    """What stands behind each tag on its line. Bytes are taken for characters, so places are places in the text."""
+    for end, _ in tags.iter(text.translate(LOWER).decode("latin-1")):
+        yield _LINE.match(text, end + 1)[0].decode("utf-8", "replace")
+
+
+def scan(text: bytes | None, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton) -> tuple:
     """n_words, n_base, first_word, last_word, base labels, all labels, expressions, kind, score of one text."""
     words = alnum_words(text or b"")
-    line = (b" " + b" ".join(words) + b" ").decode("utf-8", "replace")
-    starts: list[int] = []
+    line = b" " + b" ".join(words) + b" "
+    places: list[int] = []
     base: set[str] = set()
     labels: set[str] = set()
-    tagged = False
-    for end, (is_base, length, label) in phrases.iter(line):
+    for end, (is_base, length, label) in phrases.iter(line.decode("latin-1")):
+        labels.add(label)
         if is_base:
-            starts.append(line.count(" ", 0, end - length + 1))
+            places.append(end - length + 1)
             base.add(label)
-        if label == TAG:
-            tagged = True
-        else:
-            labels.add(label)
-    found: list[str] = []
+    # A phrase's place is the blank before it, and blanks count words.
+    starts = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), places) if places else np.zeros(0, int)
+    found: set[str] = set()
     burden = max((BURDEN.get(x, UNKNOWN_BURDEN) for x in labels), default=-1)
-    if tagged:
-        for match in _TAG_LINE.finditer(text or b""):
-            tokens = identifier_expression(match[1].decode("utf-8", "replace"))
-            told = evaluate(tokens) if tokens else None
-            if told is not None:
-                found.append(" ".join(tokens))
-                burden = max(burden, told[0])
-                labels.update(told[1])
-            else:
-                labels.add("malformed-tag")
+    for rest in tagged_lines(text or b"", tags):
+        tokens = identifier_expression(rest)
+        told = evaluate(tokens) if tokens else None
+        if told is None:
+            labels.add(MALFORMED)
+        else:
+            found.add(" ".join(tokens))
+            burden = max(burden, told[0])
+            labels.update(told[1])
     score = 0.0 if not labels else min(1.0, 0.5 + 0.1 * len(starts) + (0.4 if found else 0.0))
     return (
-        len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)),
-        sorted(set(found)), KINDS[burden] if burden >= 0 else None, score,
+        len(words), len(starts), int(starts.min()) if places else None, int(starts.max()) if places else None, ",".join(sorted(base)), ",".join(sorted(labels)),
+        sorted(found), KINDS[burden] if burden >= 0 else None, score,
     )
 
 
@@ -181,18 +220,18 @@ SCHEMA = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, ba
 def scan_licenses(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 8 << 20) -> DataFrame:
     """Licence notices and SPDX expressions of each document; one narrow pass, a row for each row of docs.
 
-    first_word and last_word are the smallest and largest start of a base phrase. labels adds further notices and the
-    families of each `SPDX-License-Identifier:` expression; a tag whose expression can't be read gives
-    `malformed-tag`. kind is the heaviest of what was found: free, permissive, copyleft or restricted (null: nothing).
+    first_word and last_word are the smallest and largest start of a base phrase. labels adds further notices and what
+    the expression behind each of TAGS binds to (of sides joined by `or` the lighter one); a tag whose expression can't
+    be read gives `malformed-tag`. kind is the heaviest of what was found: free, permissive, copyleft or restricted (null: nothing).
     score is 0 without a label, else grows from 0.5 with the evidence. Null text counts as empty: no words, empty
     labels, score 0. A null id stays null; repeated rows give a row each; other columns aren't looked at."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases = automaton()
+        phrases, tags = automaton(), tag_automaton()
         types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.list_(pa.string()), pa.string(), pa.float64()]
         for batch in by_bytes(batches, "text", batch_bytes):
-            rows = [scan(x, phrases) for x in utf8(batch.column("text"))]
+            rows = [scan(x, phrases, tags) for x in utf8(batch.column("text"))]
             columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=[id_col, *(x.split()[0] for x in SCHEMA.split(", "))])
 
