@@ -252,14 +252,61 @@ def test_language_held_out_accuracy(spark):
     assert np.mean([r.rejected for r in got]) < 0.02
 
 
-def test_language_model_sums_to_one(spark):
-    docs = spark.createDataFrame([(1, "abcab cab dab", "x", None, None), (2, "zzz yz", "y", None, None)], DOCS)
-    model = language_id.fit(docs)
-    for context in {int(k) >> language_id.BITS for k in model.keys[::997]}:
-        every = (context << language_id.BITS) + np.arange(language_id.CLASSES)
-        own = language_id.SortedTable(model.keys, model.table[:, 0], -np.inf).get(every)
-        if np.isfinite(own).all():
-            assert np.exp(own).sum() == pytest.approx(1, abs=1e-3)
+def kneser_ney(texts, order):
+    """Interpolated Kneser-Ney by plain loops over tuples of classes: a function of a gram."""
+    grams = {n: defaultdict(int) for n in range(1, order + 1)}
+    for text in texts:
+        row = [0] * (order - 2) + language_id.classes_of(text).tolist()
+        for i in range(order - 1, len(row)):
+            grams[order][tuple(row[i - order + 1 : i + 1])] += 1
+    for n in range(order - 1, 0, -1):
+        for gram in grams[n + 1]:
+            grams[n][gram[1:]] += 1
+
+    def discount(n):
+        ones, twos = (sum(c == k for c in grams[n].values()) for k in (1, 2))
+        return ones / (ones + 2 * twos) if ones and twos else 0.5
+
+    def prob(gram):
+        n = len(gram)
+        if not n:
+            return 1 / language_id.CLASSES
+        after = [c for g, c in grams[n].items() if g[:-1] == gram[:-1]]
+        if not after:
+            return prob(gram[1:])
+        d = discount(n)
+        return (max(grams[n].get(gram, 0) - d, 0) + d * len(after) * prob(gram[1:])) / sum(after)
+
+    return prob
+
+
+@pytest.mark.parametrize("order", [3, 4])
+def test_language_model_equals_plain_loops(spark, order):
+    texts = {"x": ["abcab cab dab", "abba", "ab ab abc", "", "12"], "y": ["zzz yz zy", "Ünï ünï", None]}
+    docs = spark.createDataFrame([(k, t, lang, None, None) for k, (lang, t) in enumerate((lang, t) for lang, every in texts.items() for t in every)], DOCS)
+    model = language_id.fit(docs, orders=(order,), held=1_000_000)
+    assert model.langs == ["x", "y"] and model.slack == language_id.UNCALIBRATED
+    asked = ["abcabd", "zyzz", "qq vv", "ünïa b"]
+    codes = np.concatenate([language_id.codes_of(language_id.classes_of(t), order) for t in asked])
+    got = model.log_probs(codes)
+    for k, lang in enumerate(model.langs):
+        prob = kneser_ney([t for t in texts[lang] if t], order)
+        for code, own in zip(codes.tolist(), got[:, k], strict=True):
+            gram = tuple(code >> (language_id.BITS * j) & (language_id.CLASSES - 1) for j in range(order - 1, -1, -1))
+            assert own == pytest.approx(np.log(prob(gram)), abs=1e-4)
+    for context in ("ab", "zz", "qv", "b "):
+        head = language_id.codes_of(language_id.classes_of(context), order)[len(context) - 1] << language_id.BITS & language_id._mask(order)
+        assert np.exp(model.log_probs(head + np.arange(language_id.CLASSES)).astype(float)).sum(axis=0) == pytest.approx([1, 1], abs=1e-3)
+
+
+def test_language_order_and_slack_come_from_rows_held_apart(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.filter(~language_id.held_out()))
+    assert model.order in (3, 4) and len(model.langs) == 4
+    told = language_id.predict(docs.filter(language_id.held_out()), model).collect()
+    assert np.mean([r.rejected for r in told]) < 0.02 and all(r.rejected == (r.excess is None or r.excess > model.slack) for r in told)
+    with pytest.raises(ValueError):
+        language_id.fit(docs.withColumn("lang", docs.doc_id.cast("string")))
 
 
 def test_language_edges(spark):

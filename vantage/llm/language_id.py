@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -87,125 +87,212 @@ class KneserNey:
             context = keys >> BITS
             grams = _summed(keys, values)
             self.levels.append((grams, _summed(context, values), _summed(context, np.ones(len(keys))), discount))
-            lower = np.unique(keys) & ((1 << (BITS * (n - 1))) - 1)
+            lower = np.unique(keys) & _mask(n - 1)
             shorter = _summed(lower, np.ones(len(lower)))
             keys, values = shorter.keys, shorter.values
 
-    def log_prob(self, codes: np.ndarray) -> np.ndarray:
-        """Natural log of the probability of each code's last class after the others."""
+    def prob(self, codes: np.ndarray, n: int) -> np.ndarray:
+        """The probability of each code's last class after the n - 1 before it."""
         prob = np.full(len(codes), 1.0 / CLASSES)
-        for n in range(1, self.order + 1):
-            grams, totals, kinds, discount = self.levels[self.order - n]
-            short = codes & ((1 << (BITS * n)) - 1)
-            context = short >> BITS
-            total = totals.get(context)
+        for k in range(1, n + 1):
+            grams, totals, _, discount = self.levels[self.order - k]
+            short = codes & _mask(k)
+            total = totals.get(short >> BITS)
             own = np.maximum(grams.get(short) - discount, 0.0)
-            seen = total > 0
-            safe = np.where(seen, total, 1.0)
-            prob = np.where(seen, own / safe + discount * kinds.get(context) / safe * prob, prob)
-        return np.log(prob)
+            prob = own / np.where(total > 0, total, 1.0) + self.weight(short >> BITS, k) * prob
+        return prob
+
+    def weight(self, contexts: np.ndarray, n: int) -> np.ndarray:
+        """What is left for the shorter order after a context of n - 1 classes; all of it after one never seen."""
+        _, totals, kinds, discount = self.levels[self.order - n]
+        total = totals.get(contexts)
+        return np.where(total > 0, discount * kinds.get(contexts) / np.where(total > 0, total, 1.0), 1.0)
+
+    def log_prob(self, codes: np.ndarray) -> np.ndarray:
+        return np.log(self.prob(codes, self.order))
+
+
+def _mask(n: int) -> int:
+    return (1 << (BITS * n)) - 1
+
+
+@dataclass
+class Rows:
+    """A row of values, one for each language, by hash key in a sorted array."""
+
+    keys: np.ndarray
+    values: np.ndarray
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each key's place and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
 
 
 @dataclass
 class Model:
-    """Log probabilities of all languages by code, in one sorted array; and what the training text itself costs."""
+    """Log probabilities of all languages in sorted arrays: for each order the grams that any language has seen, and the
+    weights of their contexts. cost and spread tell what the training text itself costs, slack what a text may cost
+    more."""
 
     order: int
     langs: list[str]
-    keys: np.ndarray
-    table: np.ndarray  # a row for each key, a column for each language
+    grams: list[Rows]  # from order 1 on
+    weights: list[Rows]
     cost: np.ndarray
     spread: np.ndarray
-
-    def dense(self) -> np.ndarray:
-        """The sorted array laid out by code, for one gather per letter."""
-        out = np.empty((1 << (BITS * self.order), len(self.langs)), dtype=np.float32)
-        out[self.keys] = self.table
+    slack: float = 0.0
+
+    def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        """A row for each code, a column for each language. A gram that no language has seen costs what its context
+        leaves to shorter ones."""
+        out = np.zeros((len(codes), len(self.langs)), dtype=np.float32)
+        left = np.arange(len(codes))
+        for n in range(self.order, 0, -1):
+            short = codes[left] & _mask(n)
+            at, there = self.grams[n - 1].find(short)
+            out[left[there]] += self.grams[n - 1].values[at[there]]
+            left, short = left[~there], short[~there]
+            if not len(left):
+                return out
+            at, there = self.weights[n - 1].find(short >> BITS)
+            out[left[there]] += self.weights[n - 1].values[at[there]]
+        out[left] -= np.float32(np.log(CLASSES))
         return out
 
 
-def char_counts(docs: DataFrame, lang_col: str, text_col: str, order: int, batch_bytes: int) -> DataFrame:
-    """(lang, code, n) over all rows that have both; each task sums its own before the shuffle."""
+def char_counts(docs: DataFrame, lang_col: str, text_col: str, order: int, batch_bytes: int, chosen: Column | None = None) -> DataFrame:
+    """(lang, chosen, code, n) over all rows that have language and text; each batch sums its own before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
         for batch in by_bytes(batches, "text", batch_bytes):
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                codes = codes_of(classes_of(text), order)
-                if lang not in sums:
-                    sums[lang] = np.zeros(1 << (BITS * order), dtype=np.int64)
-                if len(codes) > 20_000:
-                    sums[lang] += np.bincount(codes, minlength=1 << (BITS * order))
-                else:
-                    np.add.at(sums[lang], codes, 1)
-        for lang, row in sums.items():
-            code = np.flatnonzero(row)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array(code), pa.array(row[code])], names=["lang", "code", "n"])
-
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    return rows.mapInArrow(run, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, *, lang_col: str = "lang", text_col: str = "text", order: int = 3, batch_bytes: int = 8 << 20) -> Model:
-    """A model for each language of the labelled rows, from the counts of all of them.
-
-    What comes to the driver is bounded by the code space (64 to the order, times the languages), not by the rows.
-    Rows without text or language, and texts without letters, teach nothing."""
-    rows = char_counts(docs, lang_col, text_col, order, batch_bytes).toPandas()
-    langs = sorted(rows["lang"].unique())
-    every = np.arange(1 << (BITS * order), dtype=np.int64)
-    every = every[(every & (CLASSES - 1) > 0) | ((every >> BITS) & (CLASSES - 1) > 0)]  # two blanks never meet
-    table = np.zeros((len(every), len(langs)), dtype=np.float32)
+            parts: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for lang, part, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "chosen", "text")), strict=True):
+                parts.setdefault((lang, part), []).append(codes_of(classes_of(text), order))
+            for (lang, part), rows in parts.items():
+                code, n = np.unique(np.concatenate(rows), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array([part] * len(code), pa.bool_()), pa.array(code), pa.array(n)], names=["lang", "chosen", "code", "n"])
+
+    part = F.coalesce(chosen, F.lit(False)) if chosen is not None else F.lit(False)
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), part.alias("chosen"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
+    return rows.mapInArrow(run, "lang string, chosen boolean, code bigint, n bigint").groupBy("lang", "chosen", "code").agg(F.sum("n").alias("n"))
+
+
+def _shortened(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the last `order` classes of codes."""
+    short = _summed(codes & _mask(order), counts)
+    return short.keys, short.values
+
+
+def _settled(models: list[KneserNey], counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], order: int) -> Model:
+    """The models in shared sorted arrays."""
+    grams, weights = [], []
+    for n in range(1, order + 1):
+        seen = np.unique(np.concatenate([m.levels[order - n][0].keys for m in models])) if models else np.zeros(0, np.int64)
+        contexts = np.unique(seen >> BITS)
+        grams.append(Rows(seen, np.stack([np.log(m.prob(seen, n)) for m in models], axis=1).astype(np.float32) if models else np.zeros((0, 0), np.float32)))
+        weights.append(Rows(contexts, np.stack([np.log(m.weight(contexts, n)) for m in models], axis=1).astype(np.float32) if models else np.zeros((0, 0), np.float32)))
     cost, spread = np.zeros(len(langs)), np.zeros(len(langs))
-    for k, lang in enumerate(langs):
-        own = rows[rows["lang"] == lang].sort_values("code")
-        codes, counts = own["code"].to_numpy(), own["n"].to_numpy()
-        model = KneserNey(codes, counts, order)
-        table[:, k] = model.log_prob(every)
-        logs, share = model.log_prob(codes), counts / counts.sum()
+    for k, (model, (codes, n)) in enumerate(zip(models, counts, strict=True)):
+        logs, share = model.log_prob(codes), n / n.sum()
         cost[k] = -(share * logs).sum()
         spread[k] = np.sqrt(max((share * logs**2).sum() - cost[k] ** 2, 0.0))
-    return Model(order, langs, every, table, cost, spread)
-
-
-def judge(text: str | None, model: Model, dense: np.ndarray, sharpness: float, slack: float) -> tuple[str, float, float | None, bool]:
-    """Language, score, cross-entropy in nats per letter, and whether the text is rejected."""
-    row = classes_of(text) if text else np.zeros(0, np.uint8)
-    if not row.any() or not model.langs:
-        return UNKNOWN, 0.0, None, True
-    codes = codes_of(row, model.order)
-    costs = -dense[codes].mean(axis=0, dtype=np.float64)
-    best = int(np.argmin(costs))
-    share = np.exp(-(costs - costs[best]) * sharpness)
-    limit = model.cost[best] + slack + 4 * model.spread[best] / np.sqrt(len(codes))
-    return model.langs[best], float(1 / share.sum()), float(costs[best]), bool(costs[best] > limit)
-
-
-def predict(
-    docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 10.0, slack: float = 1.2,
-    batch_bytes: int = 8 << 20,
-) -> DataFrame:
+    return Model(order, langs, grams, weights, cost, spread)
+
+
+#: A text may cost so many standard errors more than the training text, on top of the calibrated slack.
+ERRORS = 4.0
+#: What a text may cost more, in nats a letter, where there is nothing to calibrate with: mixed languages and short texts
+#: cost up to so much more.
+UNCALIBRATED = 1.2
+
+
+def fit(
+    docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", orders: tuple[int, ...] = (3, 4), held: int = 10,
+    false_rejections: float = 1e-4, most_langs: int = 200, batch_bytes: int = 4 << 20,
+) -> Model:
+    """A model for each language of the labelled rows, from the counts of all of them.
+
+    One in `held` of the rows, by a hash of id and text, is counted apart. The order is the one of `orders` under which
+    the models of the other rows give those the lowest cross-entropy. They also calibrate the rejection: of them a share
+    of false_rejections would be rejected. As so small a share can't be told from few rows, a part of UNCALIBRATED is
+    added while there are fewer than 1 / false_rejections. The models returned are then taught by all rows.
+
+    What comes to the driver is bounded by the code space (64 to the highest order, times the languages), not by the
+    rows; more than most_langs labels are an error, as such a column holds something else. Rows without text or
+    language, and texts without letters, teach nothing."""
+    labels = [r[0] for r in docs.select(F.col(lang_col).cast("string").alias("lang")).filter("lang is not null").distinct().limit(most_langs + 1).collect()]
+    if len(labels) > most_langs:
+        raise ValueError(f"{lang_col} has more than {most_langs} values")
+    most = max(orders)
+    apart = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(held)) == 0
+    rows = char_counts(docs, lang_col, text_col, most, batch_bytes, apart).toPandas()
+    rows = rows[(rows["code"] & _mask(2)) > 0].sort_values("code")  # two blanks are no letter
+    langs = sorted(rows["lang"].unique())
+    counted = lambda lang, parts, order: _shortened(*(own := rows[(rows["lang"] == lang) & rows["chosen"].isin(parts)])[["code", "n"]].to_numpy().T, order)
+    both = [x for x in langs if all(len(counted(x, [p], most)[0]) for p in (True, False))]
+    loss = {}
+    for order in orders:
+        tests = [(KneserNey(*counted(x, [False], order), order), *counted(x, [True], order)) for x in both]
+        loss[order] = sum(-(n * model.log_prob(codes)).sum() / n.sum() for model, codes, n in tests)
+    order = min(orders, key=loss.__getitem__) if both else most
+    slack = UNCALIBRATED
+    if both:
+        trial = [counted(x, [False], order) for x in both]
+        small = _settled([KneserNey(*c, order) for c in trial], trial, both, order)
+        asked = docs.filter(apart & F.col(lang_col).cast("string").isin(both)).select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
+        excess, n = predict(asked, small, id_col="id").agg(F.percentile_approx("excess", 1 - false_rejections, 100_000), F.count("excess")).first()
+        slack = max(float(excess or 0.0), 0.0) + UNCALIBRATED * max(0.0, 1 - n * false_rejections)
+    taught = [counted(x, [True, False], order) for x in langs]
+    return replace(_settled([KneserNey(*c, order) for c in taught], taught, langs, order), slack=slack)
+
+
+def judge(texts: list[str | None], model: Model, sharpness: float) -> list[tuple[str, float, float | None, float | None, bool]]:
+    """Language, score, cross-entropy in nats per letter, what it exceeds that of the training text by, and whether the
+    text is rejected."""
+    out: list[tuple] = [(UNKNOWN, 0.0, None, None, True)] * len(texts)
+    rows = [classes_of(x) if x else np.zeros(0, np.uint8) for x in texts]
+    real = [k for k, row in enumerate(rows) if row.any()]
+    if not real or not model.langs:
+        return out
+    codes = [codes_of(rows[k], model.order) for k in real]
+    sizes = np.array([len(x) for x in codes])
+    sums = np.add.reduceat(model.log_probs(np.concatenate(codes)), np.concatenate(([0], np.cumsum(sizes)[:-1])), axis=0, dtype=np.float64)
+    costs = -sums / sizes[:, None]
+    best = costs.argmin(axis=1)
+    least = costs.min(axis=1)
+    share = 1 / np.exp(-(costs - least[:, None]) * sharpness).sum(axis=1)
+    excess = least - model.cost[best] - ERRORS * model.spread[best] / np.sqrt(sizes)
+    for i, k in enumerate(real):
+        out[k] = (model.langs[best[i]], float(share[i]), float(least[i]), float(excess[i]), bool(excess[i] > model.slack))
+    return out
+
+
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 10.0, batch_bytes: int = 1 << 20) -> DataFrame:
     """Language of each whole text; a narrow pass, a row for each row of docs.
 
     lang_pred is the language whose model has the lowest length-normalised cross-entropy (ties: the first by name),
     `und` where the text is null or has no letter. score is the share of that language when the costs are weighed
-    against each other. rejected marks texts that cost more than the training text of that language by `slack` nats a
-    letter plus four standard errors at the text's length: no language fits. A null id stays null."""
+    against each other. excess is what the text costs more than the training text of that language, in nats a letter,
+    beyond some standard errors at its length; rejected marks texts whose excess is above the model's calibrated slack:
+    no language fits. A null id stays null; repeated rows give a row each; other columns aren't looked at."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the code space
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = shared.value.dense()
+        types = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.bool_())
         for batch in by_bytes(batches, "text", batch_bytes):
-            rows = [judge(x, shared.value, dense, sharpness, slack) for x in batch.column("text").to_pylist()]
-            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=[id_col, "lang_pred", "score", "cost", "rejected"])
+            rows = judge(batch.column("text").to_pylist(), shared.value, sharpness)
+            columns = [pa.array(list(c), t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=[id_col, "lang_pred", "score", "cost", "excess", "rejected"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, cost double, rejected boolean")
+    return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, cost double, excess double, rejected boolean")
 
 
-def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", sharpness: float = 10.0, slack: float = 1.2, batch_bytes: int = 8 << 20) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
     """The documents, all columns as they are, without those that predict() marks as rejected (null and letterless
     texts among them). Without any labelled text to learn from, all with a letter stay."""
     if not model.langs:
@@ -213,9 +300,8 @@ def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", sharpne
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dense = shared.value.dense()
         for batch in by_bytes(batches, text_col, batch_bytes):
-            yield batch.filter(pa.array([not judge(x, shared.value, dense, sharpness, slack)[3] for x in batch.column(text_col).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not row[-1] for row in judge(batch.column(text_col).to_pylist(), shared.value, 1.0)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
