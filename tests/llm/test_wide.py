@@ -161,7 +161,7 @@ def test_lines_with_clashing_and_odd_names(spark):
     assert line_dedup.drop_repeated_lines(docs, id_col="key", text_col="body.text").columns == docs.columns
 
 
-@pytest.mark.parametrize("share", [1, 10, 10_000])
+@pytest.mark.parametrize("share", [1, 10, 2000])
 def test_hot_classes_are_joined_like_others(spark, tmp_path, monkeypatch, share):
     rng = random.Random(1)
     rows = [(k, rng.choice([1] * 50 + [2, 3, 4, 5, None]), rng.choice(["a", "b", None])) for k in range(3000)]
@@ -317,6 +317,30 @@ def test_neighbours_recall(spark):
         assert all(s == pytest.approx(exact[i], abs=1e-12) for s, i in rows)
 
 
+def test_neighbours_recall_at_the_registered_setting(spark):
+    """Three shards of about 4096 rows, a beam of 96, the query's defaults; normal vectors lie far from each other."""
+    points = np.random.default_rng(5).normal(size=(10_000, 24)).astype(np.float32)
+    vectors = spark.createDataFrame([(k, p.tolist()) for k, p in enumerate(points)], "vec_id bigint, embedding array<float>")
+    got = defaultdict(set)
+    for r in ann.nearest(vectors, vectors.filter("vec_id % 100 = 0")).collect():
+        got[r.query_id].add(r.vec_id)
+    want = {q: set(np.argsort(((points.astype(float) - points[q]) ** 2).sum(axis=1), kind="stable")[1:11].tolist()) for q in range(0, 10_000, 100)}
+    assert np.mean([len(got[q] & want[q]) / 10 for q in want]) >= 0.9
+
+
+def test_neighbours_of_several_dimensions_in_several_shards(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, rng.normal(size=2 + k % 3).tolist(), k, "x", 0.5) for k in range(300)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, shard int, dim string, score double")
+    got = defaultdict(list)
+    for r in ann.nearest(vectors, vectors.filter("vec_id < 60"), shard_rows=40, block_rows=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    told = {r[0]: r[1] for r in rows}
+    for q in range(60):
+        far = sorted((float(np.sqrt(((np.array(v) - np.array(told[q])) ** 2).sum())), i) for i, v in told.items() if i != q and len(v) == len(told[q]))
+        assert got[q] == [i for _, i in far[:10]]
+
+
 def test_neighbours_edges(spark):
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [1.0, None], 1), (6, [float("inf"), 1.0], 1), (7, [1.0, 2.0, 3.0], 1), (None, [1.0, 1.0], 1), (8, [], 1)]
     rows += [(k, [1.0, 0.0], 2) for k in range(100, 160)] + [(0, [1.0, 0.0], 1)]
@@ -351,6 +375,26 @@ def test_archives_round_trip(spark, tmp_path):
     assert keys == sorted(keys) and len(keys) == len(rows)
 
 
+@pytest.mark.parametrize("rows_per_range", [1, 7, 1000])
+def test_capture_histories(spark, tmp_path, rows_per_range):
+    """A URL with a third of all captures over many ranges; repeated rows, null ids and URLs."""
+    rng = random.Random(8)
+    urls = ["http://hot.org/"] * 20 + [f"http://b.org/{k}" for k in range(9)] * 4 + [None]
+    rows = [(k, u, "same" if k % 3 else f"own {k}", None) for k, u in enumerate(rng.sample(urls, len(urls)))]
+    rows += [rows[0], rows[0], (None, "http://hot.org/", "x", None)]
+    warc.write_archives(spark.createDataFrame(rows, PAGES), str(tmp_path / "w"), seconds=F.coalesce(F.col("page_id"), F.lit(0)) % 5)
+    entries = warc.read_archives(spark, str(tmp_path / "w"))
+    warc.capture_index(entries, rows_per_range=rows_per_range).write.parquet(str(tmp_path / "index"))
+    got = warc.capture_histories(spark.read.parquet(str(tmp_path / "index"))).orderBy("place").collect()
+    key = lambda r: (r.url_key, r.captured_at, r.page_id is not None, r.page_id or 0)
+    assert [r.place for r in got] == list(range(len(rows))) and list(map(key, got)) == sorted(map(key, got))
+    seen = defaultdict(int)
+    for r in got:
+        seen[r.url_key] += 1
+        assert r.capture_no == seen[r.url_key]
+    assert all(r.record_type == "response" for r in got if r.page_id == rows[0][0]) == (rows[0][2] != "same" or rows[0][0] == min(i for i, _, t, _ in rows if t == "same" and i is not None))
+
+
 ENDS = ["", "\r", "\n", "\r\n", "\r\n\r", "\r\n\r\n", "\r\n\r\n\r\n", "\n\r\n", "\r\r\n", "\r\n\r\n\r\n\r\n"]
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -15,86 +15,153 @@ from .shared import Written
 
 
 class Graph:
-    """A hierarchical navigable small-world graph over distinct vectors.
+    """A hierarchical navigable small-world graph over distinct vectors, built by greedy insertion.
 
-    Level 0 holds all nodes, each further level about one in `degree` of the one below. A level's neighbours lie one
-    after another in one array (neighbours of node i at first[i]:first[i + 1]). A shard's size is bounded, so
-    candidates for neighbours are its exact nearest nodes; of those a node keeps ones that are nearer to it than to any
-    it has kept, and links run both ways. Nodes out of reach of the entry are tied to their nearest reachable node."""
+    Level 0 holds all nodes, each further level about one in `degree` of the one below. Nodes are inserted in growing
+    batches: a node descends from the entry to its own level and looks there for its nearest nodes with a beam, among
+    those inserted before and the others of its batch. Of these it keeps ones that are nearer to it than to any it has
+    kept. Links run both ways; a node with too many keeps the ones such a choice leaves. In the end nodes out of reach
+    of the entry are tied to their nearest reachable node, and a level's neighbours lie one after another in one array
+    (neighbours of node i at first[i]:first[i + 1])."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = 16, candidates: int = 48):
-        self.vectors = vectors
+    def __init__(self, vectors: np.ndarray, degree: int = 16, candidates: int = 64, batch: int = 32):
+        self.vectors, self.degree, self.candidates = vectors, degree, candidates
         n = len(vectors)
         draw = np.random.default_rng(n).random(n)
         level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / math.log(degree)).astype(int), 8)
-        level[0] = max(level.max(), level[0])
-        self.levels: list[tuple[np.ndarray, np.ndarray]] = []
-        for depth in range(int(level.max()) + 1):
-            nodes = np.flatnonzero(level >= depth)
-            self.levels.append(self._layer(nodes, degree, candidates))
+        level[0] = level.max()
         self.entry = 0
-
-    def _layer(self, nodes: np.ndarray, degree: int, candidates: int) -> tuple[np.ndarray, np.ndarray]:
-        points = self.vectors[nodes].astype(np.float32)
-        n, m = len(nodes), min(candidates, len(nodes) - 1)
-        pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-        norms = (points**2).sum(axis=1)
-        for at in range(0, n if m > 0 else 0, 512):
-            block = np.arange(at, min(at + 512, n))
-            far = norms[block, None] + norms[None, :] - 2 * points[block] @ points.T
-            far[np.arange(len(block)), block] = np.inf
-            near = np.argpartition(far, m - 1, axis=1)[:, :m]
-            own = np.take_along_axis(far, near, axis=1)
-            order = np.argsort(own, axis=1, kind="stable")
-            near, own = np.take_along_axis(near, order, axis=1), np.take_along_axis(own, order, axis=1)
-            cross = norms[near][:, :, None] + norms[near][:, None, :] - 2 * points[near] @ points[near].transpose(0, 2, 1)
-            chosen = np.zeros((len(block), m), dtype=bool)
-            closest = np.full((len(block), m), np.inf)
-            for k in range(m):
-                take = (own[:, k] < closest[:, k]) & (chosen.sum(axis=1) < degree)
-                chosen[:, k] = take
+        #: While building, a row of neighbours for each node and level, -1 where there is none.
+        self.rows = [np.full((n, 2 * degree if depth == 0 else degree), -1, dtype=np.int32) for depth in range(int(level.max()) + 1)]
+        at = 1
+        while at < n:
+            nodes = np.arange(at, min(at + max(batch, min(at // 4, 512)), n))
+            self._insert(nodes, level[nodes])
+            at += len(nodes)
+        self.levels = [self._flat(depth, np.flatnonzero(level >= depth)) for depth in range(len(self.rows))]
+        del self.rows
+
+    def _insert(self, nodes: np.ndarray, level: np.ndarray) -> None:
+        start = np.full((len(nodes), 1), self.entry)
+        for depth in range(len(self.rows) - 1, -1, -1):
+            wide = np.flatnonzero(level >= depth)
+            narrow = np.flatnonzero(level < depth)
+            fresh = start.copy()
+            if len(narrow):
+                fresh[narrow] = self._beam(self.vectors[nodes[narrow]], start[narrow], self._row_of(depth), 1)[0][:, :1]
+            if len(wide):
+                found, far = self._beam(self.vectors[nodes[wide]], start[wide], self._row_of(depth), self.candidates)
+                fresh[wide] = found[:, :1]
+                self._connect(depth, nodes[wide], found, far)
+            start = fresh
+
+    def _connect(self, depth: int, nodes: np.ndarray, found: np.ndarray, far: np.ndarray) -> None:
+        points = self.vectors[nodes]
+        beside = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+        np.fill_diagonal(beside, np.inf)
+        m = min(self.candidates, len(nodes))
+        own = np.argpartition(beside, m - 1, axis=1)[:, :m]
+        near = np.concatenate((found, nodes[own]), axis=1)
+        far = np.concatenate((far, np.take_along_axis(beside, own, axis=1)), axis=1)
+        order = np.argsort(far, axis=1, kind="stable")[:, : self.candidates]
+        near, far = np.take_along_axis(near, order, axis=1), np.take_along_axis(far, order, axis=1)
+        row, column = np.nonzero(self._diverse(near, far, self.degree))
+        one, two = nodes[row], near[row, column]
+        self._link(depth, np.concatenate((one, two)), np.concatenate((two, one)))
+
+    def _diverse(self, near: np.ndarray, far: np.ndarray, most: int) -> np.ndarray:
+        """Which of the neighbours (nearest first, inf: none) are nearer to the node than to any chosen before."""
+        chosen = np.zeros(near.shape, dtype=bool)
+        for at in range(0, len(near), 256):
+            rows = slice(at, at + 256)
+            points = self.vectors[near[rows]].astype(np.float32)
+            norms = (points**2).sum(axis=2)
+            cross = norms[:, :, None] + norms[:, None, :] - 2 * points @ points.transpose(0, 2, 1)
+            closest = np.full(near[rows].shape, np.inf)
+            for k in range(near.shape[1]):
+                take = np.isfinite(far[rows, k]) & (far[rows, k] < closest[:, k]) & (chosen[rows].sum(axis=1) < most)
+                chosen[rows, k] = take
                 closest = np.where(take[:, None], np.minimum(closest, cross[:, k, :]), closest)
-            row, column = np.nonzero(chosen)
-            pairs.append(np.stack((block[row], near[row, column]), axis=1))
-        links = np.concatenate(pairs)
-        links = np.unique(np.concatenate((links, links[:, ::-1])), axis=0)
-        links = self._reach(links, points, n)
+        return chosen
+
+    def _link(self, depth: int, heads: np.ndarray, others: np.ndarray) -> None:
+        table = self.rows[depth]
+        touched = np.unique(heads)
+        row, column = np.nonzero(table[touched] >= 0)
+        pairs = np.unique(np.stack((np.concatenate((heads, touched[row])), np.concatenate((others, table[touched][row, column]))), axis=1), axis=0)
+        far = ((self.vectors[pairs[:, 0]] - self.vectors[pairs[:, 1]]) ** 2).sum(axis=1)
+        order = np.lexsort((far, pairs[:, 0]))
+        pairs, far = pairs[order], far[order]
+        place = np.searchsorted(touched, pairs[:, 0])
+        count = np.bincount(place, minlength=len(touched))
+        spot = np.arange(len(pairs)) - np.repeat(np.cumsum(count) - count, count)
+        near = np.zeros((len(touched), int(count.max())), dtype=np.int64)
+        span = np.full(near.shape, np.inf)
+        near[place, spot], span[place, spot] = pairs[:, 1], far
+        full = np.flatnonzero(count > table.shape[1])
+        kept = np.isfinite(span)
+        kept[full] = self._diverse(near[full], span[full], table.shape[1])
+        front = np.argsort(~kept, axis=1, kind="stable")[:, : table.shape[1]]
+        fresh = np.full((len(touched), table.shape[1]), -1, dtype=np.int32)
+        fresh[:, : front.shape[1]] = np.where(np.take_along_axis(kept, front, axis=1), np.take_along_axis(near, front, axis=1), -1)
+        table[touched] = fresh
+
+    def _row_of(self, depth: int) -> Callable[[np.ndarray], np.ndarray]:
+        return self.rows[depth].__getitem__
+
+    def _flat(self, depth: int, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, column = np.nonzero(self.rows[depth][nodes] >= 0)
+        inner = np.zeros(len(self.vectors), dtype=np.int64)
+        inner[nodes] = np.arange(len(nodes))
+        links = np.stack((row, inner[self.rows[depth][nodes][row, column]]), axis=1)
+        links = self._reach(links, self.vectors[nodes].astype(np.float32), len(nodes))
         first = np.zeros(len(self.vectors) + 1, dtype=np.int64)
         np.add.at(first, nodes[links[:, 0]] + 1, 1)
         return np.cumsum(first), nodes[links[:, 1]].astype(np.int32)
 
     @staticmethod
     def _reach(links: np.ndarray, points: np.ndarray, n: int) -> np.ndarray:
+        """The links, with more where they leave nodes that can't be reached from node 0."""
+        links = np.unique(links, axis=0)
+        seen = np.zeros(n, dtype=bool)
+        seen[0] = True
+        first = np.searchsorted(links[:, 0], np.arange(n + 1))
+        front = np.array([0])
         while True:
-            label = np.arange(n)
-            while True:
-                low = label.copy()
-                np.minimum.at(low, links[:, 0], label[links[:, 1]])
-                low = np.minimum(low, low[low])
-                if (low == label).all():
-                    break
-                label = low
-            lost = np.flatnonzero(label != 0)
+            while len(front):
+                size = first[front + 1] - first[front]
+                ahead = links[np.repeat(first[front] - (np.cumsum(size) - size), size) + np.arange(int(size.sum())), 1]
+                front = np.unique(ahead[~seen[ahead]])
+                seen[front] = True
+            lost = np.flatnonzero(~seen)
             if not len(lost):
                 return links
-            heads = lost[label[lost] == lost]
-            inside = np.flatnonzero(label == 0)
-            far = ((points[heads, None, :] - points[None, inside, :]) ** 2).sum(axis=2) if len(heads) * len(inside) < 4e6 else None
-            near = inside[far.argmin(axis=1)] if far is not None else np.array([inside[((points[inside] - points[h]) ** 2).sum(axis=1).argmin()] for h in heads])
-            extra = np.stack((heads, near), axis=1)
-            links = np.unique(np.concatenate((links, extra, extra[:, ::-1])), axis=0)
+            inside = np.flatnonzero(seen)
+            near = inside[((points[inside] - points[lost[0]]) ** 2).sum(axis=1).argmin()]
+            links = np.unique(np.concatenate((links, [[near, lost[0]], [lost[0], near]])), axis=0)
+            first = np.searchsorted(links[:, 0], np.arange(n + 1))
+            front = lost[:1]
+            seen[front] = True
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """For each query the nodes of its final beam, nearest first, and their squared distances (inf: none)."""
         at = np.full((len(queries), 1), self.entry)
         for depth in range(len(self.levels) - 1, 0, -1):
-            at = self._beam(queries, at, depth, 4)[0][:, :1]
-        return self._beam(queries, at, 0, min(beam, len(self.vectors)))
+            at = self._beam(queries, at, self._flat_row_of(depth), 4)[0][:, :1]
+        return self._beam(queries, at, self._flat_row_of(0), min(beam, len(self.vectors)))
 
-    def _beam(self, queries: np.ndarray, start: np.ndarray, depth: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    def _flat_row_of(self, depth: int) -> Callable[[np.ndarray], np.ndarray]:
         first, links = self.levels[depth]
-        n, rows = len(queries), np.arange(len(queries))
         widest = int(np.diff(first).max()) if len(links) else 0
+
+        def row(heads: np.ndarray) -> np.ndarray:
+            reach = first[heads][:, None] + np.arange(widest)
+            return np.where(reach < first[heads + 1][:, None], links[np.minimum(reach, max(len(links) - 1, 0))] if widest else -1, -1)
+
+        return row
+
+    def _beam(self, queries: np.ndarray, start: np.ndarray, neighbours: Callable[[np.ndarray], np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
+        n, rows = len(queries), np.arange(len(queries))
         seen = np.zeros((n, len(self.vectors)), dtype=bool)
         node = np.full((n, beam), -1)
         far = np.full((n, beam), np.inf)
@@ -102,7 +169,7 @@ class Graph:
         node[:, 0], done[:, 0] = start[:, 0], False
         far[:, 0] = ((self.vectors[start[:, 0]] - queries) ** 2).sum(axis=1)
         seen[rows, start[:, 0]] = True
-        while widest:
+        while True:
             open_far = np.where(done, np.inf, far)
             best = open_far.argmin(axis=1)
             who = np.flatnonzero(np.isfinite(open_far[rows, best]))
@@ -110,11 +177,9 @@ class Graph:
                 break
             best = best[who]
             done[who, best] = True
-            head = node[who, best]
-            reach = first[head][:, None] + np.arange(widest)
-            real = reach < first[head + 1][:, None]
-            next_node = np.where(real, links[np.minimum(reach, len(links) - 1)], 0)
-            fresh = real & ~seen[who[:, None], next_node]
+            next_node = neighbours(node[who, best])
+            fresh = next_node >= 0
+            fresh &= ~seen[who[:, None], np.maximum(next_node, 0)]
             row, column = np.nonzero(fresh)
             seen[who[row], next_node[row, column]] = True
             next_far = np.full(next_node.shape, np.inf)
@@ -147,7 +212,9 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
     """(shard, dim, graph): one graph for about shard_rows vectors of one dimension, as bytes of flat arrays.
 
     Rows are dealt out by a hash of their id, so neither sources nor equal vectors gather in a shard. Equal vectors of
-    a shard are one node with all their ids. Rows that usable() leaves out are in no shard."""
+    a shard are one node with all their ids; vectors of several dimensions have graphs of their own. Rows that usable()
+    leaves out (null ids and vectors, zero ones, null or non-finite components) are in no shard, repeated rows are in
+    one each, an empty table has none; other columns are not looked at."""
     rows = usable(vectors, id_col, vector_col)
     shards = int(rows.count() // shard_rows) + 1
 
@@ -166,14 +233,22 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
 
 
 def _packed(queries: DataFrame, block_rows: int) -> DataFrame:
-    """(dim, ids, points): queries of one dimension in blocks, as bytes."""
+    """(dim, chunk, ids, points): queries of one dimension in blocks, as bytes; a chunk is some blocks."""
     blocks = int(queries.count() // block_rows) + 1
 
     def pack(table: pa.Table) -> pa.Table:
         ids, points = _stacked(table)
-        return pa.table({"dim": pa.array([points.shape[1]], pa.int32()), "ids": pa.array([ids.tobytes()], pa.binary()), "points": pa.array([points.astype(np.float64).tobytes()], pa.binary())})
+        return pa.table({
+            "dim": pa.array([points.shape[1]], pa.int32()), "chunk": pa.array([table.column("block")[0].as_py() // CHUNK], pa.int64()),
+            "ids": pa.array([ids.tobytes()], pa.binary()), "points": pa.array([points.astype(np.float64).tobytes()], pa.binary()),
+        })
+
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    return dealt.groupBy("block", "dim").applyInArrow(pack, "dim int, chunk bigint, ids binary, points binary")
+
 
-    return queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks))).groupBy("block", "dim").applyInArrow(pack, "dim int, ids binary, points binary")
+#: So many blocks of queries are answered by a shard's graph at a time.
+CHUNK = 16
 
 
 def nearest(
@@ -185,27 +260,35 @@ def nearest(
     score is the Euclidean distance in double precision on the given vectors; ties go to the smaller vec_id. A query's
     own id is no candidate; only vectors of its dimension are. queries are rows like vectors. Rows without id, null or
     zero vectors and those with null or non-finite components take no part. Repeated rows of vectors count once for an
-    id and vector. Every shard answers every block of queries; what a shard finds for a query is k rows."""
+    id and vector; of query rows that share an id one is asked. Every shard answers every block of queries, a chunk of
+    blocks for each time its graph is loaded; what a shard finds for a query is k rows."""
     kept = Written(vectors.sparkSession, "graphs")
     distinct = vectors.select(id_col, vector_col).dropDuplicates()
     graphs = kept.put("graphs", build_index(distinct, id_col=id_col, vector_col=vector_col, shard_rows=shard_rows, degree=degree))
     blocks = kept.put("blocks", _packed(usable(queries, id_col, vector_col).dropDuplicates(["id"]), block_rows))
-    shards = graphs.select("shard", "dim")
-    work = blocks.join(shards, "dim").repartition("shard", "dim").join(graphs.hint("shuffle_hash"), ["shard", "dim"]).select("graph", "ids", "points")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for graph, ids, points in zip(*(batch.column(c) for c in ("graph", "ids", "points")), strict=True):
-                tree, members, first = pickle.loads(graph.as_py())
+    shards = graphs.select(F.col("shard").alias("at"), F.col("dim").alias("size"))
+    asked = blocks.join(shards, F.col("dim") == F.col("size")).select("at", "size", F.col("chunk").alias("part"), "ids", "points")
+    chunks = blocks.select(F.col("dim").alias("length"), F.col("chunk").alias("turn")).distinct()
+    loaded = graphs.join(chunks, F.col("dim") == F.col("length")).select("shard", "length", "turn", "graph")
+
+    def answer(shard: pa.Table, work: pa.Table) -> pa.Table:
+        out = [FOUND.empty_table()]
+        if shard.num_rows:
+            tree, members, first = pickle.loads(shard.column("graph")[0].as_py())
+            for ids, points in zip(work.column("ids"), work.column("points"), strict=True):
                 query_ids = np.frombuffer(ids.as_py(), dtype=np.int64)
-                asked = np.frombuffer(points.as_py(), dtype=np.float64).reshape(len(query_ids), -1)
-                yield _answers(tree, members, first, query_ids, asked, k, beam)
+                rows = np.frombuffer(points.as_py(), dtype=np.float64).reshape(len(query_ids), -1)
+                out.append(pa.Table.from_batches([_answers(tree, members, first, query_ids, rows, k, beam)]))
+        return pa.concat_tables(out)
 
-    found = work.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
+    found = loaded.groupBy("shard", "length", "turn").cogroup(asked.groupBy("at", "size", "part")).applyInArrow(answer, "query_id bigint, vec_id bigint, score double")
     ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+
 def _answers(tree: Graph, members: np.ndarray, first: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int, beam: int) -> pa.RecordBatch:
     nodes, _ = tree.search(asked, max(beam, k + 1))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -220,4 +303,4 @@ def _answers(tree: Graph, members: np.ndarray, first: np.ndarray, ids: np.ndarra
         best = np.lexsort((who, far))[:k]
         out.append((np.full(len(best), query), who[best], far[best]))
     columns = [pa.array(np.concatenate(c)) if out else pa.array([], t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=["query_id", "vec_id", "score"])
+    return pa.RecordBatch.from_arrays(columns, schema=FOUND)

@@ -62,13 +62,17 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .shared import Written, new_folder, remove
-    from .warc import capture_index, read_archives, write_archives
+    from .warc import capture_histories, capture_index, read_archives, write_archives
 
     folder = new_folder(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), folder)
-    entries = Written(spark, "captures").put("entries", read_archives(spark, folder))
+    kept = Written(spark, "captures")
+    entries = kept.put("entries", read_archives(spark, folder))
     remove(spark, folder)
-    return capture_index(entries).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    index = kept.put("index", capture_index(entries))
+    kept.drop("entries")
+    columns = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", F.unix_seconds("captured_at").alias("captured_s"), "place", "capture_no")
+    return capture_histories(index).select(*columns)
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,11 +145,13 @@ select documents.doc_id, count(s.i) as n_lines, count(*) filter (gone) as n_remo
   case when any_value(text) is not null then sha256(coalesce(string_agg(line, chr(10) order by s.i) filter (not gone), '')) end as kept_sha256
 from documents left join s using (doc_id) group by documents.doc_id""",
     "op5_warc": """
-with d as (select page_id, coalesce(html, '') as body from pages),
-e as (select page_id, strlen(body) as n, sha1(body) as h, min(page_id) over (partition by body) as first from d)
+with d as (select page_id, coalesce(html, '') as body, regexp_extract(coalesce(url, ''), '^[a-zA-Z]+://([^/:?#]*)(?::[0-9]*)?([^?#]*)([?][^#]*)?', ['host', 'path', 'query']) as u from pages),
+k as (select page_id, body, lower(array_to_string(list_reverse(string_split(regexp_replace(lower(u.host), '^www[.]', ''), '.')), ',') || ')' || case when u.path = '' then '/' else u.path end || u.query) as url_key from d),
+e as (select page_id, url_key, 1577836800 + page_id % 1500000000 as captured_s, strlen(body) as n, sha1(body) as h, min(page_id) over (partition by body) as first from k)
 select page_id, n as payload_bytes,
   list_aggregate(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::bigint >> (15 - 5 * (k % 4))) & 31), 1)), 'string_agg', '') as payload_digest,
-  case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to
+  case when first = page_id then 'response' else 'revisit' end as record_type, case when first <> page_id then first end as refers_to,
+  url_key, captured_s, row_number() over (order by url_key, captured_s, page_id) - 1 as place, row_number() over (partition by url_key order by captured_s, page_id) as capture_no
 from e""",
     "op6_decontamination": f"""
 with d as (select doc_id, regexp_extract_all(coalesce({_LOWER}, ''), {_ALNUM}) as w from documents),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 SETTING = "spark.checkpoint.dir"
 
 #: A class is broadcast in join_classes() if it has more than one row in so many of all rows.
-HEAVY_SHARE = 10_000
+HEAVY_SHARE = 2000
 #: What join_classes() must know of a table of classes.
 SIZES = {"total": F.sum, "least": F.min, "most": F.max}
 

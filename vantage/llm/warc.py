@@ -16,7 +16,7 @@ from .words import by_bytes
 
 END = b"\r\n\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ENTRY = "url_key string, captured_at timestamp, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
+ENTRY = "url_key string, captured_at timestamp_ltz, page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 EPOCH = "2020-01-01 00:00:00"
 
 
@@ -84,7 +84,9 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
     raw bytes and the line end is the blank lines that end a WARC record.
 
     Of rows with equal payloads of at least min_bytes the one with the smallest page_id is a response and the others
-    are revisits of it; null payloads count as empty, null ids are always responses. seconds (from the start of 2020)
+    are revisits of it; null payloads count as empty, null ids are always responses, and so are repeated rows of one id
+    and payload. A null URL is written as an empty one. An empty table gives an archive without records. Other columns
+    are not looked at. A file is one gzip stream, as Spark's writer makes it. seconds (from the start of 2020)
     gives the capture date; by default it is the page_id, reduced to fit into 50 years."""
     at = F.pmod(F.coalesce(F.col("page_id"), F.lit(0)), F.lit(1_500_000_000)) if seconds is None else seconds
     rows = mark_revisits(payload_digests(pages, id_col, url_col, payload_col, batch_bytes), min_bytes)
@@ -145,7 +147,8 @@ def parse(raw: bytes) -> tuple:
 
 
 def read_archives(spark: SparkSession, folder: str, chunk: int = 1024) -> DataFrame:
-    """Index entries of all records of gzipped WARC files, streamed record by record."""
+    """Index entries of all records of gzipped WARC files, streamed record by record: a row for each record, repeated
+    ones too; a null id stays null. A folder without records gives no rows; a damaged or cut off record is an error."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = (x for batch in batches for x in batch.column("value").to_pylist())
@@ -204,12 +207,14 @@ def loser_tree_merge(runs: list[list[tuple]]) -> Iterator[tuple]:
 
 
 def capture_index(entries: DataFrame, *, rows_per_range: int = 200_000) -> DataFrame:
-    """The entries in global order of (url_key, captured_at, page_id), with each one's place in its range.
+    """The entries in global order of (url_key, captured_at, page_id), null ids first, with each one's place in its range.
+    Repeated entries stay, next to each other; no entries give none.
 
     Each task sorts what it has read (a run). The runs are dealt out by ranges of the whole key, so that a host or
     URL with very many captures spreads over ranges; a range's task finds the ascending runs in what arrives and
     merges them with a loser tree. Ranges have about rows_per_range entries, whatever the number of rows. Column
-    range_id is ascending in key order and range_place counts within, so sorting by both gives the global order."""
+    range_id is ascending in key order and range_place counts within, so sorting by both gives the global order;
+    key_place numbers the captures of a key within the range, from 1."""
     order = ["url_key", "captured_at", "page_id"]
     runs = entries.sortWithinPartitions(*order)
     ranges = int(entries.count() // rows_per_range) + 1
@@ -228,11 +233,36 @@ def capture_index(entries: DataFrame, *, rows_per_range: int = 200_000) -> DataF
                 runs[-1].append(key)
         part = TaskContext.get().partitionId()
         merged = loser_tree_merge(runs) if runs else iter(())
-        place = 0
+        place, last, nth = 0, None, 0
         while held := [x for _, x in zip(range(4096), merged)]:
             columns = [pa.array(list(c), t) for c, t in zip(zip(*(x[4] for x in held), strict=True), _TYPES.types, strict=True)]
-            spot = [pa.array([part] * len(held), pa.int64()), pa.array(range(place, place + len(held)), pa.int64())]
+            numbers = []
+            for key in held:
+                nth = nth + 1 if key[0] == last else 1
+                last = key[0]
+                numbers.append(nth)
+            spot = [pa.array([part] * len(held), pa.int64()), pa.array(range(place, place + len(held)), pa.int64()), pa.array(numbers, pa.int64())]
             place += len(held)
-            yield pa.RecordBatch.from_arrays([*columns, *spot], names=[*names, "range_id", "range_place"])
+            yield pa.RecordBatch.from_arrays([*columns, *spot], names=[*names, "range_id", "range_place", "key_place"])
 
-    return runs.repartitionByRange(ranges, *order).mapInArrow(run, f"{ENTRY}, range_id bigint, range_place bigint")
+    return runs.repartitionByRange(ranges, *order).mapInArrow(run, f"{ENTRY}, range_id bigint, range_place bigint, key_place bigint")
+
+
+def capture_histories(index: DataFrame) -> DataFrame:
+    """The entries of a written capture_index() with place, their number in the whole order from 0, and capture_no, their
+    number among the captures of their url_key from 1. What a range starts with, its first key's captures in the ranges
+    before included, comes from one row for each range."""
+    ends = index.groupBy("range_id").agg(
+        F.count("*").alias("n"), F.min_by("url_key", "range_place").alias("first"), F.max_by(F.struct("url_key", "key_place"), "range_place").alias("last")
+    )
+    rows, total, key, carried = [], 0, None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["range_id"]):
+        before = carried if r["first"] == key else 0
+        rows.append((r["range_id"], total, r["first"], before))
+        total += r["n"]
+        carried = r["last"]["key_place"] + (before if r["last"]["url_key"] == r["first"] else 0)
+        key = r["last"]["url_key"]
+    starts = index.sparkSession.createDataFrame(rows, "range_id bigint, __total bigint, __first string, __before bigint")
+    joined = index.join(F.broadcast(starts), "range_id")  # a row for each range
+    more = F.when(F.col("url_key") == F.col("__first"), F.col("__before")).otherwise(F.lit(0))
+    return joined.withColumns({"place": F.col("__total") + F.col("range_place"), "capture_no": F.col("key_place") + more}).drop("__total", "__first", "__before", "key_place")
