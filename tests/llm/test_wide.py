@@ -270,6 +270,19 @@ def test_hub_outside_open_buckets_loses_no_link(spark, monkeypatch):
     assert got == {d: c for d, (_, c) in near(rows, 1).items()} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4}
 
 
+def test_near_duplicates_with_text_ids_and_clashing_names(spark):
+    """Ids are texts; the table has columns that the operator uses itself, and a bucket stays open for a round."""
+    words = [f"c{i}" for i in range(100)]
+    rows = [(f"id {k:02d}", " ".join([f"n{i}" for i in range(4 * k)] + words[4 * k :])) for k in range(12)]
+    columns = ["n_shingles", "set_key", "bands", "component_id", "kept", "class_id", "id"]
+    docs = spark.createDataFrame([(*r, *columns) for r in rows], ", ".join(f"{c} string" for c in ["key", "body", *columns]))
+    options = {"id_col": "key", "text_col": "body", "width": 2}
+    got = {r.key: r.component_id for r in minhash.near_duplicates(docs, hub_rounds=1, **options).collect()}
+    assert got == {d: c for d, (_, c) in near(rows, 2).items()}
+    left = minhash.drop_near_duplicates(docs, **options)
+    assert left.columns == docs.columns and {r.key for r in left.collect()} == set(got.values())
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]

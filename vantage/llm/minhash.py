@@ -107,7 +107,8 @@ def near_duplicates(
     class_id is the smallest id with the same set, component_id the smallest id that links reach, kept is true for
     that one. Texts that are null or without words have an empty set and link with nothing. Rows without an id take
     no part: class_id and component_id are null and kept is true. Repeated rows give a row each. Rows that
-    share an id and differ in text are linked with what either of them links with.
+    share an id and differ in text are linked with what either of them links with. Ids may be of any type that has an
+    order; an empty table gives an empty one; other columns are not looked at.
 
     Candidates: documents that agree in all rows of a band of their min-max signature; with 48 bands of 6 rows a
     pair at 0.8 is missed once in two million. Equal sets are one candidate. A bucket is not expanded into pairs: its
@@ -155,7 +156,7 @@ def _open(members: DataFrame, labels: DataFrame, kept: Written, turn: object) ->
     component that most of its members belong to."""
     named = members.join(labels, members.id == labels.node, "left").select("cell", "id", "size", F.coalesce("component", "id").alias("label"))
     shares = named.groupBy("cell", "label").agg(F.count("*").alias("n"))
-    mixed = shares.groupBy("cell").agg(F.count("*").alias("labels"), F.max_by("label", F.struct(F.col("n"), -F.col("label"))).alias("hub")).filter("labels > 1").select("cell", "hub")
+    mixed = shares.groupBy("cell").agg(F.count("*").alias("labels"), F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("top")).filter("labels > 1").select("cell", F.col("top.label").alias("hub"))
     return kept.put(f"open{turn}", named.join(mixed, "cell"))
 
 
