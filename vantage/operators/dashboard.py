@@ -46,7 +46,7 @@ def look(table: Table, provenance: Provenance = Provenance()) -> Dashboard:
     """Profile, analysis, quality, charts and ranked findings. The table is read several times; it is kept in the
     executors' memory and on their disks meanwhile."""
     told = profile(table)
-    known = table if table.meanings else understood(table)
+    known = table if table.meanings else understood(table, told)
     known = known.with_frame(known.frame.persist(), meanings=told.meanings)
     try:
         found = analyse(known, told)

@@ -133,9 +133,10 @@ def _per_column(counts: DataFrame, token) -> DataFrame:
     return sums.join(tops, "name")
 
 
-def understood(table: Table) -> Table:
-    """The table with its columns' meanings; text columns that hold dates are read as moments once and for all."""
-    told = profile(table)
+def understood(table: Table, told: DatasetProfile | None = None) -> Table:
+    """The table with its columns' meanings, of its profile if that is known; text columns that hold dates are read as
+    moments once and for all."""
+    told = told or profile(table)
     dates = [c.name for c in told.columns if c.kind == DATETIME and c.dtype == "string"]
     frame = reduce(lambda f, n: f.withColumn(n, moment(col(n), table.kind(n))), dates, table.frame)
     return table.with_frame(frame, meanings=told.meanings)

@@ -45,7 +45,10 @@ def of_frame(frame: DataFrame, from_files: bool = False) -> Table:
     """A table over a DataFrame: NaN becomes null, columns of arrays, maps, structs and bytes are left out."""
     plain = [f.name for f in frame.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
     rows = with_rows(frame, from_files)
-    return Table(rows.select(*(none_missing(col(c), frame.schema[c].dataType).alias(c) for c in plain), ROW))
+    # A scan can't look through the change of NaN to null, so filters also see the doubles as they are stored.
+    raw = {c: f"__raw{k}" for k, c in enumerate(plain) if isinstance(frame.schema[c].dataType, T.DoubleType)} if from_files else {}
+    made = (none_missing(col(c), frame.schema[c].dataType).alias(c) for c in plain)
+    return Table(rows.select(*made, *(col(c).alias(h) for c, h in raw.items()), ROW), raw=raw)
 
 
 def read_parquet(spark: SparkSession, path: str) -> Table:

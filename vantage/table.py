@@ -32,6 +32,7 @@ class Table:
     meanings: tuple[Meaning, ...] = ()
     order: tuple[tuple[str, bool], ...] = ((ROW, True),)
     declared: dict[str, str] = field(default_factory=dict)  # semantic types set by a cast
+    raw: dict[str, str] = field(default_factory=dict)  # hidden columns with the numbers as they are stored, NaN included
 
     @property
     def names(self) -> list[str]:
@@ -58,5 +59,9 @@ class Table:
         """The visible columns, rows in their order."""
         return self.frame.orderBy(*self.ordering()).drop(*self.hidden())
 
+    def changed(self, name: str, frame: DataFrame, **changes) -> Table:
+        """with_frame() after the values of a column have changed: its stored numbers say nothing any more."""
+        return self.with_frame(frame, raw={n: k for n, k in self.raw.items() if n != name}, **changes)
+
     def with_frame(self, frame: DataFrame, **changes) -> Table:
         return replace(self, frame=frame, **changes)
