@@ -123,11 +123,11 @@ def _category(s: CategorySummary) -> list[Insight]:
     return out
 
 
-def generate(
+def findings(
     told: DatasetProfile, numeric: list[NumericSummary], categories: list[CategorySummary], pairs: list[Correlation], comparisons: list[Comparison], lines: list[Timeline], quality: Quality,
-    charts: list[Chart], provenance: Provenance = Provenance(),
+    provenance: Provenance = Provenance(),
 ) -> list[Insight]:
-    """All findings, then the ranked choice of them, linked to the chart that shows the same columns."""
+    """All findings, unranked."""
     split = {i.column for i in quality.issues if i.kind == "suspicious_categories"}
     found = [_correlation(c, provenance.rows_are_groups) for c in pairs] + [_difference(c, split, provenance.rows_are_groups) for c in comparisons]
     for t in lines:
@@ -139,9 +139,24 @@ def generate(
     for c in told.columns:
         if c.missing_ratio >= MISSING:
             found.append(Insight(f"missing_data:{c.name}", "missing_data", f"{c.name} is often missing", f"{percent(c.missing_ratio)} of {number(told.n_rows)} rows have no value.", (c.name,), min(c.missing_ratio / MISSING_FULL, 1.0), told.n_rows))
-    shown = {"correlation": "scatter", "group_difference": "box", "trend": "line", "seasonality": "line", "sudden_change": "line", "outliers": "histogram", "skewed_distribution": "histogram", "dominant_category": "bar", "rare_categories": "bar"}
+    return [i for i in found if i is not None]
+
+
+#: The chart that shows the columns of a finding.
+SHOWN = {
+    "correlation": "scatter", "group_difference": "box", "trend": "line", "seasonality": "line", "sudden_change": "line", "outliers": "histogram",
+    "skewed_distribution": "histogram", "dominant_category": "bar", "rare_categories": "bar",
+}
+
+
+def generate(
+    told: DatasetProfile, numeric: list[NumericSummary], categories: list[CategorySummary], pairs: list[Correlation], comparisons: list[Comparison], lines: list[Timeline], quality: Quality,
+    charts: list[Chart], provenance: Provenance = Provenance(),
+) -> list[Insight]:
+    """The ranked choice of all findings, each linked to the chart that shows the same columns."""
     places = {(c.kind, c.columns): k for k, c in enumerate(charts)}
-    return [replace(i, chart=places.get((shown.get(i.kind), i.columns))) for i in rank([i for i in found if i is not None])]
+    found = findings(told, numeric, categories, pairs, comparisons, lines, quality, provenance)
+    return [replace(i, chart=places.get((SHOWN.get(i.kind), i.columns))) for i in rank(found)]
 
 
 def rank(found: list[Insight]) -> list[Insight]:

@@ -285,4 +285,6 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "kind string, name string, detail string, value double")
 
 
+from . import look_queries  # noqa: E402, F401  (adds the queries of the first look)
+
 __all__ = ["ORACLE_SQL", "QUERIES", "load", "moment", "of_frame", "understood"]
