@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from vantage.llm import ann, chat_format, line_dedup, minhash, shared, substring_dedup, warc
 from vantage.llm.components import components
+from vantage.llm.fm_index import FMIndex
 from vantage.llm.shared import Written, join_classes
 
 DOCS = "doc_id bigint, text string, lang string, runs int, spans string"
@@ -54,10 +55,10 @@ def repeated(rows, window):
     return out
 
 
-@pytest.mark.parametrize("seed,shard_bytes", [(1, 4 << 20), (2, 600)])
-def test_substrings_equal_loops(spark, seed, shard_bytes):
+@pytest.mark.parametrize("seed,shard_bytes,mark_bytes", [(1, 4 << 20, 1 << 20), (2, 600, 1 << 20), (3, 600, 400)])
+def test_substrings_equal_loops(spark, seed, shard_bytes, mark_bytes):
     rows = made_texts(seed, 60) + [r[:2] for r in ODD]
-    got = substring_dedup.dedup_substrings(frame(spark, rows), shard_bytes=shard_bytes, batch_bytes=2000).collect()
+    got = substring_dedup.dedup_substrings(frame(spark, rows), shard_bytes=shard_bytes, mark_bytes=mark_bytes, batch_bytes=2000).collect()
     want = repeated(rows, 20)
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256, r.kept_text) for r in got if r.doc_id is not None} == want
     assert sum(x[1] for x in want.values()) > 500
@@ -66,6 +67,17 @@ def test_substrings_equal_loops(spark, seed, shard_bytes):
         assert r.n_removed == sum(s.stop - s.start for s in r.spans)
 
 
+def test_matching_statistics_equal_loops():
+    rng = np.random.default_rng(4)
+    text = np.concatenate([np.append(rng.integers(1, 4, n), 0) for n in (40, 25, 60)])
+    index = FMIndex(text.astype(np.int64), 4)
+    ends = np.array([e for e in range(8, len(text)) if (text[e - 8 : e] > 0).all()])
+    length, low, high = substring_dedup.matching_statistics(index, text, ends, 8)
+    for e, n, a, b in zip(ends, length, low, high, strict=True):
+        times = [sum((text[i : i + k] == text[e - k : e]).all() for i in range(len(text) - k + 1)) for k in range(1, 9)]
+        assert n == sum(t > 1 for t in times) and b - a == (times[n - 1] if n else len(text))
+
+
 def test_substrings_edges(spark):
     assert substring_dedup.dedup_substrings(frame(spark, ODD).limit(0)).count() == 0
     text = " ".join(map(str, range(30)))

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 SETTING = "spark.checkpoint.dir"
+#: Spark's setting by which a query's shuffle files go when it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: A class is broadcast in join_classes() if it has more than one row in so many of all rows.
 HEAVY_SHARE = 2000
@@ -60,12 +62,16 @@ class Written:
         if measures:
             seen = Observation()
             frame = frame.observe(seen, *(c.alias(n) for n, c in measures.items()))
+        kept_shuffles = self.spark.conf.get(CLEANUP, "false")
         try:
+            self.spark.conf.set(CLEANUP, "true")  # what comes next reads the table, not the shuffles behind it
             frame.write.parquet(folder)
         except Exception:
             remove(self.spark, folder)
             self.only()
             raise
+        finally:
+            self.spark.conf.set(CLEANUP, kept_shuffles)
         self.folders[key] = folder
         if measures:
             found = seen.get

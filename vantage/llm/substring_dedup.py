@@ -88,11 +88,29 @@ def _segments(cut: DataFrame, window: int, batch_bytes: int) -> DataFrame:
     return cut.select("doc", "text", "runs").mapInArrow(run, f"mark bigint, words binary, doc {kind}, start int")
 
 
+def matching_statistics(index: FMIndex, text: np.ndarray, ends: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each end in the text: how many symbols before it, `most` at the most, also stand elsewhere in the index, and
+    the rows of the index that start with them. All ends are searched backwards together; one whose rows are down to its
+    own has its statistic."""
+    low, high = index.start(len(ends))
+    length = np.zeros(len(ends), dtype=np.int64)
+    live = np.arange(len(ends))
+    for step in range(most):
+        a, b = index.extend(text[ends[live] - 1 - step], low[live], high[live])
+        more = b - a > 1
+        live = live[more]
+        if not len(live):
+            break
+        low[live], high[live] = a[more], b[more]
+        length[live] += 1
+    return length, low, high
+
+
 def first_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     """For segments in order: the windows of each that start nowhere earlier, as spans (rows of start and stop).
 
-    One FM-index holds the shard. All windows are searched backwards together; a window whose range is down to one
-    row is its own only copy. The others are located, and the smallest position of a range is the first copy."""
+    One FM-index holds the shard, and the segments are streamed against it. Where a matching statistic reaches the
+    window, its rows are located, and the smallest position among them is the first copy; the others are later ones."""
     table: dict[bytes, int] = {}
     rows = [[table.setdefault(w, len(table) + 1) for w in x.split()] for x in segments]
     lengths = np.array([len(x) for x in rows], dtype=np.int64)
@@ -103,14 +121,9 @@ def first_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     index = FMIndex(text, len(table) + 1)
     n = lengths - window + 1
     place = np.repeat(begins - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-    low, high = index.start(len(place))
-    live = np.arange(len(place))
-    for step in range(window - 1, -1, -1):
-        low[live], high[live] = index.extend(text[place[live] + step], low[live], high[live])
-        live = live[high[live] - low[live] > 1]
-        if not len(live):
-            break
+    length, low, high = matching_statistics(index, text, place + window, window)
     first = np.ones(len(place), dtype=bool)
+    live = np.flatnonzero(length == window)
     if len(live):
         ranges, which = np.unique(low[live], return_inverse=True)
         ends = np.zeros(len(ranges), dtype=np.int64)
@@ -127,6 +140,32 @@ def first_windows(segments: list[bytes], window: int) -> list[np.ndarray]:
     return out
 
 
+def _windows(segments: DataFrame, window: int) -> DataFrame:
+    """The segments' windows as segments of their own, each under a mark that its own words make."""
+    kind = segments.schema["doc"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 4096) for at in range(0, whole.num_rows, 4096)):
+                marks, words, owners, starts = [], [], [], []
+                for k, (text, start) in enumerate(zip(batch.column("words").to_pylist(), batch.column("start").to_pylist(), strict=True)):
+                    hashes, _, _, _ = hashed_words([text])
+                    row = text.split()
+                    for at, mark in enumerate(grams(hashes, window).view(np.int64).tolist()):
+                        marks.append(mark)
+                        words.append(b" ".join(row[at : at + window]))
+                        owners.append(k)
+                        starts.append(start + at)
+                yield pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(words, pa.binary()), batch.column("doc").take(pa.array(owners, pa.int64())), pa.array(starts, pa.int32())], names=["mark", "words", "doc", "start"])
+
+    return segments.select("mark", "words", "doc", "start").mapInArrow(run, f"mark bigint, words binary, doc {kind}, start int")
+
+
+def _distinct(segments: DataFrame) -> DataFrame:
+    """Equal segments as one, with the first place of all."""
+    return segments.groupBy("mark", "words").agg(F.min(F.struct("doc", "start")).alias("first")).select("mark", "words", "first.doc", "first.start")
+
+
 def _firsts(distinct: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     """(doc, start, stop): spans of candidate windows that are first copies, from rows (mark, words, doc, start) that
     lie sorted by mark; a shard holds whole marks."""
@@ -169,14 +208,15 @@ def _firsts(distinct: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     return distinct.select("mark", "words", "doc", "start").mapInArrow(run, f"doc {kind}, start bigint, stop bigint")
 
 
-def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20, mark_bytes: int = 1 << 20) -> DataFrame:
     """(doc, windows, firsts) of the documents that hold candidate windows: spans of window starts that may repeat,
     and spans of those among them that are the first copy. The other candidates start earlier somewhere.
 
     A window's mark is its smallest hashed gram of five words; runs of neighbouring windows share one. Only runs whose
     mark occurs twice can repeat. Their words are grouped (equal runs become one, with the first place of each), dealt
-    out by mark and searched in an FM-index per shard. Marks are joined and grouped with partial sums; words decide,
-    not hashes. Rows without id or text take no part."""
+    out by mark and searched in an FM-index per shard. A mark with more than mark_bytes of distinct words is dealt out
+    by its windows instead, so that no shard holds it whole. Marks are joined and grouped with partial sums; words
+    decide, not hashes. Rows without id or text take no part."""
     spark = docs.sparkSession
     kept = Written(spark, "substring")
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and text is not null")
@@ -186,10 +226,14 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     lists = kept.put("lists", lists)
     kept.drop("runs")
     segments = _segments(rows.join(lists.hint("shuffle_hash"), "doc"), window, batch_bytes)
-    distinct = segments.groupBy("mark", "words").agg(F.min(F.struct("doc", "start")).alias("first")).select("mark", "words", "first.doc", "first.start")
-    dealt = kept.put("distinct", distinct)
+    dealt = kept.put("distinct", _distinct(segments), n=F.count("*"))
+    sizes = dealt.groupBy("mark").agg(F.sum(F.octet_length("words")).alias("size"))
+    hot = kept.put("hot", sizes.filter(F.col("size") > mark_bytes).select("mark"), n=F.count("*"))
+    if kept.told["hot"]["n"]:
+        parted = kept.put("parted", _distinct(_windows(dealt.join(hot, "mark", "left_semi"), window)))
+        dealt = dealt.join(hot, "mark", "left_anti").select("mark", "words", "doc", "start").unionByName(parted)
     firsts = kept.put("firsts", _firsts(dealt.repartition("mark").sortWithinPartitions("mark"), window, shard_bytes))
-    kept.drop("distinct")
+    kept.drop("distinct", "hot", "parted")
     by_doc = firsts.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("firsts"))
     out = lists.select("doc", F.transform("runs", lambda r: F.struct(r["start"].cast("bigint").alias("start"), (r["start"] + r["windows"]).cast("bigint").alias("stop"))).alias("windows"))
     return out.join(by_doc, "doc", "left").select("doc", "windows", F.coalesce("firsts", F.array().cast(SPANS)).alias("firsts"))
@@ -209,7 +253,7 @@ def removed_words(n: int, window: int, windows: list | None, firsts: list | None
     return np.cumsum(step)[:n] > 0
 
 
-def dedup_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20) -> DataFrame:
+def dedup_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20, mark_bytes: int = 1 << 20) -> DataFrame:
     """(id, n_words, n_removed, spans, kept_text, kept_sha256) of each document.
 
     Words are blank-separated and unchanged. A word goes if a window of `window` consecutive words of its document
@@ -218,7 +262,7 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id
 
     Null text: no words, and empty kept text. A row without id takes no part and keeps its words. Repeated rows
     (equal id and text) count as one document and get a row each. Other columns are not looked at."""
-    found = repeated_spans(docs, window=window, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, shard_bytes=shard_bytes)
+    found = repeated_spans(docs, window=window, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, shard_bytes=shard_bytes, mark_bytes=mark_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(found.hint("shuffle_hash"), "doc", "left").select("doc", "text", "windows", "firsts")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
