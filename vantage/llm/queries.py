@@ -76,13 +76,6 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .chat_format import format_preferences, swapped_replies
-
-    return format_preferences(*swapped_replies(table(spark, sf_dir, "conversations")))
-
-
-def op8_chat_format_next(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for every conversation with a reply, where the SQL of op8_chat_format drops those without a neighbour."""
     from .chat_format import format_preferences, next_replies
 
     return format_preferences(*next_replies(table(spark, sf_dir, "conversations")))
@@ -109,7 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontamination": op6_decontamination,
     "op7_license_scan": op7_license_scan,
     "op8_chat_format": op8_chat_format,
-    "op8_chat_format_next": op8_chat_format_next,
     "op9_language_id": op9_language_id,
     "op10_near_duplicates": op10_near_duplicates,
     "pipeline": pipeline,
@@ -168,10 +160,11 @@ from d left join spots using (doc_id) left join items using (doc_id)""",
     "op8_chat_format": """
 with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null and turn is not null),
 k as (select conv_id, max(turn) as last from t where role = 'assistant' group by conv_id),
-e as (select t.*, last from t join k using (conv_id) where turn <= last),
-r as (select xor(conv_id, 1) as conv_id, role, text from e where turn = last and role = 'assistant'),
-c as (select conv_id, turn, role, text from e where conv_id in (select conv_id from r)),
-j as (select conv_id, turn, role, text from e where turn < last and conv_id in (select conv_id from r) union select r.conv_id, last, role, text from r join k using (conv_id)),
+o as (select conv_id, last, row_number() over (order by conv_id) as at, count(*) over () as n from k),
+p as (select o.conv_id, o.last, q.conv_id as giver, q.last as given from o join o as q on q.at = o.at % o.n + 1 where q.conv_id <> o.conv_id),
+c as (select conv_id, turn, role, text from t join p using (conv_id) where turn <= last),
+j as (select conv_id, turn, role, text from t join p using (conv_id) where turn < last
+      union select p.conv_id, p.last, t.role, t.text from p join t on t.conv_id = giver and t.turn = given and t.role = 'assistant'),
 s as (select 'chosen' as side, * from c union all select 'rejected', * from j),
 x as (select *, '<|' || coalesce(role, 'unknown') || '|>' || chr(10) as head, coalesce(text, '') as said from s),
 ct as (select conv_id, turn, string_agg(head || said, chr(10) order by role, text) as v from x where side = 'chosen' group by all),
