@@ -163,21 +163,23 @@ class Model:
         return out
 
 
-def char_counts(docs: DataFrame, lang_col: str, text_col: str, order: int, batch_bytes: int, chosen: Column | None = None) -> DataFrame:
-    """(lang, chosen, code, n) over all rows that have language and text; each batch sums its own before the shuffle."""
+def char_counts(docs: DataFrame, labels: list[str], lang_col: str, text_col: str, order: int, batch_bytes: int, apart: Column) -> DataFrame:
+    """(part, code, n) over all rows that have language and text: part is twice the label's number, and one more where
+    `apart` holds. Each batch sums its own before the shuffle."""
+    numbers = {label: 2 * k for k, label in enumerate(labels)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches, "text", batch_bytes):
-            parts: dict[tuple[str, bool], list[np.ndarray]] = {}
-            for lang, part, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "chosen", "text")), strict=True):
-                parts.setdefault((lang, part), []).append(codes_of(classes_of(text), order))
-            for (lang, part), rows in parts.items():
+            parts: dict[int, list[np.ndarray]] = {}
+            for lang, held, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "apart", "text")), strict=True):
+                parts.setdefault(numbers[lang] + held, []).append(codes_of(classes_of(text), order))
+            for part, rows in parts.items():
                 code, n = np.unique(np.concatenate(rows), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(code), pa.string()), pa.array([part] * len(code), pa.bool_()), pa.array(code), pa.array(n)], names=["lang", "chosen", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), part, np.int32)), pa.array(code), pa.array(n)], names=["part", "code", "n"])
 
-    part = F.coalesce(chosen, F.lit(False)) if chosen is not None else F.lit(False)
-    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), part.alias("chosen"), F.col(text_col).alias("text")).filter("lang is not null and text is not null")
-    return rows.mapInArrow(run, "lang string, chosen boolean, code bigint, n bigint").groupBy("lang", "chosen", "code").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.coalesce(apart, F.lit(False)).alias("apart"), F.col(text_col).alias("text"))
+    counts = rows.filter("lang is not null and text is not null").mapInArrow(run, "part int, code bigint, n bigint")
+    return counts.groupBy("part", "code").agg(F.sum("n").alias("n")).filter(F.col("code").bitwiseAND(F.lit(_mask(2))) > 0)  # two blanks are no letter
 
 
 def _shortened(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +188,15 @@ def _shortened(codes: np.ndarray, counts: np.ndarray, order: int) -> tuple[np.nd
     return short.keys, short.values
 
 
+def _collected(counts: DataFrame, parts: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Codes and counts of each part."""
+    table = counts.toArrow()
+    part, code, n = (table.column(c).to_numpy() for c in ("part", "code", "n"))
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    return [(code[order[a:b]], n[order[a:b]]) for a, b in zip(edges, edges[1:], strict=False)]
+
+
 def _settled(models: list[KneserNey], counts: list[tuple[np.ndarray, np.ndarray]], langs: list[str], order: int) -> Model:
     """The models in shared sorted arrays."""
     grams, weights = [], []
@@ -226,26 +237,29 @@ def fit(
     labels = [r[0] for r in docs.select(F.col(lang_col).cast("string").alias("lang")).filter("lang is not null").distinct().limit(most_langs + 1).collect()]
     if len(labels) > most_langs:
         raise ValueError(f"{lang_col} has more than {most_langs} values")
-    most = max(orders)
+    labels, most = sorted(labels), max(orders)
     apart = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(held)) == 0
-    rows = char_counts(docs, lang_col, text_col, most, batch_bytes, apart).toPandas()
-    rows = rows[(rows["code"] & _mask(2)) > 0].sort_values("code")  # two blanks are no letter
-    langs = sorted(rows["lang"].unique())
-    counted = lambda lang, parts, order: _shortened(*(own := rows[(rows["lang"] == lang) & rows["chosen"].isin(parts)])[["code", "n"]].to_numpy().T, order)
-    both = [x for x in langs if all(len(counted(x, [p], most)[0]) for p in (True, False))]
+    counts = _collected(char_counts(docs, labels, lang_col, text_col, most, batch_bytes, apart), 2 * len(labels))
+    langs = [x for k, x in enumerate(labels) if len(counts[2 * k][0]) or len(counts[2 * k + 1][0])]
+    place = {x: 2 * labels.index(x) for x in langs}
+    part = lambda x, k, order: _shortened(*counts[place[x] + k], order)
+    both = [x for x in langs if len(counts[place[x]][0]) and len(counts[place[x] + 1][0])]
     loss = {}
     for order in orders:
-        tests = [(KneserNey(*counted(x, [False], order), order), *counted(x, [True], order)) for x in both]
-        loss[order] = sum(-(n * model.log_prob(codes)).sum() / n.sum() for model, codes, n in tests)
+        loss[order] = 0.0
+        for x in both:
+            codes, n = part(x, 1, order)
+            loss[order] -= (n * KneserNey(*part(x, 0, order), order).log_prob(codes)).sum() / n.sum()
     order = min(orders, key=loss.__getitem__) if both else most
     slack = UNCALIBRATED
     if both:
-        trial = [counted(x, [False], order) for x in both]
+        trial = [part(x, 0, order) for x in both]
         small = _settled([KneserNey(*c, order) for c in trial], trial, both, order)
         asked = docs.filter(apart & F.col(lang_col).cast("string").isin(both)).select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
         excess, n = predict(asked, small, id_col="id").agg(F.percentile_approx("excess", 1 - false_rejections, 100_000), F.count("excess")).first()
         slack = max(float(excess or 0.0), 0.0) + UNCALIBRATED * max(0.0, 1 - n * false_rejections)
-    taught = [counted(x, [True, False], order) for x in langs]
+    whole = lambda x: (np.concatenate(c) for c in zip(part(x, 0, order), part(x, 1, order), strict=True))
+    taught = [_shortened(*whole(x), order) for x in langs]
     return replace(_settled([KneserNey(*c, order) for c in taught], taught, langs, order), slack=slack)
 
 
