@@ -4,7 +4,7 @@ import datetime as dt
 
 import pytest
 
-from vantage.operators.profile import profile, understood
+from vantage.operators.profile import assumed, profile, understood
 from vantage.plans import recipe as R
 from vantage.plans import steps
 from vantage.plans.reasons import Refused
@@ -195,6 +195,21 @@ def test_forward_fill_over_blocks(spark, sort, monkeypatch):
     assert [r["v"] for r in out.ordered().collect()] == want
 
 
+def test_forward_fill_over_files_and_texts(spark, tmp_path, monkeypatch):
+    """Blocks of several files in file order, and of texts with a common beginning, gaps last."""
+    monkeypatch.setattr(steps, "BLOCK_ROWS", 20)
+    rows = [(f"{'long beginning' if k % 3 else 'x'} {k * 37 % 211:03d}" if k % 10 else None, None if k % 4 else k) for k in range(211)]
+    spark.createDataFrame(rows, "t string, v int").repartition(3).write.parquet(str(tmp_path / "x"))
+    table = assumed(read_parquet(spark, str(tmp_path / "x")))
+    for order in (None, "asc", "desc"):
+        now = R.run(table, make(op="sort_rows", columns=["t"], order=order)).table if order else table
+        last, want = None, []
+        for r in now.ordered().collect():
+            last = r.v if r.v is not None else last
+            want.append(last)
+        assert [r.v for r in now.with_frame(forward_filled(now, "v")).ordered().collect()] == want
+
+
 def test_quantile_bins_and_labels(spark):
     table = small(spark, [(float(k),) for k in range(1, 9)], "v double")
     out = R.run(table, make(**derive(kind="bin", column="v", quantiles=2)))

@@ -127,22 +127,28 @@ def unique_names(names: list[object]) -> list[str]:
     return out
 
 
-def _is_utf8(spark: SparkSession, path: str) -> bool:
-    """Whether all of the file is UTF-8; looked at on the executors, line by line."""
+def _form(spark: SparkSession, path: str) -> tuple[bool, bool]:
+    """Whether all of the file is UTF-8, and whether a quoted value holds a line break (a line with an odd number of
+    quotes); looked at on the executors, line by line."""
     lines = spark.read.text(path).select(F.col("value").cast("binary").alias("v"))
-    return lines.filter(~F.is_valid_utf8(F.col("v").cast("string"))).isEmpty()
+    odd = F.length(F.regexp_replace(F.col("v").cast("string"), '[^"]', "")) % 2 == 1
+    valid = F.is_valid_utf8(F.col("v").cast("string"))
+    told = lines.agg(F.coalesce(F.every(valid), F.lit(True)), F.coalesce(F.some(odd), F.lit(False))).first()
+    return told[0], told[1]
 
 
 def read_csv(spark: SparkSession, path: str) -> Table:
     """A delimited file with a header: delimiter sniffed, UTF-8 or else Latin-1, every standard token for no value read
-    as a gap, and each column promoted to whole numbers, numbers or booleans only if all its values can be."""
+    as a gap, and each column promoted to whole numbers, numbers or booleans only if all its values can be. The file is
+    split among tasks unless quoted values hold line breaks."""
     head = _content(spark, path, 1 << 20)
     sep = sniff_delimiter(head)
     text_head = head.removeprefix(b"\xef\xbb\xbf")
     first = re.split(rb"\r\n|\n|\r", text_head, maxsplit=1)[0]
     if first.count(sep.encode()) + 1 > MAX_COLUMNS:
         raise Unreadable(f"The file has more than {MAX_COLUMNS} columns.")
-    encoding = "UTF-8" if _is_utf8(spark, path) else "ISO-8859-1"
+    utf8, broken = _form(spark, path)
+    encoding = "UTF-8" if utf8 else "ISO-8859-1"
     rows = csv.reader(io.StringIO(text_head.decode(encoding, "replace"), newline=""), delimiter=sep)
     header = next(rows, None)
     if not header:
@@ -151,7 +157,7 @@ def read_csv(spark: SparkSession, path: str) -> Table:
         raise Unreadable("Its rows have more fields than its header.")
     names = unique_names(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"', "multiLine": True, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE", "maxColumns": MAX_COLUMNS + 1, "emptyValue": "", "nullValue": ""}
+    options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"', "multiLine": broken, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE", "maxColumns": MAX_COLUMNS + 1, "emptyValue": "", "nullValue": ""}
     frame = spark.read.options(**options).schema(schema).csv(path)
     gaps = frame.select(*(F.when(~col(n).isin(*MISSING_TOKENS), col(n)).alias(n) for n in names))
     return of_frame(promoted(gaps))
