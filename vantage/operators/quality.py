@@ -13,7 +13,7 @@ from ..functions.columns import col, label, num
 from ..plans.provenance import Provenance
 from ..table import BOOLEAN, CATEGORICAL, EMPTY, NUMERIC, TEXT, Table
 from .profile import DatasetProfile
-from .stats import fences
+from .stats import fences, quartiles
 
 #: Thresholds, tolerances and weights.
 MISSING_SHOWN, MISSING_WARNING, MISSING_SERIOUS = 0.01, 0.1, 0.5
@@ -78,12 +78,13 @@ def _facts(table: Table, told: DatasetProfile) -> _Facts:
     first = []
     for i, name in enumerate(numeric):
         x = num(col(name), table.kind(name))
-        first.append(F.struct(F.percentile(x, [0.25, 0.75]).alias("q"), F.count(x).alias("n")).alias(f"n{i}"))
+        first.append(F.struct(F.count(x).alias("n")).alias(f"n{i}"))
     for i, name in enumerate(texts):
         text = label(col(name), table.kind(name))
         first.append(F.struct(F.count(text).alias("n"), F.count(num(text, T.StringType())).alias("numbers"), F.count_if(text.rlike(BAD_SPACES)).alias("spaces")).alias(f"t{i}"))
     row = table.frame.agg(*first).first() if first else None
-    bounds = {n: fences(*(row[f"n{i}"]["q"] or (None, None))) for i, n in enumerate(numeric)}
+    middle = quartiles(table, numeric)
+    bounds = {n: fences(*middle.get(n, (None, None))) for n in numeric}
     outside = [(n, b) for n, b in bounds.items() if b]
     counted = table.frame.agg(*(F.count_if((num(col(n), table.kind(n)) < b[0]) | (num(col(n), table.kind(n)) > b[1])).alias(f"o{i}") for i, (n, b) in enumerate(outside))).first() if outside else None
     outliers = {n: (0, row[f"n{i}"]["n"]) for i, n in enumerate(numeric)}

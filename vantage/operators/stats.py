@@ -122,14 +122,14 @@ def moments_frame(table: Table, names: list[str]) -> DataFrame:
     unpivoted table, one shuffle for all columns."""
     cells = F.array(*(F.struct(F.lit(n).alias("name"), num(col(n), table.kind(n)).alias("x"), col(n).isNull().alias("gap")) for n in names))
     rows = table.frame.select(F.explode(cells).alias("c")).select("c.name", "c.x", "c.gap")
-    counted = rows.groupBy("name", "x").agg(F.count("*").alias("n"), F.count_if("gap").alias("gaps"))
-    n = F.col("n")
-    gauged = counted.groupBy("name").agg(
-        F.coalesce(F.sum(F.when(F.col("x").isNotNull(), n)), F.lit(0)).alias("count"), F.sum("gaps").alias("missing"),
-        F.percentile("x", [0.25, 0.5, 0.75], n).alias("q"), F.min("x").alias("min"), F.max("x").alias("max"), F.count("x").alias("unique"),
+    shape = rows.groupBy("name").agg(
+        F.count("x").alias("count"), F.count_if("gap").alias("missing"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
+        adjusted_skewness(F.col("x")).alias("skewness"),
     )
-    shape = rows.groupBy("name").agg(F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).alias("std"), adjusted_skewness(F.col("x")).alias("skewness"))
-    return gauged.join(shape, "name").select("name", "count", "missing", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "skewness", "unique")
+    unique = _counted(rows, ["name"], "x").groupBy("name").agg(F.count("*").alias("unique"))
+    q = quantiles(rows, ["name"], "x", [0.25, 0.5, 0.75])
+    joined = shape.join(q, "name", "left").join(unique, "name", "left")
+    return joined.select("name", "count", "missing", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "skewness", F.coalesce("unique", F.lit(0)).alias("unique"))
 
 
 def fences(q1: float | None, q3: float | None) -> tuple[float, float] | None:
@@ -205,44 +205,138 @@ def frequencies(table: Table, names: list[str]) -> list[CategorySummary]:
     return [CategorySummary(n, wholes[n]["count"] or 0, wholes[n]["missing"] or 0, wholes[n]["unique"], tuple(tops[n]), rare.get(n, 0)) if n in wholes else CategorySummary(n, 0, 0, 0, (), 0) for n in names]
 
 
-SLOT_VALUES, SLOTS = 50_000, 256
+SLOT_VALUES, SLOTS = 50_000, 1024
+#: Of the rows of a unit, the share above which a value's rank is broadcast and its rows are dealt out freely.
+HEAVY_SHARE = 2000
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank of each value within its keys. Distinct values are counted first and dealt into ranges by
-    rough quantiles of all of them, a range for about SLOT_VALUES; a range's ranks start after the counts of the ranges
-    below, so no task ranks all rows of a key."""
-    counts = rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+def slotted(counts: DataFrame, value: str) -> DataFrame:
+    """Adds the range that each value falls into: ranges by rough quantiles of all values, one for about SLOT_VALUES."""
     told = counts.agg(F.count("*").alias("n"), F.percentile_approx(value, [k / SLOTS for k in range(1, SLOTS)], 10_000).alias("q")).first()
     slots = min(SLOTS, told["n"] // SLOT_VALUES + 1)
     cuts = sorted({told["q"][SLOTS * k // slots - 1] for k in range(1, slots)})
-    slot = F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda acc, q: acc + (F.col(value) > q).cast("int")) if cuts else F.lit(0)
-    placed = counts.withColumn("__slot", slot)
+    slot = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col(value) > cut)) if cuts else F.lit(0)
+    return counts.withColumn("__slot", slot)
+
+
+def _below(placed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, __slot, __base, __sum, __total): how many rows lie in and below each range."""
     sums = placed.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__sum"))
-    below = Window.partitionBy(*keys).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*keys, "__slot", F.coalesce(F.sum("__sum").over(below), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy(*keys, "__slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.join(base, [*keys, "__slot"]).withColumn(name, F.col("__base") + F.coalesce(F.sum("__n").over(inside), F.lit(0)) + (F.col("__n") + 1) / 2.0)
-    return rows.join(ranked.select(*keys, value, F.col(name).cast("double").alias(name)), [*keys, value])
+    of_key = Window.partitionBy(*keys)
+    before = F.sum("__sum").over(of_key.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
+    return sums.select(*keys, "__slot", F.coalesce(before, F.lit(0)).alias("__base"), "__sum", F.sum("__sum").over(of_key).alias("__total"))
+
+
+def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+
+
+def _inside(placed: DataFrame, keys: list[str], value: str) -> Column:
+    """How many rows of the range lie below the value."""
+    return F.coalesce(F.sum("__n").over(Window.partitionBy(*keys, "__slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def ranked_values(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, value, __n, rank): the average rank of each value within its keys. A range's ranks start after the counts
+    of the ranges below, so no task ranks all rows of a key."""
+    placed = slotted(counts, value)
+    joined = placed.join(_below(placed, keys), [*keys, "__slot"])
+    rank = F.col("__base") + _inside(joined, keys, value) + (F.col("__n") + 1) / 2.0
+    return joined.select(*keys, value, "__n", rank.cast("double").alias("rank"))
+
+
+def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """Adds the average rank of each value within its keys."""
+    ranked = ranked_values(_counted(rows, keys, value), keys, value)
+    return rows.join(ranked.select(*keys, value, F.col("rank").alias(name)), [*keys, value])
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
+    """(keys, q): exact quantiles of the values of each key, between neighbours where they fall between. Only the ranges
+    that hold a wanted place are sorted, so no task sees all values of a key."""
+    placed = slotted(_counted(rows, keys, value), value)
+    spots = []
+    for i, share in enumerate(shares):
+        at = F.lit(share) * (F.col("__total") - 1)
+        low, high = F.floor(at), F.ceil(at)
+        spots += [F.struct(F.lit(i).alias("i"), low.alias("k"), F.when(low == high, 1.0).otherwise(high - at).alias("weight")), F.struct(F.lit(i).alias("i"), high.alias("k"), (at - low).alias("weight"))]
+    wanted = _below(placed, keys).withColumn("spot", F.explode(F.array(*spots)))
+    wanted = wanted.filter((F.col("spot.k") >= F.col("__base")) & (F.col("spot.k") < F.col("__base") + F.col("__sum"))).select(*keys, "__slot", "__base", "spot.*")
+    near = placed.join(wanted.select(*keys, "__slot").distinct(), [*keys, "__slot"], "left_semi")
+    near = near.withColumn("__before", _inside(near, keys, value))
+    here = (F.col("k") - F.col("__base") >= F.col("__before")) & (F.col("k") - F.col("__base") < F.col("__before") + F.col("__n"))
+    found = near.join(wanted, [*keys, "__slot"]).filter(here).groupBy(*keys, "i").agg(F.sum(F.col(value) * F.col("weight")).alias("x"))
+    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+
+
+def quartiles(table: Table, names: list[str]) -> dict[str, tuple[float, float]]:
+    """The quartiles of columns' finite numbers, of those that have any."""
+    if not names:
+        return {}
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), num(col(n), table.kind(n)).alias("x")) for n in names))
+    rows = table.frame.select(F.explode(cells).alias("c")).select("c.name", "c.x")
+    return {r["name"]: tuple(r["q"]) for r in quantiles(rows, ["name"], "x", [0.25, 0.75]).collect()}
+
+
+def quantiles_of(table: Table, name: str, shares: list[float]) -> list[float] | None:
+    """Exact quantiles of a column's finite numbers; none if it has none."""
+    rows = table.frame.select(F.lit(0).alias("all"), num(col(name), table.kind(name)).alias("x"))
+    found = quantiles(rows, ["all"], "x", shares).first()
+    return found["q"] if found else None
 
 
 def correlate(table: Table, names: list[str], most: int | None = MAX_PAIRS) -> list[Correlation]:
-    """Pearson and Spearman of every pair of numeric columns over rows that have both, strongest first."""
-    pairs = list(itertools.combinations(names, 2))
+    """Pearson and Spearman of every pair of numeric columns over rows that have both, strongest first.
+
+    Pearson takes plain sums over the table. Only the strongest pairs are ranked: a column once for all partners that
+    take none of its rows away. Pairs are counted by value before they meet the ranks."""
+    pairs = list(itertools.combinations(range(len(names)), 2))
     if not pairs:
         return []
-    cells = F.array(*(F.struct(F.lit(i).alias("pair"), num(col(a), table.kind(a)).alias("x"), num(col(b), table.kind(b)).alias("y")) for i, (a, b) in enumerate(pairs)))
-    rows = table.frame.select(F.explode(cells).alias("c")).select("c.pair", "c.x", "c.y").filter("x is not null and y is not null")
-    varied = rows.groupBy("pair").agg(F.count("*").alias("n"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy")).filter((F.col("n") >= LEAST_PAIRS) & (F.col("sx") > 0) & (F.col("sy") > 0)).select("pair")
-    kept = [r["pair"] for r in varied.collect()]
+    numbers = table.frame.select(*(num(col(n), table.kind(n)).alias(f"c{i}") for i, n in enumerate(names)))
+    c = lambda i: F.col(f"c{i}")
+    both = lambda a, b: F.when(c(b).isNotNull(), c(a))
+    told: dict[tuple[int, int], tuple] = {}
+    counts = numbers.agg(*(F.count(c(i)) for i in range(len(names)))).first()
+    for at in range(0, len(pairs), 100):
+        part = pairs[at : at + 100]
+        measures = (
+            F.struct(F.count(both(a, b)).alias("n"), F.covar_pop(c(a), c(b)).alias("xy"), F.stddev_pop(both(a, b)).alias("x"), F.stddev_pop(both(b, a)).alias("y")).alias(f"p{k}")
+            for k, (a, b) in enumerate(part)
+        )
+        sums = numbers.agg(*measures).first()
+        told.update({p: (s["n"], s["xy"] / (s["x"] * s["y"])) for p, s in zip(part, sums, strict=True) if s["n"] >= LEAST_PAIRS and s["x"] and s["y"]})
+    kept = sorted(told, key=lambda p: -abs(told[p][1]))[:most]
     if not kept:
         return []
-    rows = rows.filter(F.col("pair").isin(kept))
-    ranked = average_ranks(average_ranks(rows, ["pair"], "x", "rx"), ["pair"], "y", "ry")
-    told = ranked.groupBy("pair").agg(F.count("*").alias("n"), F.corr("x", "y").alias("r"), F.corr("rx", "ry").alias("rho")).collect()
-    out = [Correlation(*pairs[r["pair"]], r["n"], r["r"], r["rho"]) for r in sorted(told, key=lambda r: r["pair"])]
-    out.sort(key=lambda c: -abs(c.pearson))
-    return out if most is None else out[:most]
+    unit = lambda a, b: (a, None if told[min(a, b), max(a, b)][0] == counts[a] else b)
+    units = {u: k for k, u in enumerate(dict.fromkeys(u for a, b in kept for u in (unit(a, b), unit(b, a))))}
+    cells = F.array(*(F.struct(F.lit(k).alias("unit"), (c(a) if b is None else both(a, b)).alias("v")) for (a, b), k in units.items()))
+    ranks = ranked_values(_counted(numbers.select(F.explode(cells).alias("u")).select("u.*"), ["unit"], "v"), ["unit"], "v").persist()
+    try:
+        cells = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(units[unit(a, b)]).alias("ux"), F.lit(units[unit(b, a)]).alias("uy"), c(a).alias("x"), c(b).alias("y"), F.lit((told[a, b][0] + 1) / 2).alias("mean")) for k, (a, b) in enumerate(kept)))
+        rows = numbers.select(F.explode(cells).alias("p")).select("p.*").filter("x is not null and y is not null")
+        rows = rows.groupBy("pair", "ux", "uy", "mean", "x", "y").agg(F.count("*").alias("n"))
+        share = max(max(counts) // HEAVY_SHARE, 1)
+        rows = _with_ranks(_with_ranks(rows, ranks, "ux", "x", share), ranks, "uy", "y", share)
+        dx, dy, n = F.col("rank_x") - F.col("mean"), F.col("rank_y") - F.col("mean"), F.col("n")
+        sums = rows.groupBy("pair").agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy")).collect()
+    finally:
+        ranks.unpersist()
+    rho = {r["pair"]: r["xy"] / math.sqrt(r["xx"] * r["yy"]) for r in sums}
+    return [Correlation(names[a], names[b], *told[a, b], rho[k]) for k, (a, b) in enumerate(kept)]
+
+
+def _with_ranks(rows: DataFrame, ranks: DataFrame, unit: str, value: str, share: int) -> DataFrame:
+    """Adds rank_{value}. Ranks of values with more than `share` rows (HEAVY_SHARE of them for each unit at most) are
+    broadcast; their rows don't meet in one task."""
+    own = ranks.select(F.col("unit").alias(unit), F.col("v").alias(value), "__n", F.col("rank").alias("__rank"))
+    heavy = own.filter(F.col("__n") > share).select(unit, value, F.col("__rank").alias("__heavy"))
+    placed = rows.join(F.broadcast(heavy), [unit, value], "left")
+    dealt = F.when(F.col("__heavy").isNull(), F.col(unit)).otherwise(-1 - F.pmod(F.hash("pair", "x", "y"), F.lit(4096)))
+    light = own.filter(F.col("__n") <= share).select(F.col(unit).alias("__dealt"), F.col(value), "__rank")
+    joined = placed.withColumn("__dealt", dealt).join(light, ["__dealt", value], "left")
+    return joined.select(*rows.columns, F.coalesce("__heavy", "__rank").alias(f"rank_{value}"))
 
 
 def group_rows(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -255,8 +349,9 @@ def group_stats(rows: DataFrame) -> DataFrame:
     """(pair, g, n, mean, median, std, min, max, q1, q3, low, high) of groups of at least LEAST_GROUP values; low and high
     are the furthest values within the fences."""
     told = rows.groupBy("pair", "g").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.percentile("x", [0.25, 0.5, 0.75]).alias("q"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
+        F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
     ).filter(F.col("n") >= LEAST_GROUP)
+    told = told.join(quantiles(rows, ["pair", "g"], "x", [0.25, 0.5, 0.75]), ["pair", "g"])
     reach = FENCE * (F.col("q")[2] - F.col("q")[0])
     inside = (F.col("x") >= F.col("q")[0] - reach) & (F.col("x") <= F.col("q")[2] + reach)
     whiskers = rows.join(told.select("pair", "g", "q"), ["pair", "g"]).groupBy("pair", "g").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"))

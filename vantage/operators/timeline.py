@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import col, moment, num
 from ..table import Table
+from .stats import quantiles
 
 #: How periods are chosen and changes judged.
 DAILY_DAYS, WEEKLY_DAYS = 400, 2800
@@ -77,7 +78,7 @@ def typical_gaps(rows: DataFrame) -> DataFrame:
     inside = moments.select("measure", (micros(F.col("t")) - micros(F.lag("t").over(Window.partitionBy("measure", "month").orderBy("t")))).alias("gap"))
     ends = moments.groupBy("measure", "month").agg(F.min("t").alias("first"), F.max("t").alias("last"))
     between = ends.select("measure", (micros(F.col("first")) - micros(F.lag("last").over(Window.partitionBy("measure").orderBy("month")))).alias("gap"))
-    return inside.unionByName(between).filter("gap is not null").groupBy("measure").agg(F.percentile("gap", 0.5).alias("gap"))
+    return quantiles(inside.unionByName(between), ["measure"], "gap", [0.5]).select("measure", F.col("q")[0].alias("gap"))
 
 
 def resampled(rows: DataFrame, rule: str) -> DataFrame:
