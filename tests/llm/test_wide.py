@@ -536,3 +536,21 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in kept["packing"].select("doc_id").distinct().collect()} == set(clean)
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert whole.agg(F.sum("length")).first()[0] == kept["packing"].agg(F.sum("length")).first()[0]
+
+
+def test_pipeline_on_nothing_and_on_odd_rows(spark, tmp_path):
+    """Every stage takes an empty table, null and empty texts, null ids, repeated rows and columns that stages use
+    themselves; what it keeps has the columns it was given."""
+    import corpus_pipeline
+
+    names = ["lang", "source", "n_chars", "twin", "pos", "bands", "set_key", "spans", "__found_spans_", "rank", "sequence_id_"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names)
+    plain = "the quick brown fox jumps over the lazy dog and the cat sat down on the mat again"
+    rows = [(1, plain), (1, plain), (2, None), (3, ""), (None, plain), (4, f"{plain}\n{plain} twice"), (5, "x " * 3000)]
+    docs = spark.createDataFrame([(*r, "en", *["z"] * (len(names) - 1)) for r in rows], schema)
+    spark.createDataFrame([(1, "nothing of the kind"), (None, "x"), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        none, some = (stage(spark, d, str(tmp_path)) for d in (docs.limit(0), docs))
+        assert none.count() == 0 and some.count() > 0
+        if name != "packing":
+            assert none.columns == some.columns == docs.columns

@@ -120,7 +120,7 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_b
 
 def find_contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text",
-    item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 32 << 20,
+    item_col: str = "item_id", item_text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """Words of documents that lie inside an occurrence of a window of a benchmark item.
 
@@ -200,7 +200,7 @@ def cut_spans(text: bytes, spans: np.ndarray) -> bytes:
 
 def remove_contamination(
     docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 32 << 20,
+    item_text_col: str = "text", shard_bytes: int = 8 << 20, block_bytes: int = 8 << 20,
 ) -> DataFrame:
     """The documents with the hit spans cut out of their text; one of which no word is left goes.
 
