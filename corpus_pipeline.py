@@ -13,7 +13,8 @@ TOKENIZER = "word_bpe_49k.json"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled two thirds teach; those that the models reject go."""
+    """Documents in a language that the labelled two thirds teach; those that the models reject go, null and letterless
+    texts among them. Repeated rows stay, as do rows without an id; no labels at all: all with a letter stay."""
     return language_id.keep_known(docs, language_id.fit(docs.filter(~language_id.held_out())))
 
 
@@ -24,17 +25,19 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates. Null and wordless texts and rows without an id stay; of repeated
+    rows of a kept document all stay."""
     return minhash.drop_near_duplicates(docs)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts."""
+    """Benchmark passages are cut out of the texts; a document that loses all its words goes. Null and empty texts,
+    repeated rows and rows without an id stay."""
     return decontaminate.remove_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 4096 tokens, as pieces of documents with their token ids."""
+    """Sequences of 4096 tokens, as pieces of documents with their token ids; a null text counts as empty."""
     import public_tokenizers
 
     return packing.pack(docs, public_tokenizers.path(TOKENIZER))
@@ -53,6 +56,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of sf_dir, as packed pieces; an empty table gives none. Each stage's table is
+    dropped when the next one stands, the last when the session ends."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = Written(spark, "pipeline")
     before = None

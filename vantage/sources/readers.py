@@ -62,8 +62,7 @@ def _content(spark: SparkSession, path: str, most: int | None = None) -> bytes:
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     stream = system.open(where)
     try:
-        size = system.getFileStatus(where).getLen()
-        return bytes(stream.readNBytes(int(size if most is None else min(size, most))))
+        return bytes(stream.readNBytes(system.getFileStatus(where).getLen() if most is None else most))
     finally:
         stream.close()
 
@@ -100,7 +99,7 @@ def read_dataset(spark: SparkSession, path: str, *, max_bytes: int | None = MAX_
     if path.rstrip("/").lower().endswith(".parquet"):
         return check_table(read_parquet(spark, path))
     extension = check_upload(path, file_size(spark, path), max_bytes)
-    return check_table(read_csv(spark, path) if extension == ".csv" else read_xlsx(spark, path))
+    return check_table(read_csv(spark, path) if extension == ".csv" else read_xlsx(spark, path, max_bytes=max_bytes))
 
 
 def sniff_delimiter(head: bytes) -> str:
@@ -233,11 +232,15 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {k for k, x in enumerate(formats if formats is not None else ()) if is_date(int(x.get("numFmtId", 0)))}
 
 
-def read_xlsx(spark: SparkSession, path: str) -> Table:
-    """The first sheet of a workbook. The file's size is bounded, so the driver unpacks it."""
+def read_xlsx(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> Table:
+    """The first sheet of a workbook. The file's size is bounded, so the driver unpacks it; no more than max_bytes are
+    read, whatever the file system says of its size."""
     import pandas as pd
 
-    book = check_workbook(_content(spark, path))
+    content = _content(spark, path, None if max_bytes is None else max_bytes + 1)
+    if max_bytes is not None and len(content) > max_bytes:
+        raise Unreadable(f"The file is larger than {max_bytes >> 20} MB.")
+    book = check_workbook(content)
     try:
         root = ElementTree.fromstring(book.read("xl/workbook.xml"))
         first = next(root.iter(f"{_SHEET}sheet")).get(_RELATION)
