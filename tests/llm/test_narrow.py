@@ -1,6 +1,7 @@
 """Operators that need no shuffle, against plain loops: decontamination, licence scan, language, packing."""
 
 import hashlib
+import json
 import random
 import re
 import time
@@ -365,6 +366,42 @@ def test_packing_edges(spark):
     assert packing.pack(docs.unionByName(docs), TOKENIZER).agg({"length": "sum"}).first()[0] == 2 * packing.pack(docs, TOKENIZER).agg({"length": "sum"}).first()[0]
 
 
+def test_other_tokenizers_take_texts_whole(tmp_path):
+    """Only a file that prepares text exactly as the given one does is read word by word."""
+    assert packing.TokenIds(TOKENIZER).by_word
+    text = "A  text, with  some WORDS it's 12"
+    for change in ("blank", "token", "prefix"):
+        told = json.loads(open(TOKENIZER).read())
+        if change == "blank":
+            told["normalizer"]["normalizers"][1]["content"] = "_"
+        elif change == "token":
+            told["added_tokens"].append({**told["added_tokens"][0], "id": 49408, "content": "words"})
+        else:
+            told["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"] = True
+        path = tmp_path / f"{change}.json"
+        path.write_text(json.dumps(told))
+        own = packing.TokenIds(str(path))
+        assert not own.by_word and own.encode(text).tolist() == Tokenizer.from_file(str(path)).encode(text, add_special_tokens=False).ids
+
+
+def test_packing_with_null_ids_and_clashing_names(spark):
+    names = ["start", "length", "ids", "sequence_id", "offset", "doc_tokens"]
+    rows = [(None, "no id"), (None, "none either"), (1, "one"), (1, "one")]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    got = packing.pack(docs, TOKENIZER, width=8).collect()
+    assert sum(r.length for r in got) == sum(len(Tokenizer.from_file(TOKENIZER).encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    assert {r.doc_id for r in got} == {None, 1}
+
+
+def test_language_ties_and_clashing_names(spark):
+    """Two languages taught by the same texts: the first by name; columns that the operator uses itself."""
+    names = ["part", "code", "n", "apart", "score", "lang_pred", "id"]
+    rows = [(k, "the same words in both", lang, *names) for k in range(40) for lang in ("b", "a")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, " + ", ".join(f"`{n}` string" for n in names))
+    told = language_id.predict(docs, language_id.fit(docs, held=3)).collect()
+    assert {r.lang_pred for r in told} == {"a"} and all(0.4 < r.score < 0.6 for r in told) and len(told) == len(rows)
+
+
 def test_cuts_are_optimal():
     rng = random.Random(5)
     for _ in range(200):

@@ -21,7 +21,11 @@ from .words import by_bytes
 #: How the vocabulary file itself prepares text. Only then are its words found one by one; texts for any
 #: other file go to the tokenizer whole.
 _PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_NORMALIZERS = ["NFC", "Replace", "Lowercase"]
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUTS = [
+    {"type": "Split", "pattern": {"Regex": _PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 _PIECE = regex.compile(_PATTERN)
 #: Texts with anything else go to the tokenizer whole too: composition, case and blanks are plain only up to U+02FF.
 _PLAIN = regex.compile("[^\\x09-\\x0d\\x20-\\x84\\x86-\\x9f\\xa1-\\u012f\\u0131-\\u02ff]")
@@ -64,9 +68,9 @@ class TokenIds:
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self.model = self.tokenizer.model
         told = json.loads(self.tokenizer.to_str())
-        normalizers = [x["type"] for x in (told.get("normalizer") or {}).get("normalizers", [])]
-        cuts = (told.get("pre_tokenizer") or {}).get("pretokenizers", [])
-        self.by_word = normalizers == _NORMALIZERS and [x["type"] for x in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": _PATTERN} and cuts[0]["invert"]
+        normalizers, cuts = ((told.get(x) or {}).get(y, []) for x, y in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers")))
+        marks = all(x["content"].startswith("<|") for x in told.get("added_tokens") or ())  # texts with these go whole
+        self.by_word = normalizers == _NORMALIZERS and cuts == _CUTS and marks
         self.letters = _byte_letters()
         self.pieces = Recent(self._piece, CACHED_PIECES)
         self.runs = Recent(self._run, CACHED_RUNS)
