@@ -24,8 +24,10 @@ class Graph:
     of the entry are tied to their nearest reachable node, and a level's neighbours lie one after another in one array
     (neighbours of node i at first[i]:first[i + 1])."""
 
-    def __init__(self, vectors: np.ndarray, degree: int = 16, candidates: int = 64, batch: int = 32):
+    def __init__(self, vectors: np.ndarray, degree: int = 16, candidates: int = 48, batch: int = 32):
         self.vectors, self.degree, self.candidates = vectors, degree, candidates
+        self.scale = float(np.abs(vectors).max()) or 1.0
+        self.near = self._scaled(vectors)
         n = len(vectors)
         draw = np.random.default_rng(n).random(n)
         level = np.minimum((-np.log(np.maximum(draw, 1e-12)) / math.log(degree)).astype(int), 8)
@@ -41,6 +43,17 @@ class Graph:
         self.levels = [self._flat(depth, np.flatnonzero(level >= depth)) for depth in range(len(self.rows))]
         del self.rows
 
+    def _scaled(self, points: np.ndarray) -> np.ndarray:
+        """Points in single precision, as the graph compares them; answers are measured on the vectors as given."""
+        return (points / self.scale).astype(np.float32)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "near"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.near = self._scaled(self.vectors)
+
     def _insert(self, nodes: np.ndarray, level: np.ndarray) -> None:
         start = np.full((len(nodes), 1), self.entry)
         for depth in range(len(self.rows) - 1, -1, -1):
@@ -48,16 +61,17 @@ class Graph:
             narrow = np.flatnonzero(level < depth)
             fresh = start.copy()
             if len(narrow):
-                fresh[narrow] = self._beam(self.vectors[nodes[narrow]], start[narrow], self._row_of(depth), 1)[0][:, :1]
+                fresh[narrow] = self._beam(self.near[nodes[narrow]], start[narrow], self._row_of(depth), 1)[0][:, :1]
             if len(wide):
-                found, far = self._beam(self.vectors[nodes[wide]], start[wide], self._row_of(depth), self.candidates)
+                found, far = self._beam(self.near[nodes[wide]], start[wide], self._row_of(depth), self.candidates)
                 fresh[wide] = found[:, :1]
                 self._connect(depth, nodes[wide], found, far)
             start = fresh
 
     def _connect(self, depth: int, nodes: np.ndarray, found: np.ndarray, far: np.ndarray) -> None:
-        points = self.vectors[nodes]
-        beside = ((points[:, None, :] - points[None, :, :]) ** 2).sum(axis=2)
+        points = self.near[nodes]
+        norms = (points**2).sum(axis=1)
+        beside = np.maximum(norms[:, None] + norms[None, :] - 2 * points @ points.T, 0)
         np.fill_diagonal(beside, np.inf)
         m = min(self.candidates, len(nodes))
         own = np.argpartition(beside, m - 1, axis=1)[:, :m]
@@ -74,7 +88,7 @@ class Graph:
         chosen = np.zeros(near.shape, dtype=bool)
         for at in range(0, len(near), 256):
             rows = slice(at, at + 256)
-            points = self.vectors[near[rows]].astype(np.float32)
+            points = self.near[near[rows]]
             norms = (points**2).sum(axis=2)
             cross = norms[:, :, None] + norms[:, None, :] - 2 * points @ points.transpose(0, 2, 1)
             closest = np.full(near[rows].shape, np.inf)
@@ -89,7 +103,7 @@ class Graph:
         touched = np.unique(heads)
         row, column = np.nonzero(table[touched] >= 0)
         pairs = np.unique(np.stack((np.concatenate((heads, touched[row])), np.concatenate((others, table[touched][row, column]))), axis=1), axis=0)
-        far = ((self.vectors[pairs[:, 0]] - self.vectors[pairs[:, 1]]) ** 2).sum(axis=1)
+        far = self._far(pairs[:, 0], self.near[pairs[:, 1]])
         order = np.lexsort((far, pairs[:, 0]))
         pairs, far = pairs[order], far[order]
         place = np.searchsorted(touched, pairs[:, 0])
@@ -114,7 +128,7 @@ class Graph:
         inner = np.zeros(len(self.vectors), dtype=np.int64)
         inner[nodes] = np.arange(len(nodes))
         links = np.stack((row, inner[self.rows[depth][nodes][row, column]]), axis=1)
-        links = self._reach(links, self.vectors[nodes].astype(np.float32), len(nodes))
+        links = self._reach(links, self.near[nodes], len(nodes))
         first = np.zeros(len(self.vectors) + 1, dtype=np.int64)
         np.add.at(first, nodes[links[:, 0]] + 1, 1)
         return np.cumsum(first), nodes[links[:, 1]].astype(np.int32)
@@ -144,7 +158,8 @@ class Graph:
             seen[front] = True
 
     def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the nodes of its final beam, nearest first, and their squared distances (inf: none)."""
+        """For each query the nodes of its final beam, nearest first, and their scaled squared distances (inf: none)."""
+        queries = self._scaled(queries)
         at = np.full((len(queries), 1), self.entry)
         for depth in range(len(self.levels) - 1, 0, -1):
             at = self._beam(queries, at, self._flat_row_of(depth), 4)[0][:, :1]
@@ -160,6 +175,11 @@ class Graph:
 
         return row
 
+    def _far(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
+        apart = self.near[nodes]
+        apart -= points
+        return np.einsum("ij,ij->i", apart, apart)
+
     def _beam(self, queries: np.ndarray, start: np.ndarray, neighbours: Callable[[np.ndarray], np.ndarray], beam: int) -> tuple[np.ndarray, np.ndarray]:
         n, rows = len(queries), np.arange(len(queries))
         seen = np.zeros((n, len(self.vectors)), dtype=bool)
@@ -167,7 +187,7 @@ class Graph:
         far = np.full((n, beam), np.inf)
         done = np.ones((n, beam), dtype=bool)
         node[:, 0], done[:, 0] = start[:, 0], False
-        far[:, 0] = ((self.vectors[start[:, 0]] - queries) ** 2).sum(axis=1)
+        far[:, 0] = self._far(start[:, 0], queries)
         seen[rows, start[:, 0]] = True
         while True:
             open_far = np.where(done, np.inf, far)
@@ -183,7 +203,7 @@ class Graph:
             row, column = np.nonzero(fresh)
             seen[who[row], next_node[row, column]] = True
             next_far = np.full(next_node.shape, np.inf)
-            next_far[row, column] = ((self.vectors[next_node[row, column]] - queries[who[row]]) ** 2).sum(axis=1)
+            next_far[row, column] = self._far(next_node[row, column], queries[who[row]])
             every = np.concatenate((far[who], next_far), axis=1)
             pick = np.argpartition(every, beam - 1, axis=1)[:, :beam]
             far[who] = np.take_along_axis(every, pick, axis=1)
