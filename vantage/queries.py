@@ -1,4 +1,4 @@
-"""Named queries over the star schema and the event stream: one for each operator, with the SQL they must equal."""
+"""Named queries over the star schema and the event stream: recipes, statistics and timelines, with the SQL they must equal."""
 
 from __future__ import annotations
 
