@@ -87,6 +87,30 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_sentencepieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .sentencepieces import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode(encode(table(spark, sf_dir, "documents"), model), model)
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .resampling import resample
+
+    drawn = resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -104,6 +128,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_format": op8_chat_format,
     "op9_language_id": op9_language_id,
     "op10_near_duplicates": op10_near_duplicates,
+    "op11_collocations": op11_collocations,
+    "op12_sentencepieces": op12_sentencepieces,
+    "op13_resampling": op13_resampling,
     "pipeline": pipeline,
 }
 
@@ -189,4 +216,34 @@ links as (select a, b from pairs join n x on x.doc_id = a join n y on y.doc_id =
 reach as (select doc_id, doc_id as low from d union select links.a, reach.low from reach join links on links.b = reach.doc_id)
 select d.doc_id, coalesce(n_shingles, 0) as n_shingles, c.low as component_id, d.doc_id = c.low as kept
 from d left join n using (doc_id) join (select doc_id, min(low) as low from reach group by doc_id) c using (doc_id)""",
+    "op11_collocations": rf"""
+with p as (select coalesce(lang, 'und') as lang, regexp_extract_all(unnest(string_split_regex(coalesce({_LOWER}, ''), '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') as w from documents),
+n as (select lang, cast(sum(len(w)) as bigint) as n from p group by lang),
+g as (select lang, m, array_to_string(w[i:i + m - 1], ' ') as phrase from (select lang, w, m, unnest(range(1, len(w) - m + 2)) as i from p, (values (1), (2), (3)) as sizes(m) where len(w) >= m)),
+f as (select lang, m, phrase, count(*) as f from g group by all having count(*) >= 10),
+c as (select *, array_to_string(w[:k], ' ') as head, array_to_string(w[k + 1:], ' ') as rest from (select lang, m, phrase, f as a, string_split(phrase, ' ') as w, unnest(range(1, m)) as k from f where m > 1)),
+s as (select c.*, x.f as l, y.f as r, cast((cast(a as hugeint) * a * 1000000) // (cast(x.f as hugeint) * y.f) as bigint) as score
+      from c join f x on x.lang = c.lang and x.phrase = head join f y on y.lang = c.lang and y.phrase = rest),
+b as (select *, row_number() over (partition by lang, phrase order by score, k) as cut from s),
+i as (select lang, f, array_to_string(w[j:j + 1], ' ') as phrase from (select lang, f, string_split(phrase, ' ') as w, unnest([1, 2]) as j from f where m = 3)),
+o as (select lang, phrase, max(f) as most from i group by all),
+v as (select b.*, row_number() over (partition by b.lang order by score desc, a desc, phrase) as rank from b left join o using (lang, phrase) where cut = 1 and not coalesce(100 * most >= 50 * a, false))
+select lang, rank, phrase, a, l, r, n, score from v join n using (lang) where rank <= 2000""",
+    "op13_resampling": f"""
+with tab as (select list(list_reduce(list_prepend(cast(i as bigint), range(0, 8)), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as t from (select unnest(range(0, 256)) as i)),
+d as (select row_number() over () as id, doc_id, regexp_extract_all(coalesce({_LOWER}, ''), {_ALNUM}) as w from documents),
+q as (select regexp_extract_all(coalesce({_LOWER}, ''), {_ALNUM}) as w from benchmark),
+x as (select id, unnest(w) as word from d),
+y as (select unnest(w) as word from q),
+v as (select distinct word from (select word from x union all select word from y)),
+h as (select word, xor(list_reduce(list_prepend(cast(4294967295 as bigint), list_transform(range(0, strlen(word)), lambda i: cast('0x' || substr(hex(word), 2 * i + 1, 2) as bigint))), lambda c, b: xor(c >> 8, t[1 + (xor(c, b) & 255)])), 4294967295) % 10000 as bucket from v, tab),
+s as (select bucket, count(*) as s from x join h using (word) group by bucket),
+t as (select bucket, count(*) as t from y join h using (word) group by bucket),
+n as (select (select count(*) from x) as s_all, (select count(*) from y) as t_all),
+g as (select bucket, cast(floor(1000 * ln((coalesce(t, 0) + 1)::double * (s_all + 10000) / ((coalesce(s, 0) + 1)::double * (t_all + 10000)))) as bigint) as gain from s full join t using (bucket), n),
+e as (select id, cast(sum(gain) as bigint) as weight from x join h using (word) join g using (bucket) group by id),
+z as (select d.id, doc_id, cast(len(w) as bigint) as n_features, coalesce(weight, 0) as weight, cast('0x' || substr(sha256('2024:' || doc_id), 1, 8) as bigint) as h from d left join e using (id)),
+k as (select *, weight + cast(floor(-1000 * ln(-ln((h + 0.5) / 4294967296::double))) as bigint) as score from z),
+r as (select *, row_number() over (partition by n_features >= 20 order by score desc, doc_id) as place, count(*) filter (n_features >= 20) over () as able from k)
+select doc_id, n_features, weight, score, case when n_features >= 20 and place <= 10 * able // 100 then place end as rank from r""",
 }
