@@ -44,7 +44,7 @@ def best(rows, max_words, min_count, top, percent):
     return {(lang, i, p.decode(), -a, x, y, n[lang], -s) for lang, rows in out.items() for i, (s, a, p, x, y) in enumerate(sorted(rows)[:top], 1)}
 
 
-@pytest.mark.parametrize("max_words,min_count,top,percent,cells", [(3, 3, 40, 50, 1 << 26), (5, 4, 1000, 80, 64), (2, 2, 7, 50, 1 << 12)])
+@pytest.mark.parametrize("max_words,min_count,top,percent,cells", [(3, 3, 40, 50, 1 << 25), (5, 4, 1000, 80, 64), (2, 2, 7, 50, 1 << 12)])
 def test_collocations_equal_loops(spark, max_words, min_count, top, percent, cells):
     """Also where almost all runs share their counters."""
     deal = random.Random(max_words)

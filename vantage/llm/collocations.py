@@ -197,7 +197,7 @@ def phrase_counts(
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(max_cells, max(1 << 16, 1 << (size // 16).bit_length()))
+    cells = min(max_cells, max(1 << 16, 1 << (size // 32).bit_length()))
     widths = [1 << (max(n // depth, 1).bit_length() - 1) for n in [cells // 4] + [cells] * (max_words - 1)]
     parts = sketched(rows, widths, depth, spark.sparkContext.defaultParallelism, batch_bytes)
     found = kept.put("sketch", merged(parts))
@@ -246,8 +246,8 @@ def first_in_each(rows: DataFrame, group: str, order: list[Column], count: int,
 
 
 def collocations(
-    docs: DataFrame, *, max_words: int = 3, min_count: int = 10, top: int = 2000, percent: int = 50, depth: int = 2, max_cells: int = 1 << 26,
-    lang_col: str = "lang", text_col: str = "text", batch_bytes: int = 6 << 20,
+    docs: DataFrame, *, max_words: int = 3, min_count: int = 10, top: int = 2000, percent: int = 50, depth: int = 2, max_cells: int = 1 << 25,
+    lang_col: str = "lang", text_col: str = "text", batch_bytes: int = 4 << 20,
 ) -> DataFrame:
     """The best phrases of each language: (lang, rank, phrase, a, l, r, n, score).
 
@@ -259,7 +259,7 @@ def collocations(
 
     A first pass merges sketches whose counters never say too little; a second one counts exactly what they let through,
     so they can only save work. max_cells bytes for each length of two and more words bound what the driver and
-    each worker hold; they rule out most rare runs up to some 16 bytes of text a counter, fewer beyond that.
+    each worker hold; they rule out most rare runs up to some 32 bytes of text a counter, fewer beyond that.
 
     Null languages are `und` (with those so named), null and empty texts have no words, repeated rows count each; an
     empty table gives none. Other columns are not looked at. A phrase longer than a batch is counted like others."""
