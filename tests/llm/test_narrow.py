@@ -85,6 +85,15 @@ def test_decontamination_edges(spark):
     assert find_contamination(docs, bench.limit(0)).filter("size(spans) > 0").count() == 0
 
 
+@pytest.mark.parametrize("block_bytes", [1 << 20, 60])
+def test_decontamination_with_clashing_names(spark, block_bytes):
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b", "found", "named")], "doc_id bigint, text string, __found_spans string, __Found_items string")
+    bench = spark.createDataFrame([(7, passage), (8, passage + " more"), (9, "x " * 20)], "item_id bigint, text string")
+    left = remove_contamination(docs, bench, block_bytes=block_bytes)
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(1, "a  b", "found", "named")]
+
+
 def test_decontamination_is_the_same_in_many_blocks(spark):
     """Items that overlap each other in a document, repeated ids and null ids, in one block and in about one per item."""
     told = [f"w{i}" for i in range(40)]
@@ -123,7 +132,7 @@ def test_license_expressions(spark):
     assert evaluate("GPL-3.0 AND MIT".split()) == (2, ["gpl", "mit"])
     assert evaluate("GPL-2.0 WITH Classpath-exception-2.0".split()) == (1, ["gpl-with-exception"])
     assert evaluate("MIT WITH ( A OR B )".split()) is None
-    assert identifier_expression("(MIT OR ISC) AND Zlib and more text") == ["(", "MIT", "OR", "ISC", ")", "AND", "Zlib", "and", "more"]
+    assert identifier_expression(b"(MIT OR ISC) AND Zlib and more text") == ["(", "MIT", "OR", "ISC", ")", "AND", "Zlib", "and", "more"]
     rows = [(1, "// SPDX-License-Identifier: MIT OR GPL-2.0-only\nx", None, None, None), (2, "SPDX-License-Identifier: OR", None, None, None)]
     got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(rows, DOCS)).collect()}
     assert (got[1].labels, got[1].expressions, got[1].kind) == ("mit", ["MIT OR GPL-2.0-only"], "permissive")
@@ -245,6 +254,22 @@ def test_license_scan_is_linear_in_hits():
     assert out[1] == n and (out[2], out[3]) == (0, 6 * (n - 1)) and time.perf_counter() - started < 60
 
 
+@pytest.mark.parametrize("unit,label", [(b"SPDX-License-Identifier: MIT ", "mit"), (b"SPDX-License-Identifier: ( MIT OR ", "malformed-tag"), (b"SPDX-License-Identifier: MIT OR ", "mit"), (b"spdx-license-identifier:", "malformed-tag")])
+def test_many_tags_on_one_line_are_read_once(unit, label):
+    phrases, tags = license_scan.automaton(), license_scan.tag_automaton()
+    started = time.perf_counter()
+    out = license_scan.scan(unit * (10_000_000 // len(unit)), phrases, tags)
+    assert label in out[5].split(",") and time.perf_counter() - started < 60
+
+
+def test_one_expression_of_many_names_is_evaluated_once():
+    phrases, tags = license_scan.automaton(), license_scan.tag_automaton()
+    names = [f"own{i}" for i in range(60_000)]
+    started = time.perf_counter()
+    out = license_scan.scan(("SPDX-License-Identifier: " + " AND ".join(names)).encode(), phrases, tags)
+    assert len(out[5].split(",")) == len(names) and time.perf_counter() - started < 20
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.filter(~language_id.held_out()))

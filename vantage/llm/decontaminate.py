@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .fm_index import FMIndex
+from .shared import free_name
 from .words import alnum_words, by_bytes, utf8, word_spans
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -142,14 +143,11 @@ def find_contamination(
     return _searched(rows, blocks, window, "text", shard_bytes, listed, f"`{id_col}` {kind}, n_words bigint, spans {SPANS}, items array<string>")
 
 
-#: Columns in which a row takes along what the blocks before have found.
-FOUND, NAMED = "__found_spans", "__found_items"
-
-
 def _searched(rows: DataFrame, blocks: Iterator[tuple[bool, list[tuple]]], window: int, text_col: str, shard_bytes: int, finish: Callable[..., pa.RecordBatch], schema: str | StructType) -> DataFrame:
     """What finish(batch, texts, counts, spans, items) makes of the rows and the union of all blocks' spans. Every block
-    is searched in the text as it was given."""
-    between = StructType([*rows.schema.fields, *StructType.fromDDL(f"{FOUND} {SPANS}, {NAMED} array<string>").fields])
+    is searched in the text as it was given; two columns of names that are free take along what was found before."""
+    found, named_ = free_name(rows, "__found_spans"), free_name(rows, "__found_items")
+    between = StructType([*rows.schema.fields, *StructType.fromDDL(f"`{found}` {SPANS}, `{named_}` array<string>").fields])
     out = rows
     for last, items in blocks:
         shared = rows.sparkSession.sparkContext.broadcast(Phrases(items, window))  # bounded by block_bytes
@@ -158,14 +156,14 @@ def _searched(rows: DataFrame, blocks: Iterator[tuple[bool, list[tuple]]], windo
             for batch in by_bytes(batches, text_col, shard_bytes):
                 texts = utf8(batch.column(text_col))
                 counts, spans, names = search_shard(texts, shared.value)
-                if FOUND in batch.schema.names:
-                    spans = [_union(x, earlier) for x, earlier in zip(spans, batch.column(FOUND).to_pylist(), strict=True)]
-                    names = [sorted({*x, *earlier}) for x, earlier in zip(names, batch.column(NAMED).to_pylist(), strict=True)]
-                    batch = batch.drop_columns([FOUND, NAMED])
+                if found in batch.schema.names:
+                    spans = [_union(x, earlier) for x, earlier in zip(spans, batch.column(found).to_pylist(), strict=True)]
+                    names = [sorted({*x, *earlier}) for x, earlier in zip(names, batch.column(named_).to_pylist(), strict=True)]
+                    batch = batch.drop_columns([found, named_])
                 if last:
                     yield finish(batch, texts, counts, spans, names)
                 else:
-                    yield pa.RecordBatch.from_arrays([*batch.columns, _span_lists(spans), pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, FOUND, NAMED])
+                    yield pa.RecordBatch.from_arrays([*batch.columns, _span_lists(spans), pa.array(names, pa.list_(pa.string()))], names=[*batch.schema.names, found, named_])
 
         out = out.mapInArrow(run, schema if last else between)
     return out

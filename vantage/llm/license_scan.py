@@ -62,8 +62,8 @@ UNKNOWN_BURDEN = 3
 MALFORMED = "malformed-tag"
 KINDS = ("free", "permissive", "copyleft", "restricted")
 OPERATORS = {"or": 1, "and": 2, "with": 3}
-_LINE = re.compile(rb"[^\r\n]*")
-_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+:-]+")
+#: A token of an expression, or the end of the line.
+_TOKEN = re.compile(rb"[()]|[A-Za-z0-9.+:-]+|[\r\n]")
 
 
 def postfix(tokens: list[str]) -> list[str] | None:
@@ -116,7 +116,7 @@ def evaluate(tokens: list[str]) -> tuple[int, list[str]] | None:
     order = postfix(tokens)
     if order is None:
         return None
-    stack: list[tuple[int, frozenset[str], bool]] = []
+    stack: list[tuple[int, set[str], bool]] = []
     for token in order:
         op = token.lower()
         if op in OPERATORS:
@@ -124,24 +124,27 @@ def evaluate(tokens: list[str]) -> tuple[int, list[str]] | None:
             if op == "with":
                 if not right[2] or not left[2]:
                     return None
-                stack.append((min(left[0], 1) if left[0] == 2 else left[0], frozenset(f"{x}-with-exception" for x in left[1]), False))
+                stack.append((min(left[0], 1) if left[0] == 2 else left[0], {f"{x}-with-exception" for x in left[1]}, False))
             elif op == "and":
-                stack.append((max(left[0], right[0]), left[1] | right[1], False))
+                less, more = sorted((left[1], right[1]), key=len)
+                more |= less  # into the larger one, so that long chains stay cheap
+                stack.append((max(left[0], right[0]), more, False))
             else:
                 lighter = right if right[0] < left[0] else left
                 stack.append((*lighter[:2], False))
         else:
             name = family(token)
-            stack.append((BURDEN.get(name, UNKNOWN_BURDEN), frozenset([name]), True))
+            stack.append((BURDEN.get(name, UNKNOWN_BURDEN), {name}, True))
     return stack[0][0], sorted(stack[0][1])
 
 
-def identifier_expression(line: str) -> list[str]:
-    """Tokens of the licence expression a tag line begins with: it ends where two names meet or a parenthesis closes
-    nothing."""
+def identifier_expression(text: bytes, start: int = 0, stop: int | None = None) -> list[str]:
+    """Tokens of the licence expression that stands at a place: it ends with the line, where two names meet or where a
+    parenthesis closes nothing, and nothing behind its end is read."""
     out: list[str] = []
     depth, operand = 0, True
-    for token in _TOKEN.findall(line):
+    for found in _TOKEN.finditer(text, start, len(text) if stop is None else stop):
+        token = found[0].decode("ascii")
         is_op = token.lower() in OPERATORS
         if token == "(" and operand:
             depth += 1
@@ -149,7 +152,7 @@ def identifier_expression(line: str) -> list[str]:
             depth -= 1
         elif is_op and not operand:
             operand = True
-        elif token not in "()" and not is_op and operand:
+        elif token not in "()\r\n" and not is_op and operand:
             operand = False
         else:
             break
@@ -176,10 +179,12 @@ def tag_automaton() -> ahocorasick.Automaton:
     return out
 
 
-def tagged_lines(text: bytes, tags: ahocorasick.Automaton) -> Iterator[str]:
-    """What stands behind each tag on its line. Bytes are taken for characters, so places are places in the text."""
-    for end, _ in tags.iter(text.translate(LOWER).decode("latin-1")):
-        yield _LINE.match(text, end + 1)[0].decode("utf-8", "replace")
+def tagged_expressions(text: bytes, tags: ahocorasick.Automaton) -> Iterator[list[str]]:
+    """The expression behind each tag, up to the next tag at the most, so that every byte is read once. Bytes are taken
+    for characters, so places are places in the text."""
+    ends = [(end + 1, end + 1 - len(tag)) for end, tag in tags.iter(text.translate(LOWER).decode("latin-1"))]
+    for k, (end, _) in enumerate(ends):
+        yield identifier_expression(text, end, ends[k + 1][1] if k + 1 < len(ends) else None)
 
 
 def scan(text: bytes | None, phrases: ahocorasick.Automaton, tags: ahocorasick.Automaton) -> tuple:
@@ -198,8 +203,7 @@ def scan(text: bytes | None, phrases: ahocorasick.Automaton, tags: ahocorasick.A
     starts = np.searchsorted(np.flatnonzero(np.frombuffer(line, np.uint8) == 32), places) if places else np.zeros(0, int)
     found: set[str] = set()
     burden = max((BURDEN.get(x, UNKNOWN_BURDEN) for x in labels), default=-1)
-    for rest in tagged_lines(text or b"", tags):
-        tokens = identifier_expression(rest)
+    for tokens in tagged_expressions(text or b"", tags):
         told = evaluate(tokens) if tokens else None
         if told is None:
             labels.add(MALFORMED)
