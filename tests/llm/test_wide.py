@@ -83,9 +83,12 @@ def test_substrings_edges(spark):
     text = " ".join(map(str, range(30)))
     twice = substring_dedup.dedup_substrings(frame(spark, [(1, text), (1, text), (2, text)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in twice) == [(1, 0), (1, 0), (2, 30)]
+    other = " ".join(f"b{i}" for i in range(30))
+    shared = substring_dedup.dedup_substrings(frame(spark, [(0, text), (1, text), (1, other), (1, None), (2, f"{other} x {text}")])).collect()
+    assert sorted((r.doc_id, r.n_words, r.n_removed) for r in shared) == [(0, 30, 0), (1, 0, 0), (1, 30, 0), (1, 30, 30), (2, 61, 60)]
 
 
-def lines_removed(rows, m=2, least=10, alone=50):
+def lines_removed(rows, m=2, alone=50):
     """Each document's text without its later copies of runs, its lines, those removed, and the maximal runs, by comparing
     all places with each other."""
     lines = {d: t.split("\n") for d, t in rows if d is not None and t is not None}
@@ -108,7 +111,8 @@ def lines_removed(rows, m=2, least=10, alone=50):
         gone, runs = set(), []
         for i, n in enumerate(longest):
             words = sum(len(BLANKS.findall(x)) for x in row[i : i + n])
-            if n and (i == 0 or longest[i - 1] != n + 1) and ((n >= m and words >= least) or words >= alone):
+            full = sum(bool(BLANKS.findall(x)) for x in row[i : i + n])
+            if n and (i == 0 or longest[i - 1] != n + 1) and (full >= m or words >= alone):
                 gone.update(range(i, i + n))
                 runs.append((i, n, words))
         out[d] = ("\n".join(x for i, x in enumerate(row) if i not in gone), len(row), len(gone), runs)
@@ -118,15 +122,15 @@ def lines_removed(rows, m=2, least=10, alone=50):
 SOME_LINES = ["", "a", "b b", "c\tc c", "dd", "five words are in here", "a line of eight words, as told\u00a0so, here", "Ünï"]
 
 
-@pytest.mark.parametrize("m,least,alone", [(1, 0, 99), (2, 10, 50), (3, 6, 8)])
-def test_lines_equal_loops(spark, m, least, alone):
-    rng = random.Random(m + least)
+@pytest.mark.parametrize("m,alone", [(1, 99), (2, 50), (3, 8)])
+def test_lines_equal_loops(spark, m, alone):
+    rng = random.Random(m + alone)
     rows = [(k, "\n".join(rng.choice([*SOME_LINES, f"own {k}"]) for _ in range(rng.randrange(1, 25)))) for k in range(40)]
     whole = "\n".join(f"line {i} of a long text" for i in range(13))
     rows += [(50, whole), (51, "x\n" + whole), (52, whole + "\ny\n" + whole[: len(whole) // 2]), (53, "x\n" * 70), (54, "x\n" * 33), (55, "p\nq\n" * 30 + "x\nx")]
     rows += [r[:2] for r in ODD if r[1] is not None]
-    rules = {"min_lines": m, "min_words": least, "alone_words": alone}
-    want = lines_removed(rows, m, least, alone)
+    rules = {"min_lines": m, "alone_words": alone}
+    want = lines_removed(rows, m, alone)
     got = line_dedup.dedup_lines(frame(spark, rows), **rules).collect()
     assert {r.doc_id: (r.text, r["__n_lines"], r["__n_removed"]) for r in got if r.doc_id is not None} == {d: x[:3] for d, x in want.items()}
     found = line_dedup.find_repeated_runs(frame(spark, rows), **rules).collect()
@@ -144,10 +148,10 @@ LINES = ["one two three four five", "six seven eight nine ten", "eleven twelve t
 
 def test_lines_edges(spark):
     a, b, c = LINES
-    rows = [*ODD, (1, f"{a}\n{b}\n{c}", "en", 7, "s"), (2, f"x\n{a}\n{b}\ny", "en", 8, "t"), (3, f"{a}\n{b}", "de", 9, "u"), (4, "\nThanks.", "en", 1, "v"), (5, "\nThanks.", "en", 1, "v")]
+    rows = [*ODD, (1, f"{a}\n{b}\n{c}", "en", 7, "s"), (2, f"x\n{a}\n{b}\ny", "en", 8, "t"), (3, f"{a}\n{b}", "de", 9, "u"), (4, "\nThanks.", "en", 1, "v"), (5, "\nThanks.", "en", 1, "v"), (6, "Best,\n\nAnn", "en", 1, "v"), (7, "own\nBest,\n\nAnn\n", "en", 1, "v")]
     out = line_dedup.dedup_lines(frame(spark, rows))
     got = {r.doc_id: r for r in out.collect()}
-    assert (got[2].text, got[2].runs, got[2].spans, got[3].text, got[1].text, got[5].text) == ("x\ny", 8, "t", "", rows[len(ODD)][1], "\nThanks.")
+    assert (got[2].text, got[2].runs, got[2].spans, got[3].text, got[1].text, got[5].text, got[7].text) == ("x\ny", 8, "t", "", rows[len(ODD)][1], "\nThanks.", "own\n")
     assert got[100].text is None and got[100]["__n_lines"] == 0 and got[101].text == "" and got[None].text == ODD[0][1]
     left = line_dedup.drop_repeated_lines(frame(spark, rows))
     assert left.columns == DOCS.replace(" bigint", "").replace(" string", "").replace(" int", "").split(", ") and {r.doc_id for r in left.collect()} == set(got) - {3}
@@ -246,6 +250,9 @@ def test_near_duplicates_edges(spark):
     left = minhash.drop_near_duplicates(frame(spark, rows))
     assert left.columns == frame(spark, rows).columns and {r.doc_id for r in left.collect()} == set(got) - {2, 3}
     assert minhash.near_duplicates(frame(spark, rows).limit(0)).count() == 0
+    other = " ".join(f"b{i}" for i in range(50))
+    shared = minhash.drop_near_duplicates(frame(spark, [(1, text), (5, text), (5, other), (5, None), (6, other), (6, text + " more")])).collect()
+    assert sorted((r.doc_id, r.text or "") for r in shared) == [(1, text), (5, ""), (5, other)]
     assert sorted(r.kept for r in minhash.near_duplicates(frame(spark, [(1, text), (1, text)])).collect()) == [True, True]
 
 

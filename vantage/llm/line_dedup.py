@@ -12,15 +12,22 @@ from .shared import Written, free_name, join_classes, named
 WORD = r"[^\x20\x09-\x0D]+"
 #: What tells a line's place: the document's id, a hash of its text, the line's number.
 PLACE = ["doc", "twin", "pos"]
+#: What is added up along a run: its words, and its lines that have any.
+SUMS = ["words", "full"]
+
+
+def _added() -> list[Column]:
+    """The sums of a run and of the one that follows it."""
+    return [(F.col(x) + F.col(f"more_{x}")).alias(x) for x in SUMS]
 
 
 def line_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, twin, pos, h1, h2, words) of each line; its identity is two 64-bit hashes, so texts stay out of the
-    shuffles. twin tells texts that share an id apart."""
+    """(doc, twin, pos, h1, h2, words, full) of each line; its identity is two 64-bit hashes, so texts stay out of the
+    shuffles. twin tells texts that share an id apart; full is 1 for a line with words and 0 for a blank one."""
     rows = docs.select(named(id_col).alias("doc"), named(text_col).alias("text")).filter("doc is not null and text is not null")
     lines = rows.select("doc", F.xxhash64("text").alias("twin"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     words = F.regexp_count("line", F.lit(WORD)).cast("bigint")
-    return lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.lit(3)).alias("h2"), words.alias("words"))
+    return lines.select(*PLACE, F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line", F.lit(3)).alias("h2"), words.alias("words"), (words > 0).cast("bigint").alias("full"))
 
 
 def _ranked(keys: DataFrame, *order: str) -> DataFrame:
@@ -36,35 +43,35 @@ def _classes(rows: DataFrame, *keys: str) -> DataFrame:
 
 def suffix_levels(lines: DataFrame, kept: Written) -> list[DataFrame]:
     """For k = 0, 1, ... the suffixes whose first 2^k lines occur more than once, until there are none: (doc, twin, pos,
-    rank, first, words, deeper).
+    rank, first, words, full, deeper).
 
     Equal ranks are an interval of the suffix array: suffixes with a common prefix of 2^k lines; ranks ascend in suffix
     order, as each comes from the order of two ranks of half the length. first is the interval's first place, words
-    counts the words of the prefix, and deeper is true where the suffix is also in an interval of the next level
+    and full count the words and the lines with words of the prefix, and deeper is true where the suffix is also in an interval of the next level
     without being the first of it."""
     repeated = kept.put_classes("repeated", _classes(lines, "h1", "h2"))
     found = join_classes(lines, repeated, kept.told["repeated"], ["h1", "h2"], ["rank", "first"], PLACE).filter("rank is not null")
-    now = kept.put("level0", found.select(*PLACE, "rank", "first", "words").dropDuplicates(PLACE), n=F.count("*"))
+    now = kept.put("level0", found.select(*PLACE, "rank", "first", *SUMS).dropDuplicates(PLACE), n=F.count("*"))
     left = kept.told["level0"]["n"]
     levels: list[DataFrame] = []
     while left:
         k = len(levels)
         ahead = Window.partitionBy("doc", "twin").orderBy("pos").rangeBetween(1 << k, 1 << k)
-        paired = now.withColumns({"next": F.max("rank").over(ahead), "more": F.max("words").over(ahead)})
+        paired = now.withColumns({"next": F.max("rank").over(ahead), **{f"more_{x}": F.max(x).over(ahead) for x in SUMS}})
         paired = paired.withColumnsRenamed({"rank": "half", "first": "half_first"})
         classes = kept.put_classes("classes", _classes(paired.filter("next is not null"), "half", "next"))
         joined = join_classes(paired, classes, kept.told["classes"], ["half", "next"], ["rank", "first"], PLACE)
         joined = kept.put(f"joined{k}", joined, n=F.count("rank"))
         left = kept.told[f"joined{k}"]["n"]
         deeper = F.coalesce(F.struct(*PLACE) != F.col("first"), F.lit(False))
-        levels.append(joined.select(*PLACE, F.col("half").alias("rank"), F.col("half_first").alias("first"), "words", deeper.alias("deeper")))
-        now = joined.filter("rank is not null").select(*PLACE, "rank", "first", (F.col("words") + F.col("more")).alias("words"))
+        levels.append(joined.select(*PLACE, F.col("half").alias("rank"), F.col("half_first").alias("first"), *SUMS, deeper.alias("deeper")))
+        now = joined.filter("rank is not null").select(*PLACE, "rank", "first", *_added())
     kept.drop("repeated", "level0", "classes")
     return levels
 
 
 def longest_runs(levels: list[DataFrame], kept: Written) -> DataFrame | None:
-    """(doc, twin, pos, length, words, first): for each suffix the longest run of lines from its start on that also
+    """(doc, twin, pos, length, words, full, first): for each suffix the longest run of lines from its start on that also
     starts earlier, and where it does; None if nothing repeats.
 
     A suffix that is not the first of its interval at 2^k lines, but of all it is in at 2^(k+1), has a run of at least
@@ -74,16 +81,16 @@ def longest_runs(levels: list[DataFrame], kept: Written) -> DataFrame | None:
     interval at a time, so a step's rows grow with the repeated lines only."""
     state: DataFrame | None = None
     for k in range(len(levels) - 1, -1, -1):
-        own = levels[k].filter("not deeper").select(*PLACE, F.col("first").alias("base"), F.lit(1 << k).alias("length"), "words")
+        own = levels[k].filter("not deeper").select(*PLACE, F.col("first").alias("base"), F.lit(1 << k).alias("length"), *SUMS)
         state = own if state is None else state.unionByName(own)
         if k:
             state = kept.put(f"state{k % 2}", _halved(state, levels[k - 1], 1 << (k - 1), kept))
-    return None if state is None else state.filter(F.struct(*PLACE) != F.col("base")).select(*PLACE, "length", "words", F.col("base").alias("first"))
+    return None if state is None else state.filter(F.struct(*PLACE) != F.col("base")).select(*PLACE, "length", *SUMS, F.col("base").alias("first"))
 
 
 def _halved(state: DataFrame, level: DataFrame, half: int, kept: Written) -> DataFrame:
     """Intervals (base, length) of suffixes that share `length` lines, split by whether they share `half` lines more."""
-    ahead = level.select("doc", "twin", F.col("pos").alias("at"), F.col("rank").alias("next"), F.col("words").alias("more"))
+    ahead = level.select("doc", "twin", F.col("pos").alias("at"), F.col("rank").alias("next"), *(F.col(x).alias(f"more_{x}") for x in SUMS))
     placed = state.withColumn("at", F.col("pos") + F.col("length"))
     # The first key of a class is a number, and places are structs: the rank of the lines ahead goes first.
     seen = placed.join(ahead, ["doc", "twin", "at"], "left").drop("at")
@@ -91,14 +98,14 @@ def _halved(state: DataFrame, level: DataFrame, half: int, kept: Written) -> Dat
     inner = kept.put_classes("inner", inner)
     told = join_classes(seen, inner, kept.told["inner"], ["next", "base", "length"], ["head", "n"], PLACE)
     here = F.struct(*PLACE)
-    rest = F.when(F.col("head").isNull() | (here == F.col("head")), F.struct("base", "length", "words"))
-    longer = F.struct(F.col("head").alias("base"), (F.col("length") + half).alias("length"), (F.col("words") + F.col("more")).alias("words"))
+    rest = F.when(F.col("head").isNull() | (here == F.col("head")), F.struct("base", "length", *SUMS))
+    longer = F.struct(F.col("head").alias("base"), (F.col("length") + half).alias("length"), *_added())
     inside = F.when(F.col("n") > 1, longer)
-    return told.select(*PLACE, F.explode(F.filter(F.array(rest, inside), lambda x: x.isNotNull())).alias("x")).select(*PLACE, "x.base", "x.length", "x.words")
+    return told.select(*PLACE, F.explode(F.filter(F.array(rest, inside), lambda x: x.isNotNull())).alias("x")).select(*PLACE, "x.base", "x.length", *(f"x.{s}" for s in SUMS))
 
 
 def repeated_runs(lines: DataFrame, kept: Written) -> DataFrame | None:
-    """(doc, twin, pos, length, words, first) of the maximal repeated runs: longest_runs() without those that are only
+    """(doc, twin, pos, length, words, full, first) of the maximal repeated runs: longest_runs() without those that are only
     the rest of a run that starts one line earlier."""
     runs = longest_runs(suffix_levels(lines, kept), kept)
     if runs is None:
@@ -127,19 +134,19 @@ def _kept_lines(lines: Column, spans: Column) -> Column:
     return F.flatten(F.transform(F.concat(starts, ends), lambda x: F.slice(lines, x["a"] + 1, x["b"] - x["a"])))
 
 
-def find_repeated_runs(docs: DataFrame, *, min_lines: int = 2, min_words: int = 10, alone_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, twin, pos, length, words, first) of the maximal runs of lines that count and that also start earlier, in a
+def find_repeated_runs(docs: DataFrame, *, min_lines: int = 2, alone_words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, twin, pos, length, words, full, first) of the maximal runs of lines that count and that also start earlier, in a
     document of smaller id or further up; first tells where such a copy starts.
 
-    A run counts if it has min_lines lines or more and min_words words or more, or if it has alone_words words or more
-    whatever its lines. Nothing is returned for null ids and texts."""
+    A run counts if it has min_lines lines with words or more (blank ones between them go along), or if it has
+    alone_words words or more whatever its lines. Nothing is returned for null ids and texts."""
     kept = Written(docs.sparkSession, "lines")
     runs = repeated_runs(line_table(docs, id_col, text_col), kept)
     if runs is None:
         place = f"struct<doc:{docs.schema[id_col].dataType.simpleString()},twin:bigint,pos:int>"
         kind = docs.schema[id_col].dataType.simpleString()
-        return docs.sparkSession.createDataFrame([], f"doc {kind}, twin bigint, pos int, length int, words bigint, first {place}")
-    return runs.filter(((F.col("length") >= min_lines) & (F.col("words") >= min_words)) | (F.col("words") >= alone_words))
+        return docs.sparkSession.createDataFrame([], f"doc {kind}, twin bigint, pos int, length int, words bigint, full bigint, first {place}")
+    return runs.filter((F.col("full") >= min_lines) | (F.col("words") >= alone_words))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **rules: int) -> DataFrame:

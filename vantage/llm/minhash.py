@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .shared import Written
+from .shared import Written, free_name, named
 from .words import LOWER, by_bytes, grams, hashed_words, mix, utf8
 
 
@@ -53,7 +53,8 @@ class MinMax:
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, sketch: MinMax, batch_bytes: int) -> DataFrame:
-    """(doc_id, n_shingles, set_key, bands) of each document; set_key tells equal sets, in 128 bits."""
+    """(doc_id, n_shingles, set_key, bands, text_key) of each document; set_key tells equal sets, in 128 bits, and
+    text_key texts that share an id."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,12 +63,12 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int, sketch:
             keys = [b"" if not len(s) else np.array([mix(s * np.uint64(3)).sum(), np.bitwise_xor.reduce(mix(s + np.uint64(len(s))))], np.uint64).tobytes() for s in sets]
             bands = [sketch.band_keys(s).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands"],
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column("text_key")],
+                names=["doc_id", "n_shingles", "set_key", "bands", "text_key"],
             )
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>")
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text"), F.xxhash64(named(text_col)).alias("text_key"))
+    return rows.mapInArrow(run, f"doc_id {kind}, n_shingles bigint, set_key binary, bands array<bigint>, text_key bigint")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int, batch_bytes: int) -> DataFrame:
@@ -100,7 +101,8 @@ def near_duplicates(
     docs: DataFrame, *, width: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, hub_rounds: int = 3,
     id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20,
 ) -> DataFrame:
-    """Groups of documents linked by Jaccard similarity of word shingles: (id, n_shingles, class_id, component_id, kept).
+    """Groups of documents linked by Jaccard similarity of word shingles: (id, n_shingles, class_id, component_id, kept,
+    text_key); text_key is xxhash64 of the text, which tells rows that share an id apart.
 
     Words are blank-separated, A-Z lower-cased; a document's set is its distinct runs of `width` words (the whole
     sequence where it has fewer). Two documents link if 100 * shared >= percent * either, counted on their full sets.
@@ -197,14 +199,18 @@ def _rest(open_cells: DataFrame, tested: DataFrame, alone: DataFrame, percent: i
 
 
 def _result(marks: DataFrame, classes: DataFrame, labels: DataFrame, id_col: str) -> DataFrame:
-    placed = marks.select("doc_id", "n_shingles", "set_key").join(classes.select("set_key", "class_id"), "set_key", "left")
+    placed = marks.select("doc_id", "n_shingles", "set_key", "text_key").join(classes.select("set_key", "class_id"), "set_key", "left")
     placed = placed.withColumn("class_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")))
     named = placed.join(labels, placed.class_id == labels.node, "left")
     component = F.coalesce("component", "class_id")
-    return named.select(F.col("doc_id").alias(id_col), "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    return named.select(F.col("doc_id").alias(id_col), "n_shingles", "class_id", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), "text_key")
 
 
-def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The documents, all columns as they are, without those that near_duplicates() does not keep."""
-    gone = near_duplicates(docs, id_col=id_col, **options).filter("not kept").select(F.col(id_col)).distinct()
-    return docs.join(gone.hint("shuffle_hash"), id_col, "left_anti").select(*docs.columns)
+def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The documents, all columns as they are, without those that near_duplicates() does not keep. Of rows that share an
+    id only those with a text that is not kept go."""
+    gone_id, gone_text = free_name(docs, "__gone_id"), free_name(docs, "__gone_text")
+    told = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("not kept")
+    gone = told.select(named(id_col).alias(gone_id), F.col("text_key").alias(gone_text)).distinct()
+    met = (named(id_col) == F.col(gone_id)) & (F.xxhash64(named(text_col)) == F.col(gone_text))
+    return docs.join(gone.hint("shuffle_hash"), met, "left_anti")

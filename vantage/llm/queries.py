@@ -157,7 +157,7 @@ w as (select doc_id, i, n, array_to_string(lines[i:i + n - 1], chr(10)) as run
 f as (select doc_id, i, n, row_number() over (partition by n, run order by doc_id, i) > 1 as late from w),
 r as (select doc_id, i, max(n) as n from f where late group by doc_id, i),
 k as (select r.doc_id, r.i, r.n from r join l on l.doc_id = r.doc_id and l.i >= r.i and l.i < r.i + r.n
-      group by r.doc_id, r.i, r.n having (r.n >= 2 and sum(n_words) >= 10) or sum(n_words) >= 50),
+      group by r.doc_id, r.i, r.n having count(*) filter (n_words > 0) >= 2 or sum(n_words) >= 50),
 g as (select distinct doc_id, unnest(range(i, i + n)) as i from k),
 s as (select l.*, g.i is not null as gone from l left join g using (doc_id, i))
 select documents.doc_id, count(s.i) as n_lines, count(*) filter (gone) as n_removed,

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .fm_index import FMIndex
-from .shared import Written
+from .shared import Written, named
 from .words import by_bytes, grams, hashed_words, utf8
 
 SPANS = "array<struct<start:bigint,stop:bigint>>"
@@ -172,7 +172,9 @@ def _firsts(distinct: DataFrame, window: int, shard_bytes: int) -> DataFrame:
     kind = distinct.schema["doc"].dataType.simpleString()
 
     def solve(batch: pa.Table) -> pa.RecordBatch:
-        batch = batch.take(pa.compute.sort_indices(batch, sort_keys=[("doc", "ascending"), ("start", "ascending")])).combine_chunks()
+        doc = batch.column("doc").combine_chunks()
+        keys = pa.table({**{x: pa.compute.struct_field(doc, x) for x in ("id", "twin")}, "start": batch.column("start")})
+        batch = batch.take(pa.compute.sort_indices(keys, sort_keys=[(x, "ascending") for x in keys.column_names])).combine_chunks()
         spans = first_windows(batch.column("words").to_pylist(), window)
         owner = np.repeat(np.arange(len(spans)), [len(x) for x in spans])
         begin = batch.column("start").to_numpy().astype(np.int64)[owner]
@@ -210,7 +212,8 @@ def _firsts(distinct: DataFrame, window: int, shard_bytes: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id", text_col: str = "text", batch_bytes: int = 2 << 20, shard_bytes: int = 4 << 20, mark_bytes: int = 1 << 20) -> DataFrame:
     """(doc, windows, firsts) of the documents that hold candidate windows: spans of window starts that may repeat,
-    and spans of those among them that are the first copy. The other candidates start earlier somewhere.
+    and spans of those among them that are the first copy. The other candidates start earlier somewhere. doc is the id
+    with `twin`, a hash of the text, so that rows that share an id are documents of their own.
 
     A window's mark is its smallest hashed gram of five words; runs of neighbouring windows share one. Only runs whose
     mark occurs twice can repeat. Their words are grouped (equal runs become one, with the first place of each), dealt
@@ -219,7 +222,7 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     decide, not hashes. Rows without id or text take no part."""
     spark = docs.sparkSession
     kept = Written(spark, "substring")
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("doc is not null and text is not null")
+    rows = _with_twins(docs, id_col, text_col).filter("doc.id is not null and text is not null")
     runs = kept.put("runs", _runs(rows, window, batch_bytes))
     twice = runs.groupBy("mark").agg(F.sum("times").alias("n")).filter("n > 1").select("mark")
     lists = runs.join(twice.hint("shuffle_hash"), "mark").groupBy("doc").agg(F.collect_list(F.struct("mark", "start", "windows")).alias("runs"))
@@ -239,6 +242,11 @@ def repeated_spans(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id",
     return out.join(by_doc, "doc", "left").select("doc", "windows", F.coalesce("firsts", F.array().cast(SPANS)).alias("firsts"))
 
 
+def _with_twins(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = named(text_col)
+    return docs.select(F.struct(named(id_col).alias("id"), F.xxhash64(text).alias("twin")).alias("doc"), text.alias("text"))
+
+
 def removed_words(n: int, window: int, windows: list | None, firsts: list | None) -> np.ndarray:
     """Which of n words are covered by a candidate window that is no first copy."""
     gone = np.zeros(n + 1, dtype=bool)
@@ -261,10 +269,11 @@ def dedup_substrings(docs: DataFrame, *, window: int = 20, id_col: str = "doc_id
     input. spans are the removed words' spans; kept_text is the kept words joined by one blank.
 
     Null text: no words, and empty kept text. A row without id takes no part and keeps its words. Repeated rows
-    (equal id and text) count as one document and get a row each. Other columns are not looked at."""
+    (equal id and text) count as one document and get a row each. Rows that share an id and differ in text are documents
+    of their own, in the order of a hash of their texts. Other columns are not looked at."""
     found = repeated_spans(docs, window=window, id_col=id_col, text_col=text_col, batch_bytes=batch_bytes, shard_bytes=shard_bytes, mark_bytes=mark_bytes)
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(found.hint("shuffle_hash"), "doc", "left").select("doc", "text", "windows", "firsts")
+    rows = _with_twins(docs, id_col, text_col).join(found.hint("shuffle_hash"), "doc", "left").select(F.col("doc.id").alias("doc"), "text", "windows", "firsts")
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
