@@ -9,7 +9,7 @@ import pytest
 
 from vantage.functions.chi2 import survival
 from vantage.functions.intervals import interval_labels
-from vantage.operators import insights, quality, stats, timeline
+from vantage.operators import insights, quality, selection, stats, timeline
 from vantage.operators.dashboard import look
 from vantage.operators.profile import profile, understood
 from vantage.plans.recipe import parse
@@ -116,9 +116,9 @@ def test_numeric_summaries(spark):
     assert (few.count, few.mean) == (3, 2.0)
 
 
-@pytest.mark.parametrize("slot_values", [7, 50_000])
-def test_correlations(spark, slot_values, monkeypatch):
-    monkeypatch.setattr(stats, "SLOT_VALUES", slot_values)
+@pytest.mark.parametrize("range_values", [7, 500_000])
+def test_correlations(spark, range_values, monkeypatch):
+    monkeypatch.setattr(selection, "RANGE_VALUES", range_values)
     rng = random.Random(1)
     rows = [(float(k), k * 2.0 + rng.random(), rng.random(), 7.0, float(k) if k < 2 else None) for k in range(60)]
     found = stats.correlate(table(spark, rows, "a double, b double, c double, same double, rare double"), ["a", "b", "c", "same", "rare"])

@@ -7,12 +7,14 @@ from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import BOOLEAN_TOKENS, col, label, moment, num
+from ..functions.columns import col, label, moment, num
+from ..scratch import Written
 from ..table import BOOLEAN, CATEGORICAL, DATETIME, EMPTY, NUMERIC, ROW, TEXT, Meaning, Table
+from .counts import Counts, count_values
 
 #: The rules' thresholds.
 TEXT_LENGTH, MANY_VALUES, TEXT_SHARE = 40, 50, 0.5
@@ -65,21 +67,64 @@ def value_counts(table: Table, names: list[str]) -> DataFrame:
     return unpivoted(table, names).groupBy("name", "value").agg(F.count("*").alias("n"), F.min("row").alias("row"))
 
 
-def duplicate_rows(table: Table) -> int:
-    """Rows that equal an earlier one; gaps are equal."""
-    counted = table.visible().groupBy(*(col(c) for c in table.names)).agg(F.count("*").alias("__n"))
+def duplicate_rows(table: Table, kept: Written | None = None) -> int:
+    """Rows that equal an earlier one; gaps are equal. Two hashes of a row stand for it, so that texts are not shuffled;
+    only rows whose hashes occur again are compared themselves."""
+    if kept is None:
+        with Written(table.frame.sparkSession, "duplicates") as kept:
+            return duplicate_rows(table, kept)
+    if not table.names:
+        return max(table.frame.count() - 1, 0)
+    cells = [x for n in table.names for x in (col(n), col(n).isNull())]  # a hash passes gaps over
+    marks = [F.xxhash64(F.lit(k), *cells).alias(f"__mark{k}") for k in (1, 2)]
+    rows = table.frame.select(*(col(n) for n in table.names), *marks)
+    again = rows.groupBy("__mark1", "__mark2").agg(F.count("*").alias("__n")).filter("__n > 1").select("__mark1", "__mark2")
+    again = kept.put("again", again, n=F.count("*"))
+    if not kept.told["again"]["n"]:
+        return 0
+    alike = rows.join(again, ["__mark1", "__mark2"], "left_semi")
+    counted = alike.groupBy("__mark1", "__mark2", *(col(n) for n in table.names)).agg(F.count("*").alias("__n"))
     return counted.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0))).first()[0]
 
 
-def _moment_shares(table: Table, names: list[str]) -> dict[str, float]:
-    """For text columns the share of moments among the first values; 0 where all of them are numbers."""
+@dataclass(frozen=True)
+class _Head:
+    """What a table's first rows tell of a column: its first distinct values, and of its first values how many there
+    are, are moments and are numbers."""
+
+    samples: tuple[str, ...]
+    seen: int
+    moments: int
+    numbers: int
+
+
+def _heads(table: Table, sums: dict[str, Row]) -> dict[str, _Head]:
+    """From the first rows alone where these hold enough values; the other columns, with many gaps or few changes, are
+    searched whole."""
+    names = [n for n in table.names if n in sums and sums[n]["n"]]
     if not names:
         return {}
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("row"))
-    first = unpivoted(table, names).withColumn("rank", rank).filter(F.col("rank") <= MOMENT_SAMPLE)
-    kind = T.StringType()
-    told = first.groupBy("name").agg(F.avg(moment(F.col("value"), kind).isNotNull().cast("int")).alias("share"), F.avg(num(F.col("value"), kind).isNotNull().cast("int")).alias("numbers"))
-    return {r["name"]: 0.0 if r["numbers"] == 1 else r["share"] for r in told.collect()}
+    texts = {n for n in names if isinstance(table.kind(n), T.StringType)}
+    kind, gap = T.StringType(), F.lit(None).cast("boolean")
+    flags = lambda n: (moment(col(n), kind).isNotNull(), num(col(n), kind).isNotNull()) if n in texts else (gap, gap)
+    cells = [F.struct(label(col(n), table.kind(n)).alias("value"), *(f.alias(x) for f, x in zip(flags(n), ("moment", "number"), strict=True))).alias(f"c{i}") for i, n in enumerate(names)]
+    rows = table.frame.orderBy(F.col(ROW)).limit(MOMENT_SAMPLE).select(*cells).collect()
+    out, open_ = {}, []
+    for i, n in enumerate(names):
+        seen = [r[f"c{i}"] for r in rows if r[f"c{i}"]["value"] is not None]
+        first = tuple(dict.fromkeys(c["value"] for c in seen))[:SAMPLES]
+        if len(first) < min(SAMPLES, sums[n]["unique"]) or (n in texts and len(seen) < min(MOMENT_SAMPLE, sums[n]["n"])):
+            open_.append(n)
+        out[n] = _Head(first, len(seen), sum(bool(c["moment"]) for c in seen), sum(bool(c["number"]) for c in seen))
+    if open_:
+        by_row = Window.partitionBy("name").orderBy("row")
+        first = value_counts(table, open_).withColumn("rank", F.row_number().over(by_row)).filter(F.col("rank") <= SAMPLES)
+        samples = {r["name"]: r["s"] for r in first.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rank", "value"))).alias("s")).collect()}
+        some = unpivoted(table, open_).withColumn("rank", F.row_number().over(by_row)).filter(F.col("rank") <= MOMENT_SAMPLE)
+        shares = some.groupBy("name").agg(F.count("*").alias("n"), F.count(moment(F.col("value"), kind)).alias("moments"), F.count(num(F.col("value"), kind)).alias("numbers"))
+        told = {r["name"]: r for r in shares.collect()}
+        out |= {n: _Head(tuple(x["value"] for x in samples[n]), told[n]["n"], told[n]["moments"], told[n]["numbers"]) for n in open_}
+    return out
 
 
 def _kind(dtype: T.DataType, declared: str | None, n: int, unique: int, length: float, boolean: bool, moments: float) -> str:
@@ -98,39 +143,29 @@ def _kind(dtype: T.DataType, declared: str | None, n: int, unique: int, length:
     return CATEGORICAL
 
 
-def profile(table: Table) -> DatasetProfile:
-    """The profile of all columns from one shared count of distinct values; exact, as thresholds decide on it."""
-    names = table.names
-    counts = value_counts(table, names)
-    token = F.lower(F.trim("value")).isin(*BOOLEAN_TOKENS)
-    per = _per_column(counts, token)
-    told = {r["name"]: r for r in per.collect()}
-    n_rows = table.frame.count()
-    strings = [n for n in names if isinstance(table.kind(n), T.StringType)]
-    moments = _moment_shares(table, strings)
+def profile(table: Table, counts: Counts | None = None) -> DatasetProfile:
+    """The profile of all columns, from the table's counted values; exact, as thresholds decide on it."""
+    if counts is None:
+        with Written(table.frame.sparkSession, "profile") as kept:
+            return profile(table, count_values(table, kept))
+    sums, names = counts.sums, table.names
+    n_rows = next((r["n"] + r["gaps"] for r in sums.values()), 0) if names else table.frame.count()
+    heads = _heads(table, sums)
     columns = []
     for name in names:
-        r, dtype = told.get(name), table.kind(name)
+        r, dtype, head = sums.get(name), table.kind(name), heads.get(name)
         n, unique = (r["n"], r["unique"]) if r else (0, 0)
-        boolean = bool(r) and unique <= 2 and r["tokens"] and not isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType))
-        kind = _kind(dtype, table.declared.get(name), n, unique, r["length"] if r else 0, boolean, moments.get(name, 0.0))
-        whole = not isinstance(dtype, (T.DoubleType, T.FloatType))
-        is_id = n_rows >= 2 and kind not in (BOOLEAN, EMPTY, DATETIME) and whole and unique / n_rows >= ID_SHARE and (bool(ID_NAME.search(name)) or kind == CATEGORICAL)
-        columns.append(ColumnProfile(
-            name, dtype.simpleString(), kind, n_rows - n, (n_rows - n) / n_rows if n_rows else 0.0, unique, is_id, unique <= 1, kind in (CATEGORICAL, TEXT) and unique > MANY_VALUES,
-            tuple(r["samples"]) if r else (),
-        ))
+        real = isinstance(dtype, (T.DoubleType, T.FloatType))
+        boolean = bool(n) and unique <= 2 and not real and not isinstance(dtype, T.DecimalType) and r["tokens"]
+        moments = head.moments / head.seen if head and head.numbers < head.seen and isinstance(dtype, T.StringType) else 0.0
+        kind = _kind(dtype, table.declared.get(name), n, unique, (r["length"] or 0) if r else 0, boolean, moments)
+        is_id = n_rows >= 2 and kind not in (BOOLEAN, EMPTY, DATETIME) and not real and unique / n_rows >= ID_SHARE and (bool(ID_NAME.search(name)) or kind == CATEGORICAL)
+        wide = kind in (CATEGORICAL, TEXT) and unique > MANY_VALUES
+        columns.append(ColumnProfile(name, dtype.simpleString(), kind, n_rows - n, (n_rows - n) / n_rows if n_rows else 0.0, unique, is_id, unique <= 1, wide, head.samples if head else ()))
     missing = sum(c.n_missing for c in columns)
     cells = n_rows * len(columns)
-    return DatasetProfile(n_rows, len(columns), dict(Counter(c.kind for c in columns)), missing, missing / cells if cells else 0.0, duplicate_rows(table), tuple(columns))
-
-
-def _per_column(counts: DataFrame, token) -> DataFrame:
-    """Sums over a column's distinct values and its first ones in row order; the samples are a bounded top of each task."""
-    sums = counts.groupBy("name").agg(F.sum("n").alias("n"), F.count("*").alias("unique"), (F.sum(F.length("value") * F.col("n")) / F.sum("n")).alias("length"), F.every(token).alias("tokens"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy("row"))
-    tops = counts.withColumn("rank", rank).filter(F.col("rank") <= SAMPLES).groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("samples"))
-    return sums.join(tops, "name")
+    repeated = duplicate_rows(table, counts.kept)
+    return DatasetProfile(n_rows, len(columns), dict(Counter(c.kind for c in columns)), missing, missing / cells if cells else 0.0, repeated, tuple(columns))
 
 
 def understood(table: Table, told: DatasetProfile | None = None) -> Table:

@@ -6,21 +6,18 @@ import unicodedata
 from collections import defaultdict
 from dataclasses import dataclass
 
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..functions.columns import col, label, num
 from ..plans.provenance import Provenance
+from ..scratch import Written
 from ..table import BOOLEAN, CATEGORICAL, EMPTY, NUMERIC, TEXT, Table
+from .counts import Counts, count_values
 from .profile import DatasetProfile
-from .stats import fences, quartiles
+from .stats import NumericSummary, describe
 
 #: Thresholds, tolerances and weights.
 MISSING_SHOWN, MISSING_WARNING, MISSING_SERIOUS = 0.01, 0.1, 0.5
 DUPLICATES_WARNING = 0.05
 OUTLIERS_SHOWN, OUTLIERS_WARNING = 0.01, 0.05
 MISTYPED_SHARE, MOST_SPELLINGS, SPELLINGS_SHOWN = 0.8, 500, 3
-BAD_SPACES = r"^\s|\s$|\s{2,}"
 DIMENSIONS = {"completeness": (0.5, 0.30), "consistency": (0.5, 0.20), "type_consistency": (0.5, 0.20), "duplicates": (0.3, 0.15), "outliers": (0.2, 0.15)}
 SEVERITIES = ("serious", "warning", "info")
 SHAPED = "Gaps were filled or dropped by an earlier step, so completeness describes the result, not the file."
@@ -70,35 +67,20 @@ class _Facts:
     spellings: dict[str, list[tuple[str, ...]]]
 
 
-def _facts(table: Table, told: DatasetProfile) -> _Facts:
-    """Everything the issues need beyond the profile: two jobs over all columns and one over short lists of values."""
-    numeric = [c.name for c in told.columns if c.kind == NUMERIC and not c.is_id]
+def _facts(told: DatasetProfile, counts: Counts, numeric: list[NumericSummary] | None) -> _Facts:
+    """Everything the issues need beyond the profile, from counted values."""
+    if numeric is None:
+        numeric = describe(counts.table, [c.name for c in told.columns if c.kind == NUMERIC and not c.is_id], counts)
     textual = [c for c in told.columns if c.kind in (CATEGORICAL, TEXT, BOOLEAN)]
-    texts = [c.name for c in textual]
-    first = []
-    for i, name in enumerate(numeric):
-        x = num(col(name), table.kind(name))
-        first.append(F.struct(F.count(x).alias("n")).alias(f"n{i}"))
-    for i, name in enumerate(texts):
-        text = label(col(name), table.kind(name))
-        first.append(F.struct(F.count(text).alias("n"), F.count(num(text, T.StringType())).alias("numbers"), F.count_if(text.rlike(BAD_SPACES)).alias("spaces")).alias(f"t{i}"))
-    row = table.frame.agg(*first).first() if first else None
-    middle = quartiles(table, numeric)
-    bounds = {n: fences(*middle.get(n, (None, None))) for n in numeric}
-    outside = [(n, b) for n, b in bounds.items() if b]
-    counted = table.frame.agg(*(F.count_if((num(col(n), table.kind(n)) < b[0]) | (num(col(n), table.kind(n)) > b[1])).alias(f"o{i}") for i, (n, b) in enumerate(outside))).first() if outside else None
-    outliers = {n: (0, row[f"n{i}"]["n"]) for i, n in enumerate(numeric)}
-    for i, (n, _) in enumerate(outside):
-        outliers[n] = (counted[f"o{i}"], outliers[n][1])
+    texts = {c.name: (r["n"], r["numbers"], r["spaced"]) if (r := counts.sums.get(c.name)) else (0, 0, 0) for c in textual}
     few = [c.name for c in textual if 2 <= c.n_unique <= MOST_SPELLINGS]
     groups: dict[str, dict[str, list[str]]] = defaultdict(lambda: defaultdict(list))
     if few:
-        cells = F.array(*(F.struct(F.lit(n).alias("name"), label(col(n), table.kind(n)).alias("value")) for n in few))
-        values = table.frame.select(F.explode(cells).alias("c")).select("c.name", "c.value").filter("value is not null").distinct()
-        for r in values.orderBy("name", "value").collect():  # at most MOST_SPELLINGS values for each column
-            groups[r["name"]][normal_form(r["value"])].append(r["value"])
+        for r in sorted(counts.of(few).select("unit", "value").collect()):  # at most MOST_SPELLINGS values for each column
+            if r["value"] is not None:
+                groups[counts.names[r["unit"]]][normal_form(r["value"])].append(r["value"])
     spellings = {n: [tuple(v) for v in forms.values() if len(v) > 1] for n, forms in groups.items()}
-    return _Facts(outliers, {n: (row[f"t{i}"]["n"], row[f"t{i}"]["numbers"], row[f"t{i}"]["spaces"]) for i, n in enumerate(texts)}, {n: v for n, v in spellings.items() if v})
+    return _Facts({s.name: (s.outliers, s.count) for s in numeric}, texts, {n: v for n, v in spellings.items() if v})
 
 
 def issues(told: DatasetProfile, facts: _Facts) -> list[Issue]:
@@ -166,6 +148,10 @@ def score(told: DatasetProfile, facts: _Facts, found: list[Issue], provenance: P
     return Quality(overall, tuple(parts), tuple(found), tuple(caveats))
 
 
-def assess(table: Table, told: DatasetProfile, provenance: Provenance = Provenance()) -> Quality:
-    facts = _facts(table, told)
+def assess(table: Table, told: DatasetProfile, provenance: Provenance = Provenance(), counts: Counts | None = None, numeric: list[NumericSummary] | None = None) -> Quality:
+    """The quality of a table; its counted values and summaries of its numbers are read if they are given."""
+    if counts is None:
+        with Written(table.frame.sparkSession, "quality") as kept:
+            return assess(table, told, provenance, count_values(table, kept), numeric)
+    facts = _facts(told, counts, numeric)
     return score(told, facts, issues(told, facts), provenance)

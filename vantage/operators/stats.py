@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import itertools
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.chi2 import survival
 from ..functions.columns import col, label, num
+from ..scratch import Written
 from ..table import Table
+from .counts import Counts, count_values
+from .selection import counted, is_small, quantiles, ranked_values, select_quantiles
 
 #: Bounds and thresholds of the analyses.
 BINS, FENCE = 30, 1.5
@@ -109,27 +115,86 @@ class Comparison:
         return self.highest.median - self.lowest.median
 
 
-def adjusted_skewness(x: Column) -> Column:
-    """Bias-adjusted skewness; 0 where all values are equal, null under three values."""
-    n = F.count(x)
-    spread = F.stddev_pop(x)
-    adjusted = F.skewness(x) * F.sqrt(n * (n - 1)) / (n - 2)
-    return F.when(n > 2, F.when(spread == 0, F.lit(0.0)).otherwise(adjusted))
+@dataclass(frozen=True)
+class Moments:
+    name: str
+    count: int
+    missing: int
+    mean: float | None
+    median: float | None
+    std: float | None
+    min: float | None
+    max: float | None
+    q1: float | None
+    q3: float | None
+    skewness: float | None
+    unique: int
+    outliers: int
+    bins: tuple[int, ...]
+
+
+def adjusted_skewness(n: int, second: float, third: float) -> float | None:
+    """Bias-adjusted skewness from sums of powers about the mean; 0 where all values are equal, none under three."""
+    if n <= 2:
+        return None
+    return (third / n) / (second / n) ** 1.5 * math.sqrt(n * (n - 1)) / (n - 2) if second else 0.0
+
+
+def moments(counts: Counts, names: list[str]) -> list[Moments]:
+    """What counted values tell of numeric columns: quartiles by selection, then outliers, bins and powers about the
+    mean in one more pass over the values."""
+    own = {n: counts.sums[n] for n in names if n in counts.sums}
+    found = dict(zip(own, _quartiles_of(counts, list(own), [0.25, 0.5, 0.75]), strict=True))
+    rows = _spread(counts, {n: (r, found[n]) for n, r in own.items() if r["numbers"]})
+    out = []
+    for name in names:
+        r, q, spread = own.get(name), found.get(name), rows.get(name)
+        if not spread:
+            out.append(Moments(name, 0, r["gaps"] if r else 0, *[None] * 8, 0, 0, ()))
+            continue
+        n, flat = r["numbers"], r["min"] == r["max"]
+        second, third = (0.0, 0.0) if flat else spread[1:3]
+        std = math.sqrt(second / (n - 1)) if n > 1 else None
+        mean = r["min"] if flat else r["sum"] / n
+        out.append(Moments(name, n, r["gaps"], mean, q[1], std, r["min"], r["max"], q[0], q[2], adjusted_skewness(n, second, third), r["distinct_numbers"], spread[0], tuple(spread[3])))
+    return out
+
+
+def _quartiles_of(counts: Counts, names: list[str], shares: list[float]) -> list[list[float] | None]:
+    units = counts.units(names)
+    rows = counts.of(names).select("unit", "number", "n").filter("number is not null")
+    return select_quantiles(rows, [F.when(F.col("unit") == u, F.col("number")) for u in units], [shares] * len(units), F.col("n"), [tuple(counts.sums[n][x] for x in ("numbers", "min", "max")) for n in names])
+
+
+def _spread(counts: Counts, told: dict[str, tuple]) -> dict[str, list]:
+    """(outliers, second and third power about the mean, rows of each bin) of columns with known ends and quartiles."""
+    if not told:
+        return {}
+    x, n, unit = F.col("number"), F.col("n"), F.col("unit")
+    bins, mean, outside = (F.lit(None).cast(k) for k in ("int", "double", "boolean"))
+    for name, (r, q) in told.items():
+        mine, fence = unit == counts.names.index(name), fences(q[0], q[2])
+        bins = F.when(mine, bucket(x, bucket_edges(r["min"], r["max"], r["distinct_numbers"]))).otherwise(bins)
+        mean = F.when(mine, r["sum"] / r["numbers"]).otherwise(mean)
+        outside = F.when(mine, (x < fence[0]) | (x > fence[1]) if fence else F.lit(False)).otherwise(outside)
+    rows = counts.of(list(told)).filter("number is not null").select("unit", n, bins.alias("bin"), (x - mean).alias("d"), outside.alias("out"))
+    sums = rows.groupBy("unit", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("out"), n).otherwise(0)).alias("out"), F.sum(F.col("d") * F.col("d") * n).alias("s2"), F.sum(F.col("d") * F.col("d") * F.col("d") * n).alias("s3"))
+    out = {name: [0, 0.0, 0.0, [0] * min(BINS, r["distinct_numbers"])] for name, (r, _) in told.items()}
+    for r in sums.collect():
+        mine = out[counts.names[r["unit"]]]
+        mine[0] += r["out"]
+        mine[1] += r["s2"]
+        mine[2] += r["s3"]
+        mine[3][r["bin"]] += r["n"]
+    return out
 
 
 def moments_frame(table: Table, names: list[str]) -> DataFrame:
-    """(name, count, missing, mean, median, std, min, max, q1, q3, skewness, unique) of finite values: one pass over an
-    unpivoted table, one shuffle for all columns."""
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), num(col(n), table.kind(n)).alias("x"), col(n).isNull().alias("gap")) for n in names))
-    rows = table.frame.select(F.explode(cells).alias("c")).select("c.name", "c.x", "c.gap")
-    shape = rows.groupBy("name").agg(
-        F.count("x").alias("count"), F.count_if("gap").alias("missing"), F.avg("x").alias("mean"), F.when(F.count("x") > 1, F.stddev_samp("x")).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-        adjusted_skewness(F.col("x")).alias("skewness"),
-    )
-    unique = _counted(rows, ["name"], "x").groupBy("name").agg(F.count("*").alias("unique"))
-    q = quantiles(rows, ["name"], "x", [0.25, 0.5, 0.75])
-    joined = shape.join(q, "name", "left").join(unique, "name", "left")
-    return joined.select("name", "count", "missing", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "skewness", F.coalesce("unique", F.lit(0)).alias("unique"))
+    """(name, count, missing, mean, median, std, min, max, q1, q3, skewness, unique) of columns' finite values."""
+    with Written(table.frame.sparkSession, "moments") as kept:
+        rows = [(m.name, m.count, m.missing, m.mean, m.median, m.std, m.min, m.max, m.q1, m.q3, m.skewness, m.unique) for m in moments(count_values(table, kept, names), names)]
+    measures = "mean double, median double, std double, min double, max double, q1 double, q3 double, skewness double"
+    return table.frame.sparkSession.createDataFrame(rows, f"name string, count bigint, missing bigint, {measures}, unique bigint")
 
 
 def fences(q1: float | None, q3: float | None) -> tuple[float, float] | None:
@@ -151,186 +216,151 @@ def bucket(x: Column, edges: list[float]) -> Column:
     return F.when(x.isNotNull(), F.least(F.floor((x - edges[0]) / ((edges[-1] - edges[0]) / n)), F.lit(n - 1))).cast("int")
 
 
-def describe(table: Table, names: list[str]) -> list[NumericSummary]:
-    """Summaries of numeric columns in two jobs: moments and quantiles, then outliers and bins with those known."""
+def describe(table: Table, names: list[str], counts: Counts | None = None) -> list[NumericSummary]:
+    """Summaries of numeric columns, from the table's counted values."""
     if not names:
         return []
-    told = {r["name"]: r for r in moments_frame(table, names).collect()}
-    wanted, places = [], {}
-    for name in names:
-        r, x = told[name], num(col(name), table.kind(name))
-        fence = fences(r["q1"], r["q3"])
-        outside = F.count_if((x < fence[0]) | (x > fence[1])) if fence else F.lit(0)
-        wanted.append(outside.alias(f"o{len(places)}"))
-        places[name] = len(places)
-    outliers = table.frame.agg(*wanted).first()
-    bins = _bin_counts(table, {n: bucket_edges(told[n]["min"], told[n]["max"], told[n]["unique"]) for n in names if told[n]["count"]})
+    if counts is None:
+        with Written(table.frame.sparkSession, "describe") as kept:
+            return describe(table, names, count_values(table, kept, names))
     out = []
-    for name in names:
-        r = told[name]
-        shape = None
-        if r["count"]:
-            edges, counts = bins[name]
-            shape = Histogram(tuple(edges), tuple(counts))
-        out.append(NumericSummary(name, r["count"], r["missing"], r["mean"], r["median"], r["std"], r["min"], r["max"], r["q1"], r["q3"], r["skewness"], outliers[f"o{places[name]}"], shape))
-    return out
-
-
-def _bin_counts(table: Table, edges: dict[str, list[float]]) -> dict[str, tuple[list[float], list[int]]]:
-    if not edges:
-        return {}
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), bucket(num(col(n), table.kind(n)), e).alias("bin")) for n, e in edges.items()))
-    counted = table.frame.select(F.explode(cells).alias("c")).filter("c.bin is not null").groupBy("c.name", "c.bin").count().collect()
-    out = {n: (e, [0] * (len(e) - 1)) for n, e in edges.items()}
-    for r in counted:
-        out[r["name"]][1][r["bin"]] = r["count"]
+    for m in moments(counts, names):
+        shape = Histogram(tuple(bucket_edges(m.min, m.max, m.unique)), m.bins) if m.count else None
+        out.append(NumericSummary(m.name, m.count, m.missing, m.mean, m.median, m.std, m.min, m.max, m.q1, m.q3, m.skewness, m.outliers, shape))
     return out
 
 
-def frequencies(table: Table, names: list[str]) -> list[CategorySummary]:
-    """Top values and rare ones of category columns; ties among the top go by value."""
+def frequencies(table: Table, names: list[str], counts: Counts | None = None) -> list[CategorySummary]:
+    """Top values and rare ones of category columns, from the table's counted values; ties among the top go by value."""
     if not names:
         return []
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), label(col(n), table.kind(n)).alias("value")) for n in names))
-    counts = table.frame.select(F.explode(cells).alias("c")).groupBy("c.name", "c.value").agg(F.count("*").alias("n"))
-    there = F.col("value").isNotNull()
-    whole = counts.groupBy("name").agg(F.sum(F.when(there, F.col("n"))).alias("count"), F.sum(F.when(~there, F.col("n"))).alias("missing"), F.count("value").alias("unique"))
-    rank = F.row_number().over(Window.partitionBy("name").orderBy(F.col("n").desc(), "value"))
-    top = counts.filter(there).withColumn("rank", rank).filter(F.col("rank") <= TOP_VALUES)
-    joined = counts.filter(there).join(F.broadcast(whole), "name").groupBy("name").agg(F.count_if(F.col("n") / F.col("count") < RARE_SHARE).alias("rare"))
-    wholes, rare = {r["name"]: r for r in whole.collect()}, {r["name"]: r["rare"] for r in joined.collect()}
-    tops: dict[str, list] = {n: [] for n in names}
-    for r in top.orderBy("name", "rank").collect():
-        tops[r["name"]].append((r["value"], r["n"], r["n"] / wholes[r["name"]]["count"]))
-    return [CategorySummary(n, wholes[n]["count"] or 0, wholes[n]["missing"] or 0, wholes[n]["unique"], tuple(tops[n]), rare.get(n, 0)) if n in wholes else CategorySummary(n, 0, 0, 0, (), 0) for n in names]
-
-
-SLOT_VALUES, SLOTS = 50_000, 1024
-#: Of the rows of a unit, the share above which a value's rank is broadcast and its rows are dealt out freely.
-HEAVY_SHARE = 2000
-
-
-def slotted(counts: DataFrame, value: str) -> DataFrame:
-    """Adds the range that each value falls into: ranges by rough quantiles of all values, one for about SLOT_VALUES."""
-    told = counts.agg(F.count("*").alias("n"), F.percentile_approx(value, [k / SLOTS for k in range(1, SLOTS)], 10_000).alias("q")).first()
-    slots = min(SLOTS, told["n"] // SLOT_VALUES + 1)
-    cuts = sorted({told["q"][SLOTS * k // slots - 1] for k in range(1, slots)})
-    slot = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda cut: F.col(value) > cut)) if cuts else F.lit(0)
-    return counts.withColumn("__slot", slot)
-
-
-def _below(placed: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, __slot, __base, __sum, __total): how many rows lie in and below each range."""
-    sums = placed.groupBy(*keys, "__slot").agg(F.sum("__n").alias("__sum"))
-    of_key = Window.partitionBy(*keys)
-    before = F.sum("__sum").over(of_key.orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1))
-    return sums.select(*keys, "__slot", F.coalesce(before, F.lit(0)).alias("__base"), "__sum", F.sum("__sum").over(of_key).alias("__total"))
+    if counts is None:
+        with Written(table.frame.sparkSession, "frequencies") as kept:
+            return frequencies(table, names, count_values(table, kept, names))
+    total = F.lit(None).cast("bigint")
+    for n, u in zip(names, counts.units(names), strict=True):
+        total = F.when(F.col("unit") == u, F.lit(counts.sums[n]["n"] if n in counts.sums else 0)).otherwise(total)
+    values = counts.of(names).select("unit", _labelled(counts, names).alias("value"), "n", (F.col("n") / total < RARE_SHARE).alias("rare"))
+    rank = F.row_number().over(Window.partitionBy("unit").orderBy(F.col("n").desc(), "value"))
+    top = values.withColumn("rank", rank).filter(F.col("rank") <= TOP_VALUES).select("unit", "rank", "value", "n")
+    rare = values.groupBy("unit").agg(F.count_if("rare").alias("n")).select("unit", F.lit(0).alias("rank"), F.lit(None).cast("string").alias("value"), "n")
+    tops: dict[int, list] = {u: [] for u in counts.units(names)}
+    scarce = dict.fromkeys(tops, 0)
+    for r in sorted(top.unionByName(rare).collect(), key=lambda r: r["rank"]):
+        if r["rank"]:
+            tops[r["unit"]].append((r["value"], r["n"]))
+        else:
+            scarce[r["unit"]] = r["n"]
+    out = []
+    for n, u in zip(names, counts.units(names), strict=True):
+        told = counts.sums.get(n)
+        out.append(CategorySummary(n, told["n"], told["gaps"], told["unique"], tuple((v, k, k / told["n"]) for v, k in tops[u]), scarce[u]) if told else CategorySummary(n, 0, 0, 0, (), 0))
+    return out
 
 
-def _counted(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return rows.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__n"))
+def _labelled(counts: Counts, names: list[str]) -> Column:
+    """The values as texts, those of doubles too."""
+    out = F.col("value")
+    for n, u in zip(names, counts.units(names), strict=True):
+        kind = counts.table.kind(n)
+        if isinstance(kind, (T.DoubleType, T.FloatType)):
+            out = F.when(F.col("unit") == u, label(F.col("number").cast(kind), kind)).otherwise(out)
+    return out
 
 
-def _inside(placed: DataFrame, keys: list[str], value: str) -> Column:
-    """How many rows of the range lie below the value."""
-    return F.coalesce(F.sum("__n").over(Window.partitionBy(*keys, "__slot").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+#: Of the rows of a unit, the share above which a value's rank is broadcast and its rows are dealt out freely.
+HEAVY_SHARE = 2000
 
 
-def ranked_values(counts: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """(keys, value, __n, rank): the average rank of each value within its keys. A range's ranks start after the counts
-    of the ranges below, so no task ranks all rows of a key."""
-    placed = slotted(counts, value)
-    joined = placed.join(_below(placed, keys), [*keys, "__slot"])
-    rank = F.col("__base") + _inside(joined, keys, value) + (F.col("__n") + 1) / 2.0
-    return joined.select(*keys, value, "__n", rank.cast("double").alias("rank"))
+def quantiles_of(table: Table, name: str, shares: list[float]) -> list[float] | None:
+    """Exact quantiles of a column's finite numbers; none if it has none."""
+    return select_quantiles(table.frame, [num(col(name), table.kind(name))], [shares])[0]
 
 
-def average_ranks(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """Adds the average rank of each value within its keys."""
-    ranked = ranked_values(_counted(rows, keys, value), keys, value)
-    return rows.join(ranked.select(*keys, value, F.col("rank").alias(name)), [*keys, value])
+def pair_sums(numbers: DataFrame, centres: list[float]) -> dict[tuple[int, int], tuple]:
+    """For every two of the columns (doubles or null) over rows that have both: their number, and the sums of both
+    values, squares and products about the centres. Each batch gives them as products of matrices, for all pairs in one
+    read, and partial sums meet in Spark."""
+    width = len(centres)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((6, width, width))
+        for batch in batches:
+            raw = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1) if batch.num_rows else np.zeros((0, width))
+            there = ~np.isnan(raw)
+            x, m = np.where(there, raw - centres, 0.0), there.astype(float)
+            total += np.stack((m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x))
+        a, b = np.triu_indices(width, 1)
+        if len(a) and total[0].any():
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), *(pa.array(t[a, b]) for t in total)], names=["a", "b", *PAIR_SUMS])
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float]) -> DataFrame:
-    """(keys, q): exact quantiles of the values of each key, between neighbours where they fall between. Only the ranges
-    that hold a wanted place are sorted, so no task sees all values of a key."""
-    placed = slotted(_counted(rows, keys, value), value)
-    spots = []
-    for i, share in enumerate(shares):
-        at = F.lit(share) * (F.col("__total") - 1)
-        low, high = F.floor(at), F.ceil(at)
-        spots += [F.struct(F.lit(i).alias("i"), low.alias("k"), F.when(low == high, 1.0).otherwise(high - at).alias("weight")), F.struct(F.lit(i).alias("i"), high.alias("k"), (at - low).alias("weight"))]
-    wanted = _below(placed, keys).withColumn("spot", F.explode(F.array(*spots)))
-    wanted = wanted.filter((F.col("spot.k") >= F.col("__base")) & (F.col("spot.k") < F.col("__base") + F.col("__sum"))).select(*keys, "__slot", "__base", "spot.*")
-    near = placed.join(wanted.select(*keys, "__slot").distinct(), [*keys, "__slot"], "left_semi")
-    near = near.withColumn("__before", _inside(near, keys, value))
-    here = (F.col("k") - F.col("__base") >= F.col("__before")) & (F.col("k") - F.col("__base") < F.col("__before") + F.col("__n"))
-    found = near.join(wanted, [*keys, "__slot"]).filter(here).groupBy(*keys, "i").agg(F.sum(F.col(value) * F.col("weight")).alias("x"))
-    return found.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("q"))
+    schema = f"a bigint, b bigint, {', '.join(f'{x} double' for x in PAIR_SUMS)}"
+    sums = numbers.mapInArrow(run, schema).groupBy("a", "b").agg(*(F.sum(x).alias(x) for x in PAIR_SUMS))
+    return {(r["a"], r["b"]): tuple(r)[2:] for r in sums.collect()}
 
 
-def quartiles(table: Table, names: list[str]) -> dict[str, tuple[float, float]]:
-    """The quartiles of columns' finite numbers, of those that have any."""
-    if not names:
-        return {}
-    cells = F.array(*(F.struct(F.lit(n).alias("name"), num(col(n), table.kind(n)).alias("x")) for n in names))
-    rows = table.frame.select(F.explode(cells).alias("c")).select("c.name", "c.x")
-    return {r["name"]: tuple(r["q"]) for r in quantiles(rows, ["name"], "x", [0.25, 0.75]).collect()}
+PAIR_SUMS = ("n", "x", "y", "xx", "yy", "xy")
 
 
-def quantiles_of(table: Table, name: str, shares: list[float]) -> list[float] | None:
-    """Exact quantiles of a column's finite numbers; none if it has none."""
-    rows = table.frame.select(F.lit(0).alias("all"), num(col(name), table.kind(name)).alias("x"))
-    found = quantiles(rows, ["all"], "x", shares).first()
-    return found["q"] if found else None
+def _pearson(n: float, x: float, y: float, xx: float, yy: float, xy: float) -> float | None:
+    """None where a column does not vary, by what is left of its squares beside rounding."""
+    vx, vy = xx - x * x / n, yy - y * y / n
+    if vx <= 1e-12 * xx or vy <= 1e-12 * yy:
+        return None
+    return max(-1.0, min(1.0, (xy - x * y / n) / math.sqrt(vx * vy)))
 
 
-def correlate(table: Table, names: list[str], most: int | None = MAX_PAIRS) -> list[Correlation]:
+def correlate(table: Table, names: list[str], most: int | None = MAX_PAIRS, counts: Counts | None = None) -> list[Correlation]:
     """Pearson and Spearman of every pair of numeric columns over rows that have both, strongest first.
 
-    Pearson takes plain sums over the table. Only the strongest pairs are ranked: a column once for all partners that
-    take none of its rows away. Pairs are counted by value before they meet the ranks."""
-    pairs = list(itertools.combinations(range(len(names)), 2))
-    if not pairs:
+    Pearson takes sums of products, of all pairs in one read. Only the strongest pairs are ranked: a column once for all
+    partners that take none of its rows away. Pairs are counted by value before they meet the ranks."""
+    if len(names) < 2:
         return []
+    if counts is None:
+        with Written(table.frame.sparkSession, "correlate") as kept:
+            return correlate(table, names, most, count_values(table, kept, names))
+    sums = [counts.sums.get(n) for n in names]
+    sizes = [r["numbers"] if r else 0 for r in sums]
     numbers = table.frame.select(*(num(col(n), table.kind(n)).alias(f"c{i}") for i, n in enumerate(names)))
     c = lambda i: F.col(f"c{i}")
     both = lambda a, b: F.when(c(b).isNotNull(), c(a))
     told: dict[tuple[int, int], tuple] = {}
-    counts = numbers.agg(*(F.count(c(i)) for i in range(len(names)))).first()
-    for at in range(0, len(pairs), 100):
-        part = pairs[at : at + 100]
-        measures = (
-            F.struct(F.count(both(a, b)).alias("n"), F.covar_pop(c(a), c(b)).alias("xy"), F.stddev_pop(both(a, b)).alias("x"), F.stddev_pop(both(b, a)).alias("y")).alias(f"p{k}")
-            for k, (a, b) in enumerate(part)
-        )
-        sums = numbers.agg(*measures).first()
-        told.update({p: (s["n"], s["xy"] / (s["x"] * s["y"])) for p, s in zip(part, sums, strict=True) if s["n"] >= LEAST_PAIRS and s["x"] and s["y"]})
-    kept = sorted(told, key=lambda p: -abs(told[p][1]))[:most]
-    if not kept:
+    for pair, (n, *rest) in pair_sums(numbers, [r["sum"] / r["numbers"] if r and r["numbers"] else 0.0 for r in sums]).items():
+        if n >= LEAST_PAIRS and (r := _pearson(n, *rest)) is not None:
+            told[pair] = (int(n), r)
+    chosen = sorted(told, key=lambda p: (-abs(told[p][1]), p))[:most]
+    if not chosen:
         return []
-    unit = lambda a, b: (a, None if told[min(a, b), max(a, b)][0] == counts[a] else b)
-    units = {u: k for k, u in enumerate(dict.fromkeys(u for a, b in kept for u in (unit(a, b), unit(b, a))))}
-    cells = F.array(*(F.struct(F.lit(k).alias("unit"), (c(a) if b is None else both(a, b)).alias("v")) for (a, b), k in units.items()))
-    ranks = ranked_values(_counted(numbers.select(F.explode(cells).alias("u")).select("u.*"), ["unit"], "v"), ["unit"], "v").persist()
-    try:
-        cells = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(units[unit(a, b)]).alias("ux"), F.lit(units[unit(b, a)]).alias("uy"), c(a).alias("x"), c(b).alias("y"), F.lit((told[a, b][0] + 1) / 2).alias("mean")) for k, (a, b) in enumerate(kept)))
-        rows = numbers.select(F.explode(cells).alias("p")).select("p.*").filter("x is not null and y is not null")
-        rows = rows.groupBy("pair", "ux", "uy", "mean", "x", "y").agg(F.count("*").alias("n"))
-        share = max(max(counts) // HEAVY_SHARE, 1)
-        rows = _with_ranks(_with_ranks(rows, ranks, "ux", "x", share), ranks, "uy", "y", share)
-        dx, dy, n = F.col("rank_x") - F.col("mean"), F.col("rank_y") - F.col("mean"), F.col("n")
-        sums = rows.groupBy("pair").agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy")).collect()
-    finally:
-        ranks.unpersist()
+    unit = lambda a, b: (a, None if told[min(a, b), max(a, b)][0] == sizes[a] else b)
+    units = {u: k for k, u in enumerate(dict.fromkeys(u for a, b in chosen for u in (unit(a, b), unit(b, a))))}
+    kept = counts.kept
+    whole = {counts.names.index(names[a]): k for (a, b), k in units.items() if b is None}
+    known = counts.of([names[a] for a, b in units if b is None]).filter("number is not null")
+    known = known.select(F.element_at(F.create_map(*(F.lit(x) for pair in whole.items() for x in pair)), F.col("unit")).alias("unit"), F.col("number").alias("v"), F.col("n").alias("__n")) if whole else None
+    parts = [F.struct(F.lit(k).alias("unit"), both(a, b).alias("v")) for (a, b), k in units.items() if b is not None]
+    fresh = counted(numbers.select(F.explode(F.array(*parts)).alias("u")).select("u.*"), ["unit"], "v") if parts else None
+    small = is_small(numbers)
+    ranks = ranked_values(reduce(DataFrame.unionByName, [x for x in (known, fresh) if x is not None]), ["unit"], "v", kept, sum(sums[a]["distinct_numbers"] for a, _ in units))
+    ranks = ranks if small else kept.put("ranks", ranks)
+    cells = F.array(*(F.struct(F.lit(k).alias("pair"), F.lit(units[unit(a, b)]).alias("ux"), F.lit(units[unit(b, a)]).alias("uy"), c(a).alias("x"), c(b).alias("y"), F.lit((told[a, b][0] + 1) / 2).alias("mean")) for k, (a, b) in enumerate(chosen)))
+    rows = numbers.select(F.explode(cells).alias("p")).select("p.*").filter("x is not null and y is not null")
+    rows = rows.groupBy("pair", "ux", "uy", "mean", "x", "y").agg(F.count("*").alias("n"))
+    share = None if small else max(max(sizes) // HEAVY_SHARE, 1)
+    rows = _with_ranks(_with_ranks(rows, ranks, "ux", "x", share), ranks, "uy", "y", share)
+    dx, dy, n = F.col("rank_x") - F.col("mean"), F.col("rank_y") - F.col("mean"), F.col("n")
+    sums = rows.groupBy("pair").agg(F.sum(n * dx * dy).alias("xy"), F.sum(n * dx * dx).alias("xx"), F.sum(n * dy * dy).alias("yy")).collect()
+    kept.drop("ranks")
     rho = {r["pair"]: r["xy"] / math.sqrt(r["xx"] * r["yy"]) for r in sums}
-    return [Correlation(names[a], names[b], *told[a, b], rho[k]) for k, (a, b) in enumerate(kept)]
+    return [Correlation(names[a], names[b], *told[a, b], rho[k]) for k, (a, b) in enumerate(chosen)]
 
 
-def _with_ranks(rows: DataFrame, ranks: DataFrame, unit: str, value: str, share: int) -> DataFrame:
-    """Adds rank_{value}. Ranks of values with more than `share` rows (HEAVY_SHARE of them for each unit at most) are
+def _with_ranks(rows: DataFrame, ranks: DataFrame, unit: str, value: str, share: int | None) -> DataFrame:
+    """Adds rank_{value}; without a share by a plain join. Ranks of values with more than `share` rows (HEAVY_SHARE of them for each unit at most) are
     broadcast; their rows don't meet in one task."""
     own = ranks.select(F.col("unit").alias(unit), F.col("v").alias(value), "__n", F.col("rank").alias("__rank"))
+    if share is None:
+        return rows.join(own.drop("__n"), [unit, value]).withColumnRenamed("__rank", f"rank_{value}")
     heavy = own.filter(F.col("__n") > share).select(unit, value, F.col("__rank").alias("__heavy"))
     placed = rows.join(F.broadcast(heavy), [unit, value], "left")
     dealt = F.when(F.col("__heavy").isNull(), F.col(unit)).otherwise(-1 - F.pmod(F.hash("pair", "x", "y"), F.lit(4096)))
@@ -346,28 +376,44 @@ def group_rows(table: Table, pairs: list[tuple[str, str]]) -> DataFrame:
 
 
 def group_stats(rows: DataFrame) -> DataFrame:
-    """(pair, g, n, mean, median, std, min, max, q1, q3, low, high) of groups of at least LEAST_GROUP values; low and high
-    are the furthest values within the fences."""
-    told = rows.groupBy("pair", "g").agg(
+    """(pair, g, n, mean, median, std, min, max, q1, q3, low, high, groups) of groups of at least LEAST_GROUP values; low
+    and high are the furthest values within the fences, groups the number of all groups of the pair."""
+    measures = (
         F.count("*").alias("n"), F.avg("x").alias("mean"), F.coalesce(F.stddev_samp("x"), F.lit(0.0)).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
-    ).filter(F.col("n") >= LEAST_GROUP)
-    told = told.join(quantiles(rows, ["pair", "g"], "x", [0.25, 0.5, 0.75]), ["pair", "g"])
+    )
+    shares = [0.25, 0.5, 0.75]
     reach = FENCE * (F.col("q")[2] - F.col("q")[0])
-    inside = (F.col("x") >= F.col("q")[0] - reach) & (F.col("x") <= F.col("q")[2] + reach)
-    whiskers = rows.join(told.select("pair", "g", "q"), ["pair", "g"]).groupBy("pair", "g").agg(F.min(F.when(inside, F.col("x"))).alias("low"), F.max(F.when(inside, F.col("x"))).alias("high"))
-    return told.join(whiskers, ["pair", "g"]).select("pair", "g", "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low", "high")
+    inside = F.when((F.col("x") >= F.col("q")[0] - reach) & (F.col("x") <= F.col("q")[2] + reach), F.col("x"))
+    ends = F.min(inside).alias("low"), F.max(inside).alias("high")
+    if is_small(rows):  # one shuffle for everything that looks at a group
+        own = F.percentile("x", F.array(*map(F.lit, shares))).over(Window.partitionBy("pair", "g"))
+        told = rows.withColumn("q", own).groupBy("pair", "g").agg(*measures, *ends, F.first("q").alias("q"))
+    else:
+        told = rows.groupBy("pair", "g").agg(*measures).join(quantiles(rows, ["pair", "g"], "x", shares, small=False), ["pair", "g"])
+        large = told.filter(F.col("n") >= LEAST_GROUP).select("pair", "g", "q")
+        told = told.join(rows.join(large, ["pair", "g"]).groupBy("pair", "g").agg(*ends), ["pair", "g"], "left")
+    told = told.withColumn("groups", F.count("*").over(Window.partitionBy("pair"))).filter(F.col("n") >= LEAST_GROUP)
+    return told.select("pair", "g", "n", "mean", F.col("q")[1].alias("median"), "std", "min", "max", F.col("q")[0].alias("q1"), F.col("q")[2].alias("q3"), "low", "high", "groups")
 
 
 def kruskal(rows: DataFrame) -> dict[int, tuple[float, float, float | None]]:
     """For each pair H with tie correction, its p-value, and the effect (H - k + 1) / (n - k) within 0 and 1; pairs whose
-    values are all equal, or that have one group, are left out."""
-    ranked = average_ranks(rows, ["pair"], "x", "r")
-    groups = ranked.groupBy("pair", "g").agg(F.count("*").alias("n"), F.sum("r").alias("s"))
-    sums = groups.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("s"))
-    tied = F.col("t") * F.col("t") * F.col("t") - F.col("t")
-    ties = rows.groupBy("pair", "x").agg(F.count("*").cast("double").alias("t")).groupBy("pair").agg(F.sum(tied).alias("t"))
+    values are all equal, or that have one group, are left out. Values are counted by group before they are ranked."""
+    cells = rows.groupBy("pair", "g", "x").agg(F.count("*").alias("n"))
+    with Written(rows.sparkSession, "kruskal") as kept:
+        if is_small(rows):
+            by_value = Window.partitionBy("pair").orderBy("x")
+            tie, upto = (F.sum("n").over(by_value.rangeBetween(a, 0)) for a in (0, Window.unboundedPreceding))
+            met = cells.withColumns({"__n": tie, "rank": upto - (tie - 1) / 2.0})
+        else:
+            cells = kept.put("cells", cells, n=F.count("*"))
+            values = cells.groupBy("pair", "x").agg(F.sum("n").alias("__n"))
+            met = cells.join(ranked_values(values, ["pair"], "x", kept, kept.told["cells"]["n"]), ["pair", "x"])
+        tied = F.col("n") * (F.col("__n").cast("double") * F.col("__n") - 1)  # adds up to t^3 - t over a value's groups
+        groups = met.groupBy("pair", "g").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("rank")).alias("s"), F.sum(tied).alias("t"))
+        sums = groups.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("s"), F.sum("t").alias("t")).collect()
     out = {}
-    for r in sums.join(ties, "pair").collect():
+    for r in sums:
         n, k = r["n"], r["k"]
         spread = 1 - r["t"] / (float(n) ** 3 - n) if n > 1 else 0
         if k >= 2 and spread > 0:
@@ -382,12 +428,13 @@ def compare_pairs(table: Table, pairs: list[tuple[str, str]]) -> list[Comparison
         return []
     rows = group_rows(table, pairs)
     found: dict[int, list] = {}
+    seen = {}
     for r in group_stats(rows).collect():
-        found.setdefault(r["pair"], []).append(GroupStats(*r[1:]))
+        found.setdefault(r["pair"], []).append(GroupStats(*r[1:-1]))
+        seen[r["pair"]] = r["groups"]
     found = {i: sorted(g, key=lambda s: (-s.mean, s.group)) for i, g in found.items() if len(g) > 1}
     if not found:
         return []
-    seen = {r["pair"]: r["n"] for r in rows.groupBy("pair").agg(F.count_distinct("g").alias("n")).collect()}
     large = reduce(lambda a, b: a | b, ((F.col("pair") == i) & F.col("g").isin([s.group for s in g]) for i, g in found.items()))
     effects = kruskal(rows.filter(large))
     return [Comparison(*pairs[i], tuple(found[i]), seen[i] - len(found[i]), *effects.get(i, (None, None, None))) for i in sorted(found)]

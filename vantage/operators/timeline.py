@@ -5,14 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import math
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, moment, num
 from ..table import Table
-from .stats import quantiles
+from .selection import is_small, quantiles
 
 #: How periods are chosen and changes judged.
 DAILY_DAYS, WEEKLY_DAYS = 400, 2800
@@ -72,8 +71,11 @@ def choose_rule(span_days: float, gap_days: float) -> str:
 
 def typical_gaps(rows: DataFrame) -> DataFrame:
     """(measure, gap): the median difference in microseconds of neighbouring distinct moments. Moments are dealt out by
-    month; between months only the first and last count, a row for each."""
+    month; between months only the first and last count, a row for each. Those of a small scan are gone through at once."""
     micros = lambda c: F.unix_micros(c.cast("timestamp_ltz"))
+    if is_small(rows):
+        gap = micros(F.col("t")) - micros(F.lag("t").over(Window.partitionBy("measure").orderBy("t")))
+        return rows.select("measure", "t").distinct().select("measure", gap.alias("gap")).groupBy("measure").agg(F.percentile("gap", 0.5).alias("gap"))
     moments = rows.select("measure", "t").distinct().withColumn("month", F.date_trunc("month", "t"))
     inside = moments.select("measure", (micros(F.col("t")) - micros(F.lag("t").over(Window.partitionBy("measure", "month").orderBy("t")))).alias("gap"))
     ends = moments.groupBy("measure", "month").agg(F.min("t").alias("first"), F.max("t").alias("last"))
@@ -88,6 +90,15 @@ def resampled(rows: DataFrame, rule: str) -> DataFrame:
     return spine.join(means, "period", "left")
 
 
+def periods(first: dt.datetime, last: dt.datetime, rule: str) -> list[dt.datetime]:
+    """Every period from the first to the last."""
+    if rule == "MS":
+        months = range(first.year * 12 + first.month - 1, last.year * 12 + last.month)
+        return [dt.datetime(m // 12, m % 12 + 1, 1) for m in months]
+    step = dt.timedelta(days=7 if rule == "W" else 1)
+    return [first + step * k for k in range((last - first) // step + 1)]
+
+
 def time_rows(table: Table, time: str, measures: list[str]) -> DataFrame:
     """(measure, t, x) of all rows that have both, all measures from one read."""
     cells = F.array(*(F.struct(F.lit(m).alias("measure"), num(col(m), table.kind(m)).alias("x")) for m in measures))
@@ -172,13 +183,16 @@ def _timelines(table: Table, time: str, measures: list[str]) -> list[Timeline]:
     spans = rows.groupBy("measure").agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b"))
     told = {r["measure"]: r for r in spans.join(typical_gaps(rows), "measure", "left").collect() if r["n"] >= LEAST_POINTS}
     rules = {m: choose_rule((r["b"] - r["a"]).total_seconds() / 86_400, (r["gap"] or 0) / 86_400_000_000) for m, r in told.items()}
-    series = [resampled(rows.filter(F.col("measure") == m), rule).withColumn("measure", F.lit(m)) for m, rule in rules.items()]
-    points: dict[str, list] = {m: [] for m in rules}
-    for r in reduce(DataFrame.unionByName, series).collect() if series else []:
-        points[r["measure"]].append((r["period"], r["value"]))
+    means: dict[str, dict] = {m: {} for m in rules}
+    if rules:
+        own = F.lit(None).cast("timestamp_ntz")
+        for rule in set(rules.values()):
+            own = F.when(F.col("measure").isin([m for m, r in rules.items() if r == rule]), period(F.col("t"), rule)).otherwise(own)
+        for r in rows.withColumn("period", own).filter("period is not null").groupBy("measure", "period").agg(F.avg("x").alias("value")).collect():
+            means[r["measure"]][r["period"]] = r["value"]
     out = []
     for m, rule in rules.items():
-        own = sorted(points[m], key=lambda p: p[0])
+        own = [(t, means[m].get(t)) for t in periods(min(means[m]), max(means[m]), rule)]
         seen = [p for p in own if p[1] is not None]
         if len(seen) >= LEAST_POINTS:
             values = [v for _, v in seen]
