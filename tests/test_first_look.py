@@ -14,7 +14,7 @@ from vantage.operators.dashboard import look
 from vantage.operators.profile import profile, understood
 from vantage.plans.recipe import parse
 from vantage.sources import readers
-from vantage.store import Full, Missing, Store
+from vantage.store import Full, Missing, Store, size_of
 from vantage.table import Table
 
 
@@ -196,6 +196,27 @@ def test_tiny_tables_have_no_findings(spark):
         assert look(table(spark, [(float(k), "a") for k in range(n)], "v double, g string")).insights == ()
 
 
+def test_store_lets_kept_results_go_before_it_refuses(spark, tmp_path):
+    spark.range(2000).selectExpr("id", "cast(id as double) as v").coalesce(1).write.parquet(str(tmp_path / "x"))
+    source = readers.read_parquet(spark, str(tmp_path / "x"))
+    one = size_of(source)
+    keeps = lambda n: parse({"steps": [{"op": "filter_rows", "clauses": [{"column": "v", "operator": "gte", "value": n}]}]})
+    kept = Store(budget=4 * one)
+    top = kept.add("ann", "x", source)
+    made = [kept.derive("ann", top.id, keeps(n)) for n in (10, 20, 30)]
+    assert list(kept._tables) == [m.id for m in made]
+    kept.table("ann", made[0].id)  # now the second is the oldest
+    kept.add("bob", "y", source)
+    assert list(kept._tables) == [made[2].id, made[0].id]
+    kept.add("bob", "z", source)
+    kept.add("bob", "w", source)
+    assert not kept._tables and [kept.table("ann", m.id).frame.count() for m in made] == [1990, 1980, 1970]
+    with pytest.raises(Full):
+        kept.add("ann", "u", source)
+    kept.remove("bob", next(e.id for e in kept._entries.values() if e.name == "z"))
+    assert kept.table("ann", made[1].id).frame.count() == 1980 and list(kept._tables) == [made[1].id]
+
+
 def test_store(spark):
     now = [0.0]
     kept = Store(seconds=10, per_owner=4, clock=lambda: now[0])

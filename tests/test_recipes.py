@@ -195,6 +195,24 @@ def test_forward_fill_over_blocks(spark, sort, monkeypatch):
     assert [r["v"] for r in out.ordered().collect()] == want
 
 
+@pytest.mark.parametrize("stretch", [7, 1024])
+def test_forward_fill_over_ten_thousand_blocks(spark, tmp_path, monkeypatch, stretch):
+    """Some stretches and whole files hold no value; nothing is broadcast, and no window goes over all blocks."""
+    monkeypatch.setattr(steps, "BLOCK_ROWS", 2)
+    monkeypatch.setattr(steps, "STRETCH", stretch)
+    rows = [(k, k if k % 997 == 5 or 3000 < k < 3100 else None) for k in range(20_000)]
+    spark.createDataFrame(rows, "k int, v int").repartitionByRange(5, "k").sortWithinPartitions("k").write.parquet(str(tmp_path / "x"))
+    table = assumed(read_parquet(spark, str(tmp_path / "x")))
+    filled = table.with_frame(forward_filled(table, "v"))
+    last, want = None, []
+    for r in table.ordered().collect():
+        last = r.v if r.v is not None else last
+        want.append((r.k, last))
+    assert [(r.k, r.v) for r in filled.ordered().collect()] == want
+    plan = filled.frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan and plan.count("strategy=merge") == 1
+
+
 def test_forward_fill_over_files_and_texts(spark, tmp_path, monkeypatch):
     """Blocks of several files in file order, and of texts with a common beginning, gaps last."""
     monkeypatch.setattr(steps, "BLOCK_ROWS", 20)

@@ -40,12 +40,22 @@ class Entry:
     children: list[str] = field(default_factory=list)
 
 
+def size_of(table: Table) -> int:
+    """Catalyst's estimate of a table's bytes; 0 where it has none."""
+    size = int(str(table.frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return 0 if size >= 1 << 62 else size
+
+
 class Store:
     """Derived tables are lazy plans over their parents. A few are persisted on the executors, the least recently used
-    making room; a table that was let go is planned again from its recipe."""
+    making room; a table that was let go is planned again from its recipe.
+
+    Uploads and kept results share `budget` bytes, if given. For a new one the oldest kept results are let go first, as
+    any of them can be made again; an upload is never let go for another, so one that still does not fit is refused."""
 
-    def __init__(self, seconds: float = 3600, per_owner: int = 20, total: int = 200, clock: Callable[[], float] = time.monotonic):
-        self.seconds, self.per_owner, self.total, self.clock = seconds, per_owner, total, clock
+    def __init__(self, seconds: float = 3600, per_owner: int = 20, total: int = 200, clock: Callable[[], float] = time.monotonic, budget: int | None = None):
+        self.seconds, self.per_owner, self.total, self.clock, self.budget = seconds, per_owner, total, clock, budget
+        self._sizes: dict[str, int] = {}
         self._entries: dict[str, Entry] = {}
         self._tables: OrderedDict[str, Table] = OrderedDict()
         self._looks: OrderedDict[str, Dashboard] = OrderedDict()
@@ -57,8 +67,11 @@ class Store:
         known = table if table.meanings else understood(table)
         with self._lock:
             self._make_room(owner)
+            size = size_of(known)
+            self._fit(size)
             entry = Entry(uuid.uuid4().hex, owner, name, self.clock() + self.seconds, source=known)
             self._entries[entry.id] = entry
+            self._sizes[entry.id] = size
             return entry
 
     def derive(self, owner: str, parent_id: str, recipe: R.Recipe) -> Entry:
@@ -101,13 +114,33 @@ class Store:
             return self._keep(table_id, table)
 
     def _keep(self, table_id: str, table: Table) -> Table:
+        """The table, persisted if there is room for it; one that another caller has made meanwhile is taken."""
+        if table_id in self._tables:
+            return self._tables[table_id]
+        size = size_of(table)
+        if self.budget is not None and sum(self._sizes[k] for k in self._sizes if k not in self._tables) + size > self.budget:
+            return table  # beside the uploads there is no room: planned again each time
+        self._fit(size)
         kept = table.with_frame(table.frame.persist())
-        self._tables[table_id] = kept
+        self._tables[table_id], self._sizes[table_id] = kept, size
         while len(self._tables) > CACHED_TABLES:
-            _, old = self._tables.popitem(last=False)
-            old.frame.unpersist()
+            self._let_go()
         return kept
 
+    def _let_go(self) -> None:
+        """Of the kept results the one that was used least recently."""
+        table_id, old = self._tables.popitem(last=False)
+        self._sizes.pop(table_id, None)
+        old.frame.unpersist()
+
+    def _fit(self, size: int) -> None:
+        if self.budget is None:
+            return
+        while self._tables and sum(self._sizes.values()) + size > self.budget:
+            self._let_go()
+        if sum(self._sizes.values()) + size > self.budget:
+            raise Full(f"The table takes {size:,} bytes, more than is left of {self.budget:,}.")
+
     def lineage(self, owner: str, table_id: str) -> list[Entry]:
         """From the upload down to the table."""
         entry = self.get(owner, table_id)
@@ -139,10 +172,13 @@ class Store:
             with self._lock:
                 if table_id in self._looks:
                     return self._looks[table_id]
-            found = look(self.table(owner, table_id), self.provenance(owner, table_id))
-            self.get(owner, table_id)  # it may have expired meanwhile
+            try:
+                found = look(self.table(owner, table_id), self.provenance(owner, table_id))
+                self.get(owner, table_id)  # it may have expired meanwhile
+            finally:
+                with self._lock:
+                    self._running.pop(table_id, None)
             with self._lock:
-                self._running.pop(table_id, None)
                 self._looks[table_id] = found
                 while len(self._looks) > CACHED_LOOKS:
                     self._looks.popitem(last=False)
@@ -162,6 +198,7 @@ class Store:
             return
         if table := self._tables.pop(table_id, None):
             table.frame.unpersist()
+        self._sizes.pop(table_id, None)
         self._looks.pop(table_id, None)
         for child in entry.children:
             self._forget(child)
