@@ -5,6 +5,7 @@ They run over a made table with everything that can be wrong or found: the order
 from __future__ import annotations
 
 import itertools
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,8 @@ from .operators.profile import DatasetProfile, profile, understood
 from .plans import recipe as R
 from .queries import gapped, load, register, steps
 from .sources.readers import of_frame, read_csv, read_parquet, write_csv
-from .store import Store
+from .scratch import Written, new_folder, remove
+from .store import CACHED_TABLES, Store
 from .table import Meaning, Table
 
 #: Column: its expression, which Spark and DuckDB read alike.
@@ -213,14 +215,13 @@ def seasons_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("typical_gap", union(f"""select '{t}' as name, case when greatest(case when span <= 400 then 0 when span <= 2800 then 1 else 2 end, case when gap <= 86400000000 then 0 when gap <= 604800000000 then 1 else 2 end) = 0 then 'D'
   when greatest(case when span <= 400 then 0 when span <= 2800 then 1 else 2 end, case when gap <= 86400000000 then 0 when gap <= 604800000000 then 1 else 2 end) = 1 then 'W' else 'MS' end as rule, round(gap, 1) as gap from (
-  select quantile_cont(epoch_us(t) - epoch_us(before), 0.5) as gap, (epoch_us(max(t)) - epoch_us(min(t))) / 86400000000.0 as span from (select t, lag(t) over (order by t) as before from (select distinct {c} as t from {t} {w})))"""
-    for t, c, w in (("events", "ts", ""), ("orders", "o_orderdate", ""), ("lineitem", "l_shipdate", "where l_orderkey % 100 = 0"))))
+  select quantile_cont(epoch_us(t) - epoch_us(before), 0.5) as gap, (epoch_us(max(t)) - epoch_us(min(t))) / 86400000000.0 as span from (select t, lag(t) over (order by t) as before from (select distinct {c} as t from {t})))"""
+    for t, c in (("events", "ts"), ("orders", "o_orderdate"), ("lineitem", "l_shipdate"))))
 def typical_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The median gap of neighbouring moments in microseconds, and the period that gap and span lead to."""
     out = []
-    for name, time, value, where in (("events", "ts", "value", None), ("orders", "o_orderdate", "o_totalprice", None), ("lineitem", "l_shipdate", "l_tax", "l_orderkey % 100 = 0")):
-        table = load(spark, sf_dir, name)
-        rows = timeline.time_rows(table.with_frame(table.frame.filter(where)) if where else table, time, [value])
+    for name, time, value in (("events", "ts", "value"), ("orders", "o_orderdate", "o_totalprice"), ("lineitem", "l_shipdate", "l_tax")):
+        rows = timeline.time_rows(load(spark, sf_dir, name), time, [value])
         span = rows.agg(F.min("t"), F.max("t")).first()
         gap = timeline.typical_gaps(rows).first()["gap"]
         out.append((name, timeline.choose_rule((span[1] - span[0]).total_seconds() / 86_400, gap / 86_400_000_000), round(float(gap), 1)))
@@ -394,36 +395,108 @@ def recipe_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(spark, rows, "step int, op string, rows_in bigint, rows_out bigint, note string")
 
 
-@register("recipe_projection", "select * from (values (0, 'o_orderpriority', 'categorical'), (1, 'row_count', 'numeric')) as t(place, name, kind)")
+_SHAPING = [
+    {"op": "cast_column", "column": "order_id", "to": "categorical"},
+    {"op": "derive_column", "name": "twice", "expression": {"kind": "arithmetic", "operator": "multiply", "left": {"kind": "column", "name": "price"}, "right": {"kind": "constant", "value": 2}}},
+    {"op": "derive_column", "name": "year", "expression": {"kind": "datetime_part", "column": "placed", "part": "year"}},
+    {"op": "derive_column", "name": "class", "expression": {"kind": "bin", "column": "tax", "edges": [0, 10000, 20000, 1000000], "labels": ["low", "middle", "high"]}},
+    {"op": "rename_column", "column": "status", "to": "state"},
+    {"op": "drop_columns", "columns": ["blank", "late", "rarely", "code", "period", "season", "spread", "fixed"]},
+]
+_SHAPED = {
+    "order_id": ("categorical", "order_id"), "price": ("numeric", "price"), "tax": ("numeric", "tax"), "state": ("categorical", "status"), "size": ("categorical", "size"),
+    "flag": ("boolean", "flag"), "placed": ("datetime", "placed"), "twice": ("numeric", "price * 2"), "year": ("categorical", "year(placed)"),
+    "class": ("categorical", "case when tax > 0 and tax <= 10000 then 'low' when tax > 10000 and tax <= 20000 then 'middle' when tax > 20000 and tax <= 1000000 then 'high' end"),
+}
+
+
+def _shaped(place: int, name: str, kind: str, x: str) -> str:
+    """Kinds, and for texts the flags, by the rules over the values themselves; a number that became a text was not wide."""
+    text = kind in ("categorical", "boolean")
+    found = f"case when count(x) = 0 then 'empty' when count(distinct x) <= 2 and bool_and(lower(trim(cast(x as varchar))) in ('yes', 'no', '0', '1')) then 'boolean' else '{kind}' end"
+    flags = f"count(distinct x) >= 0.99 * count(*) as is_id, {'false' if name == 'order_id' else 'count(distinct x) > 50'} as is_wide" if text else "false as is_id, false as is_wide"
+    return f"select {place} as place, '{name}' as name, '{kind}' as projected, {found} as found, {flags}, cast(count(*) - count(x) as bigint) as n_missing from (select {x} as x from m)"
+
+
+@register("recipe_projection", f"with {M} {union(_shaped(k, n, *x) for k, (n, x) in enumerate(_SHAPED.items()))}")
 def recipe_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The columns a recipe leaves, told without running it."""
-    told = R.validate(load(spark, sf_dir, "orders").meanings, R.parse({"steps": _RECIPE}))
-    return rows_of(spark, [(k, m.name, m.kind) for k, m in enumerate(told.columns)], "place int, name string, kind string")
+    """The columns a recipe leaves, told without running it, beside what a profile finds in its result; the flags are
+    those that running settles."""
+    table, _ = seen(spark, sf_dir)
+    recipe = R.parse({"steps": _SHAPING})
+    projected, out = R.validate(table.meanings, recipe).columns, R.run(table, recipe).table
+    found = {c.name: c for c in profile(out).columns}
+    rows = [(k, m.name, m.kind, found[m.name].kind, out.meaning(m.name).is_id, out.meaning(m.name).is_wide, found[m.name].n_missing) for k, m in enumerate(projected)]
+    return rows_of(spark, rows, "place int, name string, projected string, found string, is_id boolean, is_wide boolean, n_missing bigint")
+
+
+@register("aggregate_projection", f"""with r as (select o_orderpriority, count(*) as row_count, max(o_totalprice) as top from {_LEFT} and o_totalprice is not null and o_orderpriority is not null group by 1)
+select 0 as place, 'o_orderpriority' as name, 'categorical' as projected, 'categorical' as found, count(distinct o_orderpriority) as n_unique from r union all
+select 1, 'row_count', 'numeric', case when count(distinct row_count) <= 2 and bool_and(row_count in (0, 1)) then 'boolean' else 'numeric' end, count(distinct row_count) from r union all
+select 2, 'top', 'numeric', 'numeric', count(distinct top) from r""")
+def aggregate_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of an aggregate, told before it runs, beside the profile of its result."""
+    table = load(spark, sf_dir, "orders", True)
+    top = {"function": "max", "column": "o_totalprice", "name": "top"}
+    recipe = R.parse({"steps": [*_RECIPE[:2], {**_RECIPE[2], "aggregations": [*_RECIPE[2]["aggregations"], top]}]})
+    found = {c.name: c for c in profile(R.run(table, recipe).table).columns}
+    rows = [(k, m.name, m.kind, found[m.name].kind, found[m.name].n_unique) for k, m in enumerate(R.validate(table.meanings, recipe).columns)]
+    return rows_of(spark, rows, "place int, name string, projected string, found string, n_unique bigint")
+
+
+def _grouped(name: str) -> list[dict]:
+    return [{"op": "cast_column", "column": name, "to": "categorical"}, {"op": "aggregate", "group_by": [name], "aggregations": [{"function": "count"}]}]
+
+
+#: Recipes that are taken or refused for what the data hold, and the SQL condition of the refusal at their last step.
+_TRIED = {
+    "many": (_grouped("code"), "code", "count(distinct code) > 50"),
+    "apart": (_grouped("order_id"), "order_id", "count(distinct order_id) > 50"),
+    "few": (_grouped("size"), "size", "count(distinct size) > 50"),
+    "empty": ([{"op": "drop_missing"}, {"op": "fill_missing", "column": "blank", "method": "mode"}], "blank", "count(blank) = 0"),
+    "dropped": ([{"op": "drop_columns", "columns": ["price"]}, {"op": "sort_rows", "columns": ["price"]}], "price", "count(*) > 0"),
+    "renamed": ([{"op": "rename_column", "column": "tax", "to": "duty"}, {"op": "filter_rows", "clauses": [{"column": "tax", "operator": "gt", "value": 1}]}], "tax", "count(*) > 0"),
+}
 
 
-@register("recipe_refusal", "select 1 as accepted, 1 as step, 'sort_rows' as op, 'o_custkey' as col, true as removed")
+@register("recipe_refusal", f"with {M} " + union(
+    f"select '{k}' as name, case when r then 1 else 2 end as accepted, case when r then 1 end as step, case when r then '{told[-1]['op']}' end as op, case when r then '{c}' end as col, case when r then {str(k in ('dropped', 'renamed')).lower()} end as removed from (select {w} as r from m)"
+    for k, (told, c, w) in _TRIED.items()
+))
 def recipe_refusal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = R.validate(load(spark, sf_dir, "orders").meanings, R.parse({"steps": [{"op": "drop_columns", "columns": ["o_custkey"]}, {"op": "sort_rows", "columns": ["o_custkey"]}]}))
-    r = told.refusal
-    return rows_of(spark, [(told.accepted, r.step_index, r.op, r.column, "An earlier step removed it" in r.reason)], "accepted int, step int, op string, col string, removed boolean")
+    """How many steps of each recipe run on the table as it was understood, where the next one is refused, and whether
+    an earlier step had removed its column."""
+    table, _ = seen(spark, sf_dir)
+    rows = []
+    for name, (told, _, _) in _TRIED.items():
+        out = R.validate(table.meanings, R.parse({"steps": told}))
+        r = out.refusal
+        rows.append((name, out.accepted, *((r.step_index, r.op, r.column, "An earlier step removed it" in r.reason) if r else (None,) * 4)))
+    return rows_of(spark, rows, "name string, accepted int, step int, op string, col string, removed boolean")
 
 
 @register("stored_table", f"select o_orderpriority, count(*) as row_count from {_LEFT} and o_totalprice is not null and o_orderpriority is not null group by 1")
 def stored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table derived in the store and built again from its upload and recipe."""
+    """A table derived in the store, let go for later ones, and built again from its upload and recipe."""
     store = Store()
     upload = store.add("me", "orders.csv", load(spark, sf_dir, "orders", True))
     made = store.derive("me", upload.id, R.parse({"steps": _RECIPE}))
+    for _ in range(CACHED_TABLES):
+        store.derive("me", upload.id, R.parse({"steps": _RECIPE[:1]}))
+    if store.is_kept(made.id):
+        raise AssertionError("it was to be let go")
     return store.table("me", made.id).visible()
 
 
-@register("csv_round_trip", "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
+@register("csv_round_trip", "select c_custkey, c_name, c_nationkey::bigint as c_nationkey, c_acctbal, c_mktsegment from customer")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A table exported as delimited text and read again: delimiter, header, encoding and types are found."""
-    import uuid
-
-    folder = f"{spark.conf.get('spark.sql.warehouse.dir')}/csv-{uuid.uuid4().hex}"
-    write_csv(read_parquet(spark, f"{sf_dir}/nation.parquet"), folder)
+    """A table exported as delimited text and read again, part by part: delimiter, header, encoding and types are
+    found. The files go when all of them have been read."""
+    folder = new_folder(spark, "csv")
+    write_csv(read_parquet(spark, f"{sf_dir}/customer.parquet"), folder)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*.csv")
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return read_csv(spark, system.globStatus(path)[0].getPath().toString()).visible()
+    parts = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path)
+    read = [read_csv(spark, p.getPath().toString()).visible() for p in parts]
+    out = Written(spark, "csv").put("read", reduce(DataFrame.unionByName, read))
+    remove(spark, folder)
+    return out

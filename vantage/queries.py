@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.columns import col, moment, num
@@ -98,7 +98,6 @@ filtered("filter_or", "orders", [{"column": "o_orderstatus", "operator": "eq", "
 
 _SUM = {"op": "aggregate", "group_by": ["l_returnflag"], "aggregations": [{"function": "sum", "column": "l_extendedprice", "name": "total"}]}
 recipe("having", "lineitem", [_SUM, {"op": "filter_rows", "clauses": [{"column": "total", "operator": "gt", "value": 1000}]}], "select l_returnflag, round(sum(l_extendedprice), 2) as total from lineitem group by 1 having sum(l_extendedprice) > 1000", select="l_returnflag; round(total, 2) as total")
-recipe("sort_nulls_last", "orders", [{"op": "sort_rows", "columns": ["o_orderpriority"], "order": "desc"}, {"op": "limit_rows", "count": 3000}, {"op": "aggregate", "group_by": ["o_orderpriority"], "aggregations": [{"function": "count"}]}], f"select o_orderpriority, count(*) as row_count from (select o_orderpriority from {gapped('orders')} order by o_orderpriority desc nulls last limit 3000) where o_orderpriority is not null group by 1", True)
 recipe("limit_head", "orders", [{"op": "sort_rows", "columns": ["o_orderdate"]}, {"op": "sort_rows", "columns": ["o_orderkey"], "order": "desc"}, {"op": "limit_rows", "count": 25}], f"select {ORDER_COLUMNS} from orders order by o_orderkey desc limit 25")
 recipe("limit_sample_seeded", "orders", [{"op": "limit_rows", "count": 100, "method": "sample", "seed": 7, "key": "o_orderkey"}], f"select {ORDER_COLUMNS} from orders order by md5('7:' || o_orderkey) limit 100")
 recipe("top_k", "orders", [{"op": "aggregate", "group_by": ["o_orderpriority"], "aggregations": [{"function": "mean", "column": "o_totalprice", "name": "average"}]}, {"op": "sort_rows", "columns": ["average"], "order": "desc"}, {"op": "limit_rows", "count": 2}], "select o_orderpriority, round(avg(o_totalprice), 4) as average from orders group by 1 order by avg(o_totalprice) desc limit 2", select="o_orderpriority; round(average, 4) as average")
@@ -154,7 +153,25 @@ def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_frame(read_parquet(spark, f"{sf_dir}/customer.parquet")).select("name", "dtype", "n_missing", "n_unique")
 
 
-@register("profile_kinds")
+@register("sort_nulls_last", f"select o_orderpriority, count(*) as n, cast(row_number() over (order by o_orderpriority desc nulls last) as int) as place, true as together from {gapped('orders')} group by 1")
+def sort_nulls_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each priority stands when all rows are sorted by it downwards, and whether its rows are together."""
+    table = steps(load(spark, sf_dir, "orders", True), {"op": "sort_rows", "columns": ["o_orderpriority"], "order": "desc"})
+    placed = table.ordered().select("o_orderpriority", F.monotonically_increasing_id().alias("at"))
+    groups = placed.groupBy("o_orderpriority").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.max("at").alias("last"))
+    by_place = Window.orderBy("first")  # a row for each priority
+    return groups.select("o_orderpriority", "n", F.row_number().over(by_place).alias("place"), (F.coalesce(F.lag("last").over(by_place), F.lit(-1)) < F.col("first")).alias("together"))
+
+
+_KINDS = {"o_orderkey": ("bigint", "numeric"), "o_custkey": ("bigint", "numeric"), "o_orderstatus": ("string", "categorical"), "o_totalprice": ("double", "numeric"), "o_orderdate": ("timestamp_ntz", "datetime"), "o_orderpriority": ("string", "categorical")}
+
+
+@register("profile_kinds", " union all ".join(
+    f"""select '{n}' as name, '{dtype}' as dtype, '{kind}' as kind, cast(count(*) - count(x) as bigint) as n_missing, 1 - count(x) / count(*) as missing_ratio, count(distinct x) as n_unique,
+  {"count(distinct x) >= 0.99 * count(*)" if kind == "categorical" else "false"} as is_id, count(distinct x) <= 1 as is_constant, {"count(distinct x) > 50" if kind == "categorical" else "false"} as is_wide,
+  (select list(v order by spot) from (select cast({n} as varchar) as v, min(spot) as spot from (select {n}, row_number() over () as spot from orders) where {n} is not null group by 1 order by 2 limit 3)) as samples
+  from (select {n} as x from orders)""" for n, (dtype, kind) in _KINDS.items()
+))
 def profile_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile_frame(read_parquet(spark, f"{sf_dir}/orders.parquet"))
 

@@ -92,6 +92,10 @@ class Store:
             self._keep(entry.id, table)
             return entry
 
+    def is_kept(self, table_id: str) -> bool:
+        """Whether a derived table's rows are at hand."""
+        return table_id in self._tables
+
     def get(self, owner: str, table_id: str) -> Entry:
         with self._lock:
             self.expire()
