@@ -35,6 +35,27 @@ def test_delimiters(spark, tmp_path, sep):
     assert out.names == ["city", "n", "note"] and [tuple(r) for r in out.ordered().collect()] == [("Ankara", 1, " quoted "), ("Izmir", 2, "x")]
 
 
+@pytest.mark.parametrize("end,encoding", [("\n", "utf-8"), ("\r\n", "latin-1")])
+def test_csv_with_line_breaks_in_quotes_is_split(spark, tmp_path, end, encoding):
+    """Values with breaks, quotes and delimiters across many splits, one longer than a split, equal the written ones."""
+    deal = random.Random(len(end))
+    parts = ["a", "é", "\n", "\n\n", ",", '"', '""', " ", "x, y", "\n\"", "word " * 9]
+    value = lambda: "v" + "".join(deal.choice(parts) for _ in range(deal.randrange(8))) + "w"
+    rows = [(str(k), value(), deal.choice(["", "plain", value()])) for k in range(900)] + [("900", "long\n" * 3000 + "end", "z")]
+    quote = lambda v: '"' + v.replace('"', '""') + '"' if any(c in v for c in ',"\n') else v
+    path = write(tmp_path, "a.csv", end.join(["n,one,two", *(",".join(map(quote, r)) for r in rows), ""]).encode(encoding))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        out = readers.read_csv(spark, path)
+        assert [tuple(r) for r in out.ordered().collect()] == [(int(a), b, c or None) for a, b, c in rows]
+        assert spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions() > 8
+        stray = readers.read_csv(spark, write(tmp_path, "b.csv", 'n,one\n1,5" pipe\n2,"a\nb"\n3,6" pipe\n4,c\n'))
+        assert [tuple(r) for r in stray.ordered().collect()] == [(1, '5" pipe'), (2, "a\nb"), (3, '6" pipe'), (4, "c")]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
 def test_csv_gaps_types_and_names(spark, tmp_path):
     out = readers.read_csv(spark, write(tmp_path, "a.csv", b"\xef\xbb\xbfa,a,,d,e\r\n1,NA,x,True,1.5\r\n2,3,y,False,inf\r\n"))
     assert out.names == ["a", "a.1", "Unnamed: 2", "d", "e"] and [tuple(r) for r in out.ordered().collect()] == [(1, None, "x", True, 1.5), (2, 3.0, "y", False, math.inf)]

@@ -12,7 +12,7 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +42,10 @@ def with_rows(frame: DataFrame, from_files: bool) -> DataFrame:
 
 
 def of_frame(frame: DataFrame, from_files: bool = False) -> Table:
-    """A table over a DataFrame: NaN becomes null, columns of arrays, maps, structs and bytes are left out."""
+    """A table over a DataFrame: NaN becomes null, columns of arrays, maps, structs and bytes are left out. A column ROW
+    tells the rows' places if there is one."""
     plain = [f.name for f in frame.schema if not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]
-    rows = with_rows(frame, from_files)
+    rows = frame if ROW in frame.columns else with_rows(frame, from_files)
     # A scan can't look through the change of NaN to null, so filters also see the doubles as they are stored.
     raw = {c: f"__raw{k}" for k, c in enumerate(plain) if isinstance(frame.schema[c].dataType, T.DoubleType)} if from_files else {}
     made = (none_missing(col(c), frame.schema[c].dataType).alias(c) for c in plain)
@@ -139,7 +140,7 @@ def _form(spark: SparkSession, path: str) -> tuple[bool, bool]:
 def read_csv(spark: SparkSession, path: str) -> Table:
     """A delimited file with a header: delimiter sniffed, UTF-8 or else Latin-1, every standard token for no value read
     as a gap, and each column promoted to whole numbers, numbers or booleans only if all its values can be. The file is
-    split among tasks unless quoted values hold line breaks."""
+    split among tasks; only one with line breaks within quotes and stray quotes besides is read by a single one."""
     head = _content(spark, path, 1 << 20)
     sep = sniff_delimiter(head)
     text_head = head.removeprefix(b"\xef\xbb\xbf")
@@ -157,23 +158,70 @@ def read_csv(spark: SparkSession, path: str) -> Table:
     names = unique_names(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"', "multiLine": broken, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE", "maxColumns": MAX_COLUMNS + 1, "emptyValue": "", "nullValue": ""}
-    frame = spark.read.options(**options).schema(schema).csv(path)
-    gaps = frame.select(*(F.when(~col(n).isin(*MISSING_TOKENS), col(n)).alias(n) for n in names))
+    frame = _by_parity(spark, path, sep, encoding, schema, options) if broken else None
+    if frame is None:
+        frame = spark.read.options(**options).schema(schema).csv(path)
+    gaps = frame.select(*(F.when(~col(n).isin(*MISSING_TOKENS), col(n)).alias(n) for n in names), *(x for x in [ROW] if x in frame.columns))
     return of_frame(promoted(gaps))
 
 
+def _by_parity(spark: SparkSession, path: str, sep: str, encoding: str, schema: T.StructType, options: dict) -> DataFrame | None:
+    """The records of a file whose quoted values hold line breaks, read by several tasks; None where that can't be told
+    for sure, as a quote stands within a value that is not quoted.
+
+    Each split counts the quotes of its lines. An odd number before it tells that it starts inside a value, so a running
+    sum over the splits (a row for each) settles where every line starts; lines that start inside a value belong to the
+    record before, if need be of a split before."""
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
+    lines = lines.withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'))))
+    before = Window.partitionBy("split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    odd, starts = False, {}
+    for r in sorted(lines.groupBy("split").agg((F.sum("quotes") % 2 == 1).alias("odd")).collect()):
+        starts[r["split"]] = odd
+        odd ^= r["odd"]
+    if odd or not starts:
+        return None
+    inside = F.element_at(F.create_map(*(F.lit(x) for s in starts.items() for x in s)), F.col("split"))
+    opened = (F.coalesce(F.sum("quotes").over(before), F.lit(0)) + inside.cast("int")) % 2 == 0
+    placed = lines.withColumn("fresh", opened.cast("int"))
+    placed = placed.withColumn("record", F.sum("fresh").over(Window.partitionBy("split").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)))
+    ends, last = {}, None
+    counts = {r["split"]: r["n"] for r in placed.groupBy("split").agg(F.sum("fresh").alias("n")).collect()}
+    for split in sorted(counts):
+        ends[split] = split - 1 if last is None else last
+        last = split + counts[split] if counts[split] else last
+    carried = F.element_at(F.create_map(*(F.lit(x) for s in ends.items() for x in s)), F.col("split"))
+    # A record's place: its split's first byte and its number there, which is less than the split's bytes.
+    at = F.when(F.col("record") > 0, F.col("split") + F.col("record")).otherwise(carried)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("split", "nth", "line"))), lambda x: x["line"]), "\n")
+    records = placed.withColumn("at", at).groupBy("at").agg(F.regexp_replace(joined, "\r$", "").alias("record")).filter("record <> ''")
+    edge = f"(^|{re.escape(sep)})\\s*"
+    stray = F.regexp_replace(F.replace("record", F.lit('""'), F.lit("")), f'{edge}"[^"]*"', "$1").contains('"')
+    if records.filter(stray).limit(1).count():
+        return None
+    first = records.agg(F.min("at")).first()[0]
+    parsed = F.from_csv("record", _ddl(schema), {k: str(v) for k, v in options.items() if k in ("sep", "escape", "emptyValue", "nullValue", "maxColumns", "ignoreLeadingWhiteSpace", "ignoreTrailingWhiteSpace", "mode")} | {"multiLine": "true"})
+    rows = records.filter(F.col("at") > first).select(parsed.alias("made"), F.struct(F.lit("").alias("file"), F.col("at")).alias(ROW))
+    return rows.select("made.*", ROW)
+
+
+def _ddl(schema: T.StructType) -> str:
+    return ", ".join(f"{quoted(f.name)} string" for f in schema)
+
+
 _WHOLE = r"^\s*[+-]?\d{1,18}\s*$"
 _REAL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity))\s*$"
 
 
 def promoted(frame: DataFrame) -> DataFrame:
     """Texts as the narrowest of whole number, number, boolean that all values of the column fit; one pass decides."""
+    names = [n for n in frame.columns if n != ROW]
     seen = frame.agg(*(
         F.struct(F.count(col(n)).alias("n"), F.count_if(col(n).isNull()).alias("gaps"), F.count_if(col(n).rlike(_WHOLE)).alias("whole"), F.count_if(col(n).rlike(_REAL)).alias("real"), F.count_if(col(n).isin("True", "False", "TRUE", "FALSE", "true", "false")).alias("truth")).alias(f"c{i}")
-        for i, n in enumerate(frame.columns)
+        for i, n in enumerate(names)
     )).first()
-    out = []
-    for i, n in enumerate(frame.columns):
+    out = [F.col(ROW)] if ROW in frame.columns else []
+    for i, n in enumerate(names):
         told = seen[f"c{i}"]
         if told["n"] and told["whole"] == told["n"]:
             kind = "double" if told["gaps"] else "bigint"
