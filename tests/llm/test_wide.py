@@ -489,12 +489,6 @@ def test_preferences(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
-def test_swapped_replies(spark):
-    rows = [(2, 0, "user", "q", None), (2, 1, "assistant", "a", None), (2, 2, "user", "bye", None), (3, 0, "assistant", "b", None), (6, 0, "assistant", "lonely", None), (8, 0, "user", "no reply", None), (9, 0, "assistant", "c", None)]
-    got = {r.pair_id: r for r in chat_format.format_preferences(*chat_format.swapped_replies(spark.createDataFrame(rows, TURNS))).collect()}
-    assert set(got) == {2, 3} and got[2].prompt == "<|user|>\nq\n" and got[2].chosen == "<|assistant|>\na\n" and got[2].rejected == "<|assistant|>\nb\n"
-
-
 def test_every_reply_makes_a_pair(spark):
     """Even and sparse ids, the only one of its id twice, null ids and turns, and conversations without a reply."""
     rows = [(c, t, "user" if t % 2 == 0 else "assistant", f"{c} says {t}", None) for c in [2, 4, -8, 100, 10**12, *range(200, 400, 4)] for t in range(2 + c % 3)]

@@ -77,21 +77,10 @@ def format_preferences(chosen: DataFrame, rejected: DataFrame, *, learned: str =
     )
 
 
-def swapped_replies(conversations: DataFrame, *, learned: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """Preference pairs from plain conversations (conv_id, turn, role, text): chosen is a conversation up to its last
-    reply; rejected is the same with the last reply of its neighbour (conv_id with the lowest bit flipped) instead.
-    Conversations without a reply, or whose neighbour has none, make no pair."""
-    rows = conversations.filter("conv_id is not null and turn is not null").select("conv_id", "turn", "role", "text")
-    last = rows.filter(F.col("role") == learned).groupBy("conv_id").agg(F.max("turn").alias("last"))
-    ended = rows.join(last, "conv_id").filter("turn <= last")
-    reply = ended.filter((F.col("turn") == F.col("last")) & (F.col("role") == learned)).select(F.col("conv_id").bitwiseXOR(F.lit(1)).alias("conv_id"), "role", "text")
-    other = reply.join(last, "conv_id").select("conv_id", F.col("last").alias("turn"), "role", "text")
-    return turns_of(ended), turns_of(ended.filter("turn < last").select("conv_id", "turn", "role", "text").unionByName(other).join(reply.select("conv_id").distinct(), "conv_id", "left_semi"))
-
-
 def next_replies(conversations: DataFrame, *, learned: str = "assistant") -> tuple[DataFrame, DataFrame]:
-    """As swapped_replies(), but for every conversation with a reply: rejected ends in the last reply of the next
-    conversation by conv_id that has one, whatever the ids between; the last one takes that of the first.
+    """Preference pairs from plain conversations (conv_id, turn, role, text): chosen is a conversation up to its last
+    reply; rejected is the same with the last reply of the next conversation by conv_id that has one, whatever the ids
+    between; the last one takes that of the first.
 
     Turns after a conversation's last reply are followed by nothing to learn and are in neither side. Conversations
     without a reply make no pair, and neither does a reply that is the only one in the table."""
