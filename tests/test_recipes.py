@@ -287,3 +287,48 @@ def test_nothing_to_apply(parcels):
         with pytest.raises(Refused) as refused:
             R.derive(parcels, R.parse(told))
         assert refused.value.code == code
+
+
+LONG = [
+    step("filter_rows", clauses=[{"column": "fee", "operator": "gt", "value": 10}, {"column": "weight", "operator": "is_missing"}], combine="or"),
+    derive(kind="arithmetic", left=col("weight"), operator="multiply", right=const(2)),
+    step("drop_missing", columns=["made"]),
+    step("select_columns", columns=["depot", "fee", "made", "fragile"]),
+    step("rename_column", column="fee", to="cost"),
+    step("filter_rows", clauses=[{"column": "cost", "operator": "lt", "value": 20}, {"column": "made", "operator": "ne", "value": 20}]),
+    step("fill_missing", column="made", method="constant", value=1),
+]
+
+
+def jobs_of(spark, act):
+    """What an action gives and how many jobs it starts."""
+    spark.sparkContext.setJobGroup(name := f"group-{id(act)}", name)
+    out = act()
+    ids = spark.sparkContext.statusTracker().getJobIdsForGroup(name)
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(ids)
+
+
+@pytest.mark.parametrize("steps,most", [
+    (LONG, 2),
+    ([*LONG, step("limit_rows", count=5), step("sort_rows", columns=["cost"])], 2),
+    ([step("limit_rows", count=30), *LONG], 4),
+    ([*LONG, step("drop_duplicates", columns=["depot"]), step("filter_rows", clauses=[{"column": "depot", "operator": "eq", "value": "Graz"}])], 4),
+    ([*LONG, step("fill_missing", column="made", method="median"), step("filter_rows", clauses=[{"column": "fragile", "operator": "eq", "value": "no"}])], 4),
+    ([*LONG, step("aggregate", aggregations=[{"function": "count"}])], 2),
+    ([*LONG, step("aggregate", group_by=["depot"], aggregations=[{"function": "count"}]), step("sort_rows", columns=["depot"])], 5),
+    ([], 2),
+])
+def test_reports_share_a_pass(spark, parcels, steps, most):
+    """Counts equal those of each table, and a run of steps that judge rows by themselves is counted once."""
+    out = R.run(parcels, R.parse({"steps": steps}))
+    told, jobs = jobs_of(spark, out.reports)
+    counts = [t.frame.count() for t in out._tables]
+    assert [(r.rows_in, r.rows_out) for r in told] == list(zip(counts, counts[1:], strict=False))
+    assert jobs <= most
+
+
+def test_reports_of_every_step(parcels):
+    for told in VARIANTS:
+        out = R.run(parcels, R.parse({"steps": [told]}))
+        assert [(r.rows_in, r.rows_out) for r in out.reports()] == [(36, out.table.frame.count())]

@@ -6,6 +6,8 @@ from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from typing import Any
 
+from pyspark.sql import functions as F
+
 from ..table import Table
 from . import steps as S
 from .analyses import ANALYSES, Analysis
@@ -61,13 +63,40 @@ class Run:
     _steps: list[S.Step] = field(default_factory=list, repr=False)
 
     def reports(self) -> list[StepReport]:
-        """Row counts of each step. Only steps that change the number of rows are counted, when asked for."""
-        out, rows = [], self._tables[0].frame.count()
-        for step, after, note in zip(self._steps, self._tables[1:], self.notes, strict=True):
-            now = rows if step.keeps_count else after.frame.count()
-            out.append(StepReport(step.op, rows, now, note))
-            rows = now
-        return out
+        """Row counts of each step, taken when asked for.
+
+        Steps that judge each row by itself share a pass: their conditions stand beside the rows, and a row counts for
+        each step up to the first it fails at. Only what needs to know other rows ends a pass, and a new one starts just
+        where its count is not known from the one before and later steps remove rows."""
+        steps, counts = self._steps, [None] * (len(self._steps) + 1)
+        at = 0
+        while at <= len(steps):
+            end = at
+            while end < len(steps) and steps[end].by_row:
+                end += 1
+            if counts[at] is None or any(s.removes_rows for s in steps[at:end]):
+                counts[at : end + 1] = _counted(self._tables[at], steps[at:end])
+            else:
+                counts[at : end + 1] = [counts[at]] * (end + 1 - at)
+            if end < len(steps):
+                counts[end + 1] = steps[end].rows_left(counts[end])
+            at = end + 1
+        return [StepReport(s.op, *counts[k : k + 2], note) for k, (s, note) in enumerate(zip(steps, self.notes, strict=True))]
+
+
+def _counted(table: Table, steps: list[S.Step]) -> list[int]:
+    """The rows of the table and those that are left after each step, all by_row, in one pass."""
+    stays, left = [], []
+    for k, step in enumerate(steps):
+        if step.removes_rows:
+            mark = f"__stays{k}"
+            stays.append(F.col(mark))
+            table = table.with_frame(table.frame.withColumn(mark, F.coalesce(step.stays(table), F.lit(False))), meanings=step.project(table.meanings))
+        else:
+            table, _ = step.apply(table)
+        left.append(len(stays))
+    told = table.frame.agg(F.count(F.lit(1)).alias("n0"), *(F.count_if(S.all_of(stays[:k])).alias(f"n{k}") for k in range(1, len(stays) + 1))).first()
+    return [told["n0"], *(told[f"n{k}"] for k in left)]
 
 
 _ALLOWED = {
