@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import tracemalloc
 import zipfile
 
 import pytest
@@ -71,23 +72,94 @@ def test_unreadable(spark, tmp_path, name, content, part):
         readers.read_dataset(spark, write(tmp_path, name, content))
 
 
-def test_workbook(spark, tmp_path):
-    path = tmp_path / "b.xlsx"
-    space = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    cells = lambda n, row: f'<row r="{n}">' + "".join(f'<c r="{"ABCD"[k]}{n}"{a}>{v}</c>' for k, (a, v) in enumerate(row)) + "</row>"
-    text = lambda t: (' t="inlineStr"', f"<is><t>{t}</t></is>")
-    sheet = f"<worksheet {space}><sheetData>" + cells(1, [text("region"), ("", "<v>2023</v>"), text("2023"), text("day")]) + cells(2, [text("North"), ("", "<v>1</v>"), ("", "<v>2.5</v>"), (' s="1"', "<v>45292</v>")]) + cells(3, [(' t="s"', "<v>0</v>"), ("", "<v>3</v>"), ("", "<v>4</v>"), (' s="1"', "<v>45293.5</v>")]) + "</sheetData></worksheet>"
-    with zipfile.ZipFile(path, "w") as book:
-        book.writestr("xl/workbook.xml", f'<workbook {space}><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
+SPACE = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
+
+
+def workbook(path, rows, strings=("South",)):
+    """A workbook of one sheet; a cell is a pair of attributes and content, None none at all."""
+    letters = "ABCDEFGHIJ"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as book:
+        book.writestr("xl/workbook.xml", f'<workbook {SPACE}><sheets><sheet name="s" sheetId="1" r:id="r1"/></sheets></workbook>')
         book.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="r1" Target="worksheets/sheet1.xml"/></Relationships>')
-        book.writestr("xl/sharedStrings.xml", f"<sst {space}><si><t>South</t></si></sst>")
-        book.writestr("xl/styles.xml", f'<styleSheet {space}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
-        book.writestr("xl/worksheets/sheet1.xml", sheet)
+        book.writestr("xl/sharedStrings.xml", f"<sst {SPACE}>" + "".join(f"<si><t>{t}</t></si>" for t in strings) + "</sst>")
+        book.writestr("xl/styles.xml", f'<styleSheet {SPACE}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>')
+        with book.open("xl/worksheets/sheet1.xml", "w") as sheet:
+            sheet.write(f"<worksheet {SPACE}><sheetData>".encode())
+            for n, row in enumerate(rows, 1):
+                cells = "".join(f'<c r="{letters[k]}{n}"{c[0]}>{c[1]}</c>' for k, c in enumerate(row) if c)
+                sheet.write(f'<row r="{n}">{cells}</row>'.encode())
+            sheet.write(b"</sheetData></worksheet>")
+    return str(path)
+
+
+def said(text):
+    return ' t="inlineStr"', f"<is><t>{text}</t></is>"
+
+
+def number(value, style=""):
+    return style, f"<v>{value}</v>"
+
+
+DAY, SHARED, TRUTH = ' s="1"', ' t="s"', ' t="b"'
+
+
+def test_workbook(spark, tmp_path):
+    path = tmp_path / "b[1].xlsx"
+    workbook(path, [
+        [said("region"), number(2023), said("2023"), said("day")],
+        [said("North"), number(1), number(2.5), number(45292, DAY)],
+        [number(0, SHARED), number(3), number(4), number(45293.5, DAY)],
+    ])
     out = readers.read_dataset(spark, str(path))
     assert out.names == ["region", "2023", "2023.1", "day"]
     assert [tuple(r) for r in out.ordered().collect()] == [("North", 1, 2.5, dt.datetime(2024, 1, 1)), ("South", 3, 4.0, dt.datetime(2024, 1, 2, 12))]
     with pytest.raises(readers.Unreadable, match="when unpacked"):
         readers.check_workbook(path.read_bytes(), 100)
+    with pytest.raises(readers.Unreadable, match="larger than 0 MB"):
+        readers.read_xlsx(spark, str(path), max_bytes=100)
+
+
+def test_workbook_types_and_gaps(spark, tmp_path):
+    """Gaps, mixed columns, booleans, texts that stand for no value, huge whole numbers, rows wider than the header."""
+    head = [said(n) for n in ("gap", "mixed", "truth", "half", "none", "huge", "when")]
+    path = workbook(tmp_path / "t.xlsx", [
+        head,
+        [number(1), number(1), number(1, TRUTH), number(1, TRUTH), said("NA"), number("1e300"), number(45292.25, DAY)],
+        [None, said("x y"), number(0, TRUTH), None, None, number(10**20), None, said("beyond the header")],
+        [number(7), number(0.1), number(1, TRUTH), number(0, TRUTH), None, number(2), number(45293, DAY)],
+    ])
+    out = readers.read_xlsx(spark, path)
+    assert [f.dataType.simpleString() for f in out.visible().schema] == ["double", "string", "boolean", "string", "string", "double", "timestamp_ntz"]
+    assert [tuple(r) for r in out.ordered().collect()] == [
+        (1.0, "1", True, "True", None, 1e300, dt.datetime(2024, 1, 1, 6)),
+        (None, "x y", False, None, None, 1e20, None),
+        (7.0, "0.1", True, "False", None, 2.0, dt.datetime(2024, 1, 2)),
+    ]
+
+
+@pytest.mark.parametrize("rows,part", [([], "no columns"), ([[None]], "no columns"), ([[said("a")]], "no rows"), ([[said("a")], [number("x1")]], "no sheet"), ([[said("a")], [number(9, SHARED)]], "no sheet")])
+def test_unreadable_workbook(spark, tmp_path, rows, part):
+    with pytest.raises(readers.Unreadable, match=part):
+        readers.read_dataset(spark, workbook(tmp_path / "u.xlsx", rows))
+
+
+def test_large_workbook(spark, tmp_path):
+    """60,000 rows in many batches keep their order, and what the reader holds does not grow with them."""
+    n = 60_000
+    rows = ([said("k"), said("name"), said("odd")], *([number(k), number(k % 3, SHARED), number(k / 4)] for k in range(n)))
+    path = workbook(tmp_path / "l.xlsx", rows, ("a", "b", "c"))
+    out = readers.read_xlsx(spark, path)
+    told = out.ordered().toPandas()
+    assert told["k"].tolist() == list(range(n)) and told["odd"].tolist() == [k / 4 for k in range(n)] and told["name"].tolist() == ["abc"[k % 3] for k in range(n)]
+    content = (tmp_path / "l.xlsx").read_bytes()
+    tracemalloc.start()
+    for k, _ in enumerate(readers._sheet_rows(content)):
+        if k == 1000:
+            early = tracemalloc.get_traced_memory()[0]
+            tracemalloc.reset_peak()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < early + (1 << 20)
 
 
 def test_preview_and_export(spark, tmp_path):

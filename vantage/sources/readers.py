@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import json
 import math
 import posixpath
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import MISSING_TOKENS, col, none_missing, quoted
+from ..scratch import Written
 from ..table import ROW, Table
 
 #: What is accepted.
@@ -68,6 +72,11 @@ def _content(spark: SparkSession, path: str, most: int | None = None) -> bytes:
         stream.close()
 
 
+def _exact(path: str) -> str:
+    """The path as a pattern that means it alone."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def file_size(spark: SparkSession, path: str) -> int:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
@@ -130,7 +139,7 @@ def unique_names(names: list[object]) -> list[str]:
 def _form(spark: SparkSession, path: str) -> tuple[bool, bool]:
     """Whether all of the file is UTF-8, and whether a quoted value holds a line break (a line with an odd number of
     quotes); looked at on the executors, line by line."""
-    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("v"))
+    lines = spark.read.text(_exact(path)).select(F.col("value").cast("binary").alias("v"))
     odd = F.length(F.regexp_replace(F.col("v").cast("string"), '[^"]', "")) % 2 == 1
     valid = F.is_valid_utf8(F.col("v").cast("string"))
     told = lines.agg(F.coalesce(F.every(valid), F.lit(True)), F.coalesce(F.some(odd), F.lit(False))).first()
@@ -160,7 +169,7 @@ def read_csv(spark: SparkSession, path: str) -> Table:
     options = {"header": True, "sep": sep, "encoding": encoding, "escape": '"', "multiLine": broken, "enforceSchema": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "mode": "PERMISSIVE", "maxColumns": MAX_COLUMNS + 1, "emptyValue": "", "nullValue": ""}
     frame = _by_parity(spark, path, sep, encoding, schema, options) if broken else None
     if frame is None:
-        frame = spark.read.options(**options).schema(schema).csv(path)
+        frame = spark.read.options(**options).schema(schema).csv(_exact(path))
     gaps = frame.select(*(F.when(~col(n).isin(*MISSING_TOKENS), col(n)).alias(n) for n in names), *(x for x in [ROW] if x in frame.columns))
     return of_frame(promoted(gaps))
 
@@ -172,7 +181,7 @@ def _by_parity(spark: SparkSession, path: str, sep: str, encoding: str, schema:
     Each split counts the quotes of its lines. An odd number before it tells that it starts inside a value, so a running
     sum over the splits (a row for each) settles where every line starts; lines that start inside a value belong to the
     record before, if need be of a split before."""
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
+    lines = spark.read.option("lineSep", "\n").text(_exact(path)).select(F.decode(F.col("value").cast("binary"), encoding).alias("line"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("nth"))
     lines = lines.withColumn("quotes", F.length("line") - F.length(F.replace("line", F.lit('"'))))
     before = Window.partitionBy("split").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
     odd, starts = False, {}
@@ -243,13 +252,28 @@ def check_workbook(content: bytes, most: int = MAX_WORKBOOK_BYTES) -> zipfile.Zi
     return book
 
 
+def _pulled(book: zipfile.ZipFile, part: str, tag: str) -> Iterator[ElementTree.Element]:
+    """The elements of that tag one after the other; none is kept."""
+    with book.open(part) as stream:
+        parents: list[ElementTree.Element] = []
+        for event, element in ElementTree.iterparse(stream, ("start", "end")):
+            if event == "start":
+                parents.append(element)
+                continue
+            parents.pop()
+            if element.tag == f"{_SHEET}{tag}":
+                yield element
+                if parents:
+                    parents[-1].clear()
+
+
 def _cells(row: ElementTree.Element, shared: list[str], dated: set[int]) -> dict[int, object]:
     out: dict[int, object] = {}
     for place, cell in enumerate(row.iter(f"{_SHEET}c")):
         letters = re.match(r"[A-Z]+", cell.get("r", ""))
         at = sum((ord(c) - 64) * 26**k for k, c in enumerate(reversed(letters[0]))) - 1 if letters else place
         kind, value = cell.get("t"), cell.find(f"{_SHEET}v")
-        text = "".join(t.text or "" for t in cell.iter(f"{_SHEET}t")) if kind == "inlineStr" else value.text if value is not None else None
+        text = _text(cell) if kind == "inlineStr" else value.text if value is not None else None
         if text is None:
             continue
         if kind == "s":
@@ -260,13 +284,16 @@ def _cells(row: ElementTree.Element, shared: list[str], dated: set[int]) -> dict
             out[at] = text
         else:
             number = float(text)
-            out[at] = _day(number) if int(cell.get("s", -1)) in dated else int(number) if number.is_integer() and "." not in text else number
+            whole = number.is_integer() and "." not in text and abs(number) < 2**63
+            out[at] = _day(number) if int(cell.get("s", -1)) in dated else int(number) if whole else number
     return out
 
 
-def _day(serial: float):
-    import datetime
+def _text(element: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in element.iter(f"{_SHEET}t"))
 
+
+def _day(serial: float) -> datetime.datetime:
     return datetime.datetime(1899, 12, 30) + datetime.timedelta(days=serial)
 
 
@@ -280,61 +307,98 @@ def _date_styles(book: zipfile.ZipFile) -> set[int]:
     return {k for k, x in enumerate(formats if formats is not None else ()) if is_date(int(x.get("numFmtId", 0)))}
 
 
-def read_xlsx(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> Table:
-    """The first sheet of a workbook. The file's size is bounded, so the driver unpacks it; no more than max_bytes are
-    read, whatever the file system says of its size."""
-    import pandas as pd
+#: What a sheet's rows are written as: their number from 0 (the header) and the texts of their cells. Two more rows tell
+#: of the sheet: TOLD holds for each column its number of gaps and the types of its cells, FAULT why it can't be read.
+_SHEET_ROWS = "at bigint, cells array<string>"
+_TOLD, _FAULT = -1, -2
+_BATCH_CELLS = 50_000
 
-    content = _content(spark, path, None if max_bytes is None else max_bytes + 1)
-    if max_bytes is not None and len(content) > max_bytes:
-        raise Unreadable(f"The file is larger than {max_bytes >> 20} MB.")
-    book = check_workbook(content)
+
+def _sheet_rows(content: bytes) -> Iterator[tuple[int, list[str | None]]]:
+    """The rows of the first sheet, read as they are asked for; only the shared strings are held."""
     try:
+        book = check_workbook(content)
         root = ElementTree.fromstring(book.read("xl/workbook.xml"))
         first = next(root.iter(f"{_SHEET}sheet")).get(_RELATION)
         targets = {x.get("Id"): x.get("Target") for x in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        sheet = ElementTree.fromstring(book.read("xl/" + targets[first].removeprefix("/xl/")))
-        strings = ElementTree.fromstring(book.read("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in book.namelist() else ()
-    except (KeyError, StopIteration, ElementTree.ParseError):
-        raise Unreadable("The workbook has no sheet that can be read.") from None
-    shared = ["".join(t.text or "" for t in x.iter(f"{_SHEET}t")) for x in strings]
-    dated = _date_styles(book)
-    rows = [_cells(r, shared, dated) for r in sheet.iter(f"{_SHEET}row")]
-    if not rows:
-        raise Unreadable("The file has no columns.")
-    width = max(rows[0], default=-1) + 1
-    names = unique_names([rows[0].get(k) for k in range(width)])
-    told = {n: [None if isinstance(v := r.get(k), str) and v in MISSING_TOKENS else v for r in rows[1:]] for k, n in enumerate(names)}
-    return of_frame(_typed(spark, pd.DataFrame(told, columns=names, dtype=object)))
-
-
-def _typed(spark: SparkSession, cells) -> DataFrame:
-    """Columns of one type keep it (whole numbers with gaps become numbers); mixed ones become text."""
-    import datetime
-
-    fields, values = [], []
-    for name in cells.columns:
-        own = [x for x in cells[name] if x is not None]
-        kinds = {type(x) for x in own}
-        gaps = len(own) < len(cells)
-        if kinds == {bool} and not gaps:
-            kind, make = T.BooleanType(), bool
-        elif kinds == {int} and not gaps:
-            kind, make = T.LongType(), int
-        elif kinds and kinds <= {int, float}:
-            kind, make = T.DoubleType(), float
-        elif kinds == {datetime.datetime}:
-            kind, make = T.TimestampNTZType(), lambda x: x
-        else:
-            kind, make = T.StringType(), str
-        fields.append(T.StructField(name, kind))
-        values.append([None if x is None else make(x) for x in cells[name]])
-    return spark.createDataFrame(list(zip(*values, strict=True)), T.StructType(fields)).coalesce(1)
+        sheet = "xl/" + targets[first].removeprefix("/xl/")
+        strings = "xl/sharedStrings.xml"
+        shared = [_text(x) for x in _pulled(book, strings, "si")] if strings in book.namelist() else []
+        dated = _date_styles(book)
+        kinds: list[set[str]] | None = None
+        counts, n = [], 0
+        for at, row in enumerate(_pulled(book, sheet, "row")):
+            cells = _cells(row, shared, dated)
+            if kinds is None:
+                names = unique_names([cells.get(k) for k in range(max(cells, default=-1) + 1)])
+                kinds, counts = [set() for _ in names], [0] * len(names)
+                yield at, names
+                continue
+            n += 1
+            texts: list[str | None] = [None] * len(kinds)
+            for k, value in cells.items():
+                if k < len(kinds) and not (isinstance(value, str) and value in MISSING_TOKENS):
+                    texts[k] = str(value)
+                    kinds[k].add(type(value).__name__)
+                    counts[k] += 1
+            yield at, texts
+        if kinds is None:
+            raise Unreadable("The file has no columns.")
+        yield _TOLD, [f"{n - has} {' '.join(sorted(of))}" for has, of in zip(counts, kinds, strict=True)]
+    except Unreadable as fault:
+        yield _FAULT, [str(fault)]
+    except (KeyError, IndexError, ValueError, StopIteration, ElementTree.ParseError, zipfile.BadZipFile, zlib.error):
+        yield _FAULT, ["The workbook has no sheet that can be read."]
+
+
+def _sheet_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = pa.schema([("at", pa.int64()), ("cells", pa.list_(pa.string()))])
+    for batch in batches:
+        for content in batch.column("content"):
+            places, rows, size = [], [], 0
+            for at, cells in _sheet_rows(content.as_py()):
+                places.append(at)
+                rows.append(cells)
+                size += len(cells) + 1
+                if size >= _BATCH_CELLS:
+                    yield pa.record_batch([places, rows], schema=schema)
+                    places, rows, size = [], [], 0
+            yield pa.record_batch([pa.array(places, schema.types[0]), pa.array(rows, schema.types[1])], schema=schema)
+
+
+def read_xlsx(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> Table:
+    """The first sheet of a workbook of at most max_bytes. A task pulls its rows out one by one and writes them to the
+    shared folder, where they stay until the session ends; the driver sees the header and each column's types.
+
+    Columns of one type keep it (whole numbers with gaps become numbers); mixed ones become text."""
+    files = spark.read.format("binaryFile").load(_exact(path))
+    if max_bytes is not None:
+        files = files.filter(F.col("length") <= max_bytes)  # a larger file is not opened
+    kept = Written(spark, "workbook")
+    rows = kept.put("rows", files.select("content").mapInArrow(_sheet_batches, _SHEET_ROWS))
+    told = {r["at"]: r["cells"] for r in rows.filter(F.col("at") <= 0).collect()}
+    if _TOLD not in told:
+        kept.only()
+        raise Unreadable(told[_FAULT][0] if told else f"The file is larger than {(max_bytes or 0) >> 20} MB.")
+    made = [_typed(k, facts).alias(name) for k, (name, facts) in enumerate(zip(told[0], told[_TOLD], strict=True))]
+    return of_frame(rows.filter(F.col("at") > 0).select(*made, F.struct(F.lit("").alias("file"), "at").alias(ROW)))
+
+
+def _typed(k: int, facts: str) -> Column:
+    """The k-th cell of a sheet's row as what its column is, by the gaps of the column and the types of its cells."""
+    gaps, *kinds = facts.split()
+    cell, whole = F.get(F.col("cells"), F.lit(k)), gaps == "0"
+    if kinds == ["bool"] and whole:
+        return cell.cast("boolean")
+    if kinds == ["int"] and whole:
+        return cell.cast("bigint")
+    if kinds and set(kinds) <= {"int", "float"}:
+        return cell.cast("double")
+    return cell.cast("timestamp_ntz") if kinds == ["datetime"] else cell
 
 
 def preview(table: Table, limit: int = 20) -> dict:
     """The first rows as JSON records: gaps and infinities are null, numbers have 10 decimals, moments ISO form."""
-    import datetime
 
     def plain(x: object) -> object:
         if isinstance(x, float):
