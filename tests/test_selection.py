@@ -137,3 +137,56 @@ def test_a_look_takes_few_jobs_and_keeps_nothing(spark, tmp_path):
         jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("look"))
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert 0 < jobs < 40
+
+
+@pytest.fixture(scope="module")
+def shipped(spark, tmp_path_factory):
+    """20,000 rows in several files: numbers with gaps, few and many texts, long texts with one beginning, moments."""
+    where = str(tmp_path_factory.mktemp("shipped") / "t")
+    k = F.col("id")
+    mixed = F.xxhash64(k)
+    spark.range(0, 20_000, 1, 8).select(
+        k.cast("int").alias("k"), F.when(k % 5 > 0, F.pmod(mixed, F.lit(1000)) / 4).alias("x"), F.when(k % 3 > 0, F.lit("common")).otherwise(F.concat(F.lit("rare"), (k % 7).cast("string"))).alias("few"),
+        F.md5(k.cast("string")).alias("many"), F.concat(F.repeat(F.lit("p"), F.lit(80)), F.md5(k.cast("string"))).alias("long"),
+        F.timestamp_seconds(F.pmod(mixed, F.lit(10**9))).cast("timestamp_ntz").alias("t"), F.pmod(mixed, F.lit(400)).cast("decimal(9,2)").alias("d"), (k % 2 == 0).alias("b"),
+    ).write.parquet(where)
+    return profile.understood(readers.read_parquet(spark, where))
+
+
+def first_of(table, steps, count, **limit):
+    from vantage.plans import recipe
+
+    out = recipe.run(table, recipe.parse({"steps": [*steps, {"op": "limit_rows", "count": count, **limit}]}))
+    assert out.refusal is None
+    return out.table, [r["k"] for r in out.table.ordered().collect()]
+
+
+@pytest.mark.parametrize("columns,order", [([], "asc"), (["x"], "asc"), (["x"], "desc"), (["few"], "asc"), (["few"], "desc"), (["many"], "asc"), (["long"], "desc"), (["t"], "desc"), (["d", "x"], "asc"), (["b"], "desc")])
+@pytest.mark.parametrize("count", [1, 300, 30_000])
+def test_limit_by_a_cut(spark, shipped, monkeypatch, columns, order, count):
+    """The first rows in every order, gaps and ties too, are those of a plain sort."""
+    steps = [{"op": "sort_rows", "columns": columns, "order": order}] if columns else []
+    _, plain = first_of(shipped, steps, count)
+    monkeypatch.setattr(selection, "AT_ONCE", 0)
+    monkeypatch.setattr(selection, "SAMPLED", 900)
+    assert first_of(shipped, steps, count)[1] == plain and len(plain) == min(count, 20_000)
+
+
+def test_sample_by_a_cut(spark, shipped, monkeypatch):
+    _, plain = first_of(shipped, [], 250, method="sample", seed=3)
+    monkeypatch.setattr(selection, "AT_ONCE", 500)
+    assert first_of(shipped, [], 250, method="sample", seed=3)[1] == plain
+    assert first_of(shipped, [], 600, method="sample", seed=3, key="many")[1] != plain
+
+
+def test_cut_leaves_few_rows(spark, shipped, monkeypatch):
+    """What is sorted in the end is near the wanted number, one value for a third of all rows or not."""
+    for order in ([("k", False)], [("few", True), ("__row", True)], [("x", True), ("__row", True)], [("__row", True)]):
+        near = selection.nearly_first(shipped.frame, order, 400, at_once=300)
+        assert 400 <= near.count() <= 1600
+    assert selection.nearly_first(shipped.frame, [("k", True)], 400) is shipped.frame
+
+
+def test_cut_reaches_the_scan(spark, shipped):
+    near = selection.nearly_first(shipped.frame, [("k", True)], 400, at_once=300)
+    assert "LessThanOrEqual(k," in near._jdf.queryExecution().executedPlan().toString()

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import Written
 
@@ -19,6 +20,8 @@ PASS_CLASSES, CLASSES = 1 << 16, 4096
 FETCHED = 10_000
 #: One task ranks this many distinct values, and holds the values of one group up to this many.
 RANGE_VALUES, GROUP_VALUES = 2_000_000, 200_000
+#: Rows that one task sorts in the end, rows of a sample, and characters of a text that a cut looks at.
+AT_ONCE, SAMPLED, HEAD = 2_000_000, 20_000, 64
 #: Scans whose estimated size is no larger hold no group with more distinct values than one task takes.
 SMALL_SCAN = 32 << 20
 
@@ -142,9 +145,76 @@ def ranked_values(counts: DataFrame, keys: list[str], value: str, kept: Written
     return placed(counts, keys, value, kept, at_most).select(*keys, value, "__n", (F.col("__before") + (F.col("__n") + 1) / 2.0).alias("rank"))
 
 
+def estimated_bytes(rows: DataFrame) -> int:
+    """Catalyst's estimate; without statistics it is huge."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
 def is_small(rows: DataFrame) -> bool:
     """Whether Catalyst's estimate of the rows is small; without statistics it is huge."""
-    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_SCAN
+    return estimated_bytes(rows) <= SMALL_SCAN
+
+
+Order = Sequence[tuple[str, bool]]
+
+
+def _cut_keys(frame: DataFrame, order: Order, widest: Sequence[int | None]) -> list[tuple[Column, bool]]:
+    """The sort keys as values that a literal can be compared with. A text counts by its head; where that doesn't tell
+    all texts of the key, the keys behind it tell nothing either and are left out."""
+    keys: list[tuple[Column, bool]] = []
+    for (name, up), longest in zip(order, widest, strict=True):
+        c, kind = F.col(name), frame.schema[name].dataType
+        if isinstance(kind, T.StructType):
+            keys += [(c[f], up) for f in kind.fieldNames()]
+        elif isinstance(kind, T.StringType):
+            keys.append((F.substring(c, 1, HEAD), up))
+            if (longest or 0) > HEAD:
+                break
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            keys.append((F.unix_micros(c.cast("timestamp_ltz")), up))
+        else:
+            keys.append((F.unix_date(c) if isinstance(kind, T.DateType) else c, up))
+    return keys
+
+
+def _upto(keys: list[tuple[Column, bool]], cut: Sequence[object]) -> Column:
+    """Whether a row comes no later than the cut; gaps come last."""
+    out = F.lit(True)
+    for (key, up), at in reversed(list(zip(keys, cut, strict=True))):
+        earlier = key.isNotNull() if at is None else F.coalesce(key < F.lit(at) if up else key > F.lit(at), F.lit(False))
+        out = earlier | (key.eqNullSafe(F.lit(at)) & out)
+    first, at = keys[0], cut[0]
+    if at is None:
+        return out
+    return (first[0] <= F.lit(at) if first[1] else first[0] >= F.lit(at)) & out  # alone, so that the scan can use it
+
+
+def nearly_first(frame: DataFrame, order: Order, count: int, at_once: int | None = None) -> DataFrame:
+    """The rows up to a cut behind the first `count` rows in that order: all of these and not many more, so that sorting
+    what is left brings no `count` rows of every task to a single one. Keys of the order tell all rows apart.
+
+    Cuts come from a sample of the keys, and one counts only if a pass over all rows finds enough of them up to it. What
+    is left is cut again until one task can sort it. Nothing is cut where it can do so anyhow."""
+    tasks = -(-estimated_bytes(frame) // (128 << 20))
+    most = AT_ONCE if at_once is None else at_once
+    if tasks * count <= most:
+        return frame
+    texts = [n for n, _ in order if isinstance(frame.schema[n].dataType, T.StringType)]
+    told = frame.agg(F.count(F.lit(1)).alias("n"), *(F.max(F.length(F.col(n))).alias(f"w{k}") for k, n in enumerate(texts))).first()
+    keys = _cut_keys(frame, order, [told[f"w{texts.index(n)}"] if n in texts else None for n, _ in order])
+    size = told["n"]
+    while size > max(most, 2 * count):
+        names = [f"k{i}" for i in range(len(keys))]
+        drawn = frame.sample(min(1.0, SAMPLED / size), seed=size % 1_000_003).select(*(k.alias(n) for n, (k, _) in zip(names, keys, strict=True)))
+        sample = drawn.orderBy(*(F.col(n).asc_nulls_last() if up else F.col(n).desc_nulls_last() for n, (_, up) in zip(names, keys, strict=True))).collect()
+        expected = count * len(sample) / size
+        spots = sorted({s for k in range(4) if (s := int(expected + 3 * math.sqrt(expected) + 3) << k) < len(sample)})
+        found = frame.agg(*(F.count_if(_upto(keys, sample[s])) for s in spots)).first() if spots else ()
+        left, spot = next(((n, s) for n, s in zip(found, spots, strict=True) if n >= count), (size, 0))
+        if left > size * 0.9:
+            break  # most rows lie at one value of the keys
+        frame, size = frame.filter(_upto(keys, sample[spot])), left
+    return frame
 
 
 def quantiles(rows: DataFrame, keys: list[str], value: str, shares: list[float], *, small: bool | None = None) -> DataFrame:
