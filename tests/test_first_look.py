@@ -1,6 +1,8 @@
 """Sources, profile, statistics, timelines, quality, findings and the store on small made tables."""
 
+import csv
 import datetime as dt
+import io
 import math
 import random
 import tracemalloc
@@ -170,6 +172,25 @@ def test_preview_and_export(spark, tmp_path):
     assert readers.export_name("x/orders.csv", 2) == "orders (2 steps).csv"
 
 
+def test_export_of_several_parts(spark, tmp_path):
+    """Chunks from many tasks and part files, each in row order, are the table: quotes, breaks, blanks and gaps too."""
+    rows = [(k, None if k % 7 == 0 else f' n "{k}", {"x" * (k % 5)}\n' + "\\" * (k % 3), k / 8, k % 2 == 0) for k in range(5000)]
+    frame = spark.createDataFrame(rows, "k long, name string, x double, even boolean").repartition(7)
+    mixed = Table(readers.of_frame(frame).frame, order=(("k", False),))
+    want = [["" if x is None else str(x) for x in r] for r in reversed(rows)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        chunks = list(readers.csv_chunks(mixed))
+        readers.write_csv(mixed, str(tmp_path / "parts"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(chunks) > 2 and list(csv.reader(io.StringIO("".join(sum(chunks, []))))) == [["k", "name", "x", "even"], *want]
+    parts = [list(csv.reader(open(p, newline=""))) for p in sorted((tmp_path / "parts").glob("part-*.csv"))]
+    assert len(parts) > 1 and all(p[0] == ["k", "name", "x", "even"] for p in parts)
+    assert [r[:3] for p in parts for r in p[1:]] == [r[:3] for r in want]
+    assert list(readers.csv_lines(Table(mixed.frame.limit(0), order=(("k", True),)))) == ["k,name,x,even\n"]
+
+
 def test_kinds(spark):
     rows = [(f"id{k}", k % 2, "yes" if k % 3 else "No", f"2024-01-{k % 28 + 1:02d}", f"{k}", "a" * 50, f"v{k}", float(k % 2), None, "x") for k in range(80)]
     told = profile(readers.of_frame(spark.createDataFrame(rows, "id string, bit int, truth string, day string, digits string, long string, many string, real double, blank string, same string").coalesce(1)))

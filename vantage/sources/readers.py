@@ -11,7 +11,7 @@ import posixpath
 import re
 import zipfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -411,22 +411,45 @@ def preview(table: Table, limit: int = 20) -> dict:
     return {"columns": table.names, "rows": json.loads(json.dumps(records, default=str))}
 
 
-def csv_lines(table: Table) -> Iterator[str]:
-    """Header and rows of a delimited text, in row order and one partition at a time."""
-    out = io.StringIO()
+def _csv_texts(rows: Iterable[Iterable[object]]) -> list[str]:
+    """Each row as delimited text with its line end."""
+    out, texts = io.StringIO(), []
     writer = csv.writer(out, lineterminator="\n")
-    writer.writerow(table.names)
-    yield out.getvalue()
-    for row in table.ordered().toLocalIterator():
+    for row in rows:
+        writer.writerow(["" if x is None else x for x in row])
+        texts.append(out.getvalue())
         out.seek(0)
         out.truncate()
-        writer.writerow(["" if x is None else x for x in row])
-        yield out.getvalue()
+    return texts
+
+
+def _csv_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = _csv_texts(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        yield pa.record_batch([pa.array([texts], pa.list_(pa.string()))], names=["texts"])
+
+
+def csv_chunks(table: Table) -> Iterator[list[str]]:
+    """Delimited texts of the rows in row order, header first. Tasks make them, a chunk for each batch of rows, and they
+    are handed out one partition after the other, the next one being made meanwhile."""
+    yield _csv_texts([table.names])
+    zoned = {f.name for f in table.frame.schema if isinstance(f.dataType, T.TimestampType)}
+    rows = table.ordered().select(*(col(n).cast("timestamp_ntz").alias(n) if n in zoned else col(n) for n in table.names))
+    for chunk in rows.mapInArrow(_csv_batches, "texts array<string>").toLocalIterator(prefetchPartitions=True):
+        yield chunk["texts"]
+
+
+def csv_lines(table: Table) -> Iterator[str]:
+    """Header and rows of a delimited text, in row order."""
+    for chunk in csv_chunks(table):
+        yield from chunk
 
 
 def write_csv(table: Table, path: str) -> None:
-    """The table as delimited part files in row order, from all executors."""
-    table.ordered().write.option("header", True).option("emptyValue", "").csv(path)
+    """The table as delimited part files in row order, from all executors: quotes within values are doubled, as in
+    csv_lines(), and blanks around them stay."""
+    options = {"header": True, "emptyValue": "", "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    table.ordered().write.options(**options).csv(path)
 
 
 def export_name(file_name: str, n_steps: int) -> str:
@@ -434,4 +457,4 @@ def export_name(file_name: str, n_steps: int) -> str:
     return f"{stem} ({n_steps} step{'' if n_steps == 1 else 's'}).csv"
 
 
-__all__ = ["Unreadable", "check_table", "check_upload", "csv_lines", "export_name", "of_frame", "preview", "quoted", "read_csv", "read_dataset", "read_parquet", "read_xlsx", "sniff_delimiter", "unique_names", "write_csv"]
+__all__ = ["Unreadable", "check_table", "check_upload", "csv_chunks", "csv_lines", "export_name", "of_frame", "preview", "quoted", "read_csv", "read_dataset", "read_parquet", "read_xlsx", "sniff_delimiter", "unique_names", "write_csv"]
