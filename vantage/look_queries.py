@@ -297,6 +297,35 @@ def chart_box(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows_of(spark, [(g["name"], g["n"], round(g["q1"], 4), round(g["median"], 4), round(g["q3"], 4), g["low"], g["high"]) for g in groups], "name string, n bigint, q1 double, median double, q3 double, low double, high double")
 
 
+@register("chart_line", """with d as (select date_trunc('day', ts) as day, avg(value) as v from events where value is not null group by 1),
+s as (select unnest(generate_series(min(day), max(day), interval 1 day)) as day from d)
+select strftime(s.day, '%Y-%m-%dT%H:%M:%S') as x, round(v, 4) as y, 'D' as rule from s left join d using (day)""")
+def chart_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = charts.line(timeline.timelines(load(spark, sf_dir, "events"), ["ts"], ["value"])[0]).data
+    rows = [(x, None if y is None else round(y, 4), data["rule"]) for x, y in zip(data["x"], data["y"], strict=True)]
+    return rows_of(spark, rows, "x string, y double, rule string")
+
+
+#: Days as texts: how each column writes them, and how many rows in a hundred hold no day at all.
+DAY_TEXTS = {"iso": ("yyyy-MM-dd", 0), "slashes": ("M/d/yyyy", 0), "worded": ("MMMM d, yyyy", 10), "unsure": ("yyyy-MM-dd", 60)}
+_DAYS = {"iso": "timestamp", "slashes": "timestamp", "worded": "timestamp", "unsure": "varchar"}
+
+
+def _day_sql(name: str, kind: str) -> str:
+    if kind == "varchar":
+        return f"case when o_orderkey % 100 < {DAY_TEXTS[name][1]} then 'lot ' || o_orderkey else strftime(o_orderdate, '%Y-%m-%d') end as {name}"
+    return f"case when o_orderkey % 100 < {DAY_TEXTS[name][1]} then null else date_trunc('day', o_orderdate)::timestamp end as {name}"
+
+
+@register("date_texts", f"select o_orderkey, {', '.join(_day_sql(n, k) for n, k in _DAYS.items())}, 'datetime,datetime,datetime,text' as kinds from orders")
+def date_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days written as texts are moments once the table is understood, unless too few texts are days."""
+    made = [F.when(F.col("o_orderkey") % 100 < DAY_TEXTS[n][1], F.concat(F.lit("lot "), "o_orderkey")).otherwise(F.date_format("o_orderdate", DAY_TEXTS[n][0])).alias(n) for n in _DAYS]
+    table = understood(of_frame(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", *made)))
+    kinds = ",".join(table.meaning(n).kind for n in _DAYS)
+    return table.visible().withColumn("kinds", F.lit(kinds))
+
+
 @register("chart_heatmap", f"with {M}, {PAIRS} select a, b, round(r, 6) as r from pairs union all select b, a, round(r, 6) from pairs union all " + union(f"select '{n}', '{n}', 1.0" for n in NUMBERS))
 def chart_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = charts.heatmap(NUMBERS, stats.correlate(seen(spark, sf_dir)[0], NUMBERS))
