@@ -1,9 +1,14 @@
 """Queries and operators on tables beyond the sizes that one chart, task or group holds."""
 
+import pytest
 from oracle import assert_equal, tables
 from pyspark.sql import functions as F
 
-from vantage import queries
+from vantage import look_queries, queries
+from vantage.operators import quality, selection, stats
+from vantage.operators import counts as counting
+from vantage.scratch import Written
+from vantage.sources.readers import of_frame
 
 TINY = "/root/testdata/sf0.001"
 
@@ -16,3 +21,44 @@ def test_scatter_gives_more_points_than_a_chart_holds(spark, tmp_path):
     many.drop("i").toPandas().to_parquet(tmp_path / "sql" / "supplier.parquet")
     base = tables(str(tmp_path / "sql"))
     assert_equal(spark, base, queries.QUERIES["chart_scatter"], queries.ORACLE_SQL["chart_scatter"], str(tmp_path))
+
+
+def grouped(spark):
+    """Two groupings, one with gaps and a group of two rows, and two measures, one with gaps."""
+    return of_frame(spark.range(6000).selectExpr(
+        "if(id % 10 = 0, null, if(id in (1, 2), 'few', concat('a', id % 3))) as a", "concat('b', id % 4) as b", "cast(id * id % 311 as double) - 60 as x", "if(id % 7 = 0, null, id * 37 % 5003 / 8) as y"
+    ))
+
+
+@pytest.mark.parametrize("fetched", [1 << 16, 60])
+def test_comparisons_of_many_cells_equal_those_of_few(spark, monkeypatch, fetched):
+    pairs = [("a", "x"), ("a", "y"), ("b", "x"), ("b", "y")]
+    few = stats.compare_pairs(grouped(spark), pairs)
+    for module in (selection, stats):
+        monkeypatch.setattr(module, "RANGE_VALUES", 500)
+    monkeypatch.setattr(selection, "PASS_CLASSES", fetched)
+    many = stats.compare_pairs(grouped(spark), pairs)
+    plain = lambda found: [(c.ignored, c.statistic, c.p_value, c.effect, *(v for g in c.groups for v in list(vars(g).values())[1:])) for c in found]
+    names = lambda found: [(c.group_by, c.measure, [g.group for g in c.groups]) for c in found]
+    assert names(few) == names(many)
+    assert [len(c.groups) for c in few] == [3, 3, 4, 4] and few[0].ignored == 1
+    for a, b in zip(plain(few), plain(many), strict=True):
+        assert a == pytest.approx(b, rel=1e-9)
+
+
+def test_groups_are_compared_by_counted_values(spark):
+    """However many rows a group has, what follows the first count sees each of its values once."""
+    table = of_frame(spark.range(50_000).selectExpr("concat('g', id % 2) as g", "cast(id % 9 as double) as x"))
+    with Written(spark, "test") as kept:
+        found = stats.group_counts(table, [("g", "x")], kept)
+        assert found.rows == found.counts.count() == 18
+        assert {r["g"]: r["n"] for r in stats.group_stats(found, kept).collect()} == {"g0": 25_000, "g1": 25_000}
+
+
+@pytest.mark.parametrize("query", ["found_in", "assessed"])
+def test_values_are_counted_once_for_all_that_reads_them(spark, monkeypatch, query):
+    calls, real = [], counting.count_values
+    for module in (counting, look_queries, quality, stats):
+        monkeypatch.setattr(module, "count_values", lambda *a: calls.append(a) or real(*a), raising=False)
+    assert getattr(look_queries, query)(spark, TINY)
+    assert len(calls) == 1
