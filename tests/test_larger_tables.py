@@ -1,10 +1,13 @@
 """Queries and operators on tables beyond the sizes that one chart, task or group holds."""
 
+import tracemalloc
+
 import pytest
 from oracle import assert_equal, tables
 from pyspark.sql import functions as F
 
 from vantage import look_queries, queries
+from vantage.llm import language_id
 from vantage.operators import quality, selection, stats
 from vantage.operators import counts as counting
 from vantage.scratch import Written
@@ -62,3 +65,22 @@ def test_values_are_counted_once_for_all_that_reads_them(spark, monkeypatch, que
         monkeypatch.setattr(module, "count_values", lambda *a: calls.append(a) or real(*a), raising=False)
     assert getattr(look_queries, query)(spark, TINY)
     assert len(calls) == 1
+
+
+@pytest.mark.parametrize("step", ["judge", "count"])
+def test_a_worker_holds_little_while_it_reads_languages(spark, step):
+    """What a batch of the default size takes beside its text, in arrays of the judging and of the counting worker."""
+    docs = spark.createDataFrame([(k, "some plain words here" if k % 2 else "einige schlichte Worte da", "en" if k % 2 else "de") for k in range(200)], "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs)
+    size = {"judge": language_id.JUDGED_BYTES, "count": language_id.COUNTED_BYTES}[step]
+    texts = ["some plain words here and there " * 30] * (size // 960)
+    language_id.classes_of("a")
+    tracemalloc.start()
+    try:
+        if step == "judge":
+            language_id.judge(texts, model, 1.0)
+        else:
+            language_id.np.unique(language_id.np.concatenate([language_id.codes_of(language_id.classes_of(x), 4) for x in texts]))
+        assert tracemalloc.get_traced_memory()[1] < 45 << 20
+    finally:
+        tracemalloc.stop()

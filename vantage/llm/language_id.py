@@ -16,6 +16,8 @@ from .words import by_bytes
 CLASSES = 64  # 0: all that is no letter; 1-26: a-z; the rest: other letters, by hash
 BITS = 6
 UNKNOWN = "und"
+#: Text that a worker judges or counts at once: some 100 bytes of arrays a byte, in every worker of an executor.
+JUDGED_BYTES, COUNTED_BYTES = 1 << 18, 1 << 20
 
 
 def letter_classes() -> np.ndarray:
@@ -222,7 +224,7 @@ UNCALIBRATED = 1.2
 
 def fit(
     docs: DataFrame, *, id_col: str = "doc_id", lang_col: str = "lang", text_col: str = "text", orders: tuple[int, ...] = (3, 4), held: int = 10,
-    false_rejections: float = 1e-4, most_langs: int = 200, batch_bytes: int = 4 << 20,
+    false_rejections: float = 1e-4, most_langs: int = 200, batch_bytes: int = COUNTED_BYTES,
 ) -> Model:
     """A model for each language of the labelled rows, from the counts of all of them.
 
@@ -284,7 +286,7 @@ def judge(texts: list[str | None], model: Model, sharpness: float) -> list[tuple
     return out
 
 
-def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 10.0, batch_bytes: int = 1 << 20) -> DataFrame:
+def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", sharpness: float = 10.0, batch_bytes: int = JUDGED_BYTES) -> DataFrame:
     """Language of each whole text; a narrow pass, a row for each row of docs.
 
     lang_pred is the language whose model has the lowest length-normalised cross-entropy (ties: the first by name),
@@ -306,7 +308,7 @@ def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col:
     return rows.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, cost double, excess double, rejected boolean")
 
 
-def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", batch_bytes: int = 1 << 20) -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, *, text_col: str = "text", batch_bytes: int = JUDGED_BYTES) -> DataFrame:
     """The documents, all columns as they are, without those that predict() marks as rejected (null and letterless
     texts among them). Without any labelled text to learn from, all with a letter stay."""
     if not model.langs:
