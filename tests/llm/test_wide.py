@@ -270,6 +270,39 @@ def test_open_buckets_lose_no_link(spark):
     assert got == {d: c for d, (_, c) in near(rows, 2).items()}
 
 
+def test_open_buckets_are_held_once_and_looked_at_while_components_change(spark, monkeypatch):
+    """Groups whose members share many bands; their buckets stay open, and no round adds to what the first one linked."""
+    seen = {}
+
+    class Told(Written):
+        def put(self, key, frame, **measures):
+            out = super().put(key, frame, **measures)
+            if re.match("wanted|open", key):
+                seen[key] = [tuple(r) for r in out.collect()]
+            return out
+
+    monkeypatch.setattr(minhash, "Written", Told)
+    rng = random.Random(5)
+    rows = []
+    for family in range(6):
+        words = [f"f{family}w{i}" for i in range(100)]
+        for _ in range(25):
+            own = list(words)
+            for at in rng.sample(range(100), rng.choice([2, 12, 30])):
+                own[at] = f"s{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(frame(spark, rows), width=2).collect()}
+    assert got == {d: c for d, (_, c) in near(rows, 2).items()}
+    buckets = {}
+    for id_, _, cells in seen.pop("wanted"):
+        for cell in cells:
+            buckets.setdefault(cell, set()).add(id_)
+    assert len({frozenset(b) for b in buckets.values()}) == len(buckets) > 20
+    assert "open1" in seen and seen["open1"]
+    views = [{(r[0], r[1]): r[3:] for r in seen[k]} for k in sorted(seen)]
+    assert all(a != b for a, b in zip(views, views[1:], strict=False))
+
+
 def test_hub_outside_open_buckets_loses_no_link(spark, monkeypatch):
     """4 and 5 share 90 of 100 words and one bucket, whose hub 1 stands in a bucket of one component only."""
     told = lambda letter, n: [f"{letter}{i}" for i in range(n)]

@@ -126,24 +126,27 @@ def near_duplicates(
     cells = heads.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.explode("bands").alias("cell"))
     counted = cells.groupBy("cell").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).filter("n > 1").select("cell", "pivot")
     members = kept.put("members", cells.join(counted, "cell"))
-    sizes = members.select("id", "size").distinct()
-    wanted = kept.put("wanted", sizes)
+    wanted = kept.put("wanted", _buckets_of(members))
     sets = kept.put("sets", _sets(docs, wanted.select(F.col("id").alias("doc_id")).distinct(), id_col, text_col, width, batch_bytes))
 
     near = lambda x: x.filter(F.col("shared") * 100 >= F.col("either") * percent)
     stars = members.filter("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
     tested = kept.put("tested", _confirm(stars, sets))
     labels, named = components(near(tested).select("a", "b"), kept, "round0"), "round0"
+    docs_left = wanted
     for turn in range(1, hub_rounds + 1):
-        open_cells = _open(members, labels, kept, turn)
+        open_cells = _open(docs_left, labels, kept, turn)
         pairs = open_cells.filter("id <> hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct()
         fresh = kept.put(f"tested{turn}", _confirm(pairs.join(tested, ["a", "b"], "left_anti"), sets))
         tested = tested.unionByName(fresh)
         if near(fresh).isEmpty():
             break
         labels, named = components(near(tested).select("a", "b"), kept, f"round{turn}"), f"round{turn}"
+        if open_cells.join(labels, open_cells.id == labels.node).filter("component <> label").isEmpty():
+            break  # the same buckets stay open, with the same hubs
+        docs_left = open_cells.groupBy("id", "size").agg(F.collect_set("cell").alias("cells"))  # a bucket of one component stays so
     else:
-        open_cells = _open(members, labels, kept, "last")
+        open_cells = _open(docs_left, labels, kept, "last")
     counted = open_cells.select("id").union(open_cells.select("hub")).distinct()  # a hub need not be in an open bucket
     alone = kept.put("alone", _alone(counted, sets))
     fresh = kept.put("rest", near(_confirm(_rest(open_cells, tested, alone, percent), sets)).select("a", "b"))
@@ -153,10 +156,21 @@ def near_duplicates(
     return _result(marks, classes, labels, id_col)
 
 
-def _open(members: DataFrame, labels: DataFrame, kept: Written, turn: object) -> DataFrame:
+def _buckets_of(members: DataFrame) -> DataFrame:
+    """(id, size, cells): each document's buckets, at most one for each band; of buckets with the same members, told by
+    their pivot, number and sums of hashes, one."""
+    own = F.xxhash64("id")
+    sums = F.sum(own.bitwiseAND(F.lit(0xFFFFFFFF))).alias("low"), F.sum(F.shiftrightunsigned(own, 32)).alias("high")
+    told = members.groupBy("cell", "pivot").agg(F.count("*").alias("n"), *sums)
+    one = told.groupBy("pivot", "n", "low", "high").agg(F.min("cell").alias("cell"))
+    return members.join(one.select("cell"), "cell", "left_semi").groupBy("id", "size").agg(F.collect_set("cell").alias("cells"))
+
+
+def _open(docs: DataFrame, labels: DataFrame, kept: Written, turn: object) -> DataFrame:
     """Members of buckets that hold more than one component yet, with the bucket's hub: the smallest document of the
-    component that most of its members belong to."""
-    named = members.join(labels, members.id == labels.node, "left").select("cell", "id", "size", F.coalesce("component", "id").alias("label"))
+    component that most of its members belong to. Documents meet their component before their buckets are told apart."""
+    placed = docs.join(labels, docs.id == labels.node, "left").select("id", "size", "cells", F.coalesce("component", "id").alias("label"))
+    named = kept.put("named", placed.select(F.explode("cells").alias("cell"), "id", "size", "label"))
     shares = named.groupBy("cell", "label").agg(F.count("*").alias("n"))
     mixed = shares.groupBy("cell").agg(F.count("*").alias("labels"), F.min(F.struct((-F.col("n")).alias("m"), "label")).alias("top")).filter("labels > 1").select("cell", F.col("top.label").alias("hub"))
     return kept.put(f"open{turn}", named.join(mixed, "cell"))
