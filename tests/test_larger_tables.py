@@ -2,12 +2,13 @@
 
 import tracemalloc
 
+import numpy as np
 import pytest
 from oracle import assert_equal, tables
 from pyspark.sql import functions as F
 
 from vantage import look_queries, queries
-from vantage.llm import language_id
+from vantage.llm import collocations, language_id
 from vantage.operators import quality, selection, stats
 from vantage.operators import counts as counting
 from vantage.scratch import Written
@@ -84,3 +85,17 @@ def test_a_worker_holds_little_while_it_reads_languages(spark, step):
         assert tracemalloc.get_traced_memory()[1] < 45 << 20
     finally:
         tracemalloc.stop()
+
+
+def test_a_worker_holds_little_while_it_sketches_runs():
+    """What the words of a batch take beside its text, and that batches of sketches are small ones."""
+    texts = [b"Some plain words, here and there. " * 30] * 4000
+    collocations.Words.of(texts[:1], np.zeros(1, np.int64))
+    tracemalloc.start()
+    try:
+        found = collocations.Words.of(texts, np.zeros(len(texts), np.int64))
+        assert tracemalloc.get_traced_memory()[1] < 20 * sum(map(len, texts))
+    finally:
+        tracemalloc.stop()
+    assert len(found.number) == 4000 * 180 and found.piece[:7].tolist() == [0, 0, 0, 1, 1, 1, 2]
+    assert collocations.SKETCHED_BYTES <= 1 << 20

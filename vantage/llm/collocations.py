@@ -20,6 +20,8 @@ from .words import LOWER, by_bytes, grams, hashed_words, mix, utf8
 FULL = 255
 BLOCK = 1 << 20
 SKETCHES = "block int, cells binary, lang string, words bigint"
+#: A batch of the first pass: sketches of small batches are the same, and a worker holds less beside the sketch.
+SKETCHED_BYTES = 1 << 20
 SKETCH_COLUMNS = [x.split()[0] for x in SKETCHES.split(", ")]
 #: first_in_each(): groups are cut into this many parts a level, and a level ends where a task gets so many rows at most.
 FANOUT, LEVEL_ROWS = 64, 128_000
@@ -51,7 +53,7 @@ class Words:
         """langs: each text's language as a number."""
         raw = np.frombuffer(b"\n".join(x or b"" for x in texts).translate(LOWER), dtype=np.uint8)
         kinds = KINDS[raw]
-        edge = np.diff(np.concatenate(([0], (kinds == 0).view(np.int8), [0])))
+        edge = np.diff((kinds == 0).view(np.int8), prepend=np.int8(0), append=np.int8(0))
         starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         offsets = np.concatenate(([0], np.cumsum(ends - starts)))
         every = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(raw[kinds == 0])])
@@ -60,7 +62,7 @@ class Words:
         own, _, _, _ = hashed_words([b" ".join(coded.dictionary.to_pylist())])
         stops = np.cumsum([len(x or b"") + 1 for x in texts])
         lang = langs[np.searchsorted(stops, starts, side="right")] if len(starts) else np.zeros(0, np.int64)
-        return Words(coded.dictionary, number, np.cumsum(kinds == 2)[starts], lang, own[number] if len(own) else own)
+        return Words(coded.dictionary, number, np.searchsorted(np.flatnonzero(kinds == 2), starts), lang, own[number] if len(own) else own)
 
     def runs(self, width: int, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where runs of `width` words start that lie in one piece, and a hash of each with its language."""
@@ -118,7 +120,7 @@ def sketched(rows: DataFrame, widths: list[int], depth: int, tasks: int, batch_b
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch, words = Sketch(widths, depth), {}
-        for batch in by_bytes(batches, "text", batch_bytes):
+        for batch in by_bytes(batches, "text", min(batch_bytes, SKETCHED_BYTES)):
             names, langs, seeds = _languages(batch)
             found = Words.of(utf8(batch.column("text")), langs)
             for name, n in zip(names, np.bincount(found.lang, minlength=len(names)).tolist(), strict=True):
