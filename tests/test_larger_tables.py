@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vantage import look_queries, queries
 from vantage.llm import collocations, language_id
-from vantage.operators import quality, selection, stats
+from vantage.operators import quality, selection, stats, timeline
 from vantage.operators import counts as counting
 from vantage.scratch import Written
 from vantage.sources.readers import of_frame
@@ -99,3 +99,18 @@ def test_a_worker_holds_little_while_it_sketches_runs():
         tracemalloc.stop()
     assert len(found.number) == 4000 * 180 and found.piece[:7].tolist() == [0, 0, 0, 1, 1, 1, 2]
     assert collocations.SKETCHED_BYTES <= 1 << 20
+
+
+def test_every_group_column_meets_every_measure(spark):
+    """Four groupings and seven measures: more than three, five and fifteen; the last pair is the strongest."""
+    groups, measures = [f"g{k}" for k in range(4)], [f"x{k}" for k in range(7)]
+    made = [f"concat('v', id % {k + 2}) as g{k}" for k in range(4)] + [f"cast(id * {k * 2 + 3} % 101 + if(id % 5 = 0, {k * k}, 0) as double) as x{k}" for k in range(7)]
+    found = stats.compare_all(of_frame(spark.range(600).selectExpr(*made)), groups, measures)
+    assert {(c.group_by, c.measure) for c in found} == {(g, x) for g in groups for x in measures}
+    assert (found[0].group_by, found[0].measure) == ("g3", "x6")
+
+
+def test_every_measure_is_followed_over_time(spark):
+    made = ["timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, id) as t"] + [f"cast(id % {k + 5} as double) as x{k}" for k in range(7)]
+    found = timeline.timelines(of_frame(spark.range(90).selectExpr(*made)), ["t"], [f"x{k}" for k in range(7)])
+    assert {t.measure for t in found} == {f"x{k}" for k in range(7)}
