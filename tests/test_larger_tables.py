@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from vantage import look_queries, queries
 from vantage.llm import collocations, language_id
-from vantage.operators import quality, selection, stats, timeline
+from vantage.operators import profile, quality, selection, stats, timeline
 from vantage.operators import counts as counting
 from vantage.scratch import Written
 from vantage.sources.readers import of_frame
@@ -114,3 +114,53 @@ def test_every_measure_is_followed_over_time(spark):
     made = ["timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, id) as t"] + [f"cast(id % {k + 5} as double) as x{k}" for k in range(7)]
     found = timeline.timelines(of_frame(spark.range(90).selectExpr(*made)), ["t"], [f"x{k}" for k in range(7)])
     assert {t.measure for t in found} == {f"x{k}" for k in range(7)}
+
+
+@pytest.mark.parametrize("least", [1000, 10_000, 100_000])
+def test_long_numbers_among_texts_are_no_years(spark, least):
+    """Codes of four to six digits, a tenth of them a word: as large copies of a table with shifted keys hold."""
+    table = of_frame(spark.range(400).selectExpr(f"if(id % 10 = 0, 'none', cast({least} + id * 7 as string)) as code", "date_format(date'2024-01-01' + cast(id as int), if(id % 10 = 0, 'yyyy-MM-dd', 'yyyyMMdd')) as day"))
+    assert {c.name: c.kind for c in profile.profile(table).columns} == {"code": "text", "day": "datetime"}
+
+
+def test_ranks_that_are_broadcast_or_shuffled_give_the_same(spark, monkeypatch):
+    names = ["x", "y", "z"]
+    table = of_frame(spark.range(3000).selectExpr("if(id % 7 = 0, null, cast(id * id % 311 as double)) as x", "cast(if(id % 4 = 0, 5, id * 37 % 1009) as double) as y", "if(id % 3 < 2, null, id / 8) as z"))
+    few = stats.correlate(table, names)
+    for name, value in {"GIVEN_VALUES": 10, "HEAVY_SHARE": 6, "RANGE_VALUES": 400, "is_small": lambda _: False}.items():
+        for module in (selection, stats):
+            monkeypatch.setattr(module, name, value, raising=False)
+    many = stats.correlate(table, names)
+    assert [(c.left, c.right, c.n) for c in few] == [(c.left, c.right, c.n) for c in many] and len(few) == 3
+    for a, b in zip(few, many, strict=True):
+        assert (a.pearson, a.spearman) == pytest.approx((b.pearson, b.spearman), rel=1e-9)
+
+
+def test_labels_are_counted_by_number_with_gaps(spark, monkeypatch):
+    """Rows of labels, gaps among them, that stand as numbers while values are counted."""
+    pairs = [("a", "x"), ("b", "y")]
+    with Written(spark, "plain") as kept:
+        plain = stats.group_counts(grouped(spark), pairs, kept).counts.collect()
+    monkeypatch.setattr(stats, "is_small", lambda _: False)
+    with Written(spark, "numbered") as kept:
+        found = stats.group_counts(grouped(spark), pairs, kept).counts.collect()
+    assert sorted(map(tuple, plain), key=repr) == sorted(map(tuple, found), key=repr)
+
+
+def test_moments_are_summed_once_for_all_measures(spark):
+    """Rows that share a moment make one row for each measure, before anything looks at gaps or periods."""
+    table = of_frame(spark.range(5000).selectExpr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id % 40 as int)) as t", "cast(id as double) as x", "if(id % 2 = 0, null, cast(id as double)) as y"))
+    with Written(spark, "test") as kept:
+        rows = timeline._summed(table, "t", ["x", "y"], kept).collect()
+    assert len(rows) == 60 and sum(r["n"] for r in rows if r["measure"] == "x") == 5000
+    assert sum(r["s"] for r in rows if r["measure"] == "y") == sum(range(1, 5000, 2))
+
+
+def test_counts_by_kind_equal_those_at_once(spark, monkeypatch):
+    made = "id % 7 as whole", "if(id % 5 = 0, null, id % 3 / 4) as real", "if(id % 2 = 0, null, 'ab') as word", "id % 2 = 0 as truth", "timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, cast(id % 4 as int)) as moment"
+    found = []
+    for small in (True, False):
+        monkeypatch.setattr(counting, "is_small", lambda _, small=small: small)
+        with Written(spark, "test") as kept:
+            found.append(sorted(map(tuple, counting.count_values(of_frame(spark.range(200).selectExpr(*made)), kept).values.collect()), key=repr))
+    assert found[0] == found[1] and len(found[0]) == 19
